@@ -10,7 +10,7 @@ card   13 to 19 digits with a right Luhn digit          all digits but the first
 phone  +1 (AAA) EEE-NNNN, AAA and EEE from 200          AAA and EEE-NNNN, again from 200
 ip     four numbers up to 255                           the four numbers
 date   YYYY-MM-DD, a day from 1900-01-01 to 2099-10-03  the day, among those days
-email  name@domain                                      the letters and the digits of the name, in their places
+email  name@domain                                      the letters (made lower case) and digits of the name, in place
 key    40 lower-case hexadecimal digits                 both halves
 
 What fits no format, or is not valid, stays. Formatting (signs, blanks) stays. Nulls stay null and an empty text empty;
@@ -106,9 +106,9 @@ def _only(value: Column, letters: str) -> Column:
 def _card(m: Column, key: str, back: bool) -> Column:
     def mapped(d):
         body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_digits(F.substr(d, F.lit(2), F.length(d) - 2), key, "card", back=back))
-        return _bind(body, lambda b: F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(b, c.cast("string"))), lambda x: F.luhn_check(x)), F.lit(0)))
+        return _bind(body, lambda b: F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(b, c.cast("string"))), lambda x: F.call_function("luhn_check", x)), F.lit(0)))
 
-    return _bind(_only(m, "0-9"), lambda d: F.when(F.luhn_check(d), _fill(m, "0-9", mapped(d))).otherwise(m))
+    return _bind(_only(m, "0-9"), lambda d: F.when(F.call_function("luhn_check", d), _fill(m, "0-9", mapped(d))).otherwise(m))
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
