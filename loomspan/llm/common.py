@@ -23,15 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str, **options) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
+def staged(df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back. ``keep``: release() leaves it.
 
     A lost executor costs only the unfinished stage; what is staged is read again from the shared store.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    _staged.append(path)
+    if not keep:
+        _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from loomspan.llm import chat, decontaminate, language, mixing, pii, tokens, urls
+from loomspan.llm import chat, decontaminate, language, mixing, neardup, neighbours, pii, substrings, tokens, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_pii": pii.op3_pii,
+    "op4_repeats": substrings.op4_repeats,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_language_id": language.op7_language_id,
     "op8_url_filter": urls.op8_url_filter,
     "op9_token_ids": tokens.op9_token_ids,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES = {"op1_chat_format": chat.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op8_url_filter": urls.ORACLE}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op4_repeats": substrings.ORACLE, "op8_url_filter": urls.ORACLE}
