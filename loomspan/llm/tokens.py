@@ -12,6 +12,7 @@ row, in the order of the scan. An empty table gives an empty dataset. Other colu
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -79,53 +80,69 @@ class Image:
 
 _encoders: dict = {}
 
+#: The characters that a byte-level model writes for the bytes 0 to 255: printable Latin-1 as it is, the others from U+0100 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_CHARS = {b: chr(b if b in _SHOWN else 256 + b - sum(x < b for x in _SHOWN)) for b in range(256)}
 
-def encoder(path: str, cached: int = 400_000):
-    """text -> packed little-endian 32-bit ids, by the tokenizer file at ``path``.
 
-    The pre-tokeniser of such a file never joins text across a blank or a line end (checked in the tests against whole
-    texts), so the pieces between them are encoded apart and those seen first are remembered, at most ``cached``.
+def encoder(path: str, cached: int = 1_200_000):
+    """(bytes of a text -> packed little-endian 32-bit ids, size of the vocabulary) of the tokenizer file at ``path``.
+
+    The pre-tokeniser of such a file never joins text across a blank or a line end (the tests compare with whole texts), so
+    the pieces between them are encoded apart; up to ``cached`` of them are remembered. The file lower-cases, so ASCII
+    capitals are lowered first, but for texts that may hold a special token or a combining mark. A piece that is one word
+    in normal form goes to the model at once, without the normaliser that would leave it as it is.
     """
     if path in _encoders:
         return _encoders[path]
     from tokenizers import Tokenizer
 
-    tok, memory = Tokenizer.from_file(path), {"": b""}
-
-    def learn(missing: list[str]) -> dict[str, bytes]:
-        found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, tok.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
+    tok, memory = Tokenizer.from_file(path), {b"": b""}
+    model, lowers = tok.model, tok.encode("AbC", add_special_tokens=False).ids == tok.encode("abc", add_special_tokens=False).ids
+
+    def learn(piece: bytes) -> bytes:
+        stem = piece[:-1]
+        if piece[-1:] in (b",", b".") and stem.isalpha():
+            found = (memory.get(stem) or learn(stem)) + (memory.get(piece[-1:]) or learn(piece[-1:]))
+        else:
+            text = piece.decode()
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                ids = [t.id for t in model.tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))]
+            else:
+                ids = tok.encode(text, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(memory) < cached:
-            memory.update(found)
+            memory[piece] = found
         return found
 
-    def encode(text: str) -> bytes:
-        out = []
-        for at in range(0, len(text), 1 << 20):
-            # a slice ends where a piece ends
-            lo = at if not at else _edge(text, at)
-            hi = len(text) if at + (1 << 20) >= len(text) else _edge(text, at + (1 << 20))
-            pieces = text[lo:hi].replace("\n", " ").split(" ")
+    def encode(text: bytes) -> bytes:
+        if lowers and not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
+            text = text.lower()
+        out, lo = [], 0
+        while lo < len(text):  # slices that end where a piece ends
+            hi = len(text) if lo + (1 << 20) >= len(text) else _edge(text, lo + (1 << 20))
+            pieces = text[lo:hi].replace(b"\n", b" ").split(b" ")
             got = list(map(memory.get, pieces))
             if None in got:
-                found = learn(list({w for w, g in zip(pieces, got, strict=True) if g is None}))
-                got = [found[w] if g is None else g for w, g in zip(pieces, got, strict=True)]
+                got = [learn(p) if g is None else g for p, g in zip(pieces, got, strict=True)]
             out.append(b"".join(got))
+            lo = hi
         return b"".join(out)
 
     _encoders[path] = encode, tok.get_vocab_size()
     return _encoders[path]
 
 
-def _edge(text: str, at: int) -> int:
+def _edge(text: bytes, at: int) -> int:
     """First blank or line end from ``at`` on."""
-    a, b = text.find(" ", at), text.find("\n", at)
+    a, b = text.find(b" ", at), text.find(b"\n", at)
     return min([x for x in (a, b) if x >= 0], default=len(text))
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, image_ids: int = 1 << 18) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) in ascending doc_id order and write shard images; returns them as read back.
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, image_ids: int = 1 << 18, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Encode ``docs`` (doc_id, text) in ascending ``order`` and write shard images; returns them as read back.
 
-    The texts are dealt by ranges of doc_id (with the scan's row number, so that one repeated id cannot fill a range),
+    The texts are dealt by ranges of ``order`` (with the scan's row number, so that one repeated id cannot fill a range),
     then encoded and packed inside each range. ``first`` is the image's first id within its shard.
     """
     bits = max(1, int(max(encoder(tokenizer_path)[1] - 1, end_id)).bit_length())
@@ -139,8 +156,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, image_id
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([n], pa.int64()), "content": pa.array([to_image(names, sizes, np.frombuffer(b"".join(held), "<u4"), bits)], pa.binary())})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                data = encode(text.as_py() or "") + end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                data = encode(text.as_py() or b"") + end
                 names.append(doc_id)
                 sizes.append(len(data) // 4)
                 held.append(data)
@@ -152,8 +169,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, image_id
             yield image()
 
     small_batches(docs.sparkSession, 500)
-    ranged = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")).repartitionByRange(F.asc_nulls_first("doc_id"), "_row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_row")
-    return staged(ranged.drop("_row").mapInArrow(run, IMAGE), "token-shards", compression="uncompressed")
+    by = [F.asc_nulls_first(c) for c in order]
+    ranged = docs.select(*{"doc_id": 0, "text": 0} | dict.fromkeys(order), F.monotonically_increasing_id().alias("_row")).repartitionByRange(*by, "_row").sortWithinPartitions(*by, "_row")
+    return staged(ranged.select("doc_id", "text").mapInArrow(run, IMAGE), "token-shards", compression="uncompressed")
 
 
 def read_shards(images: DataFrame) -> DataFrame:
