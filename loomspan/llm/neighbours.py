@@ -102,7 +102,7 @@ def usable(rows: DataFrame) -> DataFrame:
     return fine
 
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97, sample_rows: int = 20_000, leaf_rows: int = 200, probes: int = 64, block: int = 2048) -> DataFrame:
+def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, sample_rows: int = 20_000, leaves: int | None = None, probes: int = 64, block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score, visits): for each row whose vec_id is a multiple of ``every``, the k nearest found."""
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double, visits int"
@@ -112,7 +112,9 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97,
         return spark.createDataFrame([], schema)
     fine = fine.where(F.size("v") == size.d)
     sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
-    wanted = max(1, min(len(sample) // 8, -(-size.n // leaf_rows)))
+    # leaves grow with the cube root of the rows: where neighbours are spread over most leaves, as in noise of many
+    # dimensions, each query meets most leaves, and the pairs of query and leaf must not grow with the square of the rows
+    wanted = max(1, min(len(sample) // 8, leaves or min(4096, round(4 * size.n ** (1 / 3)))))
     tree = Tree(_matrix(sample["v"]), max(1, len(sample) // wanted))
     held = spark.sparkContext.broadcast(tree)
 
