@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_FILE = Window.partitionBy("file").orderBy("line")
+
+def by_file():
+    """Rows of a file in their order; made anew each time, as windows need a running session."""
+    return Window.partitionBy("file").orderBy("line")
 
 
 def carried(rows: DataFrame, column: str, out: str, first: str = "???") -> DataFrame:
     """WIN-01: the last value of ``column`` up to here; ``first`` before any."""
-    return rows.withColumn(out, F.coalesce(F.last(column, ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0)), F.lit(first)))
+    return rows.withColumn(out, F.coalesce(F.last(column, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, 0)), F.lit(first)))
 
 
 def sessions(rows: DataFrame, header: str) -> DataFrame:
     """WIN-08, SRC-18: each line with the text that the regular expression ``header`` (group 1) found last, if any."""
     found = F.nullif(F.regexp_extract("text", header, 1), F.lit(""))
-    return rows.withColumn("session", F.last(found, ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("session", F.last(found, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def anchored_codes(rows: DataFrame, code: str = r"^([A-Z]\d{3}) \(") -> DataFrame:
@@ -32,16 +35,16 @@ def any_codes(rows: DataFrame, code: str = r"\b(E\d{3})\b") -> DataFrame:
 def segments(rows: DataFrame) -> DataFrame:
     """WIN-03: utterances from lines (file, line, speaker, text): a new one where the speaker differs from the current one,
     or the line before held a terminator (``.``, ``?`` or ``--``)."""
-    prev = F.lag(F.struct("speaker", "text")).over(BY_FILE)
+    prev = F.lag(F.struct("speaker", "text")).over(by_file())
     ended = F.regexp_like(F.col("p.text"), F.lit(r"[.?]|--"))
     new = F.coalesce((F.col("p.speaker") != F.col("speaker")) | ended, F.lit(True))
-    numbered = rows.withColumn("p", prev).withColumn("utterance", F.sum(new.cast("int")).over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = rows.withColumn("p", prev).withColumn("utterance", F.sum(new.cast("int")).over(by_file().rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("file", "utterance").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.min_by("speaker", "line").alias("speaker"), F.count("*").alias("lines"))
 
 
 def backwards_inside(rows: DataFrame, slack: float = 0.05) -> DataFrame:
     """WIN-04: a start earlier than the line before by more than ``slack``, both over 0, counted anew at a speaker's line."""
-    island = F.sum(F.col("named").cast("int")).over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum(F.col("named").cast("int")).over(by_file().rowsBetween(Window.unboundedPreceding, 0))
     w = Window.partitionBy("file", "island").orderBy("line")
     r = rows.withColumn("island", island).withColumn("prev", F.lag("start").over(w))
     return r.where((~F.col("named")) & (F.col("start") > 0) & (F.col("prev") > 0) & (F.col("start") < F.col("prev") - slack))
@@ -51,7 +54,7 @@ def sliced(rows: DataFrame, first: int, last: int, context: int = 0) -> DataFram
     """FLT-06: utterances first to last (from 1) with ``context`` around, clipped to the file, with their dependent lines.
 
     ``kind`` is main, dependent or header; a dependent line belongs to the main line before it."""
-    n = F.sum((F.col("kind") == "main").cast("int")).over(BY_FILE.rowsBetween(Window.unboundedPreceding, 0))
+    n = F.sum((F.col("kind") == "main").cast("int")).over(by_file().rowsBetween(Window.unboundedPreceding, 0))
     total = F.count_if(F.col("kind") == "main").over(Window.partitionBy("file"))
     r = rows.withColumns({"utt": n, "total": total})
     return r.where((F.col("kind") != "header") & F.col("utt").between(F.greatest(F.lit(first - context), F.lit(1)), F.least(F.lit(last + context), F.col("total")))).drop("total")
@@ -69,7 +72,7 @@ def speaker_ids(rows: DataFrame) -> DataFrame:
 
 def chunks(rows: DataFrame, size: int) -> DataFrame:
     """STR-04: consecutive rows of a file in chunks of at most ``size``."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(BY_FILE) - 1) / size))
+    return rows.withColumn("chunk", F.floor((F.row_number().over(by_file()) - 1) / size))
 
 
 def crossing(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_FILE = Window.partitionBy("file").orderBy("idx")
+
+def by_file():
+    """Rows of a file in their order; made anew each time, as windows need a running session."""
+    return Window.partitionBy("file").orderBy("idx")
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -22,7 +25,7 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 def adjacent(rows: DataFrame) -> DataFrame:
     """WIN-02, JON-11: each utterance with the next one of its file, without a join."""
-    n = F.lead(F.struct("speaker", "start_ms", "end_ms")).over(BY_FILE)
+    n = F.lead(F.struct("speaker", "start_ms", "end_ms")).over(by_file())
     return rows.withColumn("n", n).withColumns({"next_speaker": F.col("n.speaker"), "next_start": F.col("n.start_ms"), "next_end": F.col("n.end_ms")}).drop("n")
 
 
@@ -50,7 +53,7 @@ def audit(rows: DataFrame) -> DataFrame:
     Rows carry the four booleans of :func:`marked`. SCF-21: the bottom starts from 2 s before the top's start (0 at least)
     to 2 s after its end.
     """
-    w = BY_FILE
+    w = by_file()
     pair = F.col("top_begin") & F.lead("bottom_begin").over(w) & (F.col("speaker") != F.lead("speaker").over(w))
     ns, ne = F.lead("start_ms").over(w), F.lead("end_ms").over(w)
     p = rows.withColumns({"pair": F.coalesce(pair, F.lit(False)), "ns": ns, "ne": ne})
@@ -125,13 +128,13 @@ def buckets(pairs: DataFrame, *by: str) -> DataFrame:
 def predecessor(rows: DataFrame) -> DataFrame:
     """JON-13, WIN-10: the window of the last earlier utterance that has a start."""
     held = F.when(F.col("start_ms").isNotNull(), F.struct("start_ms", "end_ms"))
-    p = F.last(held, ignorenulls=True).over(BY_FILE.rowsBetween(Window.unboundedPreceding, -1))
+    p = F.last(held, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("p", p).withColumns({"prev_start": F.col("p.start_ms"), "prev_end": F.col("p.end_ms")}).drop("p")
 
 
 def zipped(a: DataFrame, b: DataFrame) -> DataFrame:
     """JON-10: rows of a and b (file, idx, start_ms) paired by their rank within the file."""
-    ranked = lambda d, n: d.select("file", F.row_number().over(BY_FILE).alias("nth"), F.col("start_ms").alias(n))
+    ranked = lambda d, n: d.select("file", F.row_number().over(by_file()).alias("nth"), F.col("start_ms").alias(n))
     return ranked(a, "a_start").join(ranked(b, "b_start"), ["file", "nth"])
 
 
@@ -143,13 +146,13 @@ def backwards(rows: DataFrame, *by: str, slack: int = 0) -> DataFrame:
 
 def chained(words: DataFrame, floor_ms: int = 500) -> DataFrame:
     """WIN-15: a word ends where the next starts; the last at the utterance's end, or after ``floor_ms``."""
-    nxt = F.lead("start_ms").over(BY_FILE)
+    nxt = F.lead("start_ms").over(by_file())
     return words.withColumn("word_end", F.coalesce(nxt, F.col("end_ms"), F.col("start_ms") + floor_ms))
 
 
 def estimated(rows: DataFrame, weight: str, total: str) -> DataFrame:
     """WIN-14, first part: untimed utterances get a share of the file's length by their weight, widened by 2 s a side."""
-    w = BY_FILE.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_file().rowsBetween(Window.unboundedPreceding, 0)
     all_ = F.sum(weight).over(Window.partitionBy("file"))
     upto = F.sum(weight).over(w)
     lo = F.greatest(F.floor((upto - F.col(weight)) / all_ * F.col(total)) - 2000, F.lit(0))

@@ -147,7 +147,7 @@ list_sort(list(a))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1] AS p90, list_sort(
 
 def _onset(spark, sf):
     e = tables.timed(spark, sf)
-    nxt = F.lead("start_ms").over(timing.BY_FILE)
+    nxt = F.lead("start_ms").over(timing.by_file())
     return e.withColumn("error", nxt - timing.onset_estimate(F.col("start_ms"), F.col("end_ms"), F.lit(0.25)))
 
 
