@@ -54,18 +54,15 @@ def align(rows: DataFrame) -> DataFrame:
 
 
 def word_errors(reference: Column, found: Column) -> Column:
-    """AGG-28: edit distance (S + D + I) of two arrays of words, in JVM expressions: one row of the table at a time."""
-    first = F.transform(F.concat(F.array(F.lit("")), found), lambda _, i: i.cast("int"))
+    """AGG-28: edit distance (S + D + I) of two arrays of words, whole: each distinct word of the pair is spelled as one
+    character of its own (surrogates left out), and Spark's levenshtein compares the spellings. Null words count as none."""
+    known = F.array_distinct(F.concat(reference, found))
 
-    def row(prev, word):
-        def cell(acc, j):
-            diagonal = F.get(prev, j - 1) + F.when(F.get(found, j - 1) == word, 0).otherwise(1)
-            return F.concat(acc, F.array(F.least(diagonal, F.get(prev, j) + 1, F.element_at(acc, -1) + 1).cast("int")))
+    def spelled(words):
+        code = lambda w: F.array_position(known, w) + F.when(F.array_position(known, w) < 0xD700, 0x100).otherwise(0x900)
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 8, "0")), "UTF-32")), "")
 
-        places = F.filter(F.sequence(F.lit(0), F.size(found)), lambda j: j > 0)
-        return F.aggregate(places, F.array((F.get(prev, F.lit(0)) + 1).cast("int")), cell)
-
-    return F.element_at(F.aggregate(reference, first, row), -1)
+    return F.levenshtein(spelled(reference), spelled(found))
 
 
 def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:

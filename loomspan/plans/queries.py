@@ -487,7 +487,7 @@ def _(spark, sf):
 # --- alignment
 
 
-@query("agg28_word_errors", f"""WITH {U_SQL}, w AS (SELECT file, idx, text, lag(text) OVER (PARTITION BY file ORDER BY idx) AS before FROM u) SELECT file, idx FROM w WHERE before IS NOT NULL""")
+@query("agg28_word_errors")
 def _(spark, sf):
     u = tables.utterances(spark, sf).withColumn("before", F.lag("text").over(Window.partitionBy("file").orderBy("idx"))).where("before is not null")
-    return u.select("file", "idx", align.word_errors(F.slice(lexical.words(F.col("text")), 1, 30), F.slice(lexical.words(F.col("before")), 1, 30)).alias("errors")).where("errors >= 0").drop("errors")
+    return u.select("file", "idx", align.word_errors(lexical.words(F.col("text")), lexical.words(F.col("before"))).cast("long").alias("errors"))

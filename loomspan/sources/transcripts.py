@@ -32,7 +32,7 @@ def layouts(lines: DataFrame) -> DataFrame:
     only tab, A is the rest."""
     first = lines.groupBy("file").agg(F.min_by("raw", "line").alias("raw"))
     b = F.col("raw").rlike(r"^\s*\d+(\.\d+)?\t\s*\d+(\.\d+)?\t")
-    c = F.col("raw").rlike(r"^\s*\d+(\.\d+)?\s+\d+(\.\d+)?\s+[^\t\d][^\t]*\t")
+    c = F.col("raw").rlike(r"^ *\d+(\.\d+)? +\d+(\.\d+)? +[^\t\d][^\t]*\t")
     return first.select("file", F.when(b, "B").when(c, "C").otherwise("A").alias("layout"))
 
 
