@@ -9,10 +9,12 @@ Jaccard similarity. Only darts up to a rank that fills all coordinates are throw
 
 Texts with equal word sequences are one *text* from then on (128-bit hash). The signature's bands file the texts in
 buckets. In a bucket every text is compared with the bucket's centre, the text that shares its buckets with most others,
-and with the one before it; buckets of up to ``small`` texts compare all pairs. So candidates grow with the texts and not
-with the square of a bucket, and in a group of near copies the text they were made from is what they meet. Signatures
-settle candidates far from the threshold; those near it are settled on the exact shingle weights. Links are joined to
-classes by star contraction.
+and with the one before it; buckets of up to ``small`` texts compare all pairs. In a group of near copies the text they
+were made from is what they meet, so most links are found by candidates that grow with the texts and not with the square
+of a bucket. Signatures settle candidates far from the threshold; those near it are settled on the exact shingle weights.
+Links are joined to classes by star contraction. Then the rest of every larger bucket is compared too, in blocks: each text
+with all texts of the bucket that are of another class. Pairs of one class need no further link, and of the others only
+those whose signatures come near the threshold leave the task. What they link merges the classes.
 
 Result: one row for each row of the input: doc_id, class_id (smallest doc_id of the class), n_class (rows in it),
 is_kept (one row of each class). Null, empty and wordless texts are classes of their own each; a null doc_id counts as
@@ -139,8 +141,8 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, tid binary, bands array<long>, brief binary")
 
 
-def candidates(texts: DataFrame, small: int = 8) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``texts`` (tid, bands) that are to be compared."""
+def candidates(texts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of ``texts`` (tid, bands) that are compared first; texts of larger buckets (bucket, tid)."""
     filed = texts.select("tid", F.explode("bands").alias("bucket"))
     counted = filed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = staged(filed.join(counted, "bucket"), "buckets")
@@ -154,7 +156,53 @@ def candidates(texts: DataFrame, small: int = 8) -> DataFrame:
     few = held.where(F.col("n").between(3, small)).groupBy("bucket").agg(F.sort_array(F.collect_list("tid")).alias("tids"))
     inner = few.select(F.explode(F.flatten(F.transform("tids", lambda x, i: F.transform(F.expr("slice(tids, 1, 1000)"), lambda y: F.struct(x.alias("tid"), y.alias("other")))))).alias("p")).select("p.*")
     pairs = star.unionByName(chain).unionByName(inner).where(F.col("tid") != F.col("other"))
-    return pairs.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct()
+    return pairs.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct(), held.where(F.col("n") > small).select("bucket", "tid")
+
+
+def _members(column) -> list[np.ndarray]:
+    """The members of each row's block: 16 bytes of tid, 16 of root, the brief; none for a null."""
+    data = np.frombuffer(b"".join(column.flatten().to_pylist()), np.uint8).reshape(-1, 32 + COORDINATES)
+    return np.split(data, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1])
+
+
+def across(large: DataFrame, roots: DataFrame, brief: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """Pairs (a, b, estimate) of one bucket of ``large`` (bucket, tid) but of two classes whose estimate is ``least`` or more.
+
+    roots: (tid, root), for a class's smallest tid no row; brief: (tid, brief). A task holds two blocks of a bucket.
+    """
+
+    def run(batches):
+        for batch in batches:
+            a, b, estimate = [], [], []
+            for x, y in zip(_members(batch.column("x")), _members(batch.column("y")), strict=True):
+                own = not len(y)
+                y = x if own else y
+                _, root = np.unique(np.ascontiguousarray(np.concatenate((x, y))[:, 16:32]).view(np.uint64), axis=0, return_inverse=True)
+                rx, ry = root.ravel()[: len(x)], root.ravel()[len(x) :]
+                bx, by = np.ascontiguousarray(x[:, 32:]), np.ascontiguousarray(y[:, 32:])
+                for i in range(len(x)):
+                    other = np.flatnonzero(ry != rx[i])
+                    other = other[other > i] if own else other
+                    same = (by[other] == bx[i]).mean(axis=1)
+                    t = x[i, :16].tobytes()
+                    for j, e in zip(other[same >= least].tolist(), same[same >= least].tolist(), strict=True):
+                        u = y[j, :16].tobytes()
+                        a.append(min(t, u))
+                        b.append(max(t, u))
+                        estimate.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(estimate, pa.float64())], ["a", "b", "estimate"])
+
+    classed = large.join(roots, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
+    several = classed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    filed = classed.join(several.select("bucket", F.ceil(F.col("n") / block).alias("blocks")), "bucket").join(brief, "tid")
+    filed = filed.withColumn("part", F.pmod(F.xxhash64("tid"), "blocks"))
+    held = filed.groupBy("bucket", "blocks", "part").agg(F.collect_list(F.concat("tid", "root", "brief")).alias("x"))
+    held = staged(held, "blocks")
+    pair = held.where("part + 1 < blocks").withColumn("other", F.explode(F.sequence(F.col("part") + 1, F.col("blocks") - 1)))
+    pair = pair.join(held.select("bucket", F.col("part").alias("other"), F.col("x").alias("y")), ["bucket", "other"]).select("x", "y")
+    both = held.select("x", F.lit(None).cast("array<binary>").alias("y")).unionByName(pair)
+    found = both.mapInArrow(run, "a binary, b binary, estimate double")
+    return found.groupBy("a", "b").agg(F.first("estimate").alias("estimate"))
 
 
 def _agreeing(batches):
@@ -216,24 +264,33 @@ def classes(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, sure: float = 0.12) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, sure: float = 0.12, small: int = 8) -> DataFrame:
     """See the module. ``sure``: estimates farther than this from the threshold (four standard errors) are final."""
     rows = staged(sketch(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
-    small = F.lit(-(2**63))
-    texts = rows.where("tid is not null").groupBy("tid").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.min(F.coalesce("doc_id", small)).alias("doc_id"))
+    null_id = F.lit(-(2**63))
+    texts = rows.where("tid is not null").groupBy("tid").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.min(F.coalesce("doc_id", null_id)).alias("doc_id"))
     texts = staged(texts, "texts")
-    pairs = candidates(texts.select("tid", "bands"))
+    pairs, large = candidates(texts.select("tid", "bands"), small)
     brief = texts.select("tid", "brief")
     judged = pairs.join(brief.select(F.col("tid").alias("a"), F.col("brief").alias("x")), "a").join(brief.select(F.col("tid").alias("b"), F.col("brief").alias("y")), "b")
     judged = staged(judged.select("a", "b", "x", "y").mapInArrow(_agreeing, "a binary, b binary, estimate double"), "estimates")
-    doubtful = judged.where(F.abs(F.col("estimate") - threshold) <= sure)
-    exact = _exact(docs, doubtful, texts.select("tid", "doc_id")).where(F.col("similarity") >= threshold)
-    links = judged.where(F.col("estimate") > threshold + sure).select("a", "b").unionByName(exact.select("a", "b"))
-    roots = classes(staged(links, "links"))
-    one = rows.select("doc_id", "text_hash", "tid", "_row").join(roots, "tid", "left").select("doc_id", "text_hash", "_row", F.coalesce("root", "tid").alias("root"))
+
+    def linked(judged):
+        doubtful = judged.where(F.abs(F.col("estimate") - threshold) <= sure)
+        exact = _exact(docs, doubtful, texts.select("tid", "doc_id")).where(F.col("similarity") >= threshold)
+        return staged(judged.where(F.col("estimate") > threshold + sure).select("a", "b").unionByName(exact.select("a", "b")), "links")
+
+    roots = classes(linked(judged))
+    more = staged(across(large, roots, brief, threshold - sure), "across")
+    one = rows.select("doc_id", "text_hash", "tid", "_row").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    if not more.isEmpty():
+        ends = linked(more).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+        merged = classes(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        one = one.join(merged.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root"))
+    one = one.select("doc_id", "text_hash", "_row", "root")
     own = one.where("root is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), F.lit(True).alias("is_kept"))
     # of several rows with the class's smallest doc_id one is kept
-    sizes = one.where("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", small).alias("doc_id"), "_row")).alias("lead"), F.count("*").alias("n_class"), F.min("doc_id").alias("class_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    sizes = one.where("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", null_id).alias("doc_id"), "_row")).alias("lead"), F.count("*").alias("n_class"), F.min("doc_id").alias("class_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
     joined = one.where("root is not null").join(sizes, "root")
     return joined.select("doc_id", "text_hash", F.when(F.col("nulls") == 0, F.col("class_id")).alias("class_id"), "n_class", (F.col("_row") == F.col("lead._row")).alias("is_kept")).unionByName(own)
 

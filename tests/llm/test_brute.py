@@ -77,6 +77,32 @@ def test_signature_estimates_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - similarity(counts(" ".join(a)), counts(" ".join(b)))) < 0.03
 
 
+def test_larger_buckets_are_compared_whole(spark):
+    from loomspan.llm.neardup import COORDINATES, across
+
+    rng = np.random.default_rng(2)
+    brief = rng.integers(0, 256, (300, COORDINATES), np.uint8)
+    for i in range(1, 300):
+        if i % 3:
+            brief[i] = brief[i - i % 3]
+            brief[i, : int(rng.integers(0, 90))] ^= 1
+    tid = [bytes([i // 256, i % 256]) + b"\0" * 14 for i in range(300)]
+    bucket = [int(i >= 12) for i in range(300)]
+    root = {tid[i]: tid[i - 1] for i in range(1, 300) if i % 3 == 1}
+    root |= {tid[i]: tid[3] for i in range(60, 120)}
+    got = across(
+        spark.createDataFrame(list(zip(bucket, tid, strict=True)), "bucket long, tid binary"),
+        spark.createDataFrame(list(root.items()), "tid binary, root binary"),
+        spark.createDataFrame([(t, b.tobytes()) for t, b in zip(tid, brief, strict=True)], "tid binary, brief binary"),
+        0.68,
+        block=40,
+    ).collect()
+    same = (brief[:, None] == brief[None]).mean(axis=2)
+    of = [root.get(t, t) for t in tid]
+    want = {(tid[i], tid[j]) for i in range(300) for j in range(i + 1, 300) if same[i, j] >= 0.68 and bucket[i] == bucket[j] and of[i] != of[j]}
+    assert len(want) > 50 and {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want)
+
+
 def test_neighbours(spark):
     from loomspan.llm.neighbours import search
 
