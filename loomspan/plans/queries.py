@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.operators import align, annotations, brackets, lexical, lines, metadata, sets, timing
+from loomspan.operators import align, annotations, brackets, chat, lexical, lines, metadata, sets, timing
 from loomspan.plans.registry import query
 from loomspan.sources import tables, transcripts
 from loomspan.sources.tables import LINES_SQL, TIMED_SQL
@@ -491,3 +491,45 @@ def _(spark, sf):
 def _(spark, sf):
     u = tables.utterances(spark, sf).withColumn("before", F.lag("text").over(Window.partitionBy("file").orderBy("idx"))).where("before is not null")
     return u.select("file", "idx", align.word_errors(lexical.words(F.col("text")), lexical.words(F.col("before"))).cast("long").alias("errors"))
+
+
+# --- transcripts
+
+
+@query("exp15_text_coverage", f"WITH {TIMED_SQL} SELECT file, count(*) AS total, count_if(start_ms IS NOT NULL) AS timed FROM e GROUP BY ALL")
+def _(spark, sf):
+    t = tables.timed(spark, sf)
+    bullet = F.coalesce(F.concat(F.lit(" \x15"), "start_ms", F.lit("_"), "end_ms", F.lit("\x15")), F.lit(""))
+    return chat.text_coverage(t.select("file", F.concat(F.lit("*"), "speaker", F.lit(":\t"), "id", bullet).alias("text")))
+
+
+@query("cln10_gems", f"""WITH {U_SQL}, g AS (SELECT *, len({WORDS_SQL}) AS n, sum(CASE WHEN speaker = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY idx ROWS UNBOUNDED PRECEDING) AS gem FROM u)
+  SELECT file, CAST(gem AS BIGINT) AS gem, count(*) AS utterances, CAST(coalesce(sum(n), 0) AS BIGINT) AS words FROM g WHERE gem > 0 GROUP BY ALL""")
+def _(spark, sf):
+    g = chat.gems(tables.utterances(spark, sf), F.col("speaker") == "user")
+    return g.groupBy("file", "gem").agg(F.count("*").alias("utterances"), F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.size(lexical.words(F.col("text"))))), F.lit(0)).cast("long").alias("words"))
+
+
+@query("agg25_balance", r"""SELECT doc_id, coalesce(CAST(sum(len(regexp_extract_all(text, '\('))) AS BIGINT), 0) AS opened, coalesce(CAST(sum(len(regexp_extract_all(text, '\)'))) AS BIGINT), 0) AS closed,
+  greatest(opened - closed, 0) AS surplus FROM documents GROUP BY doc_id""")
+def _(spark, sf):
+    return chat.balance(tables.read(spark, sf, "documents"), r"\(", r"\)", "doc_id")
+
+
+@query("exp05_odd_labels", f"""WITH {U_SQL}, {T_SQL}, w AS (SELECT DISTINCT word, CASE WHEN regexp_matches(word, '[0-9]') THEN 'digit' WHEN strlen(word) > 12 THEN 'long' END AS problem FROM t) SELECT * FROM w WHERE problem IS NOT NULL""")
+def _(spark, sf):
+    w = lexical.tokens(tables.utterances(spark, sf), "speaker").select("word").distinct()
+    return w.withColumn("problem", chat.odd_label(F.col("word"), 12)).where("problem is not null")
+
+
+@query("exp09_mapped_paths", """WITH p AS (SELECT page_id, string_split(url, '/') AS parts FROM pages), k AS (SELECT *, CASE WHEN list_contains(parts, 'es') THEN 'es' WHEN list_contains(parts, 'en') THEN 'en' END AS mapped FROM p)
+  SELECT page_id, mapped, CASE WHEN mapped IS NOT NULL THEN array_to_string(parts[list_position(parts, mapped) + 1 :], '/') END AS rest FROM k""")
+def _(spark, sf):
+    key, rest = chat.mapped(F.col("url"), ["es", "en"])
+    return tables.read(spark, sf, "pages").select("page_id", key.alias("mapped"), rest.alias("rest"))
+
+
+@query("cln20_delim_repeat", f"""WITH {U_SQL} SELECT file, idx, CASE WHEN regexp_matches(rtrim(text, ' '), '[.?!]$') THEN rtrim(text, ' ') ELSE rtrim(text, ' ') || ' .' END AS text,
+  coalesce(lower(text) = lower(lag(text) OVER (PARTITION BY file, speaker ORDER BY idx)), false) AS repeated FROM u""")
+def _(spark, sf):
+    return chat.repeats(tables.utterances(spark, sf)).select("file", "idx", chat.delimited(F.col("text")).alias("text"), "repeated")
