@@ -63,6 +63,9 @@ def test_near_duplicates(spark):
     first = {d: min(members, key=lambda x: -1 if x is None else x) for members in want.values() for d in members}
     assert {r.doc_id: (r.class_id, r.n_class) for r in got} == {d: (first[d], size[d]) for d, _ in rows}
     assert sum(r.is_kept for r in got) == len(want)
+    # the same where all buckets of three and more are larger ones
+    again = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=2).collect()
+    assert {r.doc_id: (r.class_id, r.n_class) for r in again} == {d: (first[d], size[d]) for d, _ in rows}
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
