@@ -1,8 +1,9 @@
 """Operator 8 [native]: url filtering with rules indexed by their rarest literal token.
 
 A rule is a host rule (``example.net/en/``: the host and all its subdomains, paths that start so) or a pattern (a regular
-expression with the literal tokens that any url it fits must hold). Rules are filed under the one of their tokens that
-is rarest among the urls. A url's tokens fetch the rules filed there, and only those are tried. The longest host rule
+expression with the literal tokens that any url it fits must hold as whole tokens). Rules are filed under the one of their
+tokens that is rarest among the urls. A url's tokens fetch the rules filed there, and only those are tried. Patterns that
+may fit inside longer tokens have no such token; they are tried on every url, before its tokens are dealt. The longest host rule
 that fits decides; if none does, the first pattern in the order of its name; else the url is allowed.
 
 Spark broadcasts the index only while it is below its own size limit and joins by token otherwise. After the trial each
@@ -23,8 +24,8 @@ from loomspan.llm.common import table
 
 #: The rules of the query, (verdict, rule).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: Default patterns: (name, literal tokens, regular expression of the part that any Java or RE2 engine reads alike).
-PATTERNS = [("casino", ["casino"], "(?i)[/.-]casino[/.-]"), ("cheap-pills", ["cheap", "pills"], "(?i)cheap-pills"), ("spam-farm", ["spam", "farm"], "(?i)spam-farm")]
+#: Default patterns: (name, whole literal tokens or none, regular expression of the part that any Java or RE2 engine reads alike).
+PATTERNS = [("casino", ["casino"], "(?i)[/.-]casino[/.-]"), ("cheap-pills", [], "(?i)cheap-pills"), ("spam-farm", [], "(?i)spam-farm")]
 
 RULE_SCHEMA = "rule string, verdict string, host string, path string, pattern string, tokens array<string>"
 
@@ -50,8 +51,8 @@ def rule_rows(spark: SparkSession, rules=RULES, patterns=PATTERNS) -> DataFrame:
         whole = re.sub(r"[^\W_]+$", "", p)
         rows.append((rule, verdict, h.lower(), f"/{p}", None, [t for t in re.split(r"[\W_]+", f"{h}/{whole}".lower()) if t]))
     rows += [(name, "block", None, None, pattern, [t.lower() for t in literal]) for name, literal, pattern in patterns]
-    if any(not r[-1] for r in rows):
-        raise ValueError("a rule needs a literal token")
+    if any(not r[-1] and r[4] is None for r in rows):
+        raise ValueError("a host rule needs a literal token")
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
@@ -66,6 +67,9 @@ def index(rules: DataFrame, urls: DataFrame) -> DataFrame:
 def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each of ``urls`` (key, url): key, host, path, rule, pattern, verdict."""
     rows = urls.select("key", "url", F.monotonically_increasing_id().alias("_row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    fits = F.filter("_loose", lambda r: F.call_function("regexp_like", F.col("url"), r.pattern))
+    loose = rules.where(F.size("tokens") == 0).agg(F.collect_list(F.struct("rule", "verdict", "pattern")).alias("_loose"))
+    rows = rows.crossJoin(F.broadcast(loose)).withColumn("_loose", F.array_min(F.transform(fits, lambda r: F.struct(r.rule.alias("rule"), r.verdict.alias("verdict")))))
     tried = rows.withColumn("token", F.explode_outer(tokens(F.col("url")))).join(index(rules, urls), "token", "left")
     fits_host = F.col("pattern").isNull() & ((F.col("host") == F.col("r_host")) | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("r_host")))) & F.startswith(F.col("path"), F.col("r_path"))
     fits_pattern = F.when(F.col("pattern").isNotNull(), F.expr("regexp_like(url, pattern)"))
@@ -75,7 +79,7 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.first("host").alias("host"),
         F.first("path").alias("path"),
         F.max(F.when(fits_host, F.struct(size.alias("size"), "verdict", "rule"))).alias("best"),
-        F.min(F.when(fits_pattern, F.struct("rule", "verdict"))).alias("other"),
+        F.least(F.min(F.when(fits_pattern, F.struct("rule", "verdict"))), F.first("_loose")).alias("other"),
     )
     return found.select("key", "host", "path", F.col("best.rule").alias("rule"), F.col("other.rule").alias("pattern"), F.coalesce("best.verdict", "other.verdict", F.lit("allow")).alias("verdict"))
 

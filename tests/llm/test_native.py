@@ -67,6 +67,18 @@ def test_rules(spark):
     assert (got[0].host, got[0].path, got[7].host, got[8].path) == ("a.net", "/x", "", "")
 
 
+def test_patterns_inside_tokens(spark):
+    from loomspan.llm.urls import judge, rule_rows
+
+    hits = ["https://x.org/supercheap-pills", "https://x.org/cheap-pillsy", "https://x.org/myspam-farm", "https://x.org/spam-farms", "https://x.org/CHEAP-pills/casino/"]
+    names = ["cheap-pills", "cheap-pills", "spam-farm", "spam-farm", "casino"]
+    for common in ("cheap", "pills", "spam", "farm"):
+        urls = hits + ["https://x.org/cheap/pills", None] + [f"https://x.org/{common}"] * 3
+        got = {r.key: r for r in judge(spark.createDataFrame(list(enumerate(urls)), "key long, url string"), rule_rows(spark)).collect()}
+        assert [got[i].pattern for i in range(len(urls))] == names + [None] * 5
+        assert [got[i].verdict for i in range(len(urls))] == ["block"] * 5 + ["allow"] * 5
+
+
 def test_decontamination(spark):
     from loomspan.llm.decontaminate import contamination
 
