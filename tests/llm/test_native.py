@@ -57,6 +57,36 @@ def test_pseudonyms(spark):
     assert pseudonymise(frame.where("false"), "k").count() == 0
 
 
+def test_pseudonyms_in_runs_and_other_forms(spark):
+    import random
+
+    from loomspan.llm.pii import pseudonymise
+
+    card, other = "4785380592391139", "4111111111111111"
+    spaced = "4111 1111 1111 1111"
+    phones = ["743-555-3824", "(743) 555-3824", "+44 20 7946 0958", "1-743-555-3824", "743.555.3824", "743 555 3824", "+17435553824"]
+    days = ["03/14/1999", "14/03/1999", "31/12/2098", "14.03.1999", "2021/02/28", "2021-02-28T10:11:12Z", "2021-02-28 23:59", "03-14-1999", "14-03-1999"]
+    clear = ["123-45-6789", *phones, *days]
+    runs = [f"pay {card} 123 now", f"{card} 12 times", f"12 {card} ok", f"{card}-{other}", f"123 {spaced}", f"{spaced} 1234 {spaced}", f"{card} 2021-02-28", f"{card} 743-555-3824", f"{card} 12.a@b.de"]
+    texts = [f"x {v} y" for v in clear] + runs + ["000-12-3456 31/31/1999 123-456-7890 14.13.1999 2021-02-28T25:00:00"] + ["1" * 40]
+    dice = random.Random(1)
+    texts += [" ".join("".join(dice.choices("0123456789", k=dice.choice([1, 2, 4, 4, 4, 6, 13, 16]))) for _ in range(dice.randint(4, 14))) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pseudonymise(frame, "k").cache()
+    got = {r.doc_id: r for r in out.collect()}
+    assert [r.text for r in sorted(pseudonymise(out.drop("n_values"), "k", back=True).collect(), key=lambda r: r.doc_id)] == texts
+    for i, v in enumerate(clear):
+        assert v not in got[i].text and got[i].n_values == 1 and len(got[i].text) == len(texts[i]), v
+    new = got[len(clear)].text[4:20]
+    for i, text in enumerate(runs, len(clear)):
+        assert card not in got[i].text and other not in got[i].text and spaced not in got[i].text, text
+        assert card not in text or new in got[i].text
+    assert [got[len(clear) + i].n_values for i in (0, 3, 5, 6, 7, 8)] == [1, 2, 2, 2, 2, 2]
+    assert "2021-02-28" not in got[len(clear) + 6].text and "743-555" not in got[len(clear) + 7].text and ".a@" not in got[len(clear) + 8].text
+    invalid = got[len(clear) + len(runs)].text
+    assert invalid.startswith("000-12-3456 31/31/1999 123-456-7890 14.13.1999 ") and invalid.endswith("T25:00:00")
+
+
 def test_rules(spark):
     from loomspan.llm.urls import judge, rule_rows
 
