@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders staged by this process, for :func:`release`.
@@ -44,10 +45,29 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of texts holds; the default of 10,000 rows is meant for narrow rows."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 1000):
+    """The batches in slices of at most ``rows`` rows. Spark bounds a batch by bytes; this bounds what a task makes of it at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def runs_of(batches, *keys: str):
+    """The consecutive rows of equal ``keys`` (numbers), one table a run, across batches."""
+    held, now = [], None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if batch.num_rows else []
+        for a, b in zip([0, *new], [*new, batch.num_rows], strict=True):
+            key = tuple(c[a] for c in columns) if b > a else now
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 # --- words -----------------------------------------------------------------------------------------------------------

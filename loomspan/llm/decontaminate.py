@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ALNUM, chunk_words, chunks, small_batches, staged, table, words
+from loomspan.llm.common import ALNUM, chunk_words, chunks, slices, staged, table, words
 
 SEGMENT = "segment long, doc_ids binary, known binary, doc_starts binary, terms binary, list_starts binary, postings binary"
 MATCHES = "segment long, ordinal int, doc_id long, n_words long, spans array<int>, item_ids array<string>, near_ids array<string>"
@@ -56,7 +56,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_bytes:
         from pyspark import TaskContext
 
         keep, n = wanted.value, TaskContext.get().partitionId() << 32
-        rows = ((d, t or b"") for batch in batches for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True))
+        rows = ((d, t or b"") for batch in slices(batches) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True))
         for part in chunks(rows, segment_bytes):
             h, _, _, first, _ = chunk_words([t for _, t in part], ALNUM)
             # a free position after each document keeps phrases from running over its end
@@ -85,7 +85,6 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, segment_bytes:
             )
             n += 1
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SEGMENT)
 
 
@@ -144,7 +143,7 @@ def search(index: DataFrame, block: list, slop: int = 0) -> DataFrame:
 
     def run(batches):
         windows, owners = [w for w, _ in held.value], [o for _, o in held.value]
-        for batch in batches:
+        for batch in slices(batches, 1):
             for row in batch.to_pylist():
                 docs, known = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["known"], np.uint8)
                 base = np.frombuffer(row["doc_starts"], np.int64)
@@ -178,7 +177,6 @@ def search(index: DataFrame, block: list, slop: int = 0) -> DataFrame:
                     }
                 )
 
-    small_batches(index.sparkSession)
     return index.mapInArrow(run, MATCHES)
 
 

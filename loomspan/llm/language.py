@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import chunks, small_batches, table
+from loomspan.llm.common import chunks, slices, table
 
 #: Letters get numbers 2 to 62 by their code below 0x250 hashed into that range; 0 is outside a word, 1 another character.
 SYMBOLS = 1 << 6
@@ -88,7 +88,7 @@ def learn(docs: DataFrame, profile: int = 400) -> dict[str, list[int]]:
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
@@ -101,7 +101,6 @@ def learn(docs: DataFrame, profile: int = 400) -> dict[str, list[int]]:
             seen = np.flatnonzero(held)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(seen), pa.string()), "code": pa.array(seen.astype(np.int32)), "n": pa.array(held[seen])})
 
-    small_batches(docs.sparkSession)
     counted = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counted.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, profile).code.alias("codes"))
     return {r.lang: list(r.codes) for r in sorted(best.collect(), key=lambda r: r.lang)}
@@ -155,14 +154,13 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = 300) ->
 
     def run(batches):
         ranker = Ranker(held.value, top)
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for part in chunks(((t or "",) for t in batch.column("text").to_pylist()), 1 << 18):
                 found += ranker.judge([t for (t,) in part])
             columns = [batch.column(f.name) for f in names] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in names] + ["lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
     schema = type(docs.schema)([*names]).add("lang_pred", "string").add("score", "double")
     return docs.select(*(f.name for f in names)).mapInArrow(run, schema)
 

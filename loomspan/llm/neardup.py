@@ -12,13 +12,17 @@ buckets. In a bucket every text is compared with the bucket's centre, the text t
 and with the one before it; buckets of up to ``small`` texts compare all pairs. In a group of near copies the text they
 were made from is what they meet, so most links are found by candidates that grow with the texts and not with the square
 of a bucket. Signatures settle candidates far from the threshold; those near it are settled on the exact shingle weights.
-Links are joined to classes by star contraction. Then the rest of every larger bucket is compared too, in blocks: each text
-with all texts of the bucket that are of another class. Pairs of one class need no further link, and of the others only
-those whose signatures come near the threshold leave the task. What they link merges the classes.
+Links are joined to classes by star contraction. Then the rest of every larger bucket is compared too: each text with all
+texts of the bucket that are of another class, by signature, in blocks of 4096. Of that comparison only the texts leave the
+task that may be near one of another class. Those meet again, with their exact weights, in blocks of 2 MB; the pairs are
+decided there and only links that join two classes leave the task, fewer than the block has classes. So no pair that shares
+a band is left out, and no output grows with the square of a bucket; the comparison itself, in numpy on 192 bytes a text,
+does, for texts of one bucket that are not of one class.
 
 Result: one row for each row of the input: doc_id, class_id (smallest doc_id of the class), n_class (rows in it),
 is_kept (one row of each class). Null, empty and wordless texts are classes of their own each; a null doc_id counts as
-the smallest; repeated rows fall in one class. An empty table gives no rows; other columns are not read.
+the smallest; repeated rows fall in one class. A very long text is signed whole, in a task's memory. An empty table gives
+no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ALNUM, chunk_words, chunks, mix, run_hashes, small_batches, staged, table
+from loomspan.llm.common import ALNUM, chunk_words, chunks, mix, run_hashes, runs_of, slices, staged, table
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
@@ -114,7 +118,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, tid binary (null: no words), bands array<long>, brief binary): brief has a byte a coordinate."""
 
     def run(batches):
-        rows = ((d, x, t or b"") for batch in batches for d, x, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True))
+        rows = ((d, x, t or b"") for batch in slices(batches) for d, x, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True))
         for part in chunks(rows, 1 << 19):
             owner, s, weight, whole = shingles([r[-1] for r in part])
             # equal texts of the chunk are signed once
@@ -137,7 +141,6 @@ def sketch(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, tid binary, bands array<long>, brief binary")
 
 
@@ -151,58 +154,114 @@ def candidates(texts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     centre = held.groupBy("bucket").agg(F.max(F.struct("w", "tid")).tid.alias("other"))
     star = held.join(centre, "bucket").select("tid", "other")
     # the one before it within a part of the bucket; a large bucket has many parts
-    part = F.pmod(F.xxhash64("tid"), F.greatest(F.lit(1), F.ceil(F.col("n") / 4096)))
+    part = F.pmod(F.xxhash64("tid"), F.greatest(F.lit(1), F.ceil(F.col("n") / 512)))
     chain = held.where(F.col("n") > small).withColumn("part", part).withColumn("other", F.lag("tid").over(Window.partitionBy("bucket", "part").orderBy(F.desc("w"), "tid"))).where("other is not null").select("tid", "other")
     few = held.where(F.col("n").between(3, small)).groupBy("bucket").agg(F.sort_array(F.collect_list("tid")).alias("tids"))
-    inner = few.select(F.explode(F.flatten(F.transform("tids", lambda x, i: F.transform(F.expr("slice(tids, 1, 1000)"), lambda y: F.struct(x.alias("tid"), y.alias("other")))))).alias("p")).select("p.*")
+    inner = few.select(F.explode(F.flatten(F.transform("tids", lambda x, i: F.transform(F.slice("tids", F.lit(1), i), lambda y: F.struct(x.alias("tid"), y.alias("other")))))).alias("p")).select("p.*")
     pairs = star.unionByName(chain).unionByName(inner).where(F.col("tid") != F.col("other"))
     return pairs.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct(), held.where(F.col("n") > small).select("bucket", "tid")
 
 
-def _members(column) -> list[np.ndarray]:
-    """The members of each row's block: 16 bytes of tid, 16 of root, the brief; none for a null."""
-    data = np.frombuffer(b"".join(column.flatten().to_pylist()), np.uint8).reshape(-1, 32 + COORDINATES)
-    return np.split(data, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1])
+def _in_blocks(rows: DataFrame, load, most: int) -> DataFrame:
+    """``rows`` (bucket, tid, ...) so that any two of a bucket meet in one run of equal (bucket, i, j).
 
+    A bucket is cut into blocks with about ``most`` of ``load`` each; run (i, j) holds blocks i and j (``part`` says which).
+    """
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.sum(load) / most).alias("blocks"))
+    cut = rows.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("tid"), "blocks"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cut.withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")}).drop("_other", "blocks")
+
+
+def _dealt(cut: DataFrame) -> DataFrame:
+    return cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "part")
+
+
+def _bytes(column, kind, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
-def across(large: DataFrame, roots: DataFrame, brief: DataFrame, least: float, block: int = 512) -> DataFrame:
-    """Pairs (a, b, estimate) of one bucket of ``large`` (bucket, tid) but of two classes whose estimate is ``least`` or more.
 
-    roots: (tid, root), for a class's smallest tid no row; brief: (tid, brief). A task holds two blocks of a bucket.
+def meeting(large: DataFrame, roots: DataFrame, signed: DataFrame, least: float, block: int = 4096) -> DataFrame:
+    """(bucket, tid, root) of the texts in ``large`` (bucket, tid) that a text of the bucket, but of another class, may be near to.
+
+    roots: (tid, root), for a class's smallest tid no row; signed: (tid, brief, bands). Near: the estimate is ``least`` or more.
+    A pair counts in the first bucket it shares. What leaves a task are texts and not pairs.
     """
 
     def run(batches):
-        for batch in batches:
-            a, b, estimate = [], [], []
-            for x, y in zip(_members(batch.column("x")), _members(batch.column("y")), strict=True):
-                own = not len(y)
-                y = x if own else y
-                _, root = np.unique(np.ascontiguousarray(np.concatenate((x, y))[:, 16:32]).view(np.uint64), axis=0, return_inverse=True)
-                rx, ry = root.ravel()[: len(x)], root.ravel()[len(x) :]
-                bx, by = np.ascontiguousarray(x[:, 32:]), np.ascontiguousarray(y[:, 32:])
-                for i in range(len(x)):
-                    other = np.flatnonzero(ry != rx[i])
-                    other = other[other > i] if own else other
-                    same = (by[other] == bx[i]).mean(axis=1)
-                    t = x[i, :16].tobytes()
-                    for j, e in zip(other[same >= least].tolist(), same[same >= least].tolist(), strict=True):
-                        u = y[j, :16].tobytes()
-                        a.append(min(t, u))
-                        b.append(max(t, u))
-                        estimate.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(estimate, pa.float64())], ["a", "b", "estimate"])
+        for group in runs_of(batches, "bucket", "i", "j"):
+            bucket, part = group.column("bucket")[0].as_py(), group.column("part").to_numpy()
+            own = group.column("i")[0] == group.column("j")[0]
+            edge = 0 if own else int(np.searchsorted(part, part[-1]))
+            _, root = np.unique(_bytes(group.column("root"), np.uint64, 2), axis=0, return_inverse=True)
+            root, brief, band = root.ravel(), _bytes(group.column("brief"), np.uint8, COORDINATES), group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            seen = np.zeros(len(part), bool)
+            for k in range(len(part) if own else edge):
+                other = np.flatnonzero(root[max(edge, k + 1) :] != root[k]) + max(edge, k + 1)
+                other = other[(brief[other] == brief[k]).mean(axis=1) >= least]
+                if len(other):
+                    shared = (band[other] == band[k]).argmax(axis=1)
+                    other = other[band[k, shared] == bucket]
+                    seen[other] = True
+                    seen[k] |= len(other) > 0
+            if seen.any():
+                yield pa.RecordBatch.from_pydict({c: group.column(c).combine_chunks().filter(pa.array(seen)) for c in ("bucket", "tid", "root")})
 
     classed = large.join(roots, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
-    several = classed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    filed = classed.join(several.select("bucket", F.ceil(F.col("n") / block).alias("blocks")), "bucket").join(brief, "tid")
-    filed = filed.withColumn("part", F.pmod(F.xxhash64("tid"), "blocks"))
-    held = filed.groupBy("bucket", "blocks", "part").agg(F.collect_list(F.concat("tid", "root", "brief")).alias("x"))
-    held = staged(held, "blocks")
-    pair = held.where("part + 1 < blocks").withColumn("other", F.explode(F.sequence(F.col("part") + 1, F.col("blocks") - 1)))
-    pair = pair.join(held.select("bucket", F.col("part").alias("other"), F.col("x").alias("y")), ["bucket", "other"]).select("x", "y")
-    both = held.select("x", F.lit(None).cast("array<binary>").alias("y")).unionByName(pair)
-    found = both.mapInArrow(run, "a binary, b binary, estimate double")
-    return found.groupBy("a", "b").agg(F.first("estimate").alias("estimate"))
+    several = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return _dealt(_in_blocks(classed.join(several, "bucket"), F.lit(1), block).join(signed, "tid")).mapInArrow(run, "bucket long, tid binary, root binary").distinct()
+
+
+def joining(near: DataFrame, brief: DataFrame, sets: DataFrame, threshold: float, sure: float, block: int = 2 << 20) -> DataFrame:
+    """Links (a, b) between the classes of ``near`` (bucket, tid, root): a spanning forest for each two blocks of a bucket.
+
+    Pairs whose estimate is near the threshold are decided here, on the exact weights, so that none of them leaves the task.
+    """
+
+    def run(batches):
+        for group in runs_of(batches, "bucket", "i", "j"):
+            part, own = group.column("part").to_numpy(), group.column("i")[0] == group.column("j")[0]
+            edge = 0 if own else int(np.searchsorted(part, part[-1]))
+            names, root = np.unique(_bytes(group.column("root"), np.uint64, 2), axis=0, return_inverse=True)
+            root, brief = root.ravel(), _bytes(group.column("brief"), np.uint8, COORDINATES)
+            sizes = np.array([len(x) // 8 for x in group.column("s").to_pylist()])
+            known, ids = np.unique(np.frombuffer(b"".join(group.column("s").to_pylist()), np.uint64), return_inverse=True)
+            weight = np.frombuffer(b"".join(group.column("w").to_pylist()), np.int32)
+            first = np.concatenate(([0], np.cumsum(sizes)))
+            total, mark = np.add.reduceat(weight, first[:-1]), np.zeros(len(known), np.int32)
+            links: list[tuple[int, int]] = []
+            now = root.copy()
+
+            def link(k, others):
+                for o in others.tolist():
+                    if now[o] != now[k]:
+                        links.append((root[k], root[o]))
+                        now[now == now[o]] = now[k]
+
+            for k in range(len(part) if own else edge):
+                other = np.flatnonzero(now[max(edge, k + 1) :] != now[k]) + max(edge, k + 1)
+                estimate = (brief[other] == brief[k]).mean(axis=1)
+                link(k, other[estimate > threshold + sure])
+                other = other[np.abs(estimate - threshold) <= sure]
+                mine = slice(first[k], first[k + 1])
+                mark[ids[mine]] = weight[mine]
+                while len(other):
+                    other = other[now[other] != now[k]]
+                    n = max(1, int(np.searchsorted(np.cumsum(sizes[other]), 1 << 18)))
+                    some, other = other[:n], other[n:]
+                    if len(some):
+                        start = np.cumsum(sizes[some]) - sizes[some]
+                        at = np.arange(sizes[some].sum()) + np.repeat(first[some] - start, sizes[some])
+                        both = np.add.reduceat(np.minimum(mark[ids[at]], weight[at]), start)
+                        link(k, some[both / (total[k] + total[some] - both) >= threshold])
+                mark[ids[mine]] = 0
+            if links:
+                raw = _bytes16(names)
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a] for a, _ in links], pa.binary()), pa.array([raw[b] for _, b in links], pa.binary())], ["a", "b"])
+
+    load = sets.select("tid", (F.octet_length("s") * 1.5 + COORDINATES).cast("long").alias("load"))
+    cut = _in_blocks(near.join(load, "tid"), F.col("load"), block).drop("load")
+    return _dealt(cut.join(brief, "tid").join(sets, "tid")).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _agreeing(batches):
@@ -223,12 +282,11 @@ def _jaccard(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
-def _exact(docs: DataFrame, doubtful: DataFrame, first: DataFrame) -> DataFrame:
-    """Pairs of ``doubtful`` (a, b) with their exact similarity, from the texts of ``first`` (tid, doc_id)."""
-    asked = doubtful.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(first, "tid").select("doc_id").distinct()
+def shingle_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(tid, s binary, w binary): shingles and weights of the texts of ``asked`` (doc_id), which names a document of each."""
 
     def run(batches):
-        rows = ((t or b"",) for batch in batches for t in batch.column("text").cast(pa.binary()).to_pylist())
+        rows = ((t or b"",) for batch in slices(batches) for t in batch.column("text").cast(pa.binary()).to_pylist())
         for part in chunks(rows, 1 << 19):
             owner, s, weight, whole = shingles([t for (t,) in part])
             at = np.searchsorted(owner, np.arange(len(part) + 1))
@@ -238,8 +296,14 @@ def _exact(docs: DataFrame, doubtful: DataFrame, first: DataFrame) -> DataFrame:
             )
 
     small = -(2**63)
-    known = docs.select(F.coalesce("doc_id", F.lit(small)).alias("doc_id"), "text").join(asked.select(F.coalesce("doc_id", F.lit(small)).alias("doc_id")), "doc_id", "left_semi")
-    sets = staged(known.select("text").mapInArrow(run, "tid binary, s binary, w binary").dropDuplicates(["tid"]), "shingle-sets")
+    known = docs.select(F.coalesce("doc_id", F.lit(small)).alias("doc_id"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    return staged(known.select("text").mapInArrow(run, "tid binary, s binary, w binary").dropDuplicates(["tid"]), "shingle-sets")
+
+
+def _exact(docs: DataFrame, doubtful: DataFrame, first: DataFrame) -> DataFrame:
+    """Pairs of ``doubtful`` (a, b) with their exact similarity, from the texts of ``first`` (tid, doc_id)."""
+    asked = doubtful.select(F.explode(F.array("a", "b")).alias("tid")).distinct().join(first, "tid")
+    sets = shingle_sets(docs, asked)
     x = sets.select(F.col("tid").alias("a"), F.col("s").alias("xs"), F.col("w").alias("xw"))
     y = sets.select(F.col("tid").alias("b"), F.col("s").alias("ys"), F.col("w").alias("yw"))
     return doubtful.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_jaccard, "a binary, b binary, similarity double")
@@ -275,19 +339,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, sure: float = 0.12,
     judged = pairs.join(brief.select(F.col("tid").alias("a"), F.col("brief").alias("x")), "a").join(brief.select(F.col("tid").alias("b"), F.col("brief").alias("y")), "b")
     judged = staged(judged.select("a", "b", "x", "y").mapInArrow(_agreeing, "a binary, b binary, estimate double"), "estimates")
 
-    def linked(judged):
-        doubtful = judged.where(F.abs(F.col("estimate") - threshold) <= sure)
-        exact = _exact(docs, doubtful, texts.select("tid", "doc_id")).where(F.col("similarity") >= threshold)
-        return staged(judged.where(F.col("estimate") > threshold + sure).select("a", "b").unionByName(exact.select("a", "b")), "links")
+    doubtful = judged.where(F.abs(F.col("estimate") - threshold) <= sure)
+    exact = _exact(docs, doubtful, texts.select("tid", "doc_id")).where(F.col("similarity") >= threshold)
+    roots = classes(staged(judged.where(F.col("estimate") > threshold + sure).select("a", "b").unionByName(exact.select("a", "b")), "links"))
 
-    roots = classes(linked(judged))
-    more = staged(across(large, roots, brief, threshold - sure), "across")
+    # --- what larger buckets hold beyond these pairs
+    near = staged(meeting(large, roots, texts.select("tid", "brief", "bands"), threshold - sure), "meeting")
     one = rows.select("doc_id", "text_hash", "tid", "_row").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    if not more.isEmpty():
-        ends = linked(more).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-        merged = classes(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    if not near.isEmpty():
+        sets = shingle_sets(docs, near.select("tid").distinct().join(texts.select("tid", "doc_id"), "tid"))
+        merged = classes(staged(joining(near, brief, sets, threshold, sure), "joining"))
         one = one.join(merged.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root"))
-    one = one.select("doc_id", "text_hash", "_row", "root")
+    one = staged(one.select("doc_id", "text_hash", "_row", "root"), "classed")
     own = one.where("root is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_class"), F.lit(True).alias("is_kept"))
     # of several rows with the class's smallest doc_id one is kept
     sizes = one.where("root is not null").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", null_id).alias("doc_id"), "_row")).alias("lead"), F.count("*").alias("n_class"), F.min("doc_id").alias("class_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import PLAIN, chunk_words, chunks, mix, run_hashes, small_batches, staged, table
+from loomspan.llm.common import PLAIN, chunk_words, chunks, mix, run_hashes, slices, staged, table
 
 LOW = -(2**63)
 #: place = start << 24 | inner repeat << 23 | windows in the piece << 19 | tag of the text
@@ -136,12 +136,11 @@ def _places(start, inner, count, tags):
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int = 2000) -> DataFrame:
     """One row a row: doc_id, n_words, n_removed, kept (words that stay, joined by blanks), kept_sha256."""
     spark = docs.sparkSession
-    small_batches(spark)
     tag = F.pmod(F.xxhash64("text"), F.lit(_TAG + 1))
     texts = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), tag.alias("tag"))
 
     def rows_of(batches, *more):
-        for batch in batches:
+        for batch in slices(batches):
             yield from zip(*(batch.column(c).to_pylist() for c in ("doc", "tag", *more)), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
 
     def sample(batches):
@@ -222,7 +221,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int =
     lists = removed.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, tag_, places, text in rows_of([batch], "places"):
                 words_ = text.translate(PLAIN).split()

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches, staged, table
+from loomspan.llm.common import slices, staged, table
 
 BLOCK = 1 << 14
 _HEAD = struct.Struct("<4sHHIQII")
@@ -155,7 +155,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, image_id
         def image():
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first": pa.array([first], pa.int64()), "n_ids": pa.array([n], pa.int64()), "content": pa.array([to_image(names, sizes, np.frombuffer(b"".join(held), "<u4"), bits)], pa.binary())})
 
-        for batch in batches:
+        for batch in slices(batches, 500):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 data = encode(text.as_py() or b"") + end
                 names.append(doc_id)
@@ -168,7 +168,6 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, image_id
         if names:
             yield image()
 
-    small_batches(docs.sparkSession, 500)
     by = [F.asc_nulls_first(c) for c in order]
     ranged = docs.select(*{"doc_id": 0, "text": 0} | dict.fromkeys(order), F.monotonically_increasing_id().alias("_row")).repartitionByRange(*by, "_row").sortWithinPartitions(*by, "_row")
     return staged(ranged.select("doc_id", "text").mapInArrow(run, IMAGE), "token-shards", compression="uncompressed")
@@ -178,14 +177,13 @@ def read_shards(images: DataFrame) -> DataFrame:
     """One row a document from shard images: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 16):
             for base, first, content in zip(batch.column("base").to_pylist(), batch.column("first").to_pylist(), batch.column("content"), strict=True):
                 image = Image(content.as_py())
                 ids = image.ids(0, image.n_ids)
                 at = image.starts.tolist()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(image.doc_ids, pa.int64()), "start": pa.array([base + first + a for a in at[:-1]], pa.int64()), "n_tokens": pa.array([b - a for a, b in zip(at, at[1:])], pa.int64()), "ids_crc32": pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:])], pa.int64())})
 
-    small_batches(images.sparkSession, 16)
     # one row a shard, that is, a task of the write: shards, not documents, are what is summed up and broadcast
     totals = images.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

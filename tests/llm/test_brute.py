@@ -80,30 +80,96 @@ def test_signature_estimates_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - similarity(counts(" ".join(a)), counts(" ".join(b)))) < 0.03
 
 
+def classes_of(rows):
+    """Smallest doc_id and size of each row's class, by comparing all pairs."""
+    sets = [counts(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and similarity(sets[i], sets[j]) >= 0.8:
+                root[find(i)] = find(j)
+    own = [find(i) for i in range(len(rows))]
+    first, size = {}, Counter(own)
+    for i, (d, _) in enumerate(rows):
+        first[own[i]] = min(first.get(own[i], d), d)
+    return {d: (first[k], size[k]) for (d, _), k in zip(rows, own, strict=True)}
+
+
+def test_near_copies_about_the_threshold(spark):
+    """Hundreds of copies of one text, most pairs of which are somewhat less alike than the threshold."""
+    from loomspan.llm.neardup import near_duplicates
+
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    rows = []
+    for d in range(500):
+        w = list(base)
+        for at in rng.choice(400, int(rng.integers(4, 18)), replace=False):
+            w[int(at)] = f"x{rng.integers(10**6)}"
+        rows.append((d, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = classes_of(rows)
+    assert 1 < len({c for c, _ in want.values()}) < 500
+    assert {r.doc_id: (r.class_id, r.n_class) for r in got} == want
+
+
+def _bucket(spark, rng, n, edits):
+    from loomspan.llm.neardup import _bytes16, sketch
+
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(n):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(*edits)), replace=False):
+            w[int(at)] = f"x{rng.integers(10**6)}"
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = sketch(docs).collect()
+    return docs, {r.doc_id: r for r in signed}, rows, _bytes16
+
+
 def test_larger_buckets_are_compared_whole(spark):
-    from loomspan.llm.neardup import COORDINATES, across
-
-    rng = np.random.default_rng(2)
-    brief = rng.integers(0, 256, (300, COORDINATES), np.uint8)
-    for i in range(1, 300):
-        if i % 3:
-            brief[i] = brief[i - i % 3]
-            brief[i, : int(rng.integers(0, 90))] ^= 1
-    tid = [bytes([i // 256, i % 256]) + b"\0" * 14 for i in range(300)]
-    bucket = [int(i >= 12) for i in range(300)]
-    root = {tid[i]: tid[i - 1] for i in range(1, 300) if i % 3 == 1}
-    root |= {tid[i]: tid[3] for i in range(60, 120)}
-    got = across(
-        spark.createDataFrame(list(zip(bucket, tid, strict=True)), "bucket long, tid binary"),
-        spark.createDataFrame(list(root.items()), "tid binary, root binary"),
-        spark.createDataFrame([(t, b.tobytes()) for t, b in zip(tid, brief, strict=True)], "tid binary, brief binary"),
-        0.68,
-        block=40,
-    ).collect()
+    from loomspan.llm.neardup import COORDINATES, joining, meeting, shingle_sets, sketch
+
+    docs, by, rows, _ = _bucket(spark, np.random.default_rng(2), 120, (1, 9))
+    n = len(rows)
+    brief = np.stack([np.frombuffer(by[d].brief, np.uint8) for d in range(n)])
+    band = np.array([by[d].bands for d in range(n)])
+    tid = [bytes(by[d].tid) for d in range(n)]
+    root = {tid[i]: min(tid[i - 1], tid[i]) for i in range(1, n, 2)} | {tid[i - 1]: min(tid[i - 1], tid[i]) for i in range(1, n, 2)}
+    large = [(int(b), tid[d]) for d in range(n) for b in band[d]]
+    roots = spark.createDataFrame([(t, r) for t, r in root.items() if t != r], "tid binary, root binary")
+    signed = sketch(docs).select("tid", "brief", "bands")
+    near = meeting(spark.createDataFrame(large, "bucket long, tid binary"), roots, signed, 0.68, block=25).collect()
     same = (brief[:, None] == brief[None]).mean(axis=2)
-    of = [root.get(t, t) for t in tid]
-    want = {(tid[i], tid[j]) for i in range(300) for j in range(i + 1, 300) if same[i, j] >= 0.68 and bucket[i] == bucket[j] and of[i] != of[j]}
-    assert len(want) > 50 and {(bytes(r.a), bytes(r.b)) for r in got} == want and len(got) == len(want)
+    want = set()
+    for i in range(n):
+        for j in range(i):
+            shared = np.flatnonzero(band[i] == band[j])
+            if len(shared) and same[i, j] >= 0.68 and root[tid[i]] != root[tid[j]]:
+                want |= {(int(band[i][shared[0]]), tid[i]), (int(band[i][shared[0]]), tid[j])}
+    assert len(want) > 100 and {(r.bucket, bytes(r.tid)) for r in near} == want and len(near) == len(want)
+    # the links join what pairs of 0.8 and more join, and are fewer than the classes of a bucket's two blocks
+    sets = shingle_sets(docs, docs.select("doc_id"))
+    found = joining(spark.createDataFrame(near, "bucket long, tid binary, root binary"), signed.select("tid", "brief"), sets, 0.8, 0.12, block=20_000).collect()
+    exact = [counts(t) for _, t in rows]
+
+    def joined(pairs):
+        own = {r: r for r in root.values()}
+        for a, b in pairs:
+            x, y = own[a], own[b]
+            own = {k: x if v == y else v for k, v in own.items()}
+        return sorted(sorted(k for k in own if own[k] == v) for v in set(own.values()))
+
+    pairs = [(root[tid[i]], root[tid[j]]) for i in range(n) for j in range(i) if (band[i] == band[j]).any() and similarity(exact[i], exact[j]) >= 0.8]
+    assert joined([(bytes(r.a), bytes(r.b)) for r in found]) == joined(pairs) and COORDINATES == len(brief[0])
+    assert all(similarity(exact[i], exact[j]) < 1 for i in range(n) for j in range(i))
 
 
 def test_neighbours(spark):
