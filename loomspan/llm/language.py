@@ -1,60 +1,50 @@
 """Operator 7: language identification by rank-order profiles of character n-grams.
 
-A language's profile is the list of its most frequent 1- to 3-grams over words padded with blanks, in order of
-frequency. A document's n-grams that occur in any profile are ranked by their frequency in the document, and its
-out-of-place distance to a language is the sum, over its ``top`` most frequent, of the differences between the two
-ranks; an n-gram that the language's profile lacks costs the profile's length. The smallest distance wins, ties go to
-the language that sorts first.
-
-Text is split at whatever is no letter. Learning is one distributed count of all labelled training texts: each task counts in an array of fixed size and hands
-over one row for each n-gram and language it has seen, so what reaches the driver is bounded by languages times
-n-grams, whatever the number of texts. The profiles (a few kB a language) are broadcast.
-
-Nulls and texts without a letter are ``und`` with score 0. Texts are read whole in slices; ties of frequency in a document
-go to the n-gram with the smaller number. An empty training set gives ``und`` for all. Score: (second distance - best) /
-second distance, from 0 to 1; 1 if only one language was learned.
+Text is split at whatever is no letter, and letters are made lower case; words stand between blanks. A language's profile is
+the list of its ``profile`` most frequent 1- to 3-grams of code points, in order of frequency. A document's ``top`` most
+frequent n-grams, all of them counted, are ranked alike; its out-of-place distance to a language is the sum of the differences
+between the two ranks, and an n-gram that the language's profile lacks costs the profile's length. The smallest distance wins,
+ties go to the language that sorts first. Ties of frequency go to the n-gram that sorts first by code points.
+
+An n-gram is one exact number (21 bits a code point), so no two are taken for each other, in whatever script. Learning is one
+distributed count of all labelled training texts; a task hands over its counts whenever it holds a million, and what reaches
+the driver are the profiles alone (a few kB a language), which are broadcast.
+
+Nulls and texts without a letter are ``und`` with score 0. A text none of whose n-grams is in any profile (say, of a script that
+was not learned) is as far from every language: it gets the one that sorts first, with score 0. Texts are read whole, long ones
+piece by piece. An empty training set gives ``und`` for all; an empty table no rows; repeated rows are each judged, and count
+each in learning; columns named lang_pred or score are replaced. Score: (second distance - best) / second distance, from 0 to 1;
+1 if only one language was learned.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import chunks, slices, table
 
-#: Letters get numbers 2 to 62 by their code below 0x250 hashed into that range; 0 is outside a word, 1 another character.
-SYMBOLS = 1 << 6
-CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+#: Bits of a symbol in an n-gram's number: 0 is none, 1 outside a word, else the code point plus 2.
+BITS = 21
+PIECE = 1 << 20
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of each code point below 0x3000: blank for what is no letter; a-z and the Latin letters with marks apart."""
-    out = np.zeros(0x3000, np.uint8)
-    for c in range(0x3000):
-        low = chr(c).lower()
+@functools.cache
+def _letters() -> np.ndarray:
+    """The symbol of each code point: 1 for what is no letter, else that of its lower case (of the first letter, if it has more)."""
+    out = np.ones(0x110000, np.int32)
+    for c in range(0x110000):
         if chr(c).isalpha():
-            o = ord(low[0])
-            out[c] = o - 95 if 97 <= o <= 122 else 28 + o % 35 if o >= 128 else 1
+            out[c] = ord(chr(c).lower()[0]) + 2
     return out
 
 
-_TABLE = _symbols()
-
-
-def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts one after the other, each between blanks, and each text's first place."""
-    joined = " " + "  ".join(texts) + " "
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 1).astype(np.int32)
-    far = np.flatnonzero(points >= len(_TABLE))
-    if len(far):
-        out[far] = [chr(p).isalpha() for p in points[far].tolist()]
-    return out, np.cumsum([0] + [len(t) + 2 for t in texts])
-
-
-def cut(text: str, size: int = 1 << 20) -> list[str]:
+def cut(text: str, size: int = PIECE) -> list[str]:
+    """A text in pieces of about ``size``, cut at blanks, so that no n-gram is lost; a longer word stays whole."""
     out, at = [], 0
     while len(text) - at > size:
         end = text.find(" ", at + size)
@@ -65,17 +55,41 @@ def cut(text: str, size: int = 1 << 20) -> list[str]:
     return [*out, text[at:]]
 
 
-def grams(s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1, 2, 3: places and codes of n-grams that hold no blank but at an end."""
-    a, b, c = s[:-2], s[1:-1], s[2:]
-    one = np.flatnonzero(s)
-    two = np.flatnonzero((s[:-1] > 0) | (s[1:] > 0))
-    three = np.flatnonzero((b > 0) & ((a > 0) | (c > 0)))
-    return [
-        (one, s[one]),
-        (two, SYMBOLS + s[two] * SYMBOLS + s[two + 1]),
-        (three, SYMBOLS + SYMBOLS**2 + (a[three] * SYMBOLS + b[three]) * SYMBOLS + c[three]),
-    ]
+def _merged(owner: np.ndarray, code: np.ndarray, n: np.ndarray):
+    """Equal (owner, code) added up; sorted by both."""
+    order = np.lexsort((code, owner))
+    owner, code, n = owner[order], code[order], n[order]
+    head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])))) if len(code) else np.zeros(0, np.int64)
+    return owner[head], code[head], np.add.reduceat(n, head) if len(head) else n
+
+
+def counted(texts: list[str]):
+    """(text number, n-gram, times) of the n-grams of each text, sorted by text and n-gram."""
+    pieces = [(i, p) for i, t in enumerate(texts) for p in cut(t)]
+    found = []
+    for part in chunks(pieces, PIECE):
+        points = np.frombuffer((" " + "  ".join(p for _, p in part) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol = _letters()[points]
+        # few symbols occur in a chunk; numbered in their order they make short keys that sort as the n-grams do
+        held = np.flatnonzero(np.bincount(symbol))
+        base, s = len(held) + 1, (np.searchsorted(held, symbol) + 1).astype(np.int64)
+        blank = int(np.searchsorted(held, 1)) + 1
+        owner = np.repeat(np.arange(len(part)), [len(p) + 2 for _, p in part])
+        word = s != blank
+        a, b, c = s[:-2], s[1:-1], s[2:]
+        one, two = np.flatnonzero(word), np.flatnonzero(word[:-1] | word[1:])
+        three = np.flatnonzero(word[1:-1])
+        key = np.concatenate((owner[one] * base**3 + s[one], owner[two] * base**3 + s[two] * base + s[two + 1], owner[three] * base**3 + (a[three] * base + b[three]) * base + c[three]))
+        key.sort()
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        times, key = np.diff(np.append(head, len(key))), key[head]
+        full = np.concatenate(([0], held)).astype(np.int64)
+        code = (full[key // base**2 % base] << (2 * BITS)) | (full[key // base % base] << BITS) | full[key % base]
+        found.append((np.array([i for i, _ in part], np.int64)[key // base**3], code, times))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out = tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return out if len(pieces) == len(texts) else _merged(*out)
 
 
 def held_out() -> Column:
@@ -87,23 +101,33 @@ def learn(docs: DataFrame, profile: int = 400) -> dict[str, list[int]]:
     """Profiles: language -> its ``profile`` most frequent n-grams, most frequent first, from ``docs`` (text, lang)."""
 
     def run(batches):
-        counts: dict[str, np.ndarray] = {}
+        names: dict[str, int] = {}
+        held, size = [], 0
+
+        def handed():
+            lang, code, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_pydict({"lang": pa.array(list(names), pa.string()).take(pa.array(lang)), "code": pa.array(code), "n": pa.array(n)})
+
         for batch in slices(batches):
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                held = counts.setdefault(lang, np.zeros(CODES, np.int64))
-                for part in chunks(((p,) for t in texts for p in cut(t)), 1 << 19):
-                    for _, codes in grams(symbols([t for (t,) in part])[0]):
-                        held += np.bincount(codes, minlength=CODES)
-        for lang, held in counts.items():
-            seen = np.flatnonzero(held)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(seen), pa.string()), "code": pa.array(seen.astype(np.int32)), "n": pa.array(held[seen])})
-
-    counted = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    best = counted.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, profile).code.alias("codes"))
-    return {r.lang: list(r.codes) for r in sorted(best.collect(), key=lambda r: r.lang)}
+            lang = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.int64)
+            at = 0
+            for part in chunks(((t,) for t in batch.column("text").to_pylist()), 1 << 19):
+                owner, code, n = counted([t for (t,) in part])
+                held.append(_merged(lang[at + owner], code, n))
+                at += len(part)
+                size += len(held[-1][1])
+                if size > 1 << 20:
+                    yield handed()
+                    held, size = [], 0
+        if held:
+            yield handed()
+
+    known = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    out: dict[str, list[int]] = {}
+    for r in known.withColumn("place", place).where(F.col("place") <= profile).orderBy("lang", "place").select("lang", "code").collect():
+        out.setdefault(r.lang, []).append(r.code)
+    return out
 
 
 class Ranker:
@@ -111,39 +135,32 @@ class Ranker:
 
     def __init__(self, profiles: dict[str, list[int]], top: int = 300):
         self.langs, self.top = list(profiles), top
-        self.vocabulary = np.unique(np.concatenate([np.array(p, np.int64) for p in profiles.values()] or [np.zeros(0, np.int64)]))
-        self.number = np.full(CODES, -1, np.int32)
-        self.number[self.vocabulary] = np.arange(len(self.vocabulary))
+        self.vocabulary = np.unique(np.array([c for p in profiles.values() for c in p], np.int64))
         self.lack = max([len(p) for p in profiles.values()], default=0)
-        self.rank = np.full((len(self.langs), len(self.vocabulary)), self.lack, np.int64)
-        self.known = np.zeros(self.rank.shape, bool)
+        # one column more: n-grams of no profile
+        self.rank = np.full((len(self.langs), len(self.vocabulary) + 1), -1, np.int64)
         for i, p in enumerate(profiles.values()):
-            self.rank[i, self.number[np.array(p, np.int64)]] = np.arange(len(p))
-            self.known[i, self.number[np.array(p, np.int64)]] = True
+            self.rank[i, np.searchsorted(self.vocabulary, np.array(p, np.int64))] = np.arange(len(p))
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
-        # long texts are cut at blanks, so that no n-gram is lost; their counts add up
-        pieces = [(i, p) for i, t in enumerate(texts) for p in cut(t)]
-        s, first = symbols([p for _, p in pieces])
-        counts = np.zeros((len(texts), len(self.vocabulary)), np.int64)
-        owner = np.repeat(np.array([i for i, _ in pieces], np.int64), np.diff(first))
-        for at, codes in grams(s):
-            number = self.number[codes]
-            mine = number >= 0
-            counts += np.bincount(owner[at[mine]] * len(self.vocabulary) + number[mine], minlength=counts.size).reshape(counts.shape)
-        letters = np.bincount(owner[s > 0], minlength=len(texts)) > 0
-        out = []
-        for row, any_letter in zip(counts, letters, strict=True):
-            order = np.argsort(-row, kind="stable")[: self.top]
-            order = order[row[order] > 0]
-            if not any_letter or not len(self.langs):
-                out.append(("und", 0.0))
-                continue
-            places = np.arange(len(order))
-            distance = np.where(self.known[:, order], np.abs(self.rank[:, order] - places), self.lack).sum(axis=1)
-            best = np.argsort(distance, kind="stable")
-            second = int(distance[best[1]]) if len(best) > 1 else 0
-            out.append((self.langs[best[0]], 1.0 if len(best) == 1 else (second - int(distance[best[0]])) / second if second else 0.0))
+        owner, code, n = counted(texts)
+        if not len(code) or not len(self.langs):
+            return [("und", 0.0)] * len(texts)
+        order = np.lexsort((-n, owner))  # stable: equal counts stay in the order of the n-grams
+        owner, code = owner[order], code[order]
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        place = np.arange(len(owner)) - first[owner]
+        owner, code, place = owner[place < self.top], code[place < self.top], place[place < self.top]
+        at = np.minimum(np.searchsorted(self.vocabulary, code), len(self.vocabulary) - 1)
+        rank = self.rank[:, np.where(self.vocabulary[at] == code, at, len(self.vocabulary))]
+        out_of_place = np.where(rank >= 0, np.abs(rank - place), self.lack)
+        live = np.flatnonzero(np.diff(first) > 0)
+        distance = np.add.reduceat(out_of_place, np.searchsorted(owner, live), axis=1)
+        best = np.argsort(distance, axis=0, kind="stable")
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        for j, i in enumerate(live.tolist()):
+            near, second = int(distance[best[0, j], j]), int(distance[best[1, j], j]) if len(best) > 1 else None
+            out[i] = self.langs[best[0, j]], 1.0 if second is None else (second - near) / second if second else 0.0
         return out
 
 

@@ -277,6 +277,57 @@ def test_packing():
         assert (image.ids(16_000, 33_001) == v[16_000:33_001]).all() and image.doc_ids == [1, None] and image.starts.tolist() == [0, 30_000, 40_000]
 
 
+def ngrams(text):
+    """Counts of the 1- to 3-grams of the padded words of a text."""
+    out = Counter()
+    for w in "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split():
+        padded = f" {w} "
+        out.update(w)
+        out.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+    return out
+
+
+def by_count(c, k):
+    # a blank is outside of every alphabet and sorts first; shorter n-grams come before longer ones
+    return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], len(x[0]), [0 if y == " " else ord(y) for y in x[0]]))[:k]]
+
+
+def guess(text, profiles, top=300):
+    mine = by_count(ngrams(text), top)
+    if not mine or not profiles:
+        return "und", 0.0
+    lack = max(len(p) for p in profiles.values())
+    far = sorted((sum(abs(p.index(g) - i) if g in p else lack for i, g in enumerate(mine)), lang) for lang, p in profiles.items())
+    return far[0][1], 1.0 if len(far) == 1 else (far[1][0] - far[0][0]) / far[1][0] if far[1][0] else 0.0
+
+
+SCRIPTS = {
+    "en": "The quick brown fox jumps over the lazy dog, and the dog sleeps.", "ru": "Съешь же ещё этих мягких французских булок, да выпей чаю.", "el": "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία των ανθρώπων.",
+    "zh": "我能吞下玻璃而不伤身体。今天天气很好，我们去公园。", "ja": "いろはにほへと ちりぬるを 私はガラスを食べられます。", "ko": "나는 유리를 먹을 수 있어요. 그래도 아프지 않아요.",
+}
+
+
+def test_language_against_brute_force(spark):
+    from loomspan.llm.language import learn, predict
+
+    rng = np.random.default_rng(4)
+    known = [(i, t, k) for i, (k, t) in enumerate(SCRIPTS.items())] + [(10, SCRIPTS["en"], "en"), (11, None, "en"), (12, "unlabelled", None), (13, "", "ru")]
+    profiles = learn(spark.createDataFrame(known, "doc_id long, text string, lang string"), 60)
+    want = {}
+    for k in SCRIPTS:
+        total = sum((ngrams(t) for _, t, lang in known if lang == k), Counter())
+        want[k] = by_count(total, 60)
+    spelled = {k: ["".join("" if not x else " " if x == 1 else chr(x - 2) for x in (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF)) for c in p] for k, p in profiles.items()}
+    assert spelled == want
+    texts = [None, "", "12 !", "ⴰⴱⴳ ⴷⴹ", "\U00020000\U00020001", "x", "a" * 3000, "Ünïcödé İstanbul", *SCRIPTS.values(), *SCRIPTS.values()]
+    texts += ["".join(rng.choice(list(SCRIPTS[k]), 50)) for k in SCRIPTS] + [SCRIPTS["ja"][:9] + SCRIPTS["zh"][:9], "我们 去", "the end " * 200_000]
+    got = predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), profiles, 40).collect()
+    for r in got:
+        lang, score = guess(texts[r.doc_id], want, 40)
+        assert (r.lang_pred, round(r.score, 12)) == (lang, round(score, 12)), texts[r.doc_id]
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)][8:14] == list(SCRIPTS)
+
+
 def test_language(spark):
     from loomspan.llm.language import learn, op7_language_id, predict
 
