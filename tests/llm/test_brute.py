@@ -194,6 +194,25 @@ def test_neighbours(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_few_repeated_and_of_several_lengths(spark):
+    """Every query gets all candidates there are, up to k, each row but its own, among the vectors of its length."""
+    from loomspan.llm.neighbours import search
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=3)], "x") for i in range(15)] + [(0, [1.0, 2.0, 3.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (20, [1.0, 2.0], "x"), (21, [3.0, 4.0], "x"), (40, [1.0] * 4, "x")]
+    want = []
+    for i, (q, v, _) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w)), c) for j, (c, w, _) in enumerate(rows) if j != i and len(w) == len(v))
+            want += [(q, n, c, round(-s, 9)) for n, (s, c) in enumerate(near[:20], 1)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string"), leaves=4).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+    # one of another length throws out no one, and leaves of few rows are widened
+    rows = [(i, [float(x) for x in rng.normal(size=2) + 50 * (i % 30)], "x") for i in range(100)] + [(1000, [1.0, 2.0, 3.0], "x")]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string"), recall=0.01).collect()
+    assert Counter(r.query_id for r in got) == {q: 20 for q in range(0, 100, 20)}
+
+
 def test_neighbours_recall_on_table(spark, sf):
     from loomspan.llm.neighbours import op6_neighbours
 
