@@ -22,26 +22,50 @@ def test_fold_and_read_back(spark):
     assert [tuple(t) for t in got[4].turns] == [("user", "x"), ("user", "y")]
 
 
-def test_mixing(spark):
-    from loomspan.llm.mixing import mix, schedule
+def test_timetable(spark):
+    """By earliest deadline, less than one block off, however the period is cut."""
+    from loomspan.llm.mixing import timetable
 
     parts = [5, 3, 1, 7]
-    owners = spark.range(1).select(schedule(parts)).first()[0]
-    period = sum(parts)
-    done = Counter()
-    for t, k in enumerate(owners, 1):
-        done[k] += 1
-        assert all(abs(done[j] - p * t / period) < 1 for j, p in enumerate(parts))
-    rows = [(i, "abc" * (i % 5), f"s{i % 3}", "z") for i in range(400)] + [(None, None, None, "z"), (7, "x" * 500, "s1", "z"), (7, "x" * 500, "s1", "z")]
-    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, slot string"), {"s0": 2}, block_size=40).collect()
+    want, had = [], [0] * 4
+    for t in range(16):
+        want.append(min((ceil((had[k] + 1) * 16 / p), k) for k, p in enumerate(parts) if had[k] * 16 // p <= t)[1])
+        had[want[-1]] += 1
+    for span in (1 << 18, 5):
+        owners = [r.k for r in timetable(spark, parts, span).orderBy("offset").collect()]
+        assert owners == want
+        done = Counter()
+        for t, k in enumerate(owners, 1):
+            done[k] += 1
+            assert all(abs(done[j] - p * t / 16) < 1 for j, p in enumerate(parts))
+    got = timetable(spark, [2, 1201]).orderBy("offset").collect()
+    assert [r.offset for r in got] == list(range(1203)) and sorted((r.k, r.nth) for r in got) == [(k, i) for k, n in enumerate((2, 1201)) for i in range(n)]
+
+
+def test_mixing(spark):
+    from loomspan.llm.mixing import mix
+
+    rows = [(i, "abc" * (i % 5), f"s{i % 3}", "z") for i in range(400)] + [(None, None, None, "z"), (7, "x" * 500, "s1", "z"), (7, "x" * 500, "s1", "z"), (8, "y" * 70_000, "s2", "z")]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string, slot string"), {"s0": 2, "absent": 9}, block_size=40).collect()
     assert Counter((r.doc_id, r.source, r.n_chars) for r in got) == Counter((d, s, len(t or "")) for d, t, s, _ in rows)
     at = Counter()
     for r in sorted(got, key=lambda r: (str(r.source), -1 if r.doc_id is None else r.doc_id)):
         assert r.block == at[r.source] // 40 and r.release <= r.slot < r.deadline and r.deadline == ceil((r.block + 1) * 5 / (2 if r.source == "s0" else 1))
         at[r.source] += r.n_chars
+    assert len({(r.slot, r.source) for r in got}) == len({r.slot for r in got}) == len({(r.source, r.block) for r in got})
     assert mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than a span has slots; each still keeps its windows."""
+    from loomspan.llm.mixing import mix
+
+    rows = [(i, "x" * 30, f"h{i % 300}") for i in range(900)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"h5": 3, "h7": 3}, block_size=10, span=128).collect()
+    assert len(got) == 900 and all(r.release <= r.slot < r.deadline for r in got) and len({r.slot for r in got}) == 900
+    assert {r.deadline for r in got if r.block == 0} == {ceil(304 / 3), 304}
+
+
 def test_pseudonyms(spark):
     from loomspan.llm.pii import pseudonymise
 
