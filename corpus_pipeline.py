@@ -8,14 +8,14 @@ and returns the columns of ``documents``, all but the last. A stage first delete
 3. decontaminate: documents in which a 10-word window of a benchmark item occurs go, with rows that share their doc_id.
 4. mix: all documents stay; rows are put in the order of their Pfair slots (by ranges, sorted within), so the files in the
    order of their names hold the mixture.
-5. tokens: encodes in the order in which the files hold the rows, which is the mixture's, and reports each document.
+5. tokens: encodes in the order in which the files hold the rows, which is the mixture's, and reports each document. Rows that
+   were not read from files have no such place, and Spark says so.
 
 Null texts and doc_ids, empty tables and repeated rows are as the operators define them.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +55,8 @@ def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     common.release(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
-    try:
-        placed, order = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth")), ("file", "nth")
-    except AnalysisException:  # rows that were not read from files have no place in them
-        placed, order = docs, ("doc_id",)
-    return tokens.read_shards(tokens.write_shards(placed, path, order=order))
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    return tokens.read_shards(tokens.write_shards(placed, path, order=("file", "nth")))
 
 
 STAGES = [("language", stage_language), ("near_dedup", stage_near_dedup), ("decontaminate", stage_decontaminate), ("mix", stage_mix), ("tokens", stage_tokens)]
