@@ -14,7 +14,9 @@ texts are what is learned from.
 
 Defined results: events of equal seq are folded in the order kind (message first), role, text; null texts and roles are
 empty; a null kind is a message; a delta or edit before any message of its turn opens one; null seq or turn sort first.
-An empty log gives no rows. One task holds one conversation's messages while it renders them, as its single row must.
+Repeated rows are messages said twice. An empty log gives no rows. One task holds one conversation's messages while it
+renders them, as its single row must, however long its texts. Other columns, whatever their names, are not read. The query adds
+conversation -1; rows that the table has under that id already are turns of it too.
 """
 
 from __future__ import annotations

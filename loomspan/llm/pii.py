@@ -28,8 +28,9 @@ a card of several groups beside further digits may therefore have another pseudo
 of the cards in it.
 
 What fits no format, or is not valid, stays. Formatting (signs, blanks) stays. Nulls stay null and an empty text empty;
-repeated rows and rows with equal ids are each treated; an empty table gives no rows; other columns are not read. No row
-meets another, so skew does not arise.
+repeated rows and rows with equal ids are each treated; a very long text is searched whole, in its task's memory; an empty
+table gives no rows; other columns are not read, but for n_values, _found and _new, which are replaced. No row meets another,
+so skew does not arise.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ cut into shards such that equal windows meet in one shard, and each shard has an
    ``most`` pieces are dealt by single windows (key and hash of the window) instead, so no automaton outgrows a task.
 3. What is to go is gathered by document and cut from the texts.
 
-Nulls: a null text has no words; a null doc_id comes before all others. Rows repeating a doc_id are the same document, so
-only their starts are compared. Texts shorter than a window, and empty tables, lose nothing.
+Nulls: a null text has no words; a null doc_id comes before all others. Rows of one doc_id (or of none) with different texts
+are documents of their own, in the order of a hash of the text; repeated rows are one document, and lose the same. Texts
+shorter than a window, and empty tables, lose nothing. A very long text is cut in one task, whose memory holds it. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import PLAIN, chunk_words, chunks, mix, run_hashes, slices, staged, table
 
 LOW = -(2**63)
-#: place = start << 24 | inner repeat << 23 | windows in the piece << 19 | tag of the text
-_START, _SELF, _N, _TAG = 24, 23, 19, (1 << 19) - 1
+#: place = start << 5 | inner repeat << 4 | windows in the piece
+_START, _SELF = 5, 4
 MOST_WINDOWS = 15
 
 
@@ -129,15 +131,15 @@ def _pieces(texts: list[bytes], window: int, gram: int):
     return (owner[begin], begin - first[owner[begin]], count, low[head], run_hashes(h, begin, count + window - 1), inner), (s, e, first, joined)
 
 
-def _places(start, inner, count, tags):
-    return (start.astype(np.int64) << _START) | (inner.astype(np.int64) << _SELF) | (count.astype(np.int64) << _N) | tags
+def _places(start, inner, count):
+    return (start.astype(np.int64) << _START) | (inner.astype(np.int64) << _SELF) | count.astype(np.int64)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int = 2000) -> DataFrame:
     """One row a row: doc_id, n_words, n_removed, kept (words that stay, joined by blanks), kept_sha256."""
     spark = docs.sparkSession
-    tag = F.pmod(F.xxhash64("text"), F.lit(_TAG + 1))
-    texts = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), tag.alias("tag"))
+    # the tag tells rows of one doc_id apart
+    texts = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tag"))
 
     def rows_of(batches, *more):
         for batch in slices(batches):
@@ -149,56 +151,54 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int =
             if found is None:
                 continue
             owner, start, count, key, whole, inner = found
-            doc = np.array([r[0] for r in part], np.int64)[owner]
-            place = _places(start, inner, count, np.array([r[1] for r in part], np.int64)[owner])
-            order = np.lexsort((start, doc, whole, key))
-            k, w, d, s = key[order], whole[order], doc[order], start[order]
+            doc, tag = (np.array([r[i] for r in part], np.int64)[owner] for i in (0, 1))
+            place = _places(start, inner, count)
+            order = np.lexsort((start, tag, doc, whole, key))
+            k, w, d, t, s = key[order], whole[order], doc[order], tag[order], start[order]
             again = np.concatenate(([False], (k[1:] == k[:-1]) & (w[1:] == w[:-1])))
-            # an equal place (rows repeating a doc_id) is not earlier
+            # an equal place (rows repeated) is not earlier
             lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))
-            gone = again & ((d != d[lead]) | (s != s[lead]))
+            gone = again & ((d != d[lead]) | (t != t[lead]) | (s != s[lead]))
             k = np.where(gone, mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)), k)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(k.astype(np.int64)), "whole": pa.array(w.astype(np.int64)), "doc": pa.array(d), "place": pa.array(place[order]), "gone": pa.array(gone)})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(k.astype(np.int64)), "whole": pa.array(w.astype(np.int64)), "doc": pa.array(d), "tag": pa.array(t), "place": pa.array(place[order]), "gone": pa.array(gone)})
 
-    found = texts.mapInArrow(sample, "key long, whole long, doc long, place long, gone boolean")
+    found = texts.mapInArrow(sample, "key long, whole long, doc long, tag long, place long, gone boolean")
     by = Window.partitionBy("key")
-    here = F.when(~F.col("gone"), F.struct("doc", (F.col("place").bitwiseAND(-(1 << _START))).alias("start")))
+    here = F.when(~F.col("gone"), F.struct("doc", "tag", F.shiftright("place", _START).alias("start")))
     live = F.when(~F.col("gone"), F.col("whole"))
     inner = F.max(F.when(~F.col("gone"), F.shiftright("place", _SELF).bitwiseAND(1))).over(by)
     judged = found.withColumns({"n": F.count(live).over(by), "first": F.min(here).over(by), "mixed": (F.min(live).over(by) != F.max(live).over(by)) | (inner == 1)})
     open_ = ~F.col("gone") & F.coalesce("mixed", F.lit(False))
     later = F.col("gone") | (here > F.col("first"))
-    judged = staged(judged.select("key", "doc", "place", "n", open_.alias("open"), later.alias("later")).where("open or later"), "pieces")
-    removed = judged.where("not open").select("doc", "place")
+    judged = staged(judged.select("key", "doc", "tag", "place", "n", open_.alias("open"), later.alias("later")).where("open or later"), "pieces")
+    removed = judged.where("not open").select("doc", "tag", "place")
 
     # --- keys whose pieces differ: the automata
-    asked = judged.where("open").groupBy("doc").agg(F.collect_list(F.struct("place", "key", "n")).alias("asked"))
+    asked = judged.where("open").groupBy("doc", "tag").agg(F.collect_set(F.struct("place", "key", "n")).alias("asked"))
 
     def fetch(batches):
         for part in chunks(rows_of(batches, "asked"), 1 << 20):
             out = []
             _, s, e, first, joined = (None, *_words([r[-1] for r in part]))
-            for i, (doc, tag_, wanted, _) in enumerate(part):
+            for i, (doc, tag, wanted, _) in enumerate(part):
                 for a in wanted:
                     place = a["place"]
-                    if place & _TAG != tag_:
-                        continue
-                    lo, n = first[i] + (place >> _START), (place >> _N) & 15
+                    lo, n = first[i] + (place >> _START), place & 15
                     turns = [(lo + k, 1) for k in range(n)] if a["n"] > most or (place >> _SELF) & 1 else [(lo, n)]
                     for at, m in turns:
                         text = b" ".join(joined[x:y] for x, y in zip(s[at : at + m + window - 1].tolist(), e[at : at + m + window - 1].tolist(), strict=True))
                         shard = a["key"] if a["n"] <= most else int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-                        out.append((shard, a["key"], doc, (int(at - first[i]) << _START) | (m << _N) | tag_, text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "key", "doc", "place", "words"])
+                        out.append((shard, a["key"], doc, tag, (int(at - first[i]) << _START) | m, text))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (*[pa.int64()] * 5, pa.binary()), strict=True)], ["shard", "key", "doc", "tag", "place", "words"])
 
     def stream(batches):
         now, automaton, held, at = None, None, [], None
         for batch in batches:
-            docs_, places = [], []
-            for shard, key, doc, place, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "doc", "place", "words")), strict=True):
+            gone = []
+            for shard, key, doc, tag, place, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "doc", "tag", "place", "words")), strict=True):
                 if (shard, key) != now:
                     now, automaton, held, at = (shard, key), Automaton(), [], None
-                here = (doc, place >> _START)
+                here = (doc, tag, place >> _START)
                 if here != at:
                     for w in held:
                         automaton.add(w)
@@ -207,30 +207,29 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int =
                 n = automaton.matches(w)[window - 1 :]
                 for k, m in enumerate(n):
                     if m >= window:
-                        docs_.append(doc)
-                        places.append(((here[1] + k) << _START) | (1 << _N) | (place & _TAG))
+                        gone.append((doc, tag, ((here[2] + k) << _START) | 1))
                 if min(n) < window:
                     held.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(places, pa.int64())], ["doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*gone, strict=True) if gone else [[]] * 3)], ["doc", "tag", "place"])
 
-    pieces = texts.join(asked, "doc").mapInArrow(fetch, "shard long, key long, doc long, place long, words binary")
-    dealt = pieces.repartition("shard", "key").sortWithinPartitions("shard", "key", "doc", "place")
-    removed = staged(removed.unionByName(dealt.mapInArrow(stream, "doc long, place long")), "removed")
+    pieces = texts.join(asked, ["doc", "tag"]).mapInArrow(fetch, "shard long, key long, doc long, tag long, place long, words binary")
+    dealt = pieces.repartition("shard", "key").sortWithinPartitions("shard", "key", "doc", "tag", "place")
+    removed = staged(removed.unionByName(dealt.mapInArrow(stream, "doc long, tag long, place long")), "removed")
 
     # --- the texts without what is to go
-    lists = removed.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    lists = removed.groupBy("doc", "tag").agg(F.collect_set("place").alias("places"))
 
     def cut(batches):
         for batch in slices(batches):
             out = []
-            for doc, tag_, places, text in rows_of([batch], "places"):
+            for doc, _, places, text in rows_of([batch], "places"):
                 words_ = text.translate(PLAIN).split()
                 gone = 0
                 if places:
-                    p = np.array([x for x in places if x & _TAG == tag_], np.int64)
+                    p = np.array(places, np.int64)
                     edge = np.zeros(len(words_) + 1, np.int64)
                     np.add.at(edge, p >> _START, 1)
-                    np.add.at(edge, (p >> _START) + ((p >> _N) & 15) + window - 1, -1)
+                    np.add.at(edge, (p >> _START) + (p & 15) + window - 1, -1)
                     out_ = np.cumsum(edge)[:-1] > 0
                     gone = int(out_.sum())
                     if gone:
@@ -239,7 +238,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int =
                 out.append((None if doc == LOW else doc, len(words_) + gone, gone, kept.decode(), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return texts.join(lists, "doc", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return texts.join(lists, ["doc", "tag"], "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 def _words(texts: list[bytes]):

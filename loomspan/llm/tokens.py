@@ -6,7 +6,8 @@ so any block is found through the offset table and unpacked alone with numpy. Im
 (column ``content``), written by Spark's committer: a lost or repeated task leaves no half-written file.
 
 Nulls: a null text is an empty document (only the end id); a null doc_id sorts first. Repeated doc_ids keep one entry a
-row, in the order of the scan. An empty table gives an empty dataset. Other columns are not read.
+row, in the order of the scan. A very long text is encoded slice by slice and lies in one image. An empty table gives an empty
+dataset. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

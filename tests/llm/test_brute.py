@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -227,6 +228,12 @@ def test_neighbours_recall_on_table(spark, sf):
     assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()
 
 
+def place_of(doc, text):
+    """A document's place: doc_id, then Spark's hash of the text."""
+    n = xxhash.xxh64((text or "").encode(), seed=42).intdigest() if text is not None else 42
+    return -(2**63) if doc is None else doc, n - 2**64 if n >= 2**63 else n
+
+
 def test_substrings(spark):
     from loomspan.llm.substrings import remove_repeats
 
@@ -243,17 +250,16 @@ def test_substrings(spark):
     rows += [(200, rows[0][1]), (201, rows[0][1]), (1000, None), (1001, ""), (1002, "\t x \n y\x0bz "), (1003, "ha " * 70), (1004, rows[3][1] + " tail " + rows[3][1]), (None, rows[0][1]), (200, "other " + rows[6][1])]
     got = remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_words int")).collect()
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
-    low = -(2**63)
-    first = {}
-    for (d, _), w in zip(rows, split):
+    first, own = {}, [place_of(d, t) for d, t in rows]
+    for d, w in zip(own, split, strict=True):
         for i in range(len(w) - 19):
             k = tuple(w[i : i + 20])
-            first[k] = min(first.get(k, (2**63, 0)), (low if d is None else d, i))
+            first[k] = min(first.get(k, (2**63,)), (*d, i))
     want = []
-    for (d, _), w in zip(rows, split):
+    for (d, _), here, w in zip(rows, own, split, strict=True):
         gone = set()
         for i in range(len(w) - 19):
-            if first[tuple(w[i : i + 20])] < (low if d is None else d, i):
+            if first[tuple(w[i : i + 20])] < (*here, i):
                 gone |= set(range(i, i + 20))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want.append((str(d), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
@@ -261,6 +267,20 @@ def test_substrings(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substrings_of_rows_without_id_and_long_texts(spark):
+    """Many rows without doc_id are one document; each loses what starts later in it, once."""
+    from loomspan.llm.substrings import remove_repeats
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"a{k % 7} {passage}") for k in range(60)] + [(None, f"{passage} b{k}") for k in range(5)] + [(4, passage), (5, "w " * 200_000)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lead = min((t for d, t in rows if d is None), key=lambda t: place_of(None, t))
+    want = Counter((None, t) if t == lead else (None, t.split()[0] if t[0] == "a" else t.split()[-1]) for d, t in rows if d is None)
+    assert Counter((r.doc_id, r.kept) for r in got if r.doc_id is None) == want
+    assert [(r.n_words, r.n_removed, r.kept) for r in got if r.doc_id == 4] == [(30, 30, "")]
+    assert [(r.n_words, r.n_removed) for r in got if r.doc_id == 5] == [(200_000, 199_999)]
+
+
 def test_tokens(spark):
     import zlib
 
@@ -285,6 +305,25 @@ def test_tokens(spark):
     assert read_shards(write_shards(spark.createDataFrame([], "doc_id long, text string"), path)).count() == 0
 
 
+def test_tokens_of_whole_documents(spark, sf):
+    """Piece by piece as a whole text at once: all documents of the small table, and texts of odd characters."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomspan.llm.tokens import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, encode = Tokenizer.from_file(path), encoder(path)[0]
+    rng = np.random.default_rng(12)
+    odd = list("aAzZ09 \n\t.,;:!?'\"-_()[]<>|@#éÉßİıǅΣςд中日한\u0301\u0308\u200b\u00a0\u2028\u3000\U0001f600") + ["the", "The", "don't", "<|", "|>", "e.g.", "1,000.5", "  "]
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["".join(rng.choice(odd, int(rng.integers(1, 60)))) for _ in range(3000)]
+    crc = lambda data: zlib.crc32(data)
+    wrong = [t for t in texts if crc(encode(t.encode())) != crc(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())]
+    assert not wrong, wrong[:5]
+
+
 def test_packing():
     from loomspan.llm.tokens import Image, pack, to_image, unpack
 

@@ -20,6 +20,11 @@ def test_fold_and_read_back(spark):
     assert [s.text for s in got[1].segments if s.loss] == ["new<\\\\|"] and got[1].formatted.count("<|im_end|>") == 2
     assert [tuple(t) for t in got[2].turns] == [("", "")] and [tuple(t) for t in got[3].turns] == [("ro%le\n<", "late")]
     assert [tuple(t) for t in got[4].turns] == [("user", "x"), ("user", "y")]
+    assert render(fold(spark.createDataFrame([], "conv_id long, seq long, turn long, kind string, role string, text string"))).count() == 0
+    # a very long text and columns named as the operator's own
+    wide = spark.createDataFrame([(1, 0, 0, "message", "assistant", "<|x|>\\" * 100_000, 1, "f", 2)], "conv_id long, seq long, turn long, kind string, role string, text string, message int, formatted string, i int")
+    r = render(fold(wide)).withColumn("turns", read_back(F.col("formatted"))).first()
+    assert r.n_turns == 1 and r.turns[0].text == "<|x|>\\" * 100_000
 
 
 def test_timetable(spark):
@@ -81,6 +86,73 @@ def test_pseudonyms(spark):
     assert pseudonymise(frame.where("false"), "k").count() == 0
 
 
+def test_pseudonyms_against_plain_python(spark):
+    """The Feistel network of the module's docstring, written anew with Python's own numbers."""
+    from hashlib import sha256
+
+    from loomspan.llm.pii import ROUNDS, pseudonymise
+
+    def keyed(kind, turn, value):
+        return int(sha256(f"k:{kind}:{turn}:{value}".encode()).hexdigest()[:15], 16)
+
+    def pair(left, right, m_left, m_right, kind):
+        for turn in range(ROUNDS):
+            if turn % 2:
+                right = (right + keyed(kind, turn, left) % m_right) % m_right
+            else:
+                left = (left + keyed(kind, turn, right) % m_left) % m_left
+        return left, right
+
+    def spell(n, width, base):
+        out = ""
+        for _ in range(width):
+            n, d = divmod(n, len(base))
+            out = base[d] + out
+        return out
+
+    def word(v, kind, base="0123456789"):
+        out = ""
+        for at in range(0, len(v), 20):
+            p = v[at : at + 20]
+            half = len(p) // 2
+            number = lambda x: sum(base.index(c) * len(base) ** i for i, c in enumerate(reversed(x)))  # noqa: B023, E731
+            a, b = pair(number(p[:half]), number(p[half:]), len(base) ** half, len(base) ** (len(p) - half), kind)
+            out += spell(a, half, base) + spell(b, len(p) - half, base)
+        return out
+
+    def card(d):
+        body = d[0] + word(d[1:-1], "card")
+        total = sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, reversed(body))))
+        return body + str(-total % 10)
+
+    def phone(d):
+        a, b = pair(int(d[:3]) - 200, int(d[3:]) - 2_000_000, 800, 8_000_000, "phone")
+        return f"{a + 200}{b + 2_000_000}"
+
+    def ip(v):
+        a, b, c, d = map(int, v.split("."))
+        x, y = pair(a * 256 + b, c * 256 + d, 1 << 16, 1 << 16, "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+
+    def day(v):
+        from datetime import date, timedelta
+
+        a, b = pair(*divmod((date.fromisoformat(v) - date(1900, 1, 1)).days, 285), 256, 285, "date")
+        return (date(1900, 1, 1) + timedelta(days=a * 285 + b)).isoformat()
+
+    p = phone("7435553824")
+    letters, numbers = word("hein", "letters", "abcdefghijklmnopqrstuvwxyz"), word("19", "digits")
+    hexes = "0123456789abcdef" * 2 + "01234567"
+    cases = {
+        "4785380592391139": card("4785380592391139"), "378282246310005": card("378282246310005"), "+1 (743) 555-3824": f"+1 ({p[:3]}) {p[3:6]}-{p[6:]}", "743-555-3824": f"{p[:3]}-{p[3:6]}-{p[6:]}",
+        "233.233.171.252": ip("233.233.171.252"), "2021-02-28": day("2021-02-28"), "1900-01-01": day("1900-01-01"), "hein.19@mail5.example.com": f"{letters}.{numbers}@mail5.example.com", hexes: word(hexes, "key", "0123456789abcdef"),
+    }
+    texts = [f"x {v} y" for v in cases] + ["lorem " * 100_000 + "4785380592391139"]
+    got = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    assert [got[i] for i in range(len(cases))] == [f"x {v} y" for v in cases.values()]
+    assert got[len(cases)] == "lorem " * 100_000 + card("4785380592391139")
+
+
 def test_pseudonyms_in_runs_and_other_forms(spark):
     import random
 
@@ -121,6 +193,16 @@ def test_rules(spark):
     assert (got[0].host, got[0].path, got[7].host, got[8].path) == ("a.net", "/x", "", "")
 
 
+def test_urls_empty_long_and_clashing(spark):
+    from loomspan.llm.urls import judge, rule_rows
+
+    urls = [(0, "https://a.net/" + "x/" * 50_000, "r", "h"), (0, "https://a.net/" + "x/" * 50_000, "r", "h"), (1, "", None, None)]
+    got = judge(spark.createDataFrame(urls, "key long, url string, rule string, host string"), rule_rows(spark)).collect()
+    assert sorted((r.key, r.host, len(r.path), r.rule, r.verdict) for r in got if r.key == 0) == [(0, "a.net", 100_001, "net/", "block")] * 2
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got if r.key == 1] == [("", "", None, "allow")]
+    assert judge(spark.createDataFrame([], "key long, url string"), rule_rows(spark)).count() == 0
+
+
 def test_patterns_inside_tokens(spark):
     from loomspan.llm.urls import judge, rule_rows
 
@@ -145,6 +227,18 @@ def test_decontamination(spark):
         by = {(r.doc_id, r.n_words): r for r in got}
         assert len(got) == len(docs)
         assert (by[1, 17].n_hit, by[1, 17].item_ids) == (15, ["1", "4"]) and (by[2, 5].n_hit, by[2, 5].item_ids) == (4, ["10", "2"])
+        assert by[1, 17].near_ids == ["1", "4"]
         assert by[4, 9].n_hit == by[1, 1].n_hit == by[None, 1].n_hit == by[3, 0].n_hit == by[5, 11].n_hit == 0 and by[5, 11].near_ids == ["1"]
+    # near places by brute force: one word put in, one left out, none across documents; and a very long text
+    base = words[:15]
+    texts = [base[:7] + ["new"] + base[7:], base[:5] + base[6:], base[:5], base[5:10], ["w1"] * 150_000 + base]
+    got = {r.doc_id: r for r in contamination(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), frames[1].where("item_id in (1, 4)"), slop=1).collect()}
+
+    def near(t, w):
+        return any(all(any(0 <= s + k + o < len(t) and t[s + k + o] == x for o in (-1, 0, 1)) for k, x in enumerate(w)) for s in range(-1, len(t) + 1))
+
+    for i, t in enumerate(texts[:4]):
+        assert got[i].near_ids == [n for n, w in (("1", base), ("4", words[3:13])) if any(near(t, w[a : a + 10]) for a in range(len(w) - 9))]
+    assert got[0].near_ids == ["1", "4"] and not got[0].item_ids[1:] and got[4].n_hit == 15 and got[4].n_words == 150_015
     assert contamination(frames[0], frames[1].where("false")).where("n_hit > 0").count() == 0
     assert contamination(frames[0].where("false"), frames[1]).count() == 0
