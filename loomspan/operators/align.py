@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,14 @@ def similarity(a: str, b: str) -> int:
     return len(x & y) * 60 // max(len(x), len(y)) if x and y else 0
 
 
+def similarity_of(a: Column, b: Column) -> Column:
+    """SCF-11 of two columns, by Spark's own functions."""
+    x, y = F.array_distinct(F.split(a, r"\s+")), F.array_distinct(F.split(b, r"\s+"))
+    shared = F.floor(F.size(F.array_intersect(x, y)) * 60 / F.greatest(F.size(x), F.size(y)))
+    some = (a != "") & (b != "")
+    return F.when(some & (a == b), 100).when((a == "") & (b == ""), 10).when(~some, 0).when(F.contains(a, b) | F.contains(b, a), 80).otherwise(shared).cast("int")
+
+
 def aligned(a: list[str], b: list[str], score=similarity, gap: int = GAP) -> list[tuple[int, int]]:
     """SCF-12: pairs of places of a best global alignment; the diagonal before a skip in ``a`` before a skip in ``b``."""
     best = [[j * gap for j in range(len(b) + 1)]]
@@ -92,19 +101,35 @@ def alike(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def error_rate(pairs: DataFrame) -> DataFrame:
+    """AGG-28: ``pairs`` (reference, found) with errors, n (words of the reference) and rate, errors / n (null without words)."""
+    errors, n = word_errors(F.col("reference"), F.col("found")).cast("long"), F.size("reference").cast("long")
+    return pairs.withColumns({"errors": errors, "n": n}).withColumn("rate", F.when(F.col("n") > 0, F.col("errors") / F.col("n"))).drop("reference", "found")
+
+
 def grouped(rows: DataFrame, limit_ms: int) -> DataFrame:
     """WIN-14, second part: consecutive utterances (file, idx, est_start, est_end) in groups that span at most ``limit_ms``.
 
-    Greedy and so sequential: one pass over each file's rows in order.
+    Greedy and so sequential: one pass over each file's rows in order, which are streamed, so that no file has to fit a task.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        group, start, out = -1, None, []
-        for s, e in zip(pdf["est_start"], pdf["est_end"], strict=True):
-            if start is None or e - start > limit_ms:
-                group, start = group + 1, s
-            out.append(group)
-        return pdf[["file", "idx"]].assign(group=out)
-
-    return rows.select("file", "idx", "est_start", "est_end").groupBy("file").applyInPandas(run, "file long, idx long, group long")
+    def run(batches):
+        file, group, start = None, 0, None
+        for batch in batches:
+            out = []
+            for f, s, e in zip(*(batch.column(c).to_pylist() for c in ("file", "est_start", "est_end")), strict=True):
+                if f != file:
+                    file, group, start = f, 0, s
+                elif e - start > limit_ms:
+                    group, start = group + 1, s
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("idx"), pa.array(out, pa.int64())], ["file", "idx", "group"])
+
+    r = rows.select(F.col("file").cast("long").alias("file"), F.col("idx").cast("long").alias("idx"), "est_start", "est_end")
+    return r.repartition("file").sortWithinPartitions("file", "idx").mapInArrow(run, "file long, idx long, group long")
+
+
+def group_totals(rows: DataFrame) -> DataFrame:
+    """AGG-26: groups, utterances and words in them, by file, of rows (file, group, words)."""
+    one = rows.groupBy("file", "group").agg(F.count("*").alias("u"), F.sum("words").alias("w"))
+    return one.groupBy("file").agg(F.count("*").alias("groups"), F.sum("u").alias("utterances"), F.sum("w").alias("words"))

@@ -30,8 +30,14 @@ def runs(text: Column, one: str = ONE) -> Column:
 
 def bigrams(runs_: DataFrame, column: str = "run") -> DataFrame:
     """AGG-11: neighbours (a, b) within each run."""
-    size = F.size(column)
-    return runs_.where(size >= 2).select(F.explode(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.struct(F.element_at(F.col(column), i).alias("a"), F.element_at(F.col(column), i + 1).alias("b")))).alias("p")).select("p.*")
+    fewer = F.greatest(F.size(column) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(column, F.lit(1), fewer).alias("a"), F.slice(column, F.lit(2), fewer).alias("b"))
+    return runs_.select(F.inline(pairs).alias("a", "b"))
+
+
+def sequences(runs_: DataFrame, *sizes: int, column: str = "run") -> DataFrame:
+    """AGG-13: runs of the given sizes, by their classes in order, with how often they occur."""
+    return runs_.where(F.size(column).isin(*sizes)).groupBy(F.array_join(column, " ").alias("run")).agg(F.count("*").alias("n"))
 
 
 def consistency(pairs: DataFrame, least: int = 20) -> DataFrame:

@@ -33,11 +33,13 @@ def tokens(content: Column) -> Column:
 
 
 def edges(opens: DataFrame, columns: int = 2, distance: int = 5) -> DataFrame:
-    """JON-05: for each open bracket (file, id, speaker, line, column) that is indented, the nearest earlier one of another
-    speaker within ``distance`` lines whose column differs by at most ``columns``."""
-    a = opens.where("column > 0").alias("a")
-    b = opens.alias("b")
-    near = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("b.id") < F.col("a.id")) & (F.col("a.line") - F.col("b.line")).between(0, distance) & (F.abs(F.col("a.column") - F.col("b.column")) <= columns) & (F.col("a.speaker") != F.col("b.speaker")))
+    """JON-05: for each open bracket (file, id, speaker, line, column, char_offset) that doesn't open its content, the nearest
+    earlier one of another speaker within ``distance`` lines whose column differs by at most ``columns``. The join is by equal
+    file and band of ``distance`` lines."""
+    bucket = F.floor(F.col("line") / distance)
+    a = opens.where("char_offset > 0").withColumn("bucket", F.explode(F.array(bucket, bucket - 1))).alias("a")
+    b = opens.withColumn("bucket", bucket).alias("b")
+    near = a.join(b, (F.col("a.file") == F.col("b.file")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.id") < F.col("a.id")) & (F.col("a.line") - F.col("b.line")).between(0, distance) & (F.abs(F.col("a.column") - F.col("b.column")) <= columns) & (F.col("a.speaker") != F.col("b.speaker")))
     return near.groupBy(F.col("a.file").alias("file"), F.col("a.id").alias("id")).agg(F.max(F.struct(F.col("b.id").alias("target"), F.abs(F.col("a.column") - F.col("b.column")).alias("column_delta"), (F.col("a.line") - F.col("b.line")).alias("line_distance"))).alias("m")).select("file", "id", "m.*")
 
 
@@ -54,22 +56,54 @@ def overlapping(pairs: DataFrame, lines: int = 20, close: int = 2, slack: float
     return left.join(right, on).where((F.col("a.speaker") != F.col("b.speaker")) & (gap <= lines) & (meets | (gap <= close))).select(F.col("a.file").alias("file"), F.col("a.pair").alias("a"), F.col("b.pair").alias("b"))
 
 
+def aligned(edge: DataFrame, pairs: DataFrame) -> DataFrame:
+    """JON-07: links (file, a, b) between the pairs (file, pair, open_id, speaker, index) that an edge (file, id, target) ties:
+    both open ids are known, speakers differ, indices are equal (null equals null)."""
+    p = pairs.select("file", "pair", "open_id", "speaker", "index")
+    a = p.withColumnsRenamed({"pair": "a", "open_id": "id", "speaker": "sa", "index": "ia"})
+    b = p.withColumnsRenamed({"pair": "b", "open_id": "target", "speaker": "sb", "index": "ib"})
+    return edge.select("file", "id", "target").join(a, ["file", "id"]).join(b, ["file", "target"]).where((F.col("sa") != F.col("sb")) & F.col("ia").eqNullSafe(F.col("ib"))).select("file", "a", "b")
+
+
+def marked_text(line: Column, mark: str) -> Column:
+    """SCF-10, SCF-09: the text from the line's first such opening mark to its close, or to the line's end: lower case, without
+    breath marks and overlap marks, only letters, digits, apostrophes and single blanks. Null without a mark."""
+    close = {"⌈": "⌉", "⌊": "⌋"}[mark]
+    inner = F.regexp_extract(line, f"{mark}[2-9]?([^{close}]*)", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.lower(inner), "&=in|&=ex|&=tsk|[⌈⌉⌊⌋]", ""), r"[^\p{L}\p{N}\s']", "")
+    return F.when(F.contains(line, F.lit(mark)), F.trim(F.regexp_replace(bare, r"\s+", " ")))
+
+
 def sets_of(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """ITR-01, WIN-11, ITR-02: overlap sets with roles: linked pairs are a set; the kth pair of a speaker in it goes to its
-    kth sub-set; of a sub-set of two or more the lowest pair is top, the others bottom."""
+    kth sub-set; the lowest pair of a sub-set, alone or not, is top, the others bottom. The real index is a pair's own less
+    one, else that of the top, else 0."""
     key = lambda f, p: F.concat_ws(":", f.cast("string"), F.lpad(p.cast("string"), 12, "0"))
     comp = components(links.select(key(F.col("file"), F.col("a")).alias("a"), key(F.col("file"), F.col("b")).alias("b")))
     p = pairs.withColumn("node", key(F.col("file"), F.col("pair"))).join(comp, "node", "left").withColumn("set", F.coalesce("root", "node"))
     p = p.withColumn("nth", F.row_number().over(Window.partitionBy("set", "speaker").orderBy("pair")))
-    w = Window.partitionBy("set", "nth")
-    role = F.when(F.count("*").over(w) < 2, F.lit(None)).when(F.col("pair") == F.min("pair").over(w), "top").otherwise("bottom")
-    return p.withColumn("role", role).select("file", "pair", "speaker", "set", "nth", "role")
+    first = F.first(F.struct("pair", "index")).over(Window.partitionBy("set", "nth").orderBy("pair"))
+    p = p.withColumn("top", first)
+    role = F.when(F.col("pair") == F.col("top.pair"), "top").otherwise("bottom")
+    return p.select("file", "pair", "speaker", "set", "nth", role.alias("role"), F.coalesce(F.col("index") - 1, F.col("top.index") - 1, F.lit(0)).cast("int").alias("real_index"))
+
+
+def shown_index(real_index: Column) -> Column:
+    """SCF-24: the index that is written, counted from 1 and starting anew after 9; null where it is 1, which is not written."""
+    return F.when(real_index % 9 > 0, real_index % 9 + 1)
 
 
 def confidence(opens: DataFrame, edge: DataFrame) -> DataFrame:
-    """EXP-04: Original if indexed; High with an edge; Medium if its real index occurs twice in the file; Low; NeedsReview
-    without a role. ``opens``: file, id, index, role, real_index."""
-    with_edge = edge.select("file", "id").distinct().withColumn("edge", F.lit(True))
-    n = F.count("*").over(Window.partitionBy("file", "real_index"))
-    level = F.when(F.col("role").isNull(), "NeedsReview").when(F.col("index").isNotNull(), "Original").when(F.col("edge"), "High").when(F.col("n") >= 2, "Medium").otherwise("Low")
+    """EXP-04: Original if indexed; High at either end of an edge; Medium if its real index occurs twice among the file's opening and
+    closing brackets; Low; NeedsReview without a role. ``opens``: file, id, index, role, real_index, closed."""
+    with_edge = edge.select("file", F.explode(F.array("id", "target")).alias("id")).distinct().withColumn("edge", F.lit(True))
+    held = F.when(F.col("role").isNotNull(), 1 + F.col("closed").cast("int"))
+    n = F.sum(held).over(Window.partitionBy("file", "real_index"))
+    level = F.when(F.col("index").isNotNull(), "Original").when(F.col("role").isNull(), "NeedsReview").when(F.col("edge"), "High").when(F.col("n") >= 2, "Medium").otherwise("Low")
     return opens.withColumn("n", n).join(with_edge, ["file", "id"], "left").withColumn("confidence", level).drop("n", "edge")
+
+
+def review(levels: DataFrame) -> DataFrame:
+    """AGG-21: brackets by confidence, and the share of all in the file."""
+    n = levels.groupBy("file", "confidence").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("file")))

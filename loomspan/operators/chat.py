@@ -51,3 +51,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     """CLN-20 (REPEAT): whether the utterance (file, idx, speaker, text) says what its speaker's last one said."""
     before = F.lag("text").over(Window.partitionBy("file", "speaker").orderBy("idx"))
     return rows.withColumn("repeated", F.coalesce(F.lower("text") == F.lower(before), F.lit(False)))
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """EXP-08: what a result adds to its input (before, after; null after: no result): %mor, %gra, timing; - for nothing; lines."""
+    lines = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", 0).otherwise(F.size(F.split(F.regexp_replace(c, "\n$", ""), "\n")))
+    new = lambda mark, name: F.when(F.contains("after", F.lit(mark)) & ~F.contains("before", F.lit(mark)), F.lit(name))
+    found = F.array_join(F.array_compact(F.array(new("%mor:", "%mor"), new("%gra:", "%gra"), new("\x15", "timing"))), ", ")
+    return rows.withColumns({"added": F.when(F.coalesce(found, F.lit("")) == "", "-").otherwise(found), "in_lines": lines("before"), "out_lines": lines("after")})

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for the ends of ``links`` (a, b): root is the smallest node that a node is linked with.
 
-    Each round ties a node's larger neighbours, then its smaller ones, to its smallest neighbour; the edges end as stars.
+    Each round ties a node's larger neighbours, then its smaller ones, to its smallest neighbour, until no edge changes; the
+    edges end as stars.
     Rounds are cut by a checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset).
     """
     spark = links.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}")
     edges, state = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

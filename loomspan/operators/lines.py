@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,13 +33,26 @@ def any_codes(rows: DataFrame, code: str = r"\b(E\d{3})\b") -> DataFrame:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """WIN-03: utterances from lines (file, line, speaker, text): a new one where the speaker differs from the current one,
-    or the line before held a terminator (``.``, ``?`` or ``--``)."""
-    prev = F.lag(F.struct("speaker", "text")).over(by_file())
-    ended = F.regexp_like(F.col("p.text"), F.lit(r"[.?]|--"))
-    new = F.coalesce((F.col("p.speaker") != F.col("speaker")) | ended, F.lit(True))
-    numbered = rows.withColumn("p", prev).withColumn("utterance", F.sum(new.cast("int")).over(by_file().rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("file", "utterance").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.min_by("speaker", "line").alias("speaker"), F.count("*").alias("lines"))
+    """WIN-03: utterances from lines (file, line, speaker, ends, n, and with annotator lines dropped where ``skip`` is true).
+
+    speaker is null on a continuation; ends: the line holds a terminator; n: its elements that are content. A line that names
+    another speaker than the current one starts a turn. Within a turn a line after one with a terminator starts an utterance,
+    if the one before has any content; utterances without content are dropped.
+    """
+    w = by_file()
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    # the line before counts for its terminator even where it is skipped
+    r = rows.withColumns({"ended": F.coalesce(F.lag("ends").over(w), F.lit(False))}).where(~F.coalesce("skip", F.lit(False)))
+    r = r.withColumn("current", F.last("speaker", ignorenulls=True).over(earlier))
+    turned = F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("current"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("turned", turned).withColumns({"turn": F.sum(F.col("turned").cast("int")).over(upto), "piece": F.sum((F.col("turned") | F.col("ended")).cast("int")).over(upto)})
+    pieces = r.groupBy("file", "turn", "piece").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("lines"), F.sum("n").alias("n"), F.min_by(F.coalesce("speaker", "current"), "line").alias("speaker"))
+    # a piece without content is one with the next of its turn
+    before = Window.partitionBy("file", "turn").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    whole = pieces.withColumn("part", F.coalesce(F.count_if(F.col("n") > 0).over(before), F.lit(0)))
+    out = whole.groupBy("file", "turn", "part").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.first("speaker").alias("speaker"), F.sum("lines").alias("lines"), F.sum("n").alias("n")).where("n > 0")
+    return out.select("file", F.row_number().over(Window.partitionBy("file").orderBy("first_line")).cast("long").alias("utterance"), "first_line", "last_line", F.coalesce("speaker", F.lit("")).alias("speaker"), "lines")
 
 
 def backwards_inside(rows: DataFrame, slack: float = 0.05) -> DataFrame:
@@ -60,16 +73,31 @@ def sliced(rows: DataFrame, first: int, last: int, context: int = 0) -> DataFram
     return r.where((F.col("kind") != "header") & F.col("utt").between(F.greatest(F.lit(first - context), F.lit(1)), F.least(F.lit(last + context), F.col("total")))).drop("total")
 
 
+#: Names with ids of their own.
+SPECIAL = {"TOM_1": "TOM1", "TOM_2": "TOM2", "TOM_3": "TOM3", "AUD_1": "AUD1", "AUD_2": "AUD2", "AUD_3": "AUD3", "SHANE": "SHAN", "SHARON": "SHA", "KEN": "KEN", "KENDRA": "KEND"}
+
+
+def speaker_id(name: Column) -> Column:
+    """SCF-04: a name's id: without marks before it, its own id if it has one, else its first four letters."""
+    bare = F.regexp_replace(name, r"^>*#*\**", "")
+    own = F.element_at(F.create_map(*(F.lit(x) for kv in SPECIAL.items() for x in kv)), bare)
+    return F.coalesce(own, F.substring(bare, 1, 4))
+
+
 def speaker_ids(rows: DataFrame) -> DataFrame:
-    """WIN-12, SCF-04: an id for each speaker name of a file, by first appearance: its first four letters, and JUNKn for the
-    nth name whose id is taken."""
-    names = rows.groupBy("file", "speaker").agg(F.min("line").alias("at")).withColumn("id", F.substring(F.regexp_replace("speaker", "[>#*]", ""), 1, 4))
+    """WIN-12: an id for each speaker name of a file, by first appearance; the nth name (from 0) whose id is taken is JUNKn."""
+    names = rows.groupBy("file", "speaker").agg(F.min("line").alias("at")).withColumn("id", speaker_id(F.col("speaker")))
     taken = F.row_number().over(Window.partitionBy("file", "id").orderBy("at", "speaker")) > 1
     r = names.withColumn("taken", taken)
-    nth = F.sum(F.col("taken").cast("int")).over(Window.partitionBy("file").orderBy("at", "speaker").rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.sum(F.col("taken").cast("int")).over(Window.partitionBy("file").orderBy("at", "speaker").rowsBetween(Window.unboundedPreceding, 0)) - 1
     return r.withColumn("nth", nth).select("file", "speaker", F.when(F.col("taken"), F.concat(F.lit("JUNK"), F.col("nth").cast("string"))).otherwise(F.col("id")).alias("id"))
 
 
+def names_by_id(names: DataFrame) -> DataFrame:
+    """JON-12: for each id the first, in their order, of the names (name, id) that have it."""
+    return names.groupBy("id").agg(F.min("name").alias("name"))
+
+
 def chunks(rows: DataFrame, size: int) -> DataFrame:
     """STR-04: consecutive rows of a file in chunks of at most ``size``."""
     return rows.withColumn("chunk", F.floor((F.row_number().over(by_file()) - 1) / size))

@@ -6,7 +6,7 @@ The three sources are DataFrames joined by the upper-cased identifier. A source
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Metadata keys by how repeated values are read.
@@ -27,7 +27,7 @@ def record(rows: DataFrame) -> DataFrame:
     first = lambda k: F.min_by("value", F.when(F.col("key") == k, F.col("line"))).alias(k.lower())
     last = lambda k: F.max_by("value", F.when(F.col("key") == k, F.col("line"))).alias(k.lower())
     several = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("key") == k, F.struct("line", "value")))), lambda x: x.value).alias(f"{k.lower()}s")
-    imdi = F.transform(F.sort_array(F.collect_list(F.when(F.col("key").startswith("IMDI_"), F.struct("line", F.substring("key", 6, 999).alias("k"), "value")))), lambda x: F.struct(x.k.alias("key"), x.value.alias("value"))).alias("imdi")
+    imdi = F.transform(F.sort_array(F.collect_list(F.when(F.col("key").startswith("IMDI_"), F.struct("line", F.substr("key", F.lit(6)).alias("k"), "value")))), lambda x: F.struct(x.k.alias("key"), x.value.alias("value"))).alias("imdi")
     out = kv.groupBy("file").agg(*map(first, FIRST_WINS), *map(several, APPENDED), *map(last, LAST_WINS), imdi)
     return out.withColumn("doi", F.trim(F.regexp_replace("doi", "^doi:", "")))
 
@@ -44,6 +44,12 @@ def first_problem(r: DataFrame) -> DataFrame:
     return r.withColumns({"missing": required, "sparse": sparse})
 
 
+def duplicates(records: DataFrame) -> DataFrame:
+    """JON-16, AGG-22: identifiers (doi, repository) as they are written that several records have, and in how many repositories."""
+    one = records.where("doi is not null").groupBy("doi", "repository").agg(F.count("*").alias("n"))
+    return one.groupBy("doi").agg(F.sum("n").alias("n"), F.count("*").alias("repositories")).where("n > 1")
+
+
 def html_identifiers(rows: DataFrame, prefix: str = "10.21415") -> DataFrame:
     """SRC-14: the first ``doi:prefix/...`` of each line (path, text), valid ones only; by key the smallest path wins."""
     found = doi(F.regexp_extract("text", rf"""(doi:{prefix.replace(".", "[.]")}/[^\s<"']*)""", 1))
@@ -57,7 +63,9 @@ def reconcile(local: DataFrame, registry: DataFrame | None = None, html: DataFra
     """
     key = F.upper("doi")
     e = local.select("path", "doi", "target_url", "description", "language", key.alias("key"))
-    e = e.withColumn("duplicate", F.col("key").isNotNull() & (F.count("key").over(Window.partitionBy("key")) > 1))
+    # records without identifier are not gathered anywhere
+    several = e.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("duplicate"))
+    e = e.join(several, "key", "left").select("path", "doi", "target_url", "description", "language", "key", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
     if registry is not None:
         r = registry.select(F.upper("doi").alias("r_key"), F.col("doi").alias("r_doi"), F.lower("state").alias("r_state"), F.col("url").alias("r_url"))
         j = e.join(r, (F.col("key") == F.col("r_key")) & ~F.col("duplicate"), "left")
@@ -104,3 +112,34 @@ def payload(r: DataFrame) -> DataFrame:
         F.coalesce("publisher", F.lit("unknown")).alias("publisher"), year(F.col("date")).alias("publicationYear"), listed("subjects", lambda x: F.struct(x.alias("subject"))).alias("subjects"), "language",
     )
     return r.withColumn("payload", F.to_json(F.struct(F.struct(F.lit("dois").alias("type"), body.alias("attributes")).alias("data"))))
+
+
+def target_url(path: Column, domains: dict[str, str] | None = None) -> Column:
+    """SCF-17: the landing page of a record at repository/corpus/.../file, or null at the top. domains: repository -> bank."""
+    parts = F.split(path, "/")
+    repo = F.get(parts, F.lit(0))
+    bank = F.coalesce(*(F.when(repo == r, F.lit(b)) for r, b in (domains or {}).items()), repo)
+    host = F.when(bank == "talkbank", F.lit("talkbank.org")).otherwise(F.concat(bank, F.lit(".talkbank.org")))
+    return F.when(F.size(parts) > 2, F.concat(F.lit("https://"), host, F.lit("/access/"), F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), "/"), F.lit(".html")))
+
+
+def exported(r: DataFrame) -> DataFrame:
+    """SNK-07: titled records as the nine columns of the registry's table, nulls as empty texts."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return r.where("title is not null").select(
+        text(F.col("doi")).alias("doi"), text(target_url(F.col("file"))).alias("target"), "title", F.array_join("creators", "; ").alias("creators"), F.coalesce("publisher", F.lit("TalkBank")).alias("publisher"),
+        text(year(F.col("date"))).alias("year"), *(text(F.col(c)).alias(c) for c in ("language", "description", "country")),
+    )
+
+
+def with_doi(text: Column, identifier: Column) -> Column:
+    """SNK-09: a record's text with the identifier in every DOI line, or in one after its end."""
+    line = F.concat(F.lit("DOI:\tdoi:"), identifier)
+    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n", -1)
+    has = F.exists(lines, lambda x: x.startswith("DOI:"))
+    return F.when(has, F.array_join(F.transform(lines, lambda x: F.when(x.startswith("DOI:"), line).otherwise(x)), "\n")).otherwise(F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n"), line, F.lit("\n")))
+
+
+def breakdown(entries: DataFrame) -> DataFrame:
+    """AGG-24, SNK-08: entries by status, in the order of the labels."""
+    return entries.groupBy("status").agg(F.count("*").alias("n")).orderBy("status")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """SET-03, SET-04: rows added and removed, counted with repeats, as (change, ...)."""
-    return after.exceptAll(before).withColumn("change", F.lit("added")).unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
+    """SET-03, SET-04: rows added and removed, as (change, ..., times): how many more, or fewer, there are than before."""
+    both = after.withColumn("times", F.lit(1)).unionByName(before.withColumn("times", F.lit(-1)))
+    sign = F.when(F.col("times") > 0, "added").otherwise("removed")
+    return both.groupBy(*after.columns).agg(F.sum("times").alias("times")).where("times <> 0").select(sign.alias("change"), *after.columns, F.abs("times").alias("times"))
 
 
 def membership(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -30,6 +32,47 @@ def top(rows: DataFrame, k: int, *order, by: list[str] | None = None) -> DataFra
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
 
 
+def coverage(rows: DataFrame, file: str, value: str) -> DataFrame:
+    """AGG-14: for each value (null: none) the files that hold it, and their share of all files in percent."""
+    held = rows.select(file, value).distinct()
+    total = held.agg(F.countDistinct(file).alias("_all"))
+    n = held.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("files"))
+    return n.crossJoin(F.broadcast(total)).select(value, "files", (100.0 * F.col("files") / F.col("_all")).alias("percent"))
+
+
+def rollup(rows: DataFrame, flags: dict[str, Column], kind: Column, *by: str) -> DataFrame:
+    """AGG-16 to AGG-18: files by group, those of each flag, and the set of kinds as one sorted text (null where there is none)."""
+    kinds = F.array_join(F.array_sort(F.collect_set(kind.cast("string"))), ",")
+    return rows.groupBy(*by).agg(F.count("*").alias("files"), *(F.count_if(c).alias(k) for k, c in flags.items()), F.nullif(kinds, F.lit("")).alias("kinds"))
+
+
+def by_code(rows: DataFrame, code: str) -> DataFrame:
+    """AGG-19: warnings (file, code) by code: all of them, and the files that have any."""
+    one = rows.groupBy(code, "file").agg(F.count("*").alias("n"))
+    return one.groupBy(code).agg(F.sum("n").alias("total"), F.count("*").alias("files"))
+
+
+def code_table(rows: DataFrame, by: str, codes: list[str]) -> DataFrame:
+    """AGG-20: rows by group, those with a code, and a column for each of ``codes``."""
+    return rows.groupBy(by).agg(F.count("*").alias("total"), F.count("code").alias("with_warning"), *(F.count_if(F.col("code") == c).alias(c) for c in codes))
+
+
+def mapped(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """JON-14: rows with what a small table says of their key."""
+    return rows.join(names, key)
+
+
+def split(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """JON-15, JON-18: rows with ``hit``, whether their key is known."""
+    return rows.join(known.select(key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def examples(rows: DataFrame, labels: list[tuple[str, Column]], n: int, *order) -> DataFrame:
+    """SRT-07: the first ``n`` rows, in ``order``, of each label; a row has the first label whose condition holds."""
+    label = F.coalesce(*(F.when(c, F.lit(name)) for name, c in labels))
+    return top(rows.withColumn("label", label).where("label is not null"), n, *order, by=["label"])
+
+
 def subcorpus(path: Column, prefix: Column) -> Column:
     """AGG-05: up to two path components after the common prefix."""
     rest = F.split(F.regexp_replace(F.substr(path, F.length(prefix) + 1), "^/", ""), "/")

@@ -23,6 +23,20 @@ def coverage(rows: DataFrame) -> DataFrame:
     return out.select("file", F.when(F.col("g") == 1, "ALL").otherwise(F.col("speaker")).alias("speaker"), "timed", "untimed")
 
 
+def coverage_table(rows: DataFrame) -> DataFrame:
+    """SNK-04, EXP-13: coverage in the columns of its table, percent to one place; ALL for a whole file."""
+    n = F.col("timed") + F.col("untimed")
+    return coverage(rows).select(F.col("file").cast("string").alias("file"), "speaker", n.alias("total"), "timed", "untimed", F.when(n > 0, F.round(100.0 * F.col("timed") / n, 1)).otherwise(0.0).alias("coverage"))
+
+
+def strategies(a: DataFrame, b: DataFrame) -> DataFrame:
+    """EXP-12: utterances (file, idx, start_ms, overlaps) of two reports whose times differ, and those of them that overlap by
+    the first report."""
+    j = a.select("file", "idx", F.col("start_ms").alias("a"), "overlaps").join(b.select("file", "idx", F.col("start_ms").alias("b")), ["file", "idx"])
+    differ = ~F.col("a").eqNullSafe(F.col("b"))
+    return j.groupBy("file").agg(F.count_if(differ).alias("differ"), F.count_if(differ & F.col("overlaps")).alias("differ_on_overlaps"))
+
+
 def adjacent(rows: DataFrame) -> DataFrame:
     """WIN-02, JON-11: each utterance with the next one of its file, without a join."""
     n = F.lead(F.struct("speaker", "start_ms", "end_ms")).over(by_file())
@@ -50,15 +64,15 @@ def quality(counts: DataFrame) -> DataFrame:
 def audit(rows: DataFrame) -> DataFrame:
     """Per file: utterances, those with each marker, cross-speaker pairs, timed pairs, those consistent within 2 s, quality.
 
-    Rows carry the four booleans of :func:`marked`. SCF-21: the bottom starts from 2 s before the top's start (0 at least)
-    to 2 s after its end.
+    Rows carry the four booleans of :func:`marked`. SCF-21: the bottom ends no earlier than 2 s before the top's start (0 at
+    least) and starts no later than 2 s after its end.
     """
     w = by_file()
     pair = F.col("top_begin") & F.lead("bottom_begin").over(w) & (F.col("speaker") != F.lead("speaker").over(w))
     ns, ne = F.lead("start_ms").over(w), F.lead("end_ms").over(w)
     p = rows.withColumns({"pair": F.coalesce(pair, F.lit(False)), "ns": ns, "ne": ne})
     timed = F.col("pair") & F.col("start_ms").isNotNull() & F.col("ns").isNotNull()
-    fine = timed & (F.col("ns") >= F.greatest(F.col("start_ms") - 2000, F.lit(0))) & (F.col("ns") <= F.col("end_ms") + 2000)
+    fine = timed & (F.col("ne") >= F.greatest(F.col("start_ms") - 2000, F.lit(0))) & (F.col("ns") <= F.col("end_ms") + 2000)
     some = F.col("top_begin") | F.col("top_end") | F.col("bottom_begin") | F.col("bottom_end")
     counts = p.groupBy("file").agg(
         F.count("*").alias("utterances"), F.count_if(some).alias("with_markers"), *(F.count_if(F.col(m)).alias(m) for m in ("top_begin", "top_end", "bottom_begin", "bottom_end")),
@@ -73,28 +87,38 @@ def totals(audited: DataFrame, *by: str) -> DataFrame:
     return audited.where("with_markers > 0").groupBy(*by).agg(F.count("*").alias("files"), q("fully_paired"), q("open_only"), q("mixed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cross_pairs", "timed_pairs", "temporal_ok")))
 
 
-def index_percentile(sorted_values: Column, share: float) -> Column:
-    """The value at place floor(share * n), from 0, of a sorted array."""
-    return F.get(sorted_values, F.floor(F.size(sorted_values) * share).cast("int"))
+#: Places, from 0, of the index percentiles.
+PLACES = {"median": 0.5, "p90": 0.9, "p95": 0.95}
 
 
 def error_stats(rows: DataFrame, error: str, *by: str) -> DataFrame:
     """AGG-06, AGG-07, AGG-09: counts within 0.5, 1, 2 s, index percentiles of |error|, mean |error| and mean error.
 
     The percentiles need places and not interpolation: the errors are counted by value first, so that a group's state is
-    its distinct millisecond values, and the places are read off the running counts.
+    its distinct millisecond values, and the places are read off the running counts. Without groups the values are summed by
+    the minute, one row of minutes tells in which of them each place lies, and only those are looked into.
     """
     e = rows.where(F.col(error).isNotNull()).select(*by, F.abs(error).alias("a"), F.col(error).alias("e"))
     values = e.groupBy(*by, "a").agg(F.count("*").alias("c"), F.sum("e").alias("s"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    v = values.withColumns({"upto": F.sum("c").over(w.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("a")))
-    out = v.groupBy(*by).agg(
+    sums = values.groupBy(*by).agg(
         F.sum("c").alias("n"), *(F.coalesce(F.sum(F.when(F.col("a") <= t, F.col("c"))), F.lit(0)).alias(f"within_{t}") for t in (500, 1000, 2000)),
-        at(F.floor(F.col("n") / 2)).alias("median"), at(F.floor(F.col("n") * 0.9)).alias("p90"), at(F.floor(F.col("n") * 0.95)).alias("p95"),
         (F.sum(F.col("a") * F.col("c")) / F.sum("c")).alias("mean_abs"), (F.sum("s") / F.sum("c")).alias("mean_error"),
     )
-    return out
+    if by:
+        w = Window.partitionBy(*by)
+        v = values.withColumns({"upto": F.sum("c").over(w.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+        at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("a")))
+        return sums.join(v.groupBy(*by).agg(*(at(x).alias(k) for k, x in PLACES.items())), list(by))
+    minute = F.floor(F.col("a") / 60_000)
+    minutes = values.groupBy(minute.alias("m")).agg(F.sum("c").alias("n")).agg(F.sort_array(F.collect_list(F.struct("m", "n"))).alias("h"), F.sum("n").alias("n"))
+    asked = minutes.select("h", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.floor(F.col("n") * x).alias("place")) for k, x in PLACES.items()))).alias("p")).select("h", "p.*")
+    none = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("m"), F.lit(0).cast("long").alias("base"))
+    found = F.aggregate("h", none, lambda s, x: F.struct((s.upto + x.n).alias("upto"), F.when(s.m.isNull() & (s.upto + x.n > F.col("place")), x.m).otherwise(s.m).alias("m"), F.when(s.m.isNull(), s.upto).otherwise(s.base).alias("base")))
+    there = asked.select("name", "place", found.alias("f")).select("name", "place", "f.m", "f.base")
+    inside = values.withColumn("m", minute).join(F.broadcast(there), "m")
+    upto = F.col("base") + F.sum("c").over(Window.partitionBy("name").orderBy("a").rowsBetween(Window.unboundedPreceding, 0))
+    hits = inside.withColumn("upto", upto).where("upto > place").agg(*(F.min(F.when(F.col("name") == k, F.col("a"))).alias(k) for k in PLACES))
+    return sums.crossJoin(hits)
 
 
 def onset_estimate(start: Column, end: Column, fraction: Column) -> Column:
@@ -163,11 +187,17 @@ def estimated(rows: DataFrame, weight: str, total: str) -> DataFrame:
 def windows(items: DataFrame, marks: DataFrame) -> DataFrame:
     """ITR-05: the nearest mark (file, key, at_ms) for an item (file, id, key, start_ms, end_ms) within ever wider windows.
 
-    One equi-join by file and key; the width at which a mark first fits is its level, and the lowest level wins, then the
-    nearest mark, then the earliest.
+    The width at which a mark first fits is its level, and wider levels hold what narrower ones do, so the nearest mark decides,
+    the earlier of two as near. It is the last before the item's start or the first from there on (an item doesn't end before it
+    starts): two windows over items and marks together, and no join.
     """
+    a = items.select("file", "key", "id", F.col("start_ms").alias("t"), "start_ms", "end_ms", F.lit(None).cast("long").alias("at_ms"), F.lit(0).alias("kind"))
+    both = a.unionByName(marks.select("file", "key", F.lit(None).cast("long").alias("id"), F.col("at_ms").alias("t"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), "at_ms", F.lit(1).alias("kind")))
+    w, earlier = Window.partitionBy("file", "key"), (Window.unboundedPreceding, -1)
+    seen = lambda *order: F.last("at_ms", ignorenulls=True).over(w.orderBy(*order).rowsBetween(*earlier))
+    near = both.withColumns({"before": seen("t", "kind", "id"), "after": seen(F.desc("t"), F.desc("kind"), F.desc("id"))}).where("kind = 0")
+    gap = lambda c: F.greatest(F.col("start_ms") - F.col(c), F.col(c) - F.col("end_ms"), F.lit(0))
+    best = F.least(*(F.when(F.col(c).isNotNull(), F.struct(gap(c).alias("gap"), F.col(c).alias("at_ms"))) for c in ("before", "after")))
     d = F.col("end_ms") - F.col("start_ms")
-    gap = F.greatest(F.col("start_ms") - F.col("at_ms"), F.col("at_ms") - F.col("end_ms"), F.lit(0))
-    level = F.when(gap <= 500, 1).when(gap <= F.greatest(d, F.lit(2000)), 2).when(gap <= F.greatest(2 * d, F.lit(5000)), 3)
-    j = items.join(marks, ["file", "key"]).withColumns({"level": level, "gap": gap}).where("level is not null")
-    return j.groupBy("file", "id").agg(F.min(F.struct("level", "gap", "at_ms")).alias("m")).select("file", "id", F.col("m.level").alias("level"), F.col("m.at_ms").alias("at_ms"))
+    level = F.when(F.col("m.gap") <= 500, 1).when(F.col("m.gap") <= F.greatest(d, F.lit(2000)), 2).when(F.col("m.gap") <= F.greatest(2 * d, F.lit(5000)), 3)
+    return near.withColumn("m", best).select("file", "id", level.alias("level"), "m.at_ms").where("level is not null")

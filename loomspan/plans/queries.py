@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.operators import align, annotations, brackets, chat, lexical, lines, metadata, sets, timing
+from loomspan.operators import align, annotations, brackets, chat, content, lexical, lines, metadata, sets, timing
 from loomspan.plans.registry import query
 from loomspan.sources import tables, transcripts
 from loomspan.sources.tables import LINES_SQL, TIMED_SQL
@@ -116,17 +116,18 @@ def _(spark, sf):
 
 
 AUDIT_SQL = f"""{TIMED_SQL}, m AS (SELECT *, speaker IN ('click', 'view') AND id % 3 = 0 AS top_begin, id % 4 = 0 AND file % 3 > 0 AS top_end, id % 3 = 1 AS bottom_begin, id % 4 = 1 AND file % 3 > 0 AS bottom_end FROM e),
-p AS (SELECT *, coalesce(top_begin AND lead(bottom_begin) OVER w AND speaker <> lead(speaker) OVER w, false) AS pair, lead(start_ms) OVER w AS ns FROM m WINDOW w AS (PARTITION BY file ORDER BY idx)),
+p AS (SELECT *, coalesce(top_begin AND lead(bottom_begin) OVER w AND speaker <> lead(speaker) OVER w, false) AS pair, lead(start_ms) OVER w AS ns, lead(end_ms) OVER w AS ne FROM m WINDOW w AS (PARTITION BY file ORDER BY idx)),
 c AS (SELECT file, count(*) AS utterances, count_if(top_begin OR top_end OR bottom_begin OR bottom_end) AS with_markers, count_if(top_begin) AS top_begin, count_if(top_end) AS top_end, count_if(bottom_begin) AS bottom_begin, count_if(bottom_end) AS bottom_end,
- count_if(pair) AS cross_pairs, count_if(pair AND start_ms IS NOT NULL AND ns IS NOT NULL) AS timed_pairs, count_if(pair AND ns >= greatest(start_ms - 2000, 0) AND ns <= end_ms + 2000) AS temporal_ok FROM p GROUP BY file),
+ count_if(pair) AS cross_pairs, count_if(pair AND start_ms IS NOT NULL AND ns IS NOT NULL) AS timed_pairs, count_if(pair AND ne >= greatest(start_ms - 2000, 0) AND ns <= end_ms + 2000) AS temporal_ok FROM p GROUP BY file),
 a AS (SELECT *, CASE WHEN top_begin + top_end + bottom_begin + bottom_end = 0 THEN 'none' WHEN top_end = 0 AND bottom_end = 0 THEN 'open_only' WHEN abs(top_begin - bottom_begin) <= 2 AND top_end > 0 AND bottom_end > 0 THEN 'fully_paired' ELSE 'mixed' END AS quality FROM c)"""
 _COUNTS = "file, CAST(utterances AS BIGINT) AS utterances, CAST(with_markers AS BIGINT) AS with_markers, CAST(top_begin AS BIGINT) AS top_begin, CAST(top_end AS BIGINT) AS top_end, CAST(bottom_begin AS BIGINT) AS bottom_begin, CAST(bottom_end AS BIGINT) AS bottom_end, CAST(cross_pairs AS BIGINT) AS cross_pairs, CAST(timed_pairs AS BIGINT) AS timed_pairs, CAST(temporal_ok AS BIGINT) AS temporal_ok, quality"
 
 
 def _audited(spark, sf):
     e, i, f = tables.timed(spark, sf), F.col("id"), F.col("file") % 3 > 0
-    m = e.withColumns({"top_begin": F.col("speaker").isin("click", "view") & (i % 3 == 0), "top_end": (i % 4 == 0) & f, "bottom_begin": i % 3 == 1, "bottom_end": (i % 4 == 1) & f})
-    return timing.audit(m)
+    mark = lambda c, m: F.when(c, F.lit(m)).otherwise("")
+    text = F.concat(F.lit("a "), mark(F.col("speaker").isin("click", "view") & (i % 3 == 0), "⌈"), F.lit("b "), mark((i % 4 == 0) & f, "⌉2"), mark(i % 3 == 1, "⌊"), F.lit("c"), mark((i % 4 == 1) & f, "⌋"))
+    return timing.audit(timing.marked(e.withColumn("text", text)))
 
 
 @query("agg02_agg03_jon11_scf21_overlap_audit", f"WITH {AUDIT_SQL} SELECT {_COUNTS} FROM a")
@@ -134,10 +135,12 @@ def _(spark, sf):
     return _audited(spark, sf)
 
 
-@query("agg04_agg05_audit_totals", f"""WITH {AUDIT_SQL} SELECT file % 5 AS subcorpus, count(*) AS files, count_if(quality = 'fully_paired') AS fully_paired, count_if(quality = 'open_only') AS open_only, count_if(quality = 'mixed') AS mixed,
+@query("agg04_agg05_audit_totals", f"""WITH {AUDIT_SQL} SELECT CASE file % 3 WHEN 0 THEN '' WHEN 1 THEN 'c' || (file % 5) ELSE 'c' || (file % 5) || '/d' END AS subcorpus, count(*) AS files, count_if(quality = 'fully_paired') AS fully_paired, count_if(quality = 'open_only') AS open_only, count_if(quality = 'mixed') AS mixed,
 CAST(sum(cross_pairs) AS BIGINT) AS cross_pairs, CAST(sum(timed_pairs) AS BIGINT) AS timed_pairs, CAST(sum(temporal_ok) AS BIGINT) AS temporal_ok FROM a WHERE with_markers > 0 GROUP BY ALL""")
 def _(spark, sf):
-    return timing.totals(_audited(spark, sf).withColumn("subcorpus", F.col("file") % 5), "subcorpus")
+    folder = F.concat(F.lit("/c"), (F.col("file") % 5).cast("string"))
+    path = F.concat(F.lit("/data"), F.when(F.col("file") % 3 == 0, "").when(F.col("file") % 3 == 1, folder).otherwise(F.concat(folder, F.lit("/d/e"))), F.lit("/f.cha"))
+    return timing.totals(_audited(spark, sf).withColumn("subcorpus", sets.subcorpus(path, F.lit("/data"))), "subcorpus")
 
 
 ONSET_SQL = f"""{TIMED_SQL}, o AS (SELECT file, idx, lead(start_ms) OVER (PARTITION BY file ORDER BY idx) - (start_ms + CAST(trunc(0.25 * greatest(end_ms - start_ms, 0)) AS BIGINT)) AS error FROM e), x AS (SELECT file, error, abs(error) AS a FROM o WHERE error IS NOT NULL)"""
@@ -211,7 +214,10 @@ def _(spark, sf):
     return timing.chained(tables.timed(spark, sf)).select("file", "idx", "word_end")
 
 
-@query("win14_groups")
+@query("win14_groups", f"""WITH RECURSIVE {TIMED_SQL}, b AS (SELECT file, idx, start_ms - min(start_ms) OVER (PARTITION BY file) AS s, end_ms - min(start_ms) OVER (PARTITION BY file) AS e, row_number() OVER (PARTITION BY file ORDER BY idx) AS k, count(*) OVER (PARTITION BY file) AS n FROM e),
+  t AS (SELECT file, idx, CAST(coalesce(s, greatest(floor((k - 1) / n * 3600000) - 2000, 0)) AS BIGINT) AS s, CAST(coalesce(e, least(floor(k / n * 3600000) + 2000, 3600000)) AS BIGINT) AS e FROM b),
+  g(file, idx, first, grp) AS (SELECT file, idx, s, CAST(0 AS BIGINT) FROM t WHERE idx = 1 UNION ALL SELECT t.file, t.idx, CASE WHEN t.e - g.first > 3600000 THEN t.s ELSE g.first END, CASE WHEN t.e - g.first > 3600000 THEN g.grp + 1 ELSE g.grp END FROM g JOIN t ON t.file = g.file AND t.idx = g.idx + 1)
+  SELECT file, CAST(idx AS BIGINT) AS idx, grp AS "group" FROM g""")
 def _(spark, sf):
     e = tables.timed(spark, sf).withColumns({"w": F.lit(1), "total": F.lit(3_600_000)})
     base = F.min("start_ms").over(Window.partitionBy("file"))
@@ -219,13 +225,19 @@ def _(spark, sf):
     return align.grouped(timing.estimated(e, "w", "total"), 3_600_000)
 
 
-@query("itr05_windows", f"""WITH {TIMED_SQL}, i AS (SELECT * FROM e WHERE speaker = 'click' AND start_ms IS NOT NULL), k AS (SELECT file, id % 4 AS key, start_ms AS at_ms FROM e WHERE speaker = 'view' AND start_ms IS NOT NULL),
-g AS (SELECT i.file, i.id, at_ms, greatest(start_ms - at_ms, at_ms - end_ms, 0) AS gap, end_ms - start_ms AS d FROM i JOIN k ON i.file = k.file AND i.id % 4 = k.key),
+@query("agg26_group_totals", f"""WITH {TIMED_SQL} SELECT file, count(DISTINCT idx // 7) AS groups, count(*) AS utterances, CAST(sum(id % 5) AS BIGINT) AS words FROM e GROUP BY file""")
+def _(spark, sf):
+    e = tables.timed(spark, sf).select("file", F.floor(F.col("idx") / 7).alias("group"), (F.col("id") % 5).alias("words"))
+    return align.group_totals(e)
+
+
+@query("itr05_windows", f"""WITH {TIMED_SQL}, i AS (SELECT * FROM e WHERE speaker <> 'view' AND start_ms IS NOT NULL), k AS (SELECT file, id % 2 AS key, start_ms + (id % 9) * 700 - 3000 AS at_ms FROM e WHERE start_ms IS NOT NULL),
+g AS (SELECT i.file, i.id, at_ms, greatest(start_ms - at_ms, at_ms - end_ms, 0) AS gap, end_ms - start_ms AS d FROM i JOIN k ON i.file = k.file AND i.id % 2 = k.key),
 l AS (SELECT *, CASE WHEN gap <= 500 THEN 1 WHEN gap <= greatest(d, 2000) THEN 2 WHEN gap <= greatest(2 * d, 5000) THEN 3 END AS level FROM g)
 SELECT file, id, level, at_ms FROM l WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file, id ORDER BY level, gap, at_ms) = 1""")
 def _(spark, sf):
-    e = tables.timed(spark, sf).where("start_ms is not null").withColumn("key", F.col("id") % 4)
-    return timing.windows(e.where("speaker = 'click'"), e.where("speaker = 'view'").select("file", "key", F.col("start_ms").alias("at_ms")))
+    e = tables.timed(spark, sf).where("start_ms is not null").withColumn("key", F.col("id") % 2)
+    return timing.windows(e.where("speaker <> 'view'"), e.select("file", "key", (F.col("start_ms") + (F.col("id") % 9) * 700 - 3000).alias("at_ms")))
 
 
 @query("exp07_winner", f"""WITH {TIMED_SQL}, n AS (SELECT file, count_if(speaker = 'click') AS a, count_if(speaker = 'view') AS b, count_if(speaker = 'purchase') AS c FROM e GROUP BY file)
@@ -244,21 +256,19 @@ def _(spark, sf):
     return lines.carried(s, "name", "speaker").select("file", "line", "speaker")
 
 
-@query("win03_segments", f"""WITH {LINES_SQL}, s AS (SELECT *, (line // 3) % 2 AS speaker FROM l), p AS (SELECT *, CASE WHEN coalesce(lag(speaker) OVER w <> speaker OR regexp_matches(lag(text) OVER w, '[.?]|--'), true) THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY file ORDER BY line)),
-n AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY line) AS utterance FROM p)
-SELECT file, CAST(utterance AS BIGINT) AS utterance, min(line) AS first_line, max(line) AS last_line, arg_min(speaker, line) AS speaker, count(*) AS lines FROM n GROUP BY file, utterance""")
-def _(spark, sf):
-    return lines.segments(tables.lines(spark, sf).withColumn("speaker", F.floor(F.col("line") / 3) % 2))
-
-
 HEAD_SQL = f"""{LINES_SQL}, s AS (SELECT *, last_value(nullif(regexp_extract(text, '^([A-Z][a-z]+)[ ,]', 1), '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM l)"""
 
 
-@query("win08_src18_sessions", f"WITH {HEAD_SQL} SELECT file, line, session FROM s")
+@query("win08_sessions", f"WITH {HEAD_SQL} SELECT file, line, session FROM s")
 def _(spark, sf):
     return lines.sessions(tables.lines(spark, sf), r"^([A-Z][a-z]+)[ ,]").select("file", "line", "session")
 
 
+@query("src18_anchored_codes", f"WITH {HEAD_SQL} SELECT file, line, regexp_extract(text, '^[A-Z][a-z]+ ([a-z]{{3,6}}) ', 1) AS code FROM s WHERE session IS NOT NULL AND regexp_matches(text, '^[A-Z][a-z]+ ([a-z]{{3,6}}) ')")
+def _(spark, sf):
+    return lines.anchored_codes(lines.sessions(tables.lines(spark, sf), r"^([A-Z][a-z]+)[ ,]"), r"^[A-Z][a-z]+ ([a-z]{3,6}) ").select("file", "line", "code")
+
+
 @query("src19_any_codes", f"WITH {HEAD_SQL} SELECT file, line, unnest(regexp_extract_all(text, '\\b(th[a-z]+)\\b', 1)) AS code FROM s WHERE session IS NOT NULL")
 def _(spark, sf):
     return lines.any_codes(lines.sessions(tables.lines(spark, sf), r"^([A-Z][a-z]+)[ ,]"), r"\b(th[a-z]+)\b").select("file", "line", "code")
@@ -270,11 +280,15 @@ def _(spark, sf):
     return sets.histogram_text(tables.lines(spark, sf).select("file", F.explode(F.regexp_extract_all("text", F.lit(r"\b(th[a-z]+)\b"), F.lit(1))).alias("code")), "file")
 
 
-@query("win12_speaker_ids", f"""WITH {LINES_SQL}, n AS (SELECT file, left(text, 6) AS speaker, min(line) AS seen FROM l WHERE text <> '' GROUP BY ALL), i AS (SELECT *, left(regexp_replace(speaker, '[>#*]', '', 'g'), 4) AS id FROM n),
-t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY file, id ORDER BY seen, speaker) > 1 THEN 1 ELSE 0 END AS taken FROM i), k AS (SELECT *, sum(taken) OVER (PARTITION BY file ORDER BY seen, speaker ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nth FROM t)
-SELECT file, speaker, CASE WHEN taken = 1 THEN 'JUNK' || nth ELSE id END AS id FROM k""")
+_NAMES = [">ENV", "SHARON", "SHANE", "TOM_1", "*#KENDRA", "#*KEN", "JAMIE", "JAMISON", "JAMI"]
+_NAME_IDS = ["ENV", "SHA", "SHAN", "TOM1", "#KEN", "KEN", "JAMI", "JAMI", "JAMI"]
+
+
+@query("win12_scf04_speaker_ids", f"""WITH {TIMED_SQL}, w AS (SELECT file, {_NAMES}[id % 9 + 1] AS speaker, {_NAME_IDS}[id % 9 + 1] AS id, min(idx) AS seen FROM e GROUP BY ALL), t AS (SELECT *, count(*) OVER (PARTITION BY file, id ORDER BY seen) > 1 AS taken FROM w)
+  SELECT file, speaker, CASE WHEN taken THEN 'JUNK' || (count_if(taken) OVER (PARTITION BY file ORDER BY seen) - 1) ELSE id END AS id FROM t""")
 def _(spark, sf):
-    return lines.speaker_ids(tables.lines(spark, sf).where("text <> ''").withColumn("speaker", F.substring("text", 1, 6)))
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("id") % 9).cast("int"))
+    return lines.speaker_ids(tables.timed(spark, sf).select("file", F.col("idx").alias("line"), name.alias("speaker")))
 
 
 @query("flt06_slice", f"""WITH {LINES_SQL}, k AS (SELECT *, CASE WHEN line = 1 THEN 'header' WHEN line % 3 = 0 THEN 'dependent' ELSE 'main' END AS kind FROM l), n AS (SELECT *, sum(CASE WHEN kind = 'main' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line) AS utt, count_if(kind = 'main') OVER (PARTITION BY file) AS total FROM k)
@@ -289,7 +303,10 @@ def _(spark, sf):
     return lines.chunks(tables.lines(spark, sf), 5).groupBy("file", "chunk").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
-@query("win05_jon08_brackets")
+@query("win05_win06_jon08_brackets", f"""WITH {TIMED_SQL}, l AS (SELECT file, idx AS line, id % 2 AS key, speaker IN ('click', 'view') AS is_open FROM e), d AS (SELECT *, sum(CASE WHEN is_open THEN 1 ELSE -1 END) OVER (PARTITION BY file, key ORDER BY line) AS s FROM l),
+  lost AS (SELECT *, NOT is_open AND s < least(coalesce(min(s) OVER (PARTITION BY file, key ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS lost FROM d),
+  m AS (SELECT a.file, a.key, a.line, max(b.line) AS open_line FROM lost a JOIN lost b ON a.file = b.file AND a.key = b.key AND b.is_open AND b.line < a.line AND b.s = a.s + 1 AND NOT a.is_open AND NOT a.lost GROUP BY ALL)
+  SELECT l.file, l.key, l.line, l.is_open, m.open_line FROM l LEFT JOIN m USING (file, key, line)""")
 def _(spark, sf):
     e = tables.timed(spark, sf).select("file", F.col("idx").alias("line"), (F.col("id") % 2).alias("key"), F.col("speaker").isin("click", "view").alias("is_open"))
     return lines.crossing(e)
@@ -298,13 +315,13 @@ def _(spark, sf):
 # --- annotations
 
 
-ANN_SQL = f"""{LINES_SQL}, w AS (SELECT file, line, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM l), x AS (SELECT file, line, list_transform(ws, lambda v: substr(lower(v), 1, 2)) AS run FROM w),
+ANN_SQL = f"""{LINES_SQL}, w AS (SELECT file, line, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM l), x AS (SELECT file, line, list_transform(ws, lambda v: substr(v, 1, 2)) AS run FROM w),
 b AS (SELECT run[i] AS a, run[i + 1] AS b FROM (SELECT run, unnest(range(1, len(run))) AS i FROM x WHERE len(run) >= 2))"""
 
 
 def _annotations(spark, sf):
-    ws = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    return tables.lines(spark, sf).select("file", "line", F.transform(ws, lambda v: F.substring(F.lower(v), 1, 2)).alias("run"))
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return tables.lines(spark, sf).select("file", "line", F.transform(ws, lambda v: F.substring(v, 1, 2)).alias("run"))
 
 
 @query("agg11_bigrams", f"WITH {ANN_SQL} SELECT a, b, count(*) AS n FROM b GROUP BY ALL")
@@ -320,16 +337,14 @@ def _(spark, sf):
 
 @query("agg13_sequences", f"WITH {ANN_SQL} SELECT array_to_string(run, ' ') AS run, count(*) AS n FROM x WHERE len(run) IN (3, 4) GROUP BY ALL")
 def _(spark, sf):
-    return _annotations(spark, sf).where("size(run) in (3, 4)").groupBy("run").agg(F.count("*").alias("n")).withColumn("run", F.array_join("run", " "))
+    return annotations.sequences(_annotations(spark, sf), 3, 4)
 
 
 @query("agg14_tier_coverage", f"""WITH {LINES_SQL}, t AS (SELECT DISTINCT file, substr(text, 1, 2) AS tier FROM l WHERE text <> ''), n AS (SELECT tier, count(*) AS files FROM t GROUP BY tier)
 SELECT tier, files, 100.0 * files / (SELECT count(DISTINCT file) FROM l) AS percent FROM n ORDER BY files DESC, tier LIMIT 20""")
 def _(spark, sf):
-    t = tables.lines(spark, sf)
-    n = t.where("text <> ''").select("file", F.substring("text", 1, 2).alias("tier")).distinct().groupBy("tier").agg(F.count("*").alias("files"))
-    total = t.agg(F.countDistinct("file")).first()[0]
-    return sets.top(n.withColumn("percent", 100.0 * F.col("files") / F.lit(total)), 20, F.desc("files"), "tier")
+    tier = F.when(F.col("text") != "", F.substring("text", 1, 2))
+    return sets.top(sets.coverage(tables.lines(spark, sf).withColumn("tier", tier), "file", "tier"), 20, F.desc("files"), "tier")
 
 
 # --- sets, rollups, top-k
@@ -344,7 +359,7 @@ def _(spark, sf):
 SELECT 'added' AS change, k, n, count(*) AS times FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL UNION ALL SELECT 'removed', k, n, count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL""")
 def _(spark, sf):
     l = tables.read(spark, sf, "lineitem").select((F.col("l_partkey") % 50).alias("k"), F.col("l_linenumber").alias("n"), "l_orderkey")  # noqa: E741
-    return sets.changes(l.where("l_orderkey % 2 = 0").drop("l_orderkey"), l.where("l_orderkey % 3 = 0").drop("l_orderkey")).groupBy("change", "k", "n").agg(F.count("*").alias("times"))
+    return sets.changes(l.where("l_orderkey % 2 = 0").drop("l_orderkey"), l.where("l_orderkey % 3 = 0").drop("l_orderkey"))
 
 
 @query("set05_srt08_priority", "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_partkey, l_linenumber) = 1")
@@ -368,14 +383,19 @@ def _(spark, sf):
 @query("agg16_agg17_agg18_rollup", """SELECT lang, source, count(*) AS files, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, string_agg(DISTINCT CAST(quality AS VARCHAR), ',' ORDER BY CAST(quality AS VARCHAR)) AS kinds FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang, source""")
 def _(spark, sf):
     d = tables.read(spark, sf, "documents").select("doc_id", "lang", "source").join(tables.read(spark, sf, "labels"), "doc_id", "left")
-    kinds = F.array_join(F.array_sort(F.collect_set(F.col("quality").cast("string"))), ",")
-    return d.groupBy("lang", "source").agg(F.count("*").alias("files"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.nullif(kinds, F.lit("")).alias("kinds"))
+    return sets.rollup(d, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}, F.col("quality"), "lang", "source")
 
 
-@query("agg19_agg20_srt04_codes", "SELECT event_type AS code, count(*) AS total, count(DISTINCT user_id) AS files FROM events GROUP BY ALL ORDER BY total DESC, code LIMIT 10")
+@query("agg19_srt04_codes", "SELECT event_type AS code, count(*) AS total, count(DISTINCT user_id) AS files FROM events GROUP BY ALL ORDER BY total DESC, code LIMIT 10")
 def _(spark, sf):
-    by_file = tables.read(spark, sf, "events").groupBy(F.col("event_type").alias("code"), "user_id").agg(F.count("*").alias("n"))
-    return sets.top(by_file.groupBy("code").agg(F.sum("n").alias("total"), F.count("*").alias("files")), 10, F.desc("total"), "code")
+    e = tables.read(spark, sf, "events").select(F.col("event_type").alias("code"), F.col("user_id").alias("file"))
+    return sets.top(sets.by_code(e, "code"), 10, F.desc("total"), "code")
+
+
+@query("agg20_collections", "SELECT user_id % 4 AS collection, count(*) AS total, count_if(event_type <> 'view') AS with_warning, count_if(event_type = 'click') AS click, count_if(event_type = 'purchase') AS purchase FROM events GROUP BY ALL")
+def _(spark, sf):
+    e = tables.read(spark, sf, "events").select((F.col("user_id") % 4).alias("collection"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("code"))
+    return sets.code_table(e, "collection", ["click", "purchase"])
 
 
 @query("src21_scf26_json", "SELECT CAST(props->>'$.k' AS BIGINT) % 10 AS k, count(*) AS n FROM events WHERE json_valid(props) GROUP BY ALL")
@@ -387,25 +407,36 @@ def _(spark, sf):
 @query("jon14_dimension", "SELECT r_name, n_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def _(spark, sf):
     s, n, r = (tables.read(spark, sf, t) for t in ("supplier", "nation", "region"))
-    by = s.groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
-    return by.join(n, by.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name", "n_name").agg(F.sum("suppliers").alias("suppliers"))
+    s = sets.mapped(s, "s_nationkey", n.select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey"))
+    s = sets.mapped(s, "n_regionkey", r.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"))
+    return s.groupBy("r_name", "n_name").agg(F.count("*").alias("suppliers"))
 
 
 @query("jon15_jon18_cache_split", "SELECT lang, count_if(l.doc_id IS NOT NULL) AS hits, count_if(l.doc_id IS NULL) AS misses FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang")
 def _(spark, sf):
-    d, l = tables.read(spark, sf, "documents").select("doc_id", "lang"), tables.read(spark, sf, "labels").select("doc_id").distinct()  # noqa: E741
-    return d.join(l.withColumn("hit", F.lit(1)), "doc_id", "left").groupBy("lang").agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+    d, l = tables.read(spark, sf, "documents").select("doc_id", "lang"), tables.read(spark, sf, "labels")  # noqa: E741
+    return sets.split(d, l, "doc_id").groupBy("lang").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+@query("jon15_missing_media", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, sf):
+    d, l = tables.read(spark, sf, "documents").select("doc_id"), tables.read(spark, sf, "labels")  # noqa: E741
+    return sets.split(d, l, "doc_id").where("not hit").select("doc_id")
 
 
-@query("agg22_agg23_jon16_duplicates", "SELECT url, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY url HAVING count(*) > 1")
+@query("agg22_jon16_duplicates", "SELECT '10.1/X' || (page_id % 37) AS doi, count(*) AS n, count(DISTINCT page_id % 3) AS repositories FROM pages WHERE page_id % 5 > 0 GROUP BY ALL HAVING count(*) > 1")
 def _(spark, sf):
-    return tables.read(spark, sf, "pages").groupBy("url").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).where("n > 1")
+    p = tables.read(spark, sf, "pages").select(F.when(F.col("page_id") % 5 > 0, F.concat(F.lit("10.1/X"), (F.col("page_id") % 37).cast("string"))).alias("doi"), (F.col("page_id") % 3).alias("repository"))
+    return metadata.duplicates(p)
 
 
-@query("src14_html_identifiers", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([A-Za-z]+)"', 1)) AS k FROM pages) SELECT upper(k) AS key, min(page_id) AS path, count(DISTINCT page_id) AS pages FROM l GROUP BY ALL""")
+@query("src14_html_identifiers", """WITH l AS (SELECT page_id, '10.21415/A' || (page_id % 50) AS key FROM pages WHERE page_id % 4 > 0) SELECT key, 'p' || lpad(CAST(min(page_id) AS VARCHAR), 8, '0') AS path, '10.21415/a' || substr(key, 11) AS doi FROM l GROUP BY key""")
 def _(spark, sf):
-    found = tables.read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([A-Za-z]+)"'), F.lit(1))).alias("k")).select("page_id", F.upper("k").alias("key")).distinct()
-    return found.groupBy("key").agg(F.min("page_id").alias("path"), F.count("*").alias("pages"))
+    i = F.col("page_id")
+    tag = F.when(i % 4 > 0, F.concat(F.lit('<a href="x">doi:10.21415/a'), (i % 50).cast("string"), F.lit('"> doi:10.21415/later'))).when(i % 8 == 0, "doi:10.21415/").otherwise("")
+    path = F.concat(F.lit("p"), F.lpad(i.cast("string"), 8, "0"))
+    rows = tables.read(spark, sf, "pages").select(path.alias("path"), F.explode(F.split(F.concat(F.regexp_replace("html", "doi:", ""), F.lit("\n"), tag), "\n")).alias("text"))
+    return metadata.html_identifiers(rows)
 
 
 def _local(spark, sf):
@@ -427,21 +458,29 @@ def _html(spark, sf):
     return tables.read(spark, sf, "customer").select(F.concat(F.lit("10.99/A"), (k * 2).cast("string")).alias("key"), k.cast("string").alias("path"), F.concat(F.lit("10.99/a"), (k * 2).cast("string")).alias("doi"))
 
 
-@query("jon01_jon04_scf16_reconcile", """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 <> 0 THEN '10.99/a' || (p_partkey % 900) END AS doi, 'u' || (p_partkey % 7) AS target_url, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS description, CASE WHEN p_partkey % 4 <> 0 THEN 'en' END AS language FROM part),
+RECONCILE_SQL = """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 <> 0 THEN '10.99/a' || (p_partkey % 900) END AS doi, 'u' || (p_partkey % 7) AS target_url, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS description, CASE WHEN p_partkey % 4 <> 0 THEN 'en' END AS language FROM part),
 e AS (SELECT *, upper(doi) AS key, doi IS NOT NULL AND count(doi) OVER (PARTITION BY upper(doi)) > 1 AS dup FROM p),
 r AS (SELECT '10.99/A' || (s_suppkey * 11) AS r_key, CASE WHEN s_suppkey % 6 = 0 THEN 'draft' ELSE 'findable' END AS st, 'u' || (s_suppkey * 11 % 7 + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END) AS url FROM supplier),
 h AS (SELECT '10.99/A' || (c_custkey * 2) AS h_key FROM customer),
 x AS (SELECT e.*, r_key, st, url FROM e LEFT JOIN r ON e.key = r.r_key AND NOT dup UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, r_key, false, r_key, st, url FROM r WHERE r_key NOT IN (SELECT key FROM e WHERE key IS NOT NULL)),
 y AS (SELECT x.*, h_key FROM x LEFT JOIN h ON x.doi IS NOT NULL AND x.key = h.h_key UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, h_key, false, NULL, NULL, NULL, h_key FROM h WHERE h_key NOT IN (SELECT key FROM x WHERE key IS NOT NULL))
 SELECT path, key, CASE WHEN dup THEN 'DUPLICATE' WHEN r_key IS NOT NULL AND st = 'draft' THEN 'DRAFT' WHEN r_key IS NOT NULL AND target_url <> url THEN 'URL MISMATCH' WHEN r_key IS NOT NULL AND doi IS NULL THEN 'MANUAL MINT' WHEN h_key IS NOT NULL AND doi IS NULL AND r_key IS NULL THEN 'HTML ONLY'
- WHEN doi IS NOT NULL AND r_key IS NULL THEN 'UNREGISTERED' WHEN doi IS NOT NULL AND h_key IS NULL THEN 'HTML STALE' WHEN doi IS NULL THEN 'NEEDS DOI' WHEN description IS NULL OR language IS NULL THEN 'INCOMPLETE' ELSE 'OK' END AS status FROM y""")
+ WHEN doi IS NOT NULL AND r_key IS NULL THEN 'UNREGISTERED' WHEN doi IS NOT NULL AND h_key IS NULL THEN 'HTML STALE' WHEN doi IS NULL THEN 'NEEDS DOI' WHEN description IS NULL OR language IS NULL THEN 'INCOMPLETE' ELSE 'OK' END AS status FROM y"""
+
+
+@query("jon01_jon04_scf16_reconcile", RECONCILE_SQL)
 def _(spark, sf):
     return metadata.reconcile(_local(spark, sf), _registry(spark, sf), _html(spark, sf)).select("path", "key", "status")
 
 
-@query("agg24_status_breakdown")
+@query("agg24_snk08_status_breakdown", f"SELECT status, count(*) AS n FROM ({RECONCILE_SQL}) GROUP BY status")
 def _(spark, sf):
-    return metadata.reconcile(_local(spark, sf), _registry(spark, sf), _html(spark, sf)).groupBy("status").agg(F.count("*").alias("n"))
+    return metadata.breakdown(metadata.reconcile(_local(spark, sf), _registry(spark, sf), _html(spark, sf)))
+
+
+@query("flt11_suspicious", f"SELECT path, key, status FROM ({RECONCILE_SQL}) WHERE status NOT IN ('OK', 'INCOMPLETE')")
+def _(spark, sf):
+    return metadata.suspicious(metadata.reconcile(_local(spark, sf), _registry(spark, sf), _html(spark, sf))).select("path", "key", "status")
 
 
 # --- brackets
@@ -450,14 +489,13 @@ def _(spark, sf):
 def _opens(spark, sf):
     i = F.col("id")
     e = tables.timed(spark, sf)
-    return e.select("file", i, "speaker", F.col("idx").alias("line"), (i % 11).cast("int").alias("column"))
+    return e.select("file", F.col("idx").cast("long").alias("id"), "speaker", F.col("idx").alias("line"), (i % 11).cast("int").alias("column"), (i % 6).cast("int").alias("char_offset"))
 
 
-@query("jon05_edges", f"""WITH {TIMED_SQL}, o AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY idx) AS id, speaker, idx AS line, id % 11 AS col FROM e)
-SELECT a.file, a.id, max(b.id) AS target FROM o a JOIN o b ON a.file = b.file AND b.id < a.id AND a.line - b.line BETWEEN 0 AND 5 AND abs(a.col - b.col) <= 2 AND a.speaker <> b.speaker WHERE a.col > 0 GROUP BY ALL""")
+@query("jon05_edges", f"""WITH {TIMED_SQL}, o AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY idx) AS id, speaker, idx AS line, id % 11 AS col, id % 6 AS off FROM e)
+SELECT a.file, a.id, max(b.id) AS target FROM o a JOIN o b ON a.file = b.file AND b.id < a.id AND a.line - b.line BETWEEN 0 AND 5 AND abs(a.col - b.col) <= 2 AND a.speaker <> b.speaker WHERE a.off > 0 GROUP BY ALL""")
 def _(spark, sf):
-    o = _opens(spark, sf).withColumn("id", F.col("line").cast("long"))
-    return brackets.edges(o).select("file", "id", "target")
+    return brackets.edges(_opens(spark, sf)).select("file", "id", "target")
 
 
 def _bracket_pairs(spark, sf):
@@ -475,13 +513,49 @@ def _(spark, sf):
     return brackets.overlapping(_bracket_pairs(spark, sf))
 
 
-@query("itr01_itr02_win11_roles", f"""WITH RECURSIVE {BP_SQL}, k AS (SELECT a.file, a.pair AS a, b.pair AS b FROM p a JOIN p b ON a.file = b.file AND b.pair < a.pair AND a.ix IS NOT DISTINCT FROM b.ix AND a.speaker <> b.speaker AND abs(a.line - b.line) <= 20
-AND ((a.t0 < b.t1 + 0.2 AND b.t0 < a.t1 + 0.2) OR abs(a.line - b.line) <= 2)), s AS (SELECT file, a, b FROM k UNION ALL SELECT file, b, a FROM k), g(file, root, pair) AS (SELECT file, pair, pair FROM p UNION SELECT g.file, g.root, s.b FROM g JOIN s ON g.file = s.file AND g.pair = s.a),
-c AS (SELECT file, pair, min(root) AS root FROM g GROUP BY ALL), n AS (SELECT p.file, p.pair, speaker, root, row_number() OVER (PARTITION BY p.file, root, speaker ORDER BY p.pair) AS nth FROM p JOIN c ON p.file = c.file AND p.pair = c.pair)
-SELECT file, CAST(pair AS INT) AS pair, CAST(nth AS INT) AS nth, CASE WHEN count(*) OVER w < 2 THEN NULL WHEN pair = min(pair) OVER w THEN 'top' ELSE 'bottom' END AS role FROM n WINDOW w AS (PARTITION BY file, root, nth)""")
+#: Edges that tie pairs: a pair's open bracket has the pair's number.
+_LINKS_SQL = f"""{BP_SQL}, o AS (SELECT file, idx AS id, speaker, idx AS line, id % 11 AS col, id % 6 AS off FROM e), x AS (SELECT a.file, a.id, max(b.id) AS target FROM o a JOIN o b ON a.file = b.file AND b.id < a.id AND a.line - b.line BETWEEN 0 AND 5 AND abs(a.col - b.col) <= 2 AND a.speaker <> b.speaker WHERE a.off > 0 GROUP BY ALL),
+  j AS (SELECT x.file, x.id AS a, x.target AS b FROM x JOIN p a ON x.file = a.file AND x.id = a.pair JOIN p b ON x.file = b.file AND x.target = b.pair WHERE a.speaker <> b.speaker AND a.ix IS NOT DISTINCT FROM b.ix)"""
+
+
+@query("jon07_aligned", f"WITH {_LINKS_SQL} SELECT file, CAST(a AS INT) AS a, CAST(b AS INT) AS b FROM j")
 def _(spark, sf):
+    return _aligned(spark, sf)
+
+
+def _aligned(spark, sf):
+    return brackets.aligned(brackets.edges(_opens(spark, sf)), _bracket_pairs(spark, sf).withColumn("open_id", F.col("pair").cast("long")))
+
+
+_ROLES_SQL = f"""{_LINKS_SQL}, k AS (SELECT a.file, a.pair AS a, b.pair AS b FROM p a JOIN p b ON a.file = b.file AND b.pair < a.pair AND a.ix IS NOT DISTINCT FROM b.ix AND a.speaker <> b.speaker AND abs(a.line - b.line) <= 20
+AND ((a.t0 < b.t1 + 0.2 AND b.t0 < a.t1 + 0.2) OR abs(a.line - b.line) <= 2) UNION SELECT * FROM j), s AS (SELECT file, a, b FROM k UNION ALL SELECT file, b, a FROM k), g(file, root, pair) AS (SELECT file, pair, pair FROM p UNION SELECT g.file, g.root, s.b FROM g JOIN s ON g.file = s.file AND g.pair = s.a),
+c AS (SELECT file, pair, min(root) AS root FROM g GROUP BY ALL), n AS (SELECT p.file, p.pair, speaker, ix, root, row_number() OVER (PARTITION BY p.file, root, speaker ORDER BY p.pair) AS nth FROM p JOIN c ON p.file = c.file AND p.pair = c.pair),
+roles AS (SELECT file, CAST(pair AS INT) AS pair, CAST(nth AS INT) AS nth, ix, CASE WHEN pair = min(pair) OVER w THEN 'top' ELSE 'bottom' END AS role, CAST(coalesce(ix - 1, first_value(ix) OVER (PARTITION BY file, root, nth ORDER BY pair) - 1, 0) AS INT) AS real_index FROM n WINDOW w AS (PARTITION BY file, root, nth))"""
+
+
+def _roles(spark, sf):
     p = _bracket_pairs(spark, sf)
-    return brackets.sets_of(p, brackets.overlapping(p)).select("file", "pair", "nth", "role")
+    return brackets.sets_of(p, brackets.overlapping(p).unionByName(_aligned(spark, sf)))
+
+
+@query("itr01_itr02_win11_roles", f"WITH RECURSIVE {_ROLES_SQL} SELECT file, pair, nth, role, real_index FROM roles")
+def _(spark, sf):
+    return _roles(spark, sf).select("file", "pair", "nth", "role", "real_index")
+
+
+@query("exp04_agg21_confidence", f"""WITH RECURSIVE {_ROLES_SQL}, z AS (SELECT *, sum(1 + CASE WHEN pair % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file, real_index) AS m FROM roles), ends AS (SELECT file, id FROM x UNION SELECT file, target FROM x),
+  y AS (SELECT z.file, CASE WHEN ix IS NOT NULL THEN 'Original' WHEN ends.id IS NOT NULL THEN 'High' WHEN m >= 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM z LEFT JOIN ends ON z.file = ends.file AND z.pair = ends.id), q AS (SELECT file, confidence, count(*) AS n FROM y GROUP BY ALL)
+  SELECT file, confidence, n, n / sum(n) OVER (PARTITION BY file) AS share FROM q""")
+def _(spark, sf):
+    p = _bracket_pairs(spark, sf).select("file", "pair", "index")
+    opens = _roles(spark, sf).join(p, ["file", "pair"]).withColumns({"id": F.col("pair").cast("long"), "closed": F.col("pair") % 2 == 0})
+    return brackets.review(brackets.confidence(opens, brackets.edges(_opens(spark, sf))))
+
+
+@query("scf24_exp02_marks", f"""WITH RECURSIVE {_ROLES_SQL} SELECT file, pair, CASE role WHEN 'top' THEN '⌈' ELSE '⌊' END || CASE WHEN real_index % 9 > 0 THEN CAST(real_index % 9 + 1 AS VARCHAR) ELSE '' END AS opening, CASE role WHEN 'top' THEN '⌉' ELSE '⌋' END || CASE WHEN real_index % 9 > 0 THEN CAST(real_index % 9 + 1 AS VARCHAR) ELSE '' END AS closing FROM roles""")
+def _(spark, sf):
+    mark = lambda is_open: content.marker(F.col("role"), F.lit(is_open), F.col("real_index"))
+    return _roles(spark, sf).select("file", "pair", mark(True).alias("opening"), mark(False).alias("closing"))
 
 
 # --- alignment
@@ -490,7 +564,7 @@ def _(spark, sf):
 @query("agg28_word_errors")
 def _(spark, sf):
     u = tables.utterances(spark, sf).withColumn("before", F.lag("text").over(Window.partitionBy("file").orderBy("idx"))).where("before is not null")
-    return u.select("file", "idx", align.word_errors(lexical.words(F.col("text")), lexical.words(F.col("before"))).cast("long").alias("errors"))
+    return align.error_rate(u.select("file", "idx", lexical.words(F.col("text")).alias("reference"), lexical.words(F.col("before")).alias("found")))
 
 
 # --- transcripts

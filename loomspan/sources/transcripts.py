@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Windows-1252 characters 0x80 to 0x9F, as ISO-8859-1 reads them and as they are meant.
 _C1 = "".join(map(chr, range(0x80, 0xA0)))
 _1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
-SPEAKER = r"^[>#*]*(?:[a-z].+|[A-Z?][A-Z0-9_/?&']*)$"
+SPEAKER = r"^[>#*]*(?:[A-Z][A-Za-z0-9_?/]*|[a-z].+)$"
+#: A number with at most one point, perhaps with colons after it.
+STAMP = r"(?=.)\d*\.?\d*:*"
 
 
 def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -28,45 +30,65 @@ def numbered(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def layouts(lines: DataFrame) -> DataFrame:
-    """SRC-06: the layout of each file by its first line: B has two tabs between plain times, C names the speaker before its
-    only tab, A is the rest."""
+    """SRC-06: the layout of each file by its first line. A: two times in the first of three fields; B: a time in each of the
+    first two of three fields, or two fields that are both times; C: two fields, the first beginning with two times; else A."""
     first = lines.groupBy("file").agg(F.min_by("raw", "line").alias("raw"))
-    b = F.col("raw").rlike(r"^\s*\d+(\.\d+)?\t\s*\d+(\.\d+)?\t")
-    c = F.col("raw").rlike(r"^ *\d+(\.\d+)? +\d+(\.\d+)? +[^\t\d][^\t]*\t")
-    return first.select("file", F.when(b, "B").when(c, "C").otherwise("A").alias("layout"))
+    fields = F.split("raw", "\t")
+    f0, f1, n = F.trim(F.get(fields, F.lit(0))), F.trim(F.get(fields, F.lit(1))), F.size(fields)
+    one = rf"^{STAMP[:-2]}\s*:*$"
+    both = f0.rlike(one) & f1.rlike(one)
+    a, c = f0.rlike(rf"^{STAMP}\s*[ ]\s*{STAMP}$"), f0.rlike(rf"^{STAMP}\s*[ ]\s*{STAMP}(?:\s|$)")
+    layout = F.when(n >= 3, F.when(a, "A").when(both, "B")).when(n == 2, F.when(c, "C").when(both, "B"))
+    return first.select("file", F.coalesce(layout, F.lit("A")).alias("layout"))
 
 
 def stamp(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), ":+$", "").try_cast("double")
+    """SRC-11: a time, colons after it left out."""
+    return F.trim(F.regexp_replace(F.trim(text), ":+$", "")).try_cast("double")
+
+
+def speaker_of(field: Column) -> Column:
+    """FLT-03: the name in a speaker field, or null if it isn't one: after any of > # *, an upper-case letter with letters,
+    digits, _ ? / after it, or a lower-case letter with anything after it."""
+    name = F.regexp_replace(F.trim(field), ":+$", "")
+    return F.when(name.rlike(SPEAKER), name)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """SRC-07 to SRC-11: (file, line, start, end, speaker, content, problem); speaker is null on a continuation.
+    """SRC-07 to SRC-11: (file, line, layout, start, end, speaker, content, problem); speaker is null on a continuation.
 
     A start of more than four characters that is all zeros makes both times 0; unreadable times drop the line (problem
-    'bad stamp'); an end earlier than its start by over 0.01 stays with a problem. A line without its tabs is split at blanks.
+    'bad stamp'), so do too few tabs ('broken tabs'); an end earlier than its start by over 0.01 stays with a problem. A line of
+    layout A without any tab is split at blanks.
     """
     l = lines.join(layouts(lines), "file")  # noqa: E741
     f4, f3, f2 = F.split("raw", "\t", 4), F.split("raw", "\t", 3), F.split("raw", "\t", 2)
-    head = lambda x: F.split(F.trim(F.get(x, F.lit(0))), r"\s+")
-    blank = F.split(F.trim("raw"), r"\s+")
-    broken = (F.col("layout") != "B") & (F.size(f2) < 2)
-    named = broken & F.coalesce(F.get(blank, F.lit(2)).rlike(SPEAKER + "|:$"), F.lit(False))
     g = lambda a, i: F.get(a, F.lit(i))
-    start = F.when(broken, g(blank, 0)).when(F.col("layout") == "B", g(f4, 0)).otherwise(g(head(f3), 0))
-    end = F.when(broken, g(blank, 1)).when(F.col("layout") == "B", g(f4, 1)).otherwise(g(head(f3), 1))
-    speaker = (
-        F.when(named, g(blank, 2)).when(broken, F.lit("")).when(F.col("layout") == "B", g(f4, 2))
-        .when(F.col("layout") == "C", F.array_join(F.slice(head(f2), 3, 99), " ")).otherwise(F.when(F.size(f3) == 3, g(f3, 1)).otherwise(F.lit("")))
-    )
-    content = (
-        F.when(broken, F.array_join(F.slice(blank, F.when(named, 4).otherwise(3), 9999), " ")).when(F.col("layout") == "B", g(f4, 3))
-        .when(F.col("layout") == "C", g(f2, 1)).otherwise(F.when(F.size(f3) == 3, g(f3, 2)).otherwise(g(f3, 1)))
-    )
-    zero = (F.length(F.trim(start)) > 4) & F.trim(start).rlike("^0+$")
-    out = l.select("file", "line", "layout", F.when(zero, 0.0).otherwise(stamp(start)).alias("start"), F.when(zero, 0.0).otherwise(stamp(end)).alias("end"), F.nullif(F.regexp_replace(F.trim(speaker), ":$", ""), F.lit("")).alias("speaker"), F.coalesce(content, F.lit("")).alias("content"), zero.alias("zero"))
-    problem = F.when(F.col("start").isNull() | F.col("end").isNull(), "bad stamp").when(F.col("zero"), "zero stamp").when(F.col("end") < F.col("start") - 0.01, "end before start")
-    return out.withColumn("problem", problem).drop("zero")
+    head = F.split(F.trim(g(f2, 0)), r"\s+")
+    blank = F.split(F.trim("raw"), r"\s+")
+    is_b, is_c, no_tab = F.col("layout") == "B", F.col("layout") == "C", F.size(f2) < 2
+    broken = ~is_b & ~is_c & no_tab
+    fits = F.when(is_b, F.size(f4) >= 3).when(is_c, ~no_tab & (F.size(head) >= 2)).otherwise(F.when(broken, F.size(blank) >= 3).otherwise(F.size(head) >= 2))
+    named = broken & speaker_of(g(blank, 2)).isNotNull()
+    start, end = (F.when(broken, g(blank, i)).when(is_b, g(f4, i)).otherwise(g(head, i)) for i in (0, 1))
+    field = F.when(broken, F.when(named, g(blank, 2))).when(is_b, g(f4, 2)).when(is_c, g(head, 2)).otherwise(F.when(F.size(f3) == 3, g(f3, 1)))
+    rest = F.array_join(F.slice(blank, F.when(named, 4).otherwise(3), F.size(blank)), " ")
+    content = F.when(broken, rest).when(is_b, g(f4, 3)).when(is_c, g(f2, 1)).otherwise(F.when(F.size(f3) == 3, g(f3, 2)).otherwise(g(f3, 1)))
+    bare = F.trim(F.regexp_replace(F.trim(start), ":+$", ""))
+    zero = F.coalesce((F.length(bare) > 4) & bare.rlike("^0+$"), F.lit(False))
+    out = l.select("file", "line", "layout", fits.alias("fits"), zero.alias("zero"), F.when(zero, 0.0).otherwise(stamp(start)).alias("start"), F.when(zero, 0.0).otherwise(stamp(end)).alias("end"), speaker_of(field).alias("speaker"), F.coalesce(content, F.lit("")).alias("content"))
+    problem = F.when(~F.col("fits"), "broken tabs").when(F.col("start").isNull() | F.col("end").isNull(), "bad stamp").when(F.col("zero"), "zero stamp").when(F.col("end") < F.col("start") - 0.01, "end before start")
+    return out.withColumn("problem", problem).drop("zero", "fits")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The parsed lines that hold their times, with the speaker carried forward (WIN-01) and ``skip``, whether the line is an
+    annotator's note (FLT-02): both times 0, the content starting with $."""
+    from loomspan.operators.lines import carried
+
+    note = (F.col("start") == 0) & (F.col("end") == 0) & F.ltrim("content").startswith("$")
+    fine = rows.where(F.col("problem").isNull() | F.col("problem").isin("zero stamp", "end before start"))
+    return carried(fine, "speaker", "effective").withColumn("skip", note)
 
 
 def tiers(lines: DataFrame) -> DataFrame:
@@ -111,6 +133,136 @@ def path_list(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("raw").alias("path")).where("path <> '' and path not like '#%'")
 
 
+# --- headers, marks and files
+
+
+def media(lines: DataFrame) -> DataFrame:
+    """SRC-27: (file, name, type) of the first @Media header before the first main tier; nothing where there is none."""
+    main = F.min(F.when(F.col("raw").startswith("*"), F.col("line")))
+    at = F.when(F.col("raw").startswith("@Media:"), F.struct("line", F.col("raw")))
+    one = lines.groupBy("file").agg(main.alias("main"), F.min(at).alias("m")).where(F.col("m").isNotNull() & (F.col("main").isNull() | (F.col("m.line") < F.col("main"))))
+    value = F.when(F.contains(F.col("m.raw"), F.lit("\t")), F.trim(F.substr(F.col("m.raw"), F.position(F.lit("\t"), F.col("m.raw")) + 1))).otherwise("")
+    parts = F.transform(F.split(value, ","), lambda x: F.trim(x))
+    return one.select("file", F.get(parts, F.lit(0)).alias("name"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("type"))
+
+
+def has_option(options: Column, name: str = "NoAlign") -> Column:
+    """FLT-17: whether a list of options with commas holds ``name`` as an item."""
+    return F.array_contains(F.transform(F.split(options, ","), lambda x: F.trim(x)), name)
+
+
+def with_option(lines: Column, name: str = "NoAlign") -> Column:
+    """SCF-23: struct<lines, status> of a file's lines (array<string>) with an option added: to the first @Options header
+    (updated), or as one before the first @ID (created); already: it is there; null status: there is no @ID to put it before."""
+    header = F.filter(lines, lambda x: x.rlike("^@Options:\t"))
+    first = F.get(header, F.lit(0))
+    value = F.substr(first, F.lit(11))
+    at = F.array_position(lines, first).cast("int")
+    added = F.concat(F.lit("@Options:\t"), F.when(F.trim(value) == "", F.lit(name)).otherwise(F.concat(value, F.lit(f", {name}"))))
+    place = F.array_position(lines, F.get(F.filter(lines, lambda x: x.rlike("^@ID:")), F.lit(0))).cast("int")
+    put = lambda n, new, drop: F.concat(F.slice(lines, F.lit(1), n - 1), F.array(new), F.slice(lines, n + drop, F.size(lines)))
+    done = lambda x, status: F.struct(x.alias("lines"), F.lit(status).alias("status"))
+    return (
+        F.when(F.size(header) > 0, F.when(has_option(value, name), done(lines, "already")).otherwise(done(put(at, added, 1), "updated")))
+        .when(place > 0, done(put(place, F.lit(f"@Options:\t{name}"), 0), "created")).otherwise(done(lines, None))
+    )
+
+
+#: The marks of underlined text.
+UNDERLINE = ("\x02\x01", "\x02\x02")
+
+
+def underlined(text: Column) -> Column:
+    """SCF-22: struct<text, begins, ends>: without the underline marks that have no partner, and how many those are. An end is
+    matched by the last open begin; by depth: a begin is lost if the depth never comes back below it, an end if none is open."""
+    mark = "\x02[\x01\x02]"
+    marks, gaps = F.regexp_extract_all(text, F.lit(mark), F.lit(0)), F.split(text, mark, -1)
+    begin = lambda m: m == UNDERLINE[0]
+
+    def step(s, m):
+        # open: places of open begins; lost: places of ends without one
+        return F.struct(
+            (s.n + 1).alias("n"), F.when(begin(m), F.concat(s.open, F.array(s.n))).otherwise(F.slice(s.open, F.lit(1), F.greatest(F.size(s.open) - 1, F.lit(0)))).alias("open"),
+            F.when(~begin(m) & (F.size(s.open) == 0), F.concat(s.lost, F.array(s.n))).otherwise(s.lost).alias("lost"),
+        )
+
+    none = F.array().cast("array<int>")
+    state = F.aggregate(marks, F.struct(F.lit(0).alias("n"), none.alias("open"), none.alias("lost")), step)
+
+    def told(s):
+        gone = F.concat(s.open, s.lost)
+        put = F.transform(marks, lambda m, i: F.when(F.array_contains(gone, i), F.lit("")).otherwise(m))
+        return F.struct(F.array_join(F.zip_with(gaps, put, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "").alias("text"), F.size(s.open).alias("begins"), F.size(s.lost).alias("ends"))
+
+    return F.get(F.transform(F.array(state), told), F.lit(0))
+
+
+def one_speaker(lines: DataFrame, participants: DataFrame) -> DataFrame:
+    """FLT-04: (file, code, line, raw): for each participant (file, code) its file's headers and utterances with their dependent
+    lines; @ID lines of others go, and @Participants names this one alone. ``lines`` are tiers with their raw line."""
+    main = F.when(F.col("kind") == "main", F.col("name"))
+    whose = F.last(main, ignorenulls=True).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
+    l = lines.withColumn("whose", F.when(F.col("kind") != "header", whose))  # noqa: E741
+    j = l.join(participants, "file")
+    id_of = F.get(F.split(F.regexp_extract("raw", r"^@ID:\t(.*)$", 1), r"\|"), F.lit(2))
+    keep = F.when(F.col("kind") == "header", (F.col("name") != "ID") | (id_of == F.col("code"))).otherwise(F.col("whose") == F.col("code"))
+    entries = F.filter(F.split(F.regexp_extract("raw", r"^@Participants:\t(.*)$", 1), ", *"), lambda x: F.substring_index(x, " ", 1) == F.col("code"))
+    raw = F.when((F.col("kind") == "header") & (F.col("name") == "Participants"), F.concat(F.lit("@Participants:\t"), F.array_join(entries, ", "))).otherwise(F.col("raw"))
+    return j.where(F.coalesce(keep, F.lit(False))).select("file", "code", "line", raw.alias("raw"))
+
+
+def _by_line():
+    return Window.partitionBy("file").orderBy("line")
+
+
+def time_range(lines: DataFrame) -> DataFrame:
+    """FLT-07: (file, start_ms, end_ms): the earliest start and latest end of the lines' first bullets, of files with any."""
+    return lines.where("start_ms is not null").groupBy("file").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+
+
+#: What marks a file that only permits playback.
+DUMMY = ["@Options:\tdummy", "This is a dummy file to permit playback from the TalkBank browser"]
+
+
+def is_dummy(text: Column) -> Column:
+    """FLT-08."""
+    return F.coalesce(F.contains(text, F.lit(DUMMY[0])) | F.contains(text, F.lit(DUMMY[1])), F.lit(False))
+
+
+def large(files_: DataFrame, megabytes: int = 50) -> DataFrame:
+    """FLT-12: files (path, length) of more than so many MB."""
+    return files_.where(F.col("length") > megabytes * 1024 * 1024)
+
+
+def unchanged_since(files_: DataFrame, cutoff: Column) -> DataFrame:
+    """FLT-13: files (modificationTime) that were last changed before ``cutoff``."""
+    return files_.where(F.col("modificationTime") < cutoff)
+
+
+def corpora(files_: DataFrame, skipped: str = "0phon") -> DataFrame:
+    """SRC-04: files (path) in no folder whose path holds ``skipped``."""
+    return files_.where(~F.contains(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.lit(skipped)))
+
+
+def warning_log(lines: DataFrame, codes: list[str]) -> DataFrame:
+    """SRC-20: (file, line, path, code): the first of ``codes`` in each line's warning[...], under the last line that began with /."""
+    path = F.last(F.when(F.col("raw").startswith("/"), F.trim("raw")), ignorenulls=True).over(_by_line().rowsBetween(Window.unboundedPreceding, 0))
+    code = F.coalesce(*(F.when(F.contains(F.col("raw"), F.lit(f"warning[{c}]")), F.lit(c)) for c in codes))
+    return lines.select("file", "line", path.alias("path"), code.alias("code")).where("code is not null")
+
+
+def collection(path: Column) -> Column:
+    """SCF-19: the first component of a path below the data folder."""
+    return F.get(F.split(path, "/"), F.lit(0))
+
+
+def corpus_path(path: Column) -> Column:
+    """SCF-19: the components between the first and the last; of two, the last; of one, nothing."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    return F.when(n >= 3, F.array_join(F.slice(parts, F.lit(2), n - 2), "/")).when(n == 2, F.get(parts, F.lit(1))).otherwise("")
+
+
 def document(rows: DataFrame) -> DataFrame:
     """SNK-01, SRT-01: utterances (file, idx, speaker, text, start_ms, end_ms) as one text a file, by start (null as 0)."""
     line = F.concat(F.lit("*"), F.col("speaker"), F.lit(":\t"), F.col("text"), F.coalesce(F.concat(F.lit(" "), bullet(F.col("start_ms"), F.col("end_ms"))), F.lit("")))
