@@ -269,7 +269,7 @@ def test_alignment(spark):
         score = {}
         for i in range(len(a) + 1):
             for j in range(len(b) + 1):
-                score[i, j] = max([0] if not i + j else [score[i - 1, j - 1] + align.similarity(a[i - 1], b[j - 1])] * (i and j and 1) + [score[i - 1, j] - 5] * (i > 0) + [score[i, j - 1] - 5] * (j > 0))
+                score[i, j] = max([0] if not i + j else ([score[i - 1, j - 1] + align.similarity(a[i - 1], b[j - 1])] if i and j else []) + ([score[i - 1, j] - 5] if i else []) + ([score[i, j - 1] - 5] if j else []))
         return score[len(a), len(b)]
 
     for x in align.align(spark.createDataFrame(rows, "k int, a array<string>, b array<string>")).collect():
