@@ -44,6 +44,18 @@ def mean_length(rows: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, n.alias("n")).where("n > 0").groupBy(*by).agg(F.count("*").alias("utterances"), F.sum("n").alias("words"), F.avg("n").alias("mlu"))
 
 
+def mor_length(rows: DataFrame, *by: str) -> DataFrame:
+    """CLN-02: items of the %mor tier (mor) in an utterance; utterances without any leave the denominator."""
+    n = F.when(F.col("mor") != "", F.size(F.split("mor", " +"))).otherwise(0)
+    return rows.select(*by, n.alias("n")).where("n > 0").groupBy(*by).agg(F.count("*").alias("utterances"), F.sum("n").alias("items"), F.avg("n").alias("mlu"))
+
+
+def by_kind(tokens_: DataFrame) -> DataFrame:
+    """AGG-27: tokens (text, kind, parent) by text and kind: their number, and of how many parents they are."""
+    one = tokens_.groupBy("text", "kind", "parent").agg(F.count("*").alias("n"))
+    return one.groupBy("text", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("parents"))
+
+
 def mean_turn(rows: DataFrame, *by: str) -> DataFrame:
     """CLN-03 (described by name; a turn is a run of utterances of one speaker): utterances and words in a turn."""
     w = Window.partitionBy("file").orderBy("idx")
@@ -125,3 +137,9 @@ def norms(scores: DataFrame, value: str, *by: str) -> DataFrame:
     """AGG-29 (the sample standard deviation is our choice): mean, SD and each row's z."""
     s = scores.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     return scores.join(s, list(by)).withColumn("z", (F.col(value) - F.col("mean")) / F.col("sd"))
+
+
+def against_norms(scores: DataFrame, norm: DataFrame) -> DataFrame:
+    """JON-19: scores (value) with their z by the mean and SD of the norm's entries (value), which the caller has filtered."""
+    s = norm.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return scores.crossJoin(F.broadcast(s)).withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))

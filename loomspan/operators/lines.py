@@ -93,6 +93,11 @@ def speaker_ids(rows: DataFrame) -> DataFrame:
     return r.withColumn("nth", nth).select("file", "speaker", F.when(F.col("taken"), F.concat(F.lit("JUNK"), F.col("nth").cast("string"))).otherwise(F.col("id")).alias("id"))
 
 
+def with_numbers(rows: DataFrame) -> DataFrame:
+    """CLN-21 (LINES): each line's text with its number in the file before it."""
+    return rows.withColumn("text", F.concat(F.row_number().over(by_file()).cast("string"), F.lit(" "), F.col("text")))
+
+
 def names_by_id(names: DataFrame) -> DataFrame:
     """JON-12: for each id the first, in their order, of the names (name, id) that have it."""
     return names.groupBy("id").agg(F.min("name").alias("name"))

@@ -140,6 +140,11 @@ def with_doi(text: Column, identifier: Column) -> Column:
     return F.when(has, F.array_join(F.transform(lines, lambda x: F.when(x.startswith("DOI:"), line).otherwise(x)), "\n")).otherwise(F.concat(F.regexp_replace(text, r"\s+$", ""), F.lit("\n"), line, F.lit("\n")))
 
 
+def audit_table(entries: DataFrame) -> DataFrame:
+    """SNK-08: entries in the columns of the audit's table, nulls as empty texts."""
+    return entries.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("key", F.lit("")).alias("doi"), "status")
+
+
 def breakdown(entries: DataFrame) -> DataFrame:
     """AGG-24, SNK-08: entries by status, in the order of the labels."""
     return entries.groupBy("status").agg(F.count("*").alias("n")).orderBy("status")

@@ -67,6 +67,35 @@ def split(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def better(groups_a: Column, groups_b: Column, timed_a: Column, timed_b: Column) -> Column:
+    """ITR-06: of a global (a) and a two-pass result (b) the one with more groups; of as many, two-pass unless it has fewer timed."""
+    return F.when(groups_b < groups_a, "global").when((groups_b > groups_a) | (timed_b >= timed_a), "two-pass").otherwise("global")
+
+
+def located(results: DataFrame, *known: DataFrame) -> DataFrame:
+    """EXP-11: results (name) with the path of the first of ``known`` (name, path) that has the name, else the name."""
+    out = results
+    for n, k in enumerate(known):
+        out = out.join(k.select("name", F.col("path").alias(f"_path{n}")), "name", "left")
+    return out.withColumn("path", F.coalesce(*(F.col(f"_path{n}") for n in range(len(known))), "name")).drop(*(f"_path{n}" for n in range(len(known))))
+
+
+def ghosts(described: DataFrame, with_files: DataFrame, key: str) -> DataFrame:
+    """EXP-14: what has metadata but no files."""
+    return described.join(with_files, key, "left_anti")
+
+
+def shared(a: Column, b: Column) -> Column:
+    """SET-07: how many different words two arrays have in common."""
+    return F.size(F.array_intersect(F.array_distinct(a), F.array_distinct(b)))
+
+
+def commonest(rows: DataFrame, value: str, order: str, k: int = 0) -> DataFrame:
+    """SRT-02, SRT-03: values by count, ties by their first row in ``order``; the first k (0: all)."""
+    n = rows.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("_first")).orderBy(F.desc("n"), "_first", value)
+    return (n.limit(k) if k else n).drop("_first")
+
+
 def examples(rows: DataFrame, labels: list[tuple[str, Column]], n: int, *order) -> DataFrame:
     """SRT-07: the first ``n`` rows, in ``order``, of each label; a row has the first label whose condition holds."""
     label = F.coalesce(*(F.when(c, F.lit(name)) for name, c in labels))

@@ -81,6 +81,21 @@ def audit(rows: DataFrame) -> DataFrame:
     return quality(counts)
 
 
+def audit_table(audited: DataFrame) -> DataFrame:
+    """SNK-05: the audit in the columns of its table."""
+    marks = {"top_begin": "⌈", "top_end": "⌉", "bottom_begin": "⌊", "bottom_end": "⌋"}
+    return audited.withColumn("file", F.col("file").cast("string")).withColumnsRenamed(marks)
+
+
+def within_predecessor(pairs: DataFrame, slack: int = 500) -> DataFrame:
+    """AGG-10: by file, utterances whose times lie within those of the last timed one before it, 500 ms a side: by the truth (a)
+    and as found (b)."""
+    held = F.when(F.col("t_start").isNotNull(), F.struct("t_start", "t_end"))
+    p = F.last(held, ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, -1))
+    inside = lambda s, e: F.coalesce((F.col(s) >= F.col("p.t_start") - slack) & (F.col(e) <= F.col("p.t_end") + slack), F.lit(False))
+    return pairs.withColumn("p", p).groupBy("file").agg(F.count_if(inside("t_start", "t_end")).alias("a_within"), F.count_if(inside("f_start", "f_end")).alias("b_within"))
+
+
 def totals(audited: DataFrame, *by: str) -> DataFrame:
     """AGG-04, AGG-05: sums over the files with markers, overall or by group."""
     q = lambda k: F.count_if(F.col("quality") == k).alias(k)
