@@ -45,6 +45,14 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches, rows: int = 1000):
     """The batches in slices of at most ``rows`` rows. Spark bounds a batch by bytes; this bounds what a task makes of it at once."""
     for batch in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ALNUM, chunk_words, chunks, mix, run_hashes, runs_of, slices, staged, table
+from loomspan.llm.common import ALNUM, chunk_words, chunks, fresh, mix, run_hashes, runs_of, slices, staged, table
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
@@ -361,8 +361,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, sure: float = 0.12,
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class; the rows are found again by doc_id and the text's hash."""
     kept = near_duplicates(docs).where("is_kept").select("doc_id", "text_hash").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).distinct()
-    found = docs.withColumn("_own", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+    own = fresh(docs, "_own")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (F.col(f"d.{own}") == F.col("k._hash"))
+    found = docs.withColumn(own, F.xxhash64("text")).alias("d").join(kept.alias("k"), same, "left_semi")
+    return found.dropDuplicates(["doc_id", own]).select(docs.columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

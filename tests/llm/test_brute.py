@@ -102,6 +102,16 @@ def classes_of(rows):
     return {d: (first[k], size[k]) for (d, _), k in zip(rows, own, strict=True)}
 
 
+def test_near_duplicates_of_very_long_and_many_equal_texts(spark):
+    from loomspan.llm.neardup import near_duplicates
+
+    words = [f"w{i % 4999}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:1000], "new", *words[1000:]])), (3, " ".join(f"v{i % 4999}" for i in range(200_000)))] + [(10 + i, "the same text again and again") for i in range(3000)]
+    frame = spark.createDataFrame([(*r, b"x", 1) for r in rows], "doc_id long, text string, tid binary, root int")
+    got = {r.doc_id: (r.class_id, r.n_class) for r in near_duplicates(frame).collect()}
+    assert got[1] == got[2] == (1, 2) and got[3] == (3, 1) and all(got[10 + i] == (10, 3000) for i in range(3000))
+
+
 def test_near_copies_about_the_threshold(spark):
     """Hundreds of copies of one text, most pairs of which are somewhat less alike than the threshold."""
     from loomspan.llm.neardup import near_duplicates
