@@ -40,14 +40,15 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     common.release(spark)
     found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
     hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.alias("d").join(hit.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h._hit")), "left_anti")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
     slots = mixing.mix(docs, WEIGHTS).groupBy("doc_id").agg(F.min("slot").alias("_slot")).withColumnRenamed("doc_id", "_id")
-    ordered = docs.join(slots, F.col("doc_id").eqNullSafe(F.col("_id"))).repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id")
-    return ordered.select(docs.columns)
+    joined = docs.alias("d").join(slots.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s._id")))
+    place = F.col("s._slot"), F.col("d.doc_id")
+    return joined.repartitionByRange(*place).sortWithinPartitions(*place).select(*(F.col(f"d.`{c}`") for c in docs.columns))
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
