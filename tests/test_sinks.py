@@ -9,7 +9,7 @@ from loomspan.operators import align, transforms, validation
 def test_files_read_back(spark, tmp_path):
     docs = spark.createDataFrame([("a", "@Begin\n*A:\tx\n@End\n"), ("b", "one\ttwo\n")], "file string, text string")
     sinks.documents(docs, f"{tmp_path}/docs")
-    back = spark.read.option("wholetext", "true").text(f"{tmp_path}/docs").collect()
+    back = spark.read.text(f"{tmp_path}/docs", wholetext=True).collect()
     assert {r.file: r.value for r in back} == {r.file: r.text for r in docs.collect()}
     table = spark.createDataFrame([("a", 1, None), ("b", 2, "x\ty")], "file string, n int, note string")
     sinks.tsv(table, f"{tmp_path}/table")
