@@ -62,7 +62,7 @@ UTTERANCES_SQL = f"""{RAW_SQL}, {SAMPLES_SQL}, l0 AS (SELECT r.*, CASE WHEN note
   l3 AS (SELECT *, sum(CASE WHEN who IS NOT NULL AND who IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER w AS turn, sum(CASE WHEN (who IS NOT NULL AND who IS DISTINCT FROM before) OR ended THEN 1 ELSE 0 END) OVER w AS piece FROM l2 WINDOW w AS (PARTITION BY file ORDER BY line)),
   p AS (SELECT file, turn, piece, sum(n) AS m FROM l3 GROUP BY ALL), p2 AS (SELECT *, coalesce(count_if(m > 0) OVER (PARTITION BY file, turn ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM p),
   l AS (SELECT l3.*, part FROM l3 JOIN p2 USING (file, turn, piece)),
-  u AS (SELECT file, turn, part, min(line) AS first_line, max(line) AS last_line, arg_min(coalesce(who, before), line) AS speaker, count(*) AS lines, arg_min(start, line) AS start, arg_max("end", line) AS "end", arg_max(next_start, line) AS next_start,
+  u AS (SELECT file, turn, part, min(line) AS first_line, max(line) AS last_line, arg_min(coalesce(who, before), line) AS speaker, count(*) AS lines, arg_min(start, line) AS start, arg_max("end", line) AS "end", arg_max(coalesce(next_start, 1e15), line) AS next_start,
     string_agg(nullif(written, ''), ' ' ORDER BY line) AS text, arg_max(mark, line) FILTER (mark IS NOT NULL) AS mark FROM l GROUP BY ALL HAVING sum(n) > 0),
   v AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY first_line) AS utterance, CASE WHEN mark IS NULL AND ends_with(text, ',') THEN left(text, len(text) - 1) ELSE text END AS bare,
     CASE mark WHEN '?' THEN '?' WHEN '&' THEN '+,' WHEN '--' THEN CASE WHEN next_start - "end" < 0 THEN '+/.' ELSE '+...' END ELSE '.' END AS sign FROM u)"""
