@@ -162,12 +162,12 @@ def candidates(texts: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return pairs.select(F.least("tid", "other").alias("a"), F.greatest("tid", "other").alias("b")).distinct(), held.where(F.col("n") > small).select("bucket", "tid")
 
 
-def _in_blocks(rows: DataFrame, load, most: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """``rows`` (bucket, tid, ...) so that any two of a bucket meet in one run of equal (bucket, i, j).
 
-    A bucket is cut into blocks with about ``most`` of ``load`` each; run (i, j) holds blocks i and j (``part`` says which).
+    A bucket is cut into blocks, as many as ``blocks`` (bucket, blocks) says; run (i, j) holds blocks i and j (``part`` says
+    which). Buckets that ``blocks`` lacks are left out.
     """
-    blocks = rows.groupBy("bucket").agg(F.ceil(F.sum(load) / most).alias("blocks"))
     cut = rows.join(blocks, "bucket").withColumn("part", F.pmod(F.xxhash64("tid"), "blocks"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return cut.withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")}).drop("_other", "blocks")
@@ -208,8 +208,8 @@ def meeting(large: DataFrame, roots: DataFrame, signed: DataFrame, least: float,
                 yield pa.RecordBatch.from_pydict({c: group.column(c).combine_chunks().filter(pa.array(seen)) for c in ("bucket", "tid", "root")})
 
     classed = large.join(roots, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
-    several = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return _dealt(_in_blocks(classed.join(several, "bucket"), F.lit(1), block).join(signed, "tid")).mapInArrow(run, "bucket long, tid binary, root binary").distinct()
+    several = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / block).alias("blocks")).where("low <> high")
+    return _dealt(_in_blocks(classed, several.select("bucket", "blocks")).join(signed, "tid")).mapInArrow(run, "bucket long, tid binary, root binary").distinct()
 
 
 def joining(near: DataFrame, brief: DataFrame, sets: DataFrame, threshold: float, sure: float, block: int = 2 << 20) -> DataFrame:
@@ -260,8 +260,8 @@ def joining(near: DataFrame, brief: DataFrame, sets: DataFrame, threshold: float
                 yield pa.RecordBatch.from_arrays([pa.array([raw[a] for a, _ in links], pa.binary()), pa.array([raw[b] for _, b in links], pa.binary())], ["a", "b"])
 
     load = sets.select("tid", (F.octet_length("s") * 1.5 + COORDINATES).cast("long").alias("load"))
-    cut = _in_blocks(near.join(load, "tid"), F.col("load"), block).drop("load")
-    return _dealt(cut.join(brief, "tid").join(sets, "tid")).mapInArrow(run, "a binary, b binary").distinct()
+    blocks = near.join(load, "tid").groupBy("bucket").agg(F.ceil(F.sum("load") / block).alias("blocks"))
+    return _dealt(_in_blocks(near, blocks).join(brief, "tid").join(sets, "tid")).mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _agreeing(batches):
