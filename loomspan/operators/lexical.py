@@ -143,3 +143,19 @@ def against_norms(scores: DataFrame, norm: DataFrame) -> DataFrame:
     """JON-19: scores (value) with their z by the mean and SD of the norm's entries (value), which the caller has filtered."""
     s = norm.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     return scores.crossJoin(F.broadcast(s)).withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))
+
+
+def diversity(rows: DataFrame, *by: str, sizes: tuple[int, int] = (35, 50)) -> DataFrame:
+    """CLN-15: D by group, of groups with more words than the largest size: for each sample size N the expected type-token ratio
+    of N words drawn without replacement, x; N x^2 / (2 (1 - x)) is the D whose curve meets it; D is their mean over the sizes.
+
+    A word seen f times among T is missing from a draw with the probability of the product of (T - f - i) / (T - i), i < N, so
+    words count by how often they occur, and no sample is drawn.
+    """
+    f = frequency(rows, *by).groupBy(*by, "n").agg(F.count("*").alias("words"))
+    total = f.groupBy(*by).agg(F.sum(F.col("n") * F.col("words")).alias("total")).where(F.col("total") > sizes[1])
+    each = f.join(total, list(by)).withColumn("size", F.explode(F.sequence(F.lit(sizes[0]), F.lit(sizes[1]))))
+    step = lambda p, i: p * F.greatest(F.col("total") - F.col("n") - i, F.lit(0)) / (F.col("total") - i)
+    missing = F.aggregate(F.sequence(F.lit(0), F.col("size") - 1), F.lit(1.0), step)
+    ttr = each.groupBy(*by, "size").agg((F.sum(F.col("words") * (1 - missing)) / F.first("size")).alias("x"))
+    return ttr.groupBy(*by).agg(F.avg(F.col("size") * F.col("x") * F.col("x") / (2 * (1 - F.col("x")))).alias("d"))

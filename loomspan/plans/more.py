@@ -264,3 +264,25 @@ def _(spark, sf):
 @query("cln21_lines", f"WITH {TIMED_SQL} SELECT file, idx, row_number() OVER (PARTITION BY file ORDER BY idx) || ' ' || speaker AS text FROM e")
 def _(spark, sf):
     return lines.with_numbers(tables.timed(spark, sf).select("file", F.col("idx").alias("line"), F.col("speaker").alias("text"))).select("file", F.col("line").alias("idx"), "text")
+
+
+@query("cln15_diversity", f"""WITH {U_SQL}, {T_SQL}, f AS (SELECT speaker, word, count(*) AS n FROM t GROUP BY ALL), c AS (SELECT speaker, n, count(*) AS words FROM f GROUP BY ALL), s AS (SELECT speaker, sum(n * words) AS total FROM c GROUP BY speaker HAVING sum(n * words) > 50),
+  e AS (SELECT speaker, n, words, total, unnest(range(35, 51)) AS size FROM c JOIN s USING (speaker)), x AS (SELECT speaker, size, sum(words * (1 - list_aggregate(list_transform(range(0, size), lambda i: greatest(total - n - i, 0)::DOUBLE / (total - i)), 'product'))) / size AS x FROM e GROUP BY speaker, size)
+  SELECT speaker, avg(size * x * x / (2 * (1 - x))) AS d FROM x GROUP BY speaker""")
+def _(spark, sf):
+    return lexical.diversity(tables.utterances(spark, sf), "speaker")
+
+
+@query("src28_subtitles", f"""WITH {TIMED_SQL} SELECT file, CAST(unnest([1, 2]) AS INT) AS nth, CAST(unnest([3_661_250 + id % 60 * 1000, 7_200_000]) AS BIGINT) AS start_ms, CAST(unnest([3_721_000 + id % 60 * 1000, 7_200_500]) AS BIGINT) AS end_ms, unnest([speaker || ' a b', 'c']) AS text FROM e WHERE idx = 1""")
+def _(spark, sf):
+    n = F.col("id") % 60
+    clock = lambda s, ms: F.concat(F.lit("01:"), F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(f",{ms}"))
+    text = F.concat(F.lit("1\n"), clock(n + 61, "250"), F.lit(" --> "), clock(n + 121, "000"), F.lit("\n"), F.col("speaker"), F.lit(" a\n b\n\n2\n02:00:00,000 --> 02:00:00,500\nc\n\n"))
+    return transcripts.subtitles(tables.timed(spark, sf).where("idx = 1").select("file", text.alias("text")))
+
+
+@query("src28_textgrid", f"""WITH {TIMED_SQL} SELECT file, 'A' AS tier, CAST(unnest([0, id * 1000 + 500]) AS BIGINT) AS start_ms, CAST(unnest([id * 1000 + 500, 9_000_000_000]) AS BIGINT) AS end_ms, unnest([speaker, 'say "x"']) AS text FROM e WHERE idx = 1""")
+def _(spark, sf):
+    i = F.col("id").cast("string")
+    text = F.concat(F.lit('item [1]:\n class = "IntervalTier"\n name = "A"\n intervals [1]:\n xmin = 0\n xmax = '), i, F.lit('.5\n text = "'), F.col("speaker"), F.lit('"\n intervals [2]:\n xmin = '), i, F.lit('.5\n xmax = 9000000\n text = "say ""x"""\n'))
+    return transcripts.text_grid(tables.timed(spark, sf).where("idx = 1").select("file", text.alias("text")))

@@ -128,6 +128,24 @@ def asr_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("file", F.posexplode(F.from_json("raw", "array<struct<text string, start_ms long, end_ms long>>")).alias("nth", "t")).select("file", "nth", "t.*")
 
 
+def subtitles(files_: DataFrame) -> DataFrame:
+    """SRC-28 (SRT): (file, text) as (file, nth, start_ms, end_ms, text): blocks of a number, times and lines, which are joined."""
+    stamp_ = r"(\d+):(\d+):(\d+)[,.](\d+)"
+    block = files_.select("file", F.explode(F.split(F.replace("text", F.lit("\r"), F.lit("")), r"\n\s*\n")).alias("b"))
+    at = lambda k: sum((F.regexp_extract("b", rf"{stamp_} *--> *{stamp_}", k + i).try_cast("long") * unit for i, unit in ((1, 3_600_000), (2, 60_000), (3, 1000), (4, 1))), F.lit(0))
+    said = F.trim(F.regexp_replace(F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)$", 1), r"\s+", " "))
+    return block.select("file", F.regexp_extract("b", r"(?m)^\s*(\d+)\s*$", 1).try_cast("int").alias("nth"), at(0).alias("start_ms"), at(4).alias("end_ms"), said.alias("text")).where("start_ms is not null and end_ms is not null")
+
+
+def text_grid(files_: DataFrame) -> DataFrame:
+    """SRC-28 (TextGrid, long form): (file, text) as (file, tier, start_ms, end_ms, text): intervals that hold a text."""
+    tier = files_.select("file", F.explode(F.slice(F.split("text", r"item \[\d+\]:"), F.lit(2), F.size(F.split("text", r"item \[\d+\]:")))).alias("t"))
+    one = tier.select("file", F.regexp_extract("t", r'name = "([^"]*)"', 1).alias("tier"), F.explode(F.regexp_extract_all("t", F.lit(r'(xmin = [0-9.]+\s+xmax = [0-9.]+\s+text = "(?:[^"]|"")*")'), F.lit(1))).alias("i"))
+    at = lambda name: F.round(F.regexp_extract("i", rf"{name} = ([0-9.]+)", 1).cast("double") * 1000).cast("long")
+    said = F.replace(F.regexp_extract("i", r'(?s)text = "(.*)"$', 1), F.lit('""'), F.lit('"'))
+    return one.select("file", "tier", at("xmin").alias("start_ms"), at("xmax").alias("end_ms"), said.alias("text")).where("trim(text) <> ''")
+
+
 def path_list(lines: DataFrame) -> DataFrame:
     """SRC-24: one path a line, # comments and blanks skipped."""
     return lines.select(F.trim("raw").alias("path")).where("path <> '' and path not like '#%'")

@@ -44,3 +44,17 @@ def given_up(rows: DataFrame, limit: int = 20) -> DataFrame:
     island = rows.withColumn("goods", F.sum(F.col("ok").cast("int")).over(w)).where("not ok")
     nth = island.withColumn("streak", F.row_number().over(Window.partitionBy("job", "goods").orderBy("attempt")))
     return nth.where(F.col("streak") == limit).groupBy("job").agg(F.min("attempt").alias("attempt"))
+
+
+def validated(spark, folder: str, out: str, checkpoint: str, schema: str, rules):
+    """STR-06: reports (file, line, code) of the rows in Parquet files that are new in ``folder`` since the last call.
+
+    ``rules`` makes a report of a DataFrame of rows; each call takes up what the checkpoint has not seen, and ends. A file's rows
+    come in one batch, and a batch that is run again writes the same folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rules(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream = spark.readStream.schema(schema).parquet(folder)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

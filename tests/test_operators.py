@@ -341,3 +341,21 @@ def test_one_speaker(spark):
     one = lambda c: [r.raw for r in got.where(F.col("code") == c).orderBy("line").collect()]
     assert one("ANN") == ["@Begin", "@Participants:\tANN Child", "@ID:\teng|c|ANN|||", "*ANN:\ta", "%com:\tx", "@End"]
     assert one("BOB") == ["@Begin", "@Participants:\tBOB Father", "@ID:\teng|c|BOB|||", "*BOB:\tb", "@End"]
+
+
+def test_new_files_are_validated_once(spark, tmp_path):
+    from loomspan.operators import validation
+
+    schema = "file string, line int, speaker string, start_ms long, end_ms long"
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        jobs.validated(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", schema, validation.backwards).awaitTermination()
+        return sorted((r.file, r.line, r.code, r.batch) for r in spark.read.schema("file string, line int, code string, batch int").parquet(f"{tmp_path}/out").collect())
+
+    add([("a", 1, "A", 10, 20), ("a", 2, "A", 5, 30)])
+    assert run() == [("a", 2, "E701", 0)] == run()
+    add([("b", 1, "A", 10, 9)])
+    assert run() == [("a", 2, "E701", 0), ("b", 1, "E362", 1)]
