@@ -143,3 +143,22 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_siz
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), {"src0": 2}).drop("_row")
+
+
+#: For up to two lanes, as the query has: parts 1 (lane 0, or the only one) and 2.
+ORACLE = r"""
+WITH RECURSIVE src AS (SELECT source, CASE WHEN source = 'src0' THEN 2 ELSE 1 END AS parts FROM (SELECT DISTINCT source FROM documents)),
+l AS (SELECT *, row_number() OVER (PARTITION BY parts ORDER BY source NULLS FIRST) - 1 AS member, count(*) OVER (PARTITION BY parts) AS members FROM src),
+k AS (SELECT DISTINCT parts, members, parts * members AS total FROM l),
+g AS (SELECT CAST(sum(total) AS BIGINT) AS period, CASE WHEN count(*) = 1 THEN max(total) ELSE gcd(min(total), max(total)) END AS d FROM k),
+q AS (SELECT period, period // d AS p, (SELECT total FROM k ORDER BY parts LIMIT 1) // d AS a_turns, (SELECT total FROM k ORDER BY parts LIMIT 1 OFFSET 1) // d AS b_turns FROM g),
+st(slot, a, b) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT slot + 1, a + CASE WHEN o = 0 THEN 1 ELSE 0 END, b + CASE WHEN o = 1 THEN 1 ELSE 0 END FROM (SELECT st.*, p,
+  CASE WHEN b_turns IS NULL OR b * p // b_turns > slot THEN 0 WHEN a * p // a_turns > slot THEN 1 WHEN ((a + 1) * p + a_turns - 1) // a_turns <= ((b + 1) * p + b_turns - 1) // b_turns THEN 0 ELSE 1 END AS o FROM st, q) WHERE slot + 1 < p),
+own AS (SELECT slot, a, b, CASE WHEN b_turns IS NULL OR b * p // b_turns > slot THEN 0 WHEN a * p // a_turns > slot THEN 1 WHEN ((a + 1) * p + a_turns - 1) // a_turns <= ((b + 1) * p + b_turns - 1) // b_turns THEN 0 ELSE 1 END AS o FROM st, q),
+t AS (SELECT slot AS place, o, CASE WHEN o = 0 THEN a ELSE b END AS nth FROM own),
+d AS (SELECT doc_id, source, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars FROM documents),
+b AS (SELECT *, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536 AS BIGINT) AS block FROM d),
+x AS (SELECT b.*, l.parts, block * members + member AS n, CASE WHEN l.parts = (SELECT min(parts) FROM k) THEN 0 ELSE 1 END AS o FROM b JOIN l ON b.source IS NOT DISTINCT FROM l.source),
+y AS (SELECT x.*, q.*, CASE WHEN o = 0 THEN a_turns ELSE b_turns END AS turns FROM x, q)
+SELECT doc_id, source, n_chars, block, block * period // parts AS release, ((block + 1) * period + parts - 1) // parts AS deadline, n // turns * p + place AS slot FROM y JOIN t ON t.o = y.o AND t.nth = n % turns
+"""

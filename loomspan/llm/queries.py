@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES = {"op1_chat_format": chat.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op4_repeats": substrings.ORACLE, "op8_url_filter": urls.ORACLE}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op4_repeats": substrings.ORACLE, "op8_url_filter": urls.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -20,7 +20,7 @@ def digest(columns, rows):
     return len(rows), hashlib.sha256("\n".join(sorted(repr(tuple(r[i] for i in order)) for r in rows)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontamination", "op4_repeats", "op8_url_filter"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontamination", "op4_repeats", "op8_url_filter", "op10_mixing"])
 def test_query(spark, duck, sf, name):
     from loomspan.llm.queries import ORACLES, QUERIES
 
@@ -30,7 +30,7 @@ def test_query(spark, duck, sf, name):
     assert digest(got.columns, [tuple(r) for r in got.collect()]) == digest(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name, columns", [("op3_pii", ["doc_id", "text", "n_values"]), ("op5_near_duplicates", ["doc_id", "class_id", "n_class", "is_kept"]), ("op9_token_ids", ["doc_id", "start", "n_tokens", "ids_crc32"]), ("op10_mixing", ["doc_id", "source", "n_chars", "block", "release", "deadline", "slot"])])
+@pytest.mark.parametrize("name, columns", [("op3_pii", ["doc_id", "text", "n_values"]), ("op5_near_duplicates", ["doc_id", "class_id", "n_class", "is_kept"]), ("op9_token_ids", ["doc_id", "start", "n_tokens", "ids_crc32"])])
 def test_rows_of_queries_without_sql(spark, sf, name, columns):
     """One row for each document, with the columns that are promised; the operators themselves are held against brute force elsewhere."""
     from loomspan.llm.queries import QUERIES
