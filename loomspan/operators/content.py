@@ -44,7 +44,8 @@ def elements(content: Column) -> Column:
         k = F.lit("Word")
         for name, pattern in reversed(ELEMENTS):
             k = F.when(t.rlike(f"^(?:{pattern})$"), name).otherwise(k)
-        return k
+        # most tokens are plain words, which need no trial
+        return F.when((F.substr(t, F.lit(1), F.lit(1)) >= "A") & (F.substr(t, F.lit(1), F.lit(1)) <= "z") & ~t.endswith(">") & ~t.startswith("["), "Word").otherwise(k)
 
     def one(name, value):
         return F.struct(F.lit(name).alias("kind") if isinstance(name, str) else name.alias("kind"), value.alias("value"))
@@ -58,6 +59,9 @@ def elements(content: Column) -> Column:
         )
 
     def word(t):
+        return F.when(t.rlike("^[A-Za-z0-9']+$"), F.array(one("Word", t))).otherwise(marked_word(t))
+
+    def marked_word(t):
         bare = F.when(t.rlike("^[~!#][A-Za-z]"), F.substr(t, F.lit(2))).otherwise(t)
         spelled = F.replace(F.replace(bare, F.lit("="), F.lit(":")), F.lit("%"), F.lit("ʔ"))
         tail = F.regexp_extract(spelled, f"({'|'.join(LABELS)})>$", 1)
@@ -70,7 +74,7 @@ def elements(content: Column) -> Column:
         return F.get(F.transform(F.array(kind(t)), lambda k: F.when(k == "Word", word(t)).otherwise(F.array(one(k, valued(t, k))))), F.lit(0))
 
     found = F.regexp_extract_all(stand_ins(content), F.lit(ELEMENT), F.lit(0))
-    return F.filter(F.flatten(F.transform(found, of)), lambda e: e.kind != "Space")
+    return F.flatten(F.transform(F.filter(found, lambda t: ~t.startswith(" ") & ~t.startswith("\t")), of))
 
 
 def is_content(e: Column) -> Column:
@@ -128,21 +132,18 @@ def utterances(lines: DataFrame) -> DataFrame:
 
     mark is the terminator as it is written: of the last terminator; without one, a comma at the end is taken off for a period.
     """
-    from loomspan.operators.lines import by_file, segments
+    from loomspan.operators.lines import by_file, labelled
 
     e = lines.withColumn("elements", elements(F.col("content")))
     e = e.withColumns({"ends": F.exists("elements", lambda x: x.kind.isin(*TERMINATORS)), "n": F.size(F.filter("elements", is_content))})
-    cut = segments(e)
-    live = e.where(~F.coalesce("skip", F.lit(False)))
-    # each line with the utterance that it lies in: the last that starts at or before it
-    starts = cut.select("file", F.col("first_line").alias("line"), F.struct("utterance", "last_line", F.col("speaker").alias("who")).alias("u"))
-    at = F.last("u", ignorenulls=True).over(by_file().rowsBetween(Window.unboundedPreceding, 0))
-    placed = live.join(starts, ["file", "line"], "left").withColumns({"u": at, "next_start": F.lead("start").over(by_file())}).where(F.col("line") <= F.col("u.last_line"))
     held = F.sort_array(F.collect_list(F.struct("line", "elements")))
     whole = F.flatten(F.transform(held, lambda x: x.elements))
-    u = placed.groupBy("file", F.col("u.utterance").alias("utterance"), F.col("u.who").alias("speaker")).agg(
-        F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.min_by("start", "line").alias("start"), F.max_by("end", "line").alias("end"), F.max_by("next_start", "line").alias("next_start"), whole.alias("all"),
-    )
+    placed = labelled(e).withColumn("next_start", F.lead("start").over(by_file()))
+    u = placed.groupBy("file", "turn", "part").agg(
+        F.min_by("who", "line").alias("speaker"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.min_by("start", "line").alias("start"), F.max_by("end", "line").alias("end"), F.max_by("next_start", "line").alias("next_start"),
+        whole.alias("all"), F.sum("n").alias("n"),
+    ).where("n > 0")
+    u = u.withColumn("utterance", F.row_number().over(Window.partitionBy("file").orderBy("first_line")).cast("long"))
     last = F.element_at(F.filter("all", lambda x: ~is_content(x)), -1).kind
     u = u.withColumns({"last": F.when(F.exists("all", lambda x: ~is_content(x)), last), "content": F.filter("all", is_content)})
     comma = F.col("last").isNull() & (F.element_at("content", -1).kind == "Comma")

@@ -32,27 +32,32 @@ def any_codes(rows: DataFrame, code: str = r"\b(E\d{3})\b") -> DataFrame:
     return rows.where("session is not null").withColumn("code", F.explode(F.regexp_extract_all("text", F.lit(code), F.lit(1))))
 
 
-def segments(rows: DataFrame) -> DataFrame:
-    """WIN-03: utterances from lines (file, line, speaker, ends, n, and with annotator lines dropped where ``skip`` is true).
+def labelled(rows: DataFrame) -> DataFrame:
+    """WIN-03: lines (file, line, speaker, ends, n, skip) that are not skipped, each with the turn and part (utterance of the turn)
+    that it lies in, and who speaks.
 
     speaker is null on a continuation; ends: the line holds a terminator; n: its elements that are content. A line that names
     another speaker than the current one starts a turn. Within a turn a line after one with a terminator starts an utterance,
-    if the one before has any content; utterances without content are dropped.
+    if the one before has any content. All windows are by file, so the lines are shuffled once.
     """
     w = by_file()
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    # the line before counts for its terminator even where it is skipped
-    r = rows.withColumns({"ended": F.coalesce(F.lag("ends").over(w), F.lit(False))}).where(~F.coalesce("skip", F.lit(False)))
-    r = r.withColumn("current", F.last("speaker", ignorenulls=True).over(earlier))
-    turned = F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("current"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("turned", turned).withColumns({"turn": F.sum(F.col("turned").cast("int")).over(upto), "piece": F.sum((F.col("turned") | F.col("ended")).cast("int")).over(upto)})
-    pieces = r.groupBy("file", "turn", "piece").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("lines"), F.sum("n").alias("n"), F.min_by(F.coalesce("speaker", "current"), "line").alias("speaker"))
-    # a piece without content is one with the next of its turn
-    before = Window.partitionBy("file", "turn").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    whole = pieces.withColumn("part", F.coalesce(F.count_if(F.col("n") > 0).over(before), F.lit(0)))
-    out = whole.groupBy("file", "turn", "part").agg(F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.first("speaker").alias("speaker"), F.sum("lines").alias("lines"), F.sum("n").alias("n")).where("n > 0")
-    return out.select("file", F.row_number().over(Window.partitionBy("file").orderBy("first_line")).cast("long").alias("utterance"), "first_line", "last_line", F.coalesce("speaker", F.lit("")).alias("speaker"), "lines")
+    # the line before counts for its terminator even where it is skipped
+    r = rows.withColumn("ended", F.coalesce(F.lag("ends").over(w), F.lit(False))).where(~F.coalesce("skip", F.lit(False)))
+    r = r.withColumn("current", F.last("speaker", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    r = r.withColumn("turned", F.col("speaker").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("current")))
+    r = r.withColumns({"turn": F.sum(F.col("turned").cast("int")).over(upto), "piece": F.sum((F.col("turned") | F.col("ended")).cast("int")).over(upto)})
+    # a piece without content is one with the next of its turn: parts are counted by the pieces before that have any
+    piece = Window.partitionBy("file", "piece")
+    r = r.withColumns({"full": (F.sum("n").over(piece) > 0).cast("int"), "opens": (F.col("line") == F.min("line").over(piece)).cast("int")})
+    before = F.sum(F.col("full") * F.col("opens")).over(Window.partitionBy("file", "turn").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumns({"part": before - F.col("full"), "who": F.coalesce("speaker", "current", F.lit(""))}).drop("ended", "current", "turned", "piece", "full", "opens")
+
+
+def segments(rows: DataFrame) -> DataFrame:
+    """WIN-03: the utterances of :func:`labelled` lines; those without content are dropped."""
+    out = labelled(rows).groupBy("file", "turn", "part").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.min_by("who", "line").alias("speaker"), F.count("*").alias("lines"), F.sum("n").alias("n")).where("n > 0")
+    return out.select("file", F.row_number().over(Window.partitionBy("file").orderBy("first_line")).cast("long").alias("utterance"), "first_line", "last_line", "speaker", "lines")
 
 
 def backwards_inside(rows: DataFrame, slack: float = 0.05) -> DataFrame:
