@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round ties a node's larger neighbours, then its smaller ones, to its smallest neighbour, until no edge changes; the
     edges end as stars.
-    Rounds are cut by a checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset).
+    Rounds are cut by a checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset, on one machine only).
     """
     spark = links.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and not spark.conf.get("spark.checkpoint.dir", None):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}")
     edges, state = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), None
     while True:

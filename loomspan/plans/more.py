@@ -209,10 +209,10 @@ def _(spark, sf):
     return lexical.by_kind(t.select(F.col("word").alias("text"), "kind", F.col("speaker").alias("parent")))
 
 
-@query("jon19_norms", """SELECT p_partkey, (p_retailprice - m) / s AS z FROM part, (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part WHERE p_brand = 'Brand#11' AND p_size BETWEEN 10 AND 40)""")
+@query("jon19_norms", """SELECT p_partkey, round((p_retailprice - m) / s, 6) AS z FROM part, (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part WHERE p_brand = 'Brand#11' AND p_size BETWEEN 10 AND 40)""")
 def _(spark, sf):
     p = tables.read(spark, sf, "part")
-    return lexical.against_norms(p.select("p_partkey", F.col("p_retailprice").alias("value")), p.where("p_brand = 'Brand#11' and p_size between 10 and 40").select(F.col("p_retailprice").alias("value"))).select("p_partkey", "z")
+    return lexical.against_norms(p.select("p_partkey", F.col("p_retailprice").alias("value")), p.where("p_brand = 'Brand#11' and p_size between 10 and 40").select(F.col("p_retailprice").alias("value"))).select("p_partkey", F.round("z", 6).alias("z"))
 
 
 @query("set07_shared_words", f"WITH {TIMED_SQL} SELECT file, idx, CAST(len(list_intersect(list_distinct([speaker, 'x', 'x', 'a']), list_distinct([lead(speaker) OVER (PARTITION BY file ORDER BY idx), 'a', 'y']))) AS INT) AS shared FROM e")
@@ -268,9 +268,9 @@ def _(spark, sf):
 
 @query("cln15_diversity", f"""WITH {U_SQL}, {T_SQL}, f AS (SELECT speaker, word, count(*) AS n FROM t GROUP BY ALL), c AS (SELECT speaker, n, count(*) AS words FROM f GROUP BY ALL), s AS (SELECT speaker, sum(n * words) AS total FROM c GROUP BY speaker HAVING sum(n * words) > 50),
   e AS (SELECT speaker, n, words, total, unnest(range(35, 51)) AS size FROM c JOIN s USING (speaker)), x AS (SELECT speaker, size, sum(words * (1 - list_aggregate(list_transform(range(0, size), lambda i: greatest(total - n - i, 0)::DOUBLE / (total - i)), 'product'))) / size AS x FROM e GROUP BY speaker, size)
-  SELECT speaker, avg(size * x * x / (2 * (1 - x))) AS d FROM x GROUP BY speaker""")
+  SELECT speaker, round(avg(size * x * x / (2 * (1 - x))), 6) AS d FROM x GROUP BY speaker""")
 def _(spark, sf):
-    return lexical.diversity(tables.utterances(spark, sf), "speaker")
+    return lexical.diversity(tables.utterances(spark, sf), "speaker").withColumn("d", F.round("d", 6))
 
 
 @query("src28_subtitles", f"""WITH {TIMED_SQL} SELECT file, CAST(unnest([1, 2]) AS INT) AS nth, CAST(unnest([3_661_250 + id % 60 * 1000, 7_200_000]) AS BIGINT) AS start_ms, CAST(unnest([3_721_000 + id % 60 * 1000, 7_200_500]) AS BIGINT) AS end_ms, unnest([speaker || ' a b', 'c']) AS text FROM e WHERE idx = 1""")

@@ -230,6 +230,24 @@ def test_components_of_a_long_path(spark):
     assert {r.node: r.root for r in got} == {i: 0 for i in range(701)} | {1000: 1000, 1001: 1000}
 
 
+def test_no_machine_local_folder_on_a_cluster(spark):
+    class Away:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Away(), spark.conf
+
+    class Links:
+        sparkSession = Session()
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            components(Links())
+
+
 def test_consistency_by_the_end_of_the_bottom(spark):
     rows = [("f", 1, "A", 10_000, 12_000, True, False), ("f", 2, "B", 7_000, 9_000, False, True), ("g", 1, "A", 10_000, 12_000, True, False), ("g", 2, "B", 5_000, 7_999, False, True), ("h", 1, "A", 0, 100, True, False), ("h", 2, "B", 2_101, 3_000, False, True)]
     df = spark.createDataFrame(rows, "file string, idx int, speaker string, start_ms long, end_ms long, top_begin boolean, bottom_begin boolean").withColumns({"top_end": F.lit(False), "bottom_end": F.lit(False)})
