@@ -56,6 +56,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session to ``BATCH_BYTES`` (Spark's own bound is 64 MB, held by executor and worker at once).
+
+    The session keeps the bound, as Spark reads it when a query runs; no result depends on it, and rows a batch stay as set.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batches, rows: int = 1000):
     """The batches in slices of at most ``rows`` rows. Spark bounds a batch by bytes; this bounds what a task makes of it at once."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ALNUM, chunk_words, chunks, run_hashes, slices, staged, table, words
+from loomspan.llm.common import ALNUM, chunk_words, chunks, run_hashes, slices, small_batches, staged, table, words
 
 SEGMENT = "segment long, gap int, doc_ids binary, known binary, doc_starts binary, terms binary, list_starts binary, postings binary"
 MATCHES = "segment long, ordinal int, doc_id long, n_words long, spans array<int>, item_ids array<string>, near_ids array<string>"
@@ -207,6 +207,7 @@ def _merged(spans):
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 0, block_words: int = 1 << 20) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, item_ids and near_ids (sorted strings)."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     index = staged(build_index(docs, 2 * slop + 1), "postings", compression="snappy")
     first, more = None, []
     for block in item_blocks(items, window, block_words):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import chunks, slices, table
+from loomspan.llm.common import chunks, slices, small_batches, table
 
 #: Bits of a symbol in an n-gram's number: 0 is none, 1 outside a word, else the code point plus 2.
 BITS = 21
@@ -122,6 +122,7 @@ def learn(docs: DataFrame, profile: int = 400) -> dict[str, list[int]]:
         if held:
             yield handed()
 
+    small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     out: dict[str, list[int]] = {}
@@ -166,6 +167,7 @@ class Ranker:
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], top: int = 300) -> DataFrame:
     """``docs`` with lang_pred and score; every column of ``docs`` but text passes through unread."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(profiles)
     names = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import ALNUM, chunk_words, chunks, fresh, mix, run_hashes, runs_of, slices, staged, table
+from loomspan.llm.common import ALNUM, chunk_words, chunks, fresh, mix, run_hashes, runs_of, slices, small_batches, staged, table
 
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
@@ -272,7 +272,7 @@ def _agreeing(batches):
 
 
 def _jaccard(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for p, u, q, v in zip(*(batch.column(c).to_pylist() for c in ("xs", "xw", "ys", "yw")), strict=True):
             p, u, q, v = (np.frombuffer(z, t) for z, t in ((p, np.uint64), (u, np.int32), (q, np.uint64), (v, np.int32)))
@@ -330,6 +330,7 @@ def classes(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, sure: float = 0.12, small: int = 8) -> DataFrame:
     """See the module. ``sure``: estimates farther than this from the threshold (four standard errors) are final."""
+    small_batches(docs.sparkSession)
     rows = staged(sketch(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     null_id = F.lit(-(2**63))
     texts = rows.where("tid is not null").groupBy("tid").agg(F.first("bands").alias("bands"), F.first("brief").alias("brief"), F.min(F.coalesce("doc_id", null_id)).alias("doc_id"))

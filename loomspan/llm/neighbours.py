@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import slices, staged, table
+from loomspan.llm.common import slices, small_batches, staged, table
 
 
 def _centres(x: np.ndarray, k: int, rng: np.random.Generator, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +125,7 @@ def usable(rows: DataFrame) -> DataFrame:
 
 def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.93, sample_rows: int = 20_000, leaves: int | None = None, probes: int = 128, block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score, visits): for each row whose vec_id is a multiple of ``every``, the k nearest found."""
+    small_batches(rows.sparkSession)
     fine = staged(usable(rows), "vectors")
     found = None
     for r in fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():

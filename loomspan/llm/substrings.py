@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import PLAIN, chunk_words, chunks, mix, run_hashes, slices, staged, table
+from loomspan.llm.common import PLAIN, chunk_words, chunks, mix, run_hashes, slices, small_batches, staged, table
 
 LOW = -(2**63)
 #: place = start << 5 | inner repeat << 4 | windows in the piece
@@ -138,6 +138,7 @@ def _places(start, inner, count):
 def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int = 2000) -> DataFrame:
     """One row a row: doc_id, n_words, n_removed, kept (words that stay, joined by blanks), kept_sha256."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     # the tag tells rows of one doc_id apart
     texts = docs.select(F.coalesce("doc_id", F.lit(LOW)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tag"))
 

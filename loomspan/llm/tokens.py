@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import slices, staged, table
+from loomspan.llm.common import slices, small_batches, staged, table
 
 BLOCK = 1 << 14
 _HEAD = struct.Struct("<4sHHIQII")
@@ -169,6 +169,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 1, image_id
         if names:
             yield image()
 
+    small_batches(docs.sparkSession)
     by = [F.asc_nulls_first(c) for c in order]
     ranged = docs.select(*{"doc_id": 0, "text": 0} | dict.fromkeys(order), F.monotonically_increasing_id().alias("_row")).repartitionByRange(*by, "_row").sortWithinPartitions(*by, "_row")
     return staged(ranged.select("doc_id", "text").mapInArrow(run, IMAGE), "token-shards", compression="uncompressed")
@@ -185,6 +186,7 @@ def read_shards(images: DataFrame) -> DataFrame:
                 at = image.starts.tolist()
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(image.doc_ids, pa.int64()), "start": pa.array([base + first + a for a in at[:-1]], pa.int64()), "n_tokens": pa.array([b - a for a, b in zip(at, at[1:])], pa.int64()), "ids_crc32": pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:])], pa.int64())})
 
+    small_batches(images.sparkSession)
     # one row a shard, that is, a task of the write: shards, not documents, are what is summed up and broadcast
     totals = images.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
