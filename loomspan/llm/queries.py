@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import chat, decontaminate, language, mixing, neardup, neighbours, pii, substrings, tokens, urls
+from loomspan.llm import bpe, chat, decontaminate, language, mixing, neardup, neighbours, pii, substrings, tokens, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_token_ids": tokens.op9_token_ids,
     "op10_mixing": mixing.op10_mixing,
+    "op13_bpe": bpe.op13_bpe,
 }
 
 ORACLES = {"op1_chat_format": chat.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op4_repeats": substrings.ORACLE, "op8_url_filter": urls.ORACLE, "op10_mixing": mixing.ORACLE}
