@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import bpe, chat, decontaminate, language, mixing, neardup, neighbours, pii, ranked, substrings, tokens, urls
+from loomspan.llm import bpe, chat, decontaminate, language, mixing, neardup, neighbours, pii, prefixes, ranked, substrings, tokens, urls
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_token_ids": tokens.op9_token_ids,
     "op10_mixing": mixing.op10_mixing,
     "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_prefix_trie": prefixes.op12_prefix_trie,
     "op13_bpe": bpe.op13_bpe,
 }
 
-ORACLES = {"op1_chat_format": chat.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op4_repeats": substrings.ORACLE, "op8_url_filter": urls.ORACLE, "op10_mixing": mixing.ORACLE, "op11_ranked_search": ranked.ORACLE}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op2_decontamination": decontaminate.ORACLE, "op4_repeats": substrings.ORACLE, "op8_url_filter": urls.ORACLE, "op10_mixing": mixing.ORACLE, "op11_ranked_search": ranked.ORACLE, "op12_prefix_trie": prefixes.ORACLE}

@@ -20,7 +20,7 @@ def digest(columns, rows):
     return len(rows), hashlib.sha256("\n".join(sorted(repr(tuple(r[i] for i in order)) for r in rows)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontamination", "op4_repeats", "op8_url_filter", "op10_mixing", "op11_ranked_search"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontamination", "op4_repeats", "op8_url_filter", "op10_mixing", "op11_ranked_search", "op12_prefix_trie"])
 def test_query(spark, duck, sf, name):
     from loomspan.llm.queries import ORACLES, QUERIES
 
