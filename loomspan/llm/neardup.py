@@ -12,12 +12,15 @@ buckets. In a bucket every text is compared with the bucket's centre, the text t
 and with the one before it; buckets of up to ``small`` texts compare all pairs. In a group of near copies the text they
 were made from is what they meet, so most links are found by candidates that grow with the texts and not with the square
 of a bucket. Signatures settle candidates far from the threshold; those near it are settled on the exact shingle weights.
-Links are joined to classes by star contraction. Then the rest of every larger bucket is compared too: each text with all
-texts of the bucket that are of another class, by signature, in blocks of 4096. Of that comparison only the texts leave the
-task that may be near one of another class. Those meet again, with their exact weights, in blocks of 2 MB; the pairs are
+Links are joined to classes by star contraction. What is left are pairs of texts of different classes in the larger buckets.
+Their texts are filed again, by exact prefixes: with the shingles of each in one order, rarest first (a shingle that occurs
+k times counts as k), two texts as alike as the threshold asks share one among the first fifth of the larger text's and the
+first ninth of the smaller one's. Pages that share a template but not their own part share no such shingle and never meet. Groups of
+one class, without a text that has the shingle among its first ninth, or with the same texts as another group are dropped. In the others
+each text is compared with those of another class, by signature, in blocks of 4096, and only texts leave the task that may be near
+one of another class. Those meet again, with their exact weights, in blocks of 2 MB; the pairs are
 decided there and only links that join two classes leave the task, fewer than the block has classes. So no pair that shares
-a band is left out, and no output grows with the square of a bucket; the comparison itself, in numpy on 192 bytes a text,
-does, for texts of one bucket that are not of one class.
+a band is left out, and no output grows with the square of a bucket.
 
 Result: one row for each row of the input: doc_id, class_id (smallest doc_id of the class), n_class (rows in it),
 is_kept (one row of each class). Null, empty and wordless texts are classes of their own each; a null doc_id counts as
@@ -181,12 +184,44 @@ def _bytes(column, kind, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+def rare_groups(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, tid, lead): the texts of ``mixed`` (tid, root) by the rare shingles that two as alike as ``threshold`` must share.
+
+    sets: (tid, s, w). lead: the shingle is among those that the smaller of two alike texts shares. Of a pair, one has to be lead.
+    """
+
+    def spelled(batches):
+        for batch in slices(batches, 64):
+            for tid, s, w in zip(*(batch.column(c).to_pylist() for c in ("tid", "s", "w")), strict=True):
+                s, w = np.frombuffer(s, np.uint64), np.frombuffer(w, np.int32)
+                nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                token = mix(np.repeat(s, w) + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)).astype(np.int64)
+                for at in range(0, len(token), 1 << 16):
+                    part = token[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([tid] * len(part), pa.binary()), pa.array(part), pa.array(np.full(len(part), len(token)))], ["tid", "token", "size"])
+
+    tokens = sets.join(mixed, "tid", "left_semi").mapInArrow(spelled, "tid binary, token long, size long")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    # shingles of one text alone come first; only their number matters
+    ordered = tokens.join(shared, "token").groupBy("tid").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    own = F.col("size") - F.size("shared")
+    first = lambda part: F.greatest(F.lit(0), F.col("size") - F.ceil(F.col("size") * part - 1e-9) + 1 - own).cast("int")
+    some = ordered.withColumns({"probe": first(threshold), "lead": first(2 * threshold / (1 + threshold))}).where("probe > 0").join(mixed, "tid")
+    filed = some.select("tid", "root", "lead", F.posexplode(F.transform(F.slice("shared", F.lit(1), F.col("probe")), lambda x: x.token)).alias("nth", "bucket"))
+    filed = staged(filed.select("bucket", "tid", "root", (F.col("nth") < F.col("lead")).alias("lead")), "rare-shingles")
+    groups = filed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("lead").alias("any"), F.sum(F.xxhash64("tid", "lead").cast("decimal(38,0)")).alias("who"))
+    one = groups.where("any and low <> high").groupBy("n", "who").agg(F.min("bucket").alias("bucket"))
+    return filed.join(one.select("bucket"), "bucket").select("bucket", "tid", "lead")
+
+
 def meeting(large: DataFrame, roots: DataFrame, signed: DataFrame, least: float, block: int = 4096) -> DataFrame:
     """(bucket, tid, root) of the texts in ``large`` (bucket, tid) that a text of the bucket, but of another class, may be near to.
 
     roots: (tid, root), for a class's smallest tid no row; signed: (tid, brief, bands). Near: the estimate is ``least`` or more.
-    A pair counts in the first bucket it shares. What leaves a task are texts and not pairs.
+    A pair counts in the first bucket it shares, if ``signed`` has bands; where ``large`` has a flag ``lead``, one of a pair must have it.
+    What leaves a task are texts and not pairs.
     """
+    banded, led = "bands" in signed.columns, "lead" in large.columns
 
     def run(batches):
         for group in runs_of(batches, "bucket", "i", "j"):
@@ -194,20 +229,23 @@ def meeting(large: DataFrame, roots: DataFrame, signed: DataFrame, least: float,
             own = group.column("i")[0] == group.column("j")[0]
             edge = 0 if own else int(np.searchsorted(part, part[-1]))
             _, root = np.unique(_bytes(group.column("root"), np.uint64, 2), axis=0, return_inverse=True)
-            root, brief, band = root.ravel(), _bytes(group.column("brief"), np.uint8, COORDINATES), group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            root, brief = root.ravel(), _bytes(group.column("brief"), np.uint8, COORDINATES)
+            band = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS) if banded else None
+            lead = group.column("lead").to_numpy() if led else np.ones(len(part), bool)
             seen = np.zeros(len(part), bool)
             for k in range(len(part) if own else edge):
-                other = np.flatnonzero(root[max(edge, k + 1) :] != root[k]) + max(edge, k + 1)
+                other = np.flatnonzero((root[max(edge, k + 1) :] != root[k]) & (lead[max(edge, k + 1) :] | lead[k])) + max(edge, k + 1)
                 other = other[(brief[other] == brief[k]).mean(axis=1) >= least]
                 if len(other):
-                    shared = (band[other] == band[k]).argmax(axis=1)
-                    other = other[band[k, shared] == bucket]
+                    if banded:
+                        shared = (band[other] == band[k]).argmax(axis=1)
+                        other = other[band[k, shared] == bucket]
                     seen[other] = True
                     seen[k] |= len(other) > 0
             if seen.any():
                 yield pa.RecordBatch.from_pydict({c: group.column(c).combine_chunks().filter(pa.array(seen)) for c in ("bucket", "tid", "root")})
 
-    classed = large.join(roots, "tid", "left").select("bucket", "tid", F.coalesce("root", "tid").alias("root"))
+    classed = large.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     several = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / block).alias("blocks")).where("low <> high")
     return _dealt(_in_blocks(classed, several.select("bucket", "blocks")).join(signed, "tid")).mapInArrow(run, "bucket long, tid binary, root binary").distinct()
 
@@ -312,6 +350,8 @@ def _exact(docs: DataFrame, doubtful: DataFrame, first: DataFrame) -> DataFrame:
 def classes(links: DataFrame) -> DataFrame:
     """(tid, root) for the ends of ``links`` (a, b): root is the smallest tid that a is linked with, by star contraction."""
     edges, state = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), None
+    if edges.isEmpty():
+        return edges.toDF("tid", "root")
     while True:
         # large star: each node's larger neighbours are tied to its smallest one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -345,10 +385,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, sure: float = 0.12,
     roots = classes(staged(judged.where(F.col("estimate") > threshold + sure).select("a", "b").unionByName(exact.select("a", "b")), "links"))
 
     # --- what larger buckets hold beyond these pairs
-    near = staged(meeting(large, roots, texts.select("tid", "brief", "bands"), threshold - sure), "meeting")
+    classed = large.join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    several = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = staged(classed.join(several, "bucket", "left_semi").select("tid", "root").distinct(), "mixed")
     one = rows.select("doc_id", "text_hash", "tid", "_row").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    if not near.isEmpty():
-        sets = shingle_sets(docs, near.select("tid").distinct().join(texts.select("tid", "doc_id"), "tid"))
+    near = None
+    if not mixed.isEmpty():
+        sets = shingle_sets(docs, mixed.join(texts.select("tid", "doc_id"), "tid"))
+        near = staged(meeting(rare_groups(mixed, sets, threshold), roots, brief, threshold - sure), "meeting")
+    if near is not None and not near.isEmpty():
         merged = classes(staged(joining(near, brief, sets, threshold, sure), "joining"))
         one = one.join(merged.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root"))
     one = staged(one.select("doc_id", "text_hash", "_row", "root"), "classed")
