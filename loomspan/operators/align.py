@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP = -5
@@ -30,36 +34,158 @@ def similarity_of(a: Column, b: Column) -> Column:
     return F.when(some & (a == b), 100).when((a == "") & (b == ""), 10).when(~some, 0).when(F.contains(a, b) | F.contains(b, a), 80).otherwise(shared).cast("int")
 
 
-def aligned(a: list[str], b: list[str], score=similarity, gap: int = GAP) -> list[tuple[int, int]]:
-    """SCF-12: pairs of places of a best global alignment; the diagonal before a skip in ``a`` before a skip in ``b``."""
-    best = [[j * gap for j in range(len(b) + 1)]]
-    move = [[2] * (len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        row, way = [i * gap], [1]
-        for j, y in enumerate(b, 1):
-            options = (best[i - 1][j - 1] + score(x, y), best[i - 1][j] + gap, row[j - 1] + gap)
-            k = max(range(3), key=lambda n, o=options: (o[n], -n))
-            row.append(options[k])
-            way.append(k)
-        best.append(row)
-        move.append(way)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        k = move[i][j]
-        if k == 0:
+#: Cells whose moves are kept at once; a longer pair keeps every so manieth row of scores and works out the moves again.
+CELLS = 1 << 24
+
+
+def _row(best: np.ndarray, scores: np.ndarray, gap: int, steps: np.ndarray, moves: bool = False):
+    """The next row of scores of P alignments [P, n + 1], and the moves that lead there: 0 pair, 1 skip in a, 2 skip in b.
+
+    A skip in b comes from the left in the same row; with one price for all skips that is a running maximum.
+    """
+    pair, up = best[:, :-1] + scores, best[:, 1:] + gap
+    new = np.empty_like(best)
+    new[:, 0] = best[:, 0] + gap
+    new[:, 1:] = np.maximum(pair, up)
+    new = np.maximum.accumulate(new - steps, axis=1) + steps
+    if not moves:
+        return new, None
+    left = new[:, :-1] + gap
+    return new, np.where((pair >= up) & (pair >= left), 0, np.where(up >= left, 1, 2)).astype(np.uint8)
+
+
+def _walk(move, scored, i, j, stop: int, out: list) -> tuple[int, int]:
+    """Back from cell (i, j) to row ``stop``; pairs of positive score go to ``out``."""
+    while i > stop and j:
+        k = move(i, j)
+        if k == 0 and scored(i - 1)[j - 1] > 0:
             out.append((i - 1, j - 1))
         i, j = i - (k != 2), j - (k != 1)
+    return i, j
+
+
+def aligned_long(n_a: int, n_b: int, scored, gap: int = GAP) -> list[tuple[int, int]]:
+    """Pairs of places of a best global alignment of two sequences; scored(i): scores of the i-th of a with all of b.
+
+    Rows of scores are kept at regular distances only, as many as a stretch between two of them has; the moves of a
+    stretch are worked out again from its first row. So memory grows with n_b times the root of n_a.
+    """
+    steps = np.arange(n_b + 1, dtype=np.int64) * gap
+    every = max(1, min(n_a, max(int(np.sqrt(n_a)), CELLS // max(1, n_b + 1)) if n_a * n_b > CELLS else n_a))
+    best, kept = steps[None].copy(), []
+    for i in range(n_a):
+        if i % every == 0:
+            kept.append(best)
+        if i < (n_a - 1) // every * every:  # the last stretch is worked out below
+            best, _ = _row(best, scored(i)[None], gap, steps)
+    out: list[tuple[int, int]] = []
+    i, j = n_a, n_b
+    for start in range((n_a - 1) // every * every, -1, -every) if n_a else ():
+        best, ways = kept.pop(), []
+        for r in range(start, i):
+            best, way = _row(best, scored(r)[None], gap, steps, True)
+            ways.append(way[0])
+        i, j = _walk(lambda i, j, w=ways, s=start: w[i - 1 - s][j - 1], scored, i, j, start, out)
+        if not j:
+            break
     return out[::-1]
 
 
-def align(rows: DataFrame) -> DataFrame:
-    """``rows`` (key columns, a array<string>, b array<string>) with pairs array<struct<i, j>>."""
+def aligned_batch(scores: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, gap: int = GAP) -> list[list[tuple[int, int]]]:
+    """The same for P pairs at once: scores [P, m, n], of which the p-th fills [n_a[p], n_b[p]]."""
+    p, m, n = scores.shape
+    steps = np.arange(n + 1, dtype=np.int64) * gap
+    best, ways = np.repeat(steps[None], p, 0), np.zeros((p, m, n), np.uint8)
+    for r in range(m):
+        best, ways[:, r] = _row(best, scores[:, r], gap, steps, True)
+    i, j, all_, out = n_a.copy(), n_b.copy(), np.arange(p), [[] for _ in range(p)]
+    live = all_[(i > 0) & (j > 0)]
+    while len(live):
+        x, y = i[live] - 1, j[live] - 1
+        way = ways[live, x, y]
+        for q in np.flatnonzero((way == 0) & (scores[live, x, y] > 0)).tolist():
+            out[live[q]].append((int(x[q]), int(y[q])))
+        i[live] -= way != 2
+        j[live] -= way != 1
+        live = live[(i[live] > 0) & (j[live] > 0)]
+    return [x[::-1] for x in out]
+
+
+class Scores:
+    """Scores of texts by number: each different pair of texts is scored once."""
+
+    def __init__(self, score):
+        self.score, self.names, self.known = score, {}, {}
+
+    def numbers(self, texts) -> np.ndarray:
+        return np.array([self.names.setdefault(t, len(self.names)) for t in texts], np.int64)
+
+    def grid(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        names = list(self.names)
+        pairs, back = np.unique((a[:, None] << 32) | b[None, :], return_inverse=True)
+        values = []
+        for k in pairs.tolist():
+            if k not in self.known:
+                self.known[k] = self.score(names[k >> 32], names[k & 0xFFFFFFFF])
+            values.append(self.known[k])
+        return np.array(values, np.int64)[back].reshape(len(a), len(b))
+
+
+def exact(a: str, b: str) -> int:
+    """100 for equal words, else 0: a pair of different words costs less than two skips, and is not reported."""
+    return 100 if a == b else 0
+
+
+def align_lists(a: list[list[str]], b: list[list[str]], score=similarity, gap: int = GAP) -> list[list[tuple[int, int]]]:
+    """Pairs of places for each two lists of texts. Short pairs of like size go together, as one array; long ones alone."""
+    out: list = [[] for _ in a]
+    order = sorted((i for i in range(len(a)) if a[i] and b[i]), key=lambda i: (len(a[i]), len(b[i])))
+    at = 0
+    while at < len(order):
+        group, m, n = [], 0, 0
+        while at < len(order):
+            x, y = max(m, len(a[order[at]])), max(n, len(b[order[at]]))
+            if group and (len(group) + 1) * x * y > CELLS // 8:
+                break
+            group, m, n, at = [*group, order[at]], x, y, at + 1
+        table = Scores(score)
+        codes = [(table.numbers(a[i]), table.numbers(b[i])) for i in group]
+        if m * n > CELLS // 8:  # one long pair
+            x, y = codes[0]
+            known: dict = {}
+            each, back = np.unique(y, return_inverse=True)
+
+            def scored(r, x=x, each=each, back=back, table=table, known=known):
+                if x[r] not in known:
+                    known[x[r]] = table.grid(x[r : r + 1], each)[0]
+                return known[x[r]][back]
+
+            out[group[0]] = aligned_long(m, n, scored, gap)
+            continue
+        scores = np.zeros((len(group), m, n), np.int64)
+        for k, (x, y) in enumerate(codes):
+            scores[k, : len(x), : len(y)] = table.grid(x, y)
+        for i, pairs in zip(group, aligned_batch(scores, np.array([len(x) for x, _ in codes]), np.array([len(y) for _, y in codes]), gap), strict=True):
+            out[i] = pairs
+    return out
+
+
+def aligned(a: list[str], b: list[str], score=similarity, gap: int = GAP) -> list[tuple[int, int]]:
+    """SCF-12: pairs of places of a best global alignment, those of positive score; the diagonal before a skip in ``b``'s place,
+    that before one in ``a``'s."""
+    return align_lists([a], [b], score, gap)[0]
+
+
+def align(rows: DataFrame, score=similarity, gap: int = GAP, columns: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """``rows`` (key columns, and two ``columns`` of array<string>) with pairs array<struct<i, j>>; null lists have none."""
 
     @F.pandas_udf("array<struct<i int, j int>>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"i": i, "j": j} for i, j in aligned(list(x), list(y))] if x is not None and y is not None else [] for x, y in zip(a, b, strict=True)])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            found = align_lists([[] if x is None else list(x) for x in a], [[] if y is None else list(y) for y in b], score, gap)
+            yield pd.Series([[{"i": i, "j": j} for i, j in pairs] for pairs in found])
 
-    return rows.withColumn("pairs", run("a", "b"))
+    return rows.withColumn("pairs", run(*columns))
 
 
 def word_errors(reference: Column, found: Column) -> Column:
@@ -107,6 +233,95 @@ def error_rate(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"errors": errors, "n": n}).withColumn("rate", F.when(F.col("n") > 0, F.col("errors") / F.col("n"))).drop("reference", "found")
 
 
+def agreement(pairs: DataFrame) -> DataFrame:
+    """AGG-28, the other counts: ``pairs`` (reference, found) with matches, deletions and insertions of an alignment on equal words, and
+    accuracy, matches / words of the reference (null without words). What is replaced counts as deleted and inserted."""
+    x = align(pairs.withColumns({"_a": F.col("reference"), "_b": F.col("found")}), exact, columns=("_a", "_b"))
+    n, m = F.size("reference").cast("long"), F.size("pairs").cast("long")
+    counted = x.withColumns({"matches": m, "deletions": n - m, "insertions": F.size("found").cast("long") - m, "accuracy": F.when(n > 0, m / n)})
+    return counted.drop("reference", "found", "_a", "_b", "pairs")
+
+
+# --- anchors
+
+
+def grams(words: DataFrame, n: int) -> DataFrame:
+    """(file, gram, pos) of runs of ``n`` words of ``words`` (file, pos, word) that occur once in their file."""
+    w = Window.partitionBy("file").orderBy("pos")
+    run = F.array(*(F.lead("word", k).over(w) if k else F.col("word") for k in range(n)))
+    some = words.select("file", "pos", run.alias("gram")).where(F.get("gram", F.lit(n - 1)).isNotNull())
+    return some.groupBy("file", "gram").agg(F.count("*").alias("times"), F.min("pos").alias("pos")).where("times = 1").drop("times")
+
+
+def chain(points: DataFrame) -> DataFrame:
+    """The longest chain of ``points`` (file, i, j) that rises in i and in j, of each file; of equally long ones that whose last
+    points have the smallest j. Patience sorting: one pass over a file's points by i, with the least j that ends a chain of each length."""
+
+    def run(batches):
+        file, ends, ids, points, back = None, [], [], [], []
+
+        def chosen():
+            at, out = (ids[-1] if ids else None), []
+            while at is not None:
+                out.append(points[at])
+                at = back[at]
+            out.reverse()
+            return pa.RecordBatch.from_arrays([pa.array([file] * len(out), pa.int64()), pa.array([i for i, _ in out], pa.int64()), pa.array([j for _, j in out], pa.int64())], ["file", "i", "j"])
+
+        for batch in batches:
+            for f, i, j in zip(*(batch.column(c).to_pylist() for c in ("file", "i", "j")), strict=True):
+                if f != file:
+                    if points:
+                        yield chosen()
+                    file, ends, ids, points, back = f, [], [], [], []
+                k = bisect.bisect_left(ends, j)
+                points.append((i, j))
+                back.append(ids[k - 1] if k else None)
+                ends[k : k + 1], ids[k : k + 1] = [j], [len(points) - 1]
+        if points:
+            yield chosen()
+
+    p = points.select(F.col("file").cast("long").alias("file"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    return p.repartition("file").sortWithinPartitions("file", "i").mapInArrow(run, "file long, i long, j long")
+
+
+def anchored(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
+    """NLP-01: (file, i, j), the places of words of ``a`` and ``b`` (file, pos, word; pos counts from 0) that are the same word.
+
+    Runs of n words that occur once on both sides are anchors; of these the longest rising chain is kept, and only
+    what lies between two anchors is aligned, so that no file is ever compared with a file.
+    """
+    met = grams(a, n).withColumnRenamed("pos", "i").join(grams(b, n).withColumnRenamed("pos", "j"), ["file", "gram"]).select("file", "i", "j")
+    kept = chain(met)
+    w = Window.partitionBy("file").orderBy("i")
+    # an anchor is n pairs; anchors that overlap share some
+    pairs = kept.select("file", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((F.col("i") + k).alias("i"), (F.col("j") + k).alias("j")))).alias("p")).select("file", "p.*").distinct()
+    # two anchors may claim a place for different partners where they overlap unevenly: the earlier one has it
+    first = lambda by: F.row_number().over(Window.partitionBy("file", by).orderBy("i", "j")) == 1
+    pairs = pairs.withColumn("ok", first("i") & first("j")).where("ok").select("file", "i", "j")
+
+    def between(side: DataFrame, place: str) -> DataFrame:
+        """Words without an anchor, with the number of anchored words before them."""
+        marked = side.join(pairs.select("file", F.col(place).alias("pos"), F.lit(1).alias("one")), ["file", "pos"], "left")
+        gap = F.coalesce(F.sum("one").over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+        free = marked.withColumn("gap", gap).where("one is null")
+        return free.groupBy("file", "gap").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
+
+    gaps = between(a, "i").withColumnRenamed("words", "x").join(between(b, "j").withColumnRenamed("words", "y"), ["file", "gap"])
+    done = align(gaps.select("file", F.transform("x", lambda v: v.word).alias("a"), F.transform("y", lambda v: v.word).alias("b"), F.transform("x", lambda v: v.pos).alias("is"), F.transform("y", lambda v: v.pos).alias("js")), exact)
+    rest = done.select(F.col("file").cast("long").alias("file"), F.explode(F.transform("pairs", lambda p: F.struct(F.get("is", p.i).cast("long").alias("i"), F.get("js", p.j).cast("long").alias("j")))).alias("p")).select("file", "p.*")
+    return pairs.unionByName(rest)
+
+
+def recovered(words: DataFrame, timed: DataFrame, n: int = 3) -> DataFrame:
+    """NLP-01: ``words`` (file, pos, word) with the start_ms of the word in ``timed`` (file, pos, word, start_ms) it is aligned to (null
+    if to none), and word_end: the next known start, 500 ms after its own for the last."""
+    pairs = anchored(words, timed.select("file", "pos", "word"), n)
+    starts = pairs.join(timed.select("file", F.col("pos").alias("j"), "start_ms"), ["file", "j"]).select("file", F.col("i").alias("pos"), "start_ms")
+    later = F.first("start_ms", ignorenulls=True).over(Window.partitionBy("file").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
+    return words.join(starts, ["file", "pos"], "left").withColumn("word_end", F.when(F.col("start_ms").isNotNull(), F.coalesce(later, F.col("start_ms") + 500)))
+
+
 def grouped(rows: DataFrame, limit_ms: int) -> DataFrame:
     """WIN-14, second part: consecutive utterances (file, idx, est_start, est_end) in groups that span at most ``limit_ms``.
 

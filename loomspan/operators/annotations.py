@@ -35,9 +35,10 @@ def bigrams(runs_: DataFrame, column: str = "run") -> DataFrame:
     return runs_.select(F.inline(pairs).alias("a", "b"))
 
 
-def sequences(runs_: DataFrame, *sizes: int, column: str = "run") -> DataFrame:
-    """AGG-13: runs of the given sizes, by their classes in order, with how often they occur."""
-    return runs_.where(F.size(column).isin(*sizes)).groupBy(F.array_join(column, " ").alias("run")).agg(F.count("*").alias("n"))
+def sequences(runs_: DataFrame, *least: int, column: str = "run") -> DataFrame:
+    """AGG-13: for each of the given lengths, the runs at least as long, by their classes in order: (least, run, n)."""
+    each = runs_.select(F.col(column).alias("run"), F.explode(F.array(*(F.lit(n) for n in least))).alias("least")).where(F.size("run") >= F.col("least"))
+    return each.groupBy("least", F.array_join("run", " ").alias("run")).agg(F.count("*").alias("n"))
 
 
 def consistency(pairs: DataFrame, least: int = 20) -> DataFrame:

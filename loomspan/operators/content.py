@@ -152,7 +152,7 @@ def utterances(lines: DataFrame) -> DataFrame:
     return u.select("file", "utterance", "speaker", "first_line", "last_line", milliseconds(F.col("start")).alias("start_ms"), milliseconds(F.col("end")).alias("end_ms"), fewer.alias("elements"), mark.alias("mark"))
 
 
-def emitted(u: DataFrame, ids: DataFrame, language: str = "eng", corpus: str = "SBCSAE") -> DataFrame:
+def emitted(u: DataFrame, ids: DataFrame, language: str, corpus: str) -> DataFrame:
     """SNK-01: (file, text): a document of each file's utterances (file, utterance, speaker, start_ms, end_ms, text, mark), by
     start (null as 0), ties as they come. ids: (file, speaker, id). A speaker with > before the name is the environment."""
     role = F.when(F.col("speaker").startswith(">"), "Environment").otherwise("Speaker")

@@ -114,20 +114,21 @@ def payload(r: DataFrame) -> DataFrame:
     return r.withColumn("payload", F.to_json(F.struct(F.struct(F.lit("dois").alias("type"), body.alias("attributes")).alias("data"))))
 
 
-def target_url(path: Column, domains: dict[str, str] | None = None) -> Column:
-    """SCF-17: the landing page of a record at repository/corpus/.../file, or null at the top. domains: repository -> bank."""
+def target_url(path: Column, host: str, root: str, domains: dict[str, str] | None = None) -> Column:
+    """SCF-17: the landing page of a record at repository/corpus/.../file, or null at the top. domains: repository -> bank;
+    a bank is a part of ``host``, the bank ``root`` is ``host`` itself."""
     parts = F.split(path, "/")
     repo = F.get(parts, F.lit(0))
     bank = F.coalesce(*(F.when(repo == r, F.lit(b)) for r, b in (domains or {}).items()), repo)
-    host = F.when(bank == "talkbank", F.lit("talkbank.org")).otherwise(F.concat(bank, F.lit(".talkbank.org")))
-    return F.when(F.size(parts) > 2, F.concat(F.lit("https://"), host, F.lit("/access/"), F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), "/"), F.lit(".html")))
+    place = F.when(bank == root, F.lit(host)).otherwise(F.concat(bank, F.lit(f".{host}")))
+    return F.when(F.size(parts) > 2, F.concat(F.lit("https://"), place, F.lit("/access/"), F.array_join(F.slice(parts, F.lit(2), F.size(parts) - 2), "/"), F.lit(".html")))
 
 
-def exported(r: DataFrame) -> DataFrame:
-    """SNK-07: titled records as the nine columns of the registry's table, nulls as empty texts."""
+def exported(r: DataFrame, host: str, root: str, publisher: str) -> DataFrame:
+    """SNK-07: titled records as the nine columns of the registry's table, nulls as empty texts, no publisher as ``publisher``."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return r.where("title is not null").select(
-        text(F.col("doi")).alias("doi"), text(target_url(F.col("file"))).alias("target"), "title", F.array_join("creators", "; ").alias("creators"), F.coalesce("publisher", F.lit("TalkBank")).alias("publisher"),
+        text(F.col("doi")).alias("doi"), text(target_url(F.col("file"), host, root)).alias("target"), "title", F.array_join("creators", "; ").alias("creators"), F.coalesce("publisher", F.lit(publisher)).alias("publisher"),
         text(year(F.col("date"))).alias("year"), *(text(F.col(c)).alias(c) for c in ("language", "description", "country")),
     )
 

@@ -249,13 +249,7 @@ def _(spark, sf):
     return spark.createDataFrame(list(enumerate(out)), "place int, class string")
 
 
-@query("nlp05_compared")
-def _(spark, sf):
-    u = tables.utterances(spark, sf).withColumn("words", lexical.words(F.col("text"))).withColumn("before", F.lag("words").over(timing.by_file())).where("before is not null and words is not null")
-    return transforms.compared(align.align(u.select("file", "idx", F.col("before").alias("a"), F.col("words").alias("b")))).select("file", "idx", F.inline("steps"))
-
-
-@query("nlp01_recovered", f"""WITH {TIMED_SQL}, w AS (SELECT file, idx, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY file ORDER BY idx), end_ms, start_ms + 500) AS word_end FROM e WHERE start_ms IS NOT NULL) SELECT file, count(*) AS words, CAST(sum(word_end - start_ms) AS BIGINT) AS ms FROM w GROUP BY file""")
+@query("win15_chained_totals", f"""WITH {TIMED_SQL}, w AS (SELECT file, idx, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY file ORDER BY idx), end_ms, start_ms + 500) AS word_end FROM e WHERE start_ms IS NOT NULL) SELECT file, count(*) AS words, CAST(sum(word_end - start_ms) AS BIGINT) AS ms FROM w GROUP BY file""")
 def _(spark, sf):
     w = timing.chained(tables.timed(spark, sf).where("start_ms is not null"))
     return w.groupBy("file").agg(F.count("*").alias("words"), F.sum(F.col("word_end") - F.col("start_ms")).alias("ms"))
@@ -273,16 +267,28 @@ def _(spark, sf):
     return lexical.diversity(tables.utterances(spark, sf), "speaker").withColumn("d", F.round("d", 6))
 
 
-@query("src28_subtitles", f"""WITH {TIMED_SQL} SELECT file, CAST(unnest([1, 2]) AS INT) AS nth, CAST(unnest([3_661_250 + id % 60 * 1000, 7_200_000]) AS BIGINT) AS start_ms, CAST(unnest([3_721_000 + id % 60 * 1000, 7_200_500]) AS BIGINT) AS end_ms, unnest([speaker || ' a b', 'c']) AS text FROM e WHERE idx = 1""")
+#: The events of a file as cues: the nth starts at nth times two seconds and takes as long as its id says.
+_CUES_SQL = f"{TIMED_SQL}, q AS (SELECT file, idx, id, speaker, 2000 * idx AS start_ms, 2000 * idx + 500 + id % 1000 AS end_ms FROM e)"
+
+
+def _cues(spark, sf):
+    return tables.timed(spark, sf).select("file", "idx", "id", "speaker", (F.col("idx") * 2000).cast("long").alias("start_ms"), (F.col("idx") * 2000 + 500 + F.col("id") % 1000).cast("long").alias("end_ms"))
+
+
+@query("src28_subtitles", f"""WITH {_CUES_SQL} SELECT file, CAST(idx AS INT) AS nth, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, speaker || ' a ' || id || CASE WHEN id % 3 = 0 THEN ' b' ELSE '' END AS text FROM q""")
 def _(spark, sf):
-    n = F.col("id") % 60
-    clock = lambda s, ms: F.concat(F.lit("01:"), F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(f",{ms}"))
-    text = F.concat(F.lit("1\n"), clock(n + 61, "250"), F.lit(" --> "), clock(n + 121, "000"), F.lit("\n"), F.col("speaker"), F.lit(" a\n b\n\n2\n02:00:00,000 --> 02:00:00,500\nc\n\n"))
-    return transcripts.subtitles(tables.timed(spark, sf).where("idx = 1").select("file", text.alias("text")))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    clock = lambda ms: F.concat(pad(F.floor(ms / 3_600_000), 2), F.lit(":"), pad(F.floor(ms / 60_000) % 60, 2), F.lit(":"), pad(F.floor(ms / 1000) % 60, 2), F.lit(","), pad(ms % 1000, 3))
+    cue = F.concat(F.col("idx").cast("string"), F.lit("\n"), clock(F.col("start_ms")), F.lit(" --> "), clock(F.col("end_ms")), F.lit("\n"), F.col("speaker"), F.lit(" a\n "), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "\nb").otherwise(""), F.lit("\n"))
+    files = _cues(spark, sf).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("idx", cue.alias("cue")))).alias("cues"))
+    return transcripts.subtitles(files.select("file", F.concat(F.array_join(F.transform("cues", lambda c: c.cue), "\n"), F.lit("\n")).alias("text")))
 
 
-@query("src28_textgrid", f"""WITH {TIMED_SQL} SELECT file, 'A' AS tier, CAST(unnest([0, id * 1000 + 500]) AS BIGINT) AS start_ms, CAST(unnest([id * 1000 + 500, 9_000_000_000]) AS BIGINT) AS end_ms, unnest([speaker, 'say "x"']) AS text FROM e WHERE idx = 1""")
+@query("src28_textgrid", f"""WITH {_CUES_SQL} SELECT file, speaker AS tier, CAST(start_ms AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, 'say "' || id || '"' AS text FROM q""")
 def _(spark, sf):
-    i = F.col("id").cast("string")
-    text = F.concat(F.lit('item [1]:\n class = "IntervalTier"\n name = "A"\n intervals [1]:\n xmin = 0\n xmax = '), i, F.lit('.5\n text = "'), F.col("speaker"), F.lit('"\n intervals [2]:\n xmin = '), i, F.lit('.5\n xmax = 9000000\n text = "say ""x"""\n'))
-    return transcripts.text_grid(tables.timed(spark, sf).where("idx = 1").select("file", text.alias("text")))
+    seconds = lambda ms: F.format_string("%d.%03d", F.floor(ms / 1000), ms % 1000)
+    one = F.concat(F.lit(" intervals ["), F.col("idx").cast("string"), F.lit("]:\n xmin = "), seconds(F.col("start_ms")), F.lit("\n xmax = "), seconds(F.col("end_ms")), F.lit('\n text = "say ""'), F.col("id").cast("string"), F.lit('"""\n'))
+    tiers = _cues(spark, sf).groupBy("file", "speaker").agg(F.sort_array(F.collect_list(F.struct("idx", one.alias("one")))).alias("all"))
+    item = F.concat(F.lit('\n class = "IntervalTier"\n name = "'), F.col("speaker"), F.lit('"\n'), F.array_join(F.transform("all", lambda x: x.one), ""))
+    files = tiers.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("speaker", item.alias("item")))).alias("items"))
+    return transcripts.text_grid(files.select("file", F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("item ["), (i + 1).cast("string"), F.lit("]:"), x.item)), "").alias("text")))

@@ -335,7 +335,7 @@ def _(spark, sf):
     return annotations.consistency(annotations.bigrams(_annotations(spark, sf)))
 
 
-@query("agg13_sequences", f"WITH {ANN_SQL} SELECT array_to_string(run, ' ') AS run, count(*) AS n FROM x WHERE len(run) IN (3, 4) GROUP BY ALL")
+@query("agg13_sequences", f"WITH {ANN_SQL} SELECT least, array_to_string(run, ' ') AS run, count(*) AS n FROM x, (VALUES (3), (4)) AS m(least) WHERE len(run) >= least GROUP BY ALL")
 def _(spark, sf):
     return annotations.sequences(_annotations(spark, sf), 3, 4)
 
@@ -501,10 +501,10 @@ def _(spark, sf):
 def _bracket_pairs(spark, sf):
     e = tables.timed(spark, sf)
     t = (F.col("start_ms") / 1000.0)
-    return e.select("file", F.col("idx").alias("pair"), "speaker", F.col("idx").alias("line"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("index"), t.alias("t0"), (F.col("end_ms") / 1000.0).alias("t1")).where("line % 4 <> 0")
+    return e.select("file", F.col("idx").alias("pair"), "speaker", F.col("idx").alias("line"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("index"), t.alias("t0"), (F.col("end_ms") / 1000.0).alias("t1"))
 
 
-BP_SQL = f"""{TIMED_SQL}, p AS (SELECT file, idx AS pair, speaker, idx AS line, CASE WHEN id % 3 > 0 THEN id % 3 END AS ix, start_ms / 1000.0 AS t0, end_ms / 1000.0 AS t1 FROM e WHERE idx % 4 <> 0)"""
+BP_SQL = f"""{TIMED_SQL}, p AS (SELECT file, idx AS pair, speaker, idx AS line, CASE WHEN id % 3 > 0 THEN id % 3 END AS ix, start_ms / 1000.0 AS t0, end_ms / 1000.0 AS t1 FROM e)"""
 
 
 @query("jon06_overlapping", f"""WITH {BP_SQL} SELECT a.file, CAST(a.pair AS INT) AS a, CAST(b.pair AS INT) AS b FROM p a JOIN p b ON a.file = b.file AND b.pair < a.pair AND a.ix IS NOT DISTINCT FROM b.ix AND a.speaker <> b.speaker AND abs(a.line - b.line) <= 20
@@ -558,15 +558,6 @@ def _(spark, sf):
     return _roles(spark, sf).select("file", "pair", mark(True).alias("opening"), mark(False).alias("closing"))
 
 
-# --- alignment
-
-
-@query("agg28_word_errors")
-def _(spark, sf):
-    u = tables.utterances(spark, sf).withColumn("before", F.lag("text").over(Window.partitionBy("file").orderBy("idx"))).where("before is not null")
-    return align.error_rate(u.select("file", "idx", lexical.words(F.col("text")).alias("reference"), lexical.words(F.col("before")).alias("found")))
-
-
 # --- transcripts
 
 

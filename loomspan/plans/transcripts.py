@@ -88,13 +88,13 @@ _IDS_SQL = "i AS (SELECT file, who, left(who, 4) AS id FROM r WHERE who IS NOT N
 
 
 @query("snk01_documents", f"""WITH {UTTERANCES_SQL}, {_IDS_SQL}, h AS (SELECT file, '@UTF8' || chr(10) || '@Begin' || chr(10) || '@Languages:' || chr(9) || 'eng' || chr(10) || '@Participants:' || chr(9) || string_agg(id || ' Speaker', ', ' ORDER BY who) || chr(10) || '@Options:' || chr(9) || 'CA' || chr(10)
-  || string_agg('@ID:' || chr(9) || 'eng|SBCSAE|' || id || '|||||Speaker|||', chr(10) ORDER BY who) || chr(10) || '@Media:' || chr(9) || file || ', audio' AS head FROM i GROUP BY file),
+  || string_agg('@ID:' || chr(9) || 'eng|corpus|' || id || '|||||Speaker|||', chr(10) ORDER BY who) || chr(10) || '@Media:' || chr(9) || file || ', audio' AS head FROM i GROUP BY file),
   b AS (SELECT v.file, string_agg('*' || left(speaker, 4) || ':' || chr(9) || bare || ' ' || sign || ' ' || chr(21) || CAST(round(start * 1000) AS BIGINT) || '_' || CAST(round("end" * 1000) AS BIGINT) || chr(21), chr(10) ORDER BY start, utterance) AS body FROM v GROUP BY v.file)
   SELECT file, head || chr(10) || body || chr(10) || '@End' || chr(10) AS text FROM b JOIN h USING (file)""")
 def _(spark, sf):
     u = _utterances(spark, sf).withColumn("text", content.written(F.transform("elements", lambda x: content.rendered(x))))
     named = transcripts.kept(_parsed(spark, sf)).where("speaker is not null")
-    return content.emitted(u, lines.speaker_ids(named))
+    return content.emitted(u, lines.speaker_ids(named), "eng", "corpus")
 
 
 # --- tiers
@@ -178,13 +178,6 @@ def _(spark, sf):
     return p.join(b, "p_partkey").select("p_partkey", "p_name", (align.alike(F.col("p_name"), F.col("other")) >= 0.85).alias("alike"))
 
 
-@query("scf12_alignment")
-def _(spark, sf):
-    u = tables.utterances(spark, sf).withColumn("words", lexical.words(F.col("text")))
-    u = u.withColumn("before", F.lag("words").over(Window.partitionBy("file").orderBy("idx"))).where("before is not null and words is not null")
-    return align.align(u.select("file", "idx", F.col("before").alias("a"), F.col("words").alias("b"))).select("file", "idx", F.size("pairs").alias("pairs"))
-
-
 @query("scf10_marked_text", f"""WITH {TIMED_SQL} SELECT file, idx, speaker || ' one' AS top, CASE WHEN id % 2 = 0 THEN 'two ' || id ELSE 'two ' || id || ' rest' END AS bottom FROM e""")
 def _(spark, sf):
     text = F.concat(F.lit("*A:\tso ⌈2"), F.initcap("speaker"), F.lit(" &=in One⌉ and ⌊ Two, "), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "⌋").otherwise(""), F.lit(" rest"))
@@ -258,9 +251,9 @@ def _(spark, sf):
     return r.select("file", at("doi").alias("doi"), at("titles[0].title").alias("title"), at("publicationYear").cast("long").alias("year"))
 
 
-@query("snk07_scf17_export", f"WITH {_REC_SQL} SELECT doi, 'https://repo.talkbank.org/access/' || (k % 4) || '/c.html' AS target, title, creators, 'TalkBank' AS publisher, CAST(y AS VARCHAR) AS year, coalesce(language, '') AS language, '' AS description, '' AS country FROM m")
+@query("snk07_scf17_export", f"WITH {_REC_SQL} SELECT doi, 'https://repo.example.org/access/' || (k % 4) || '/c.html' AS target, title, creators, 'Example Press' AS publisher, CAST(y AS VARCHAR) AS year, coalesce(language, '') AS language, '' AS description, '' AS country FROM m")
 def _(spark, sf):
-    return metadata.exported(metadata.record(_records(spark, sf)))
+    return metadata.exported(metadata.record(_records(spark, sf)), "example.org", "example", "Example Press")
 
 
 @query("snk09_rewritten", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'A:' || chr(9) || p_name || chr(10) || 'DOI:' || chr(9) || 'doi:10.9/n' || chr(10) || 'DOI:' || chr(9) || 'doi:10.9/n' ELSE 'A:' || chr(9) || p_name || chr(10) || 'DOI:' || chr(9) || 'doi:10.9/n' || chr(10) END AS text FROM part")
@@ -308,10 +301,13 @@ def _(spark, sf):
     return found.groupBy("path", "code").agg(F.count("*").alias("n"), F.countDistinct("file").alias("logs"))
 
 
+_DUMMY = ["@Options:\tdummy", "this file only permits playback"]
+
+
 @query("flt08_dummies", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
 def _(spark, sf):
-    text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("@Begin\n"), F.lit(transcripts.DUMMY[0]))).when(F.col("doc_id") % 3 == 0, F.concat(F.lit(transcripts.DUMMY[1]), F.lit("."))).otherwise(F.col("text"))
-    return tables.read(spark, sf, "documents").withColumn("text", text).where(transcripts.is_dummy(F.col("text"))).select("doc_id")
+    text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("@Begin\n"), F.lit(_DUMMY[0]))).when(F.col("doc_id") % 3 == 0, F.concat(F.lit(_DUMMY[1]), F.lit("."))).otherwise(F.col("text"))
+    return tables.read(spark, sf, "documents").withColumn("text", text).where(transcripts.is_dummy(F.col("text"), *_DUMMY)).select("doc_id")
 
 
 @query("flt17_scf23_options", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'already' WHEN 1 THEN 'updated' WHEN 2 THEN 'created' END AS status, CASE doc_id % 4 WHEN 0 THEN '@Begin|@Options:' || chr(9) || 'CA, NoAlign|@ID:x' WHEN 1 THEN '@Begin|@Options:' || chr(9) || 'NoAlignment, NoAlign|@ID:x' WHEN 2 THEN '@Begin|@Options:' || chr(9) || 'NoAlign|@ID:x|@ID:y' ELSE '@Begin' END AS text FROM documents""")

@@ -238,13 +238,12 @@ def time_range(lines: DataFrame) -> DataFrame:
     return lines.where("start_ms is not null").groupBy("file").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
 
 
-#: What marks a file that only permits playback.
-DUMMY = ["@Options:\tdummy", "This is a dummy file to permit playback from the TalkBank browser"]
-
-
-def is_dummy(text: Column) -> Column:
-    """FLT-08."""
-    return F.coalesce(F.contains(text, F.lit(DUMMY[0])) | F.contains(text, F.lit(DUMMY[1])), F.lit(False))
+def is_dummy(text: Column, *marks: str) -> Column:
+    """FLT-08: whether a file's text holds any of the strings that mark one without contents."""
+    found = F.lit(False)
+    for m in marks:
+        found = found | F.contains(text, F.lit(m))
+    return F.coalesce(found, F.lit(False))
 
 
 def large(files_: DataFrame, megabytes: int = 50) -> DataFrame:
