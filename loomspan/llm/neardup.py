@@ -18,7 +18,8 @@ k times counts as k), two texts as alike as the threshold asks share one among t
 first ninth of the smaller one's. Pages that share a template but not their own part share no such shingle and never meet. Groups of
 one class, without a text that has the shingle among its first ninth, or with the same texts as another group are dropped. In the others
 each text is compared with those of another class, by signature, in blocks of 4096, and only texts leave the task that may be near
-one of another class. Those meet again, with their exact weights, in blocks of 2 MB; the pairs are
+one of another class. These few are compared in the larger buckets in the same way, so that a pair counts once, and meet
+there again, with their exact weights, in blocks of 2 MB; the pairs are
 decided there and only links that join two classes leave the task, fewer than the block has classes. So no pair that shares
 a band is left out, and no output grows with the square of a bucket.
 
@@ -392,7 +393,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, sure: float = 0.12,
     near = None
     if not mixed.isEmpty():
         sets = shingle_sets(docs, mixed.join(texts.select("tid", "doc_id"), "tid"))
-        near = staged(meeting(rare_groups(mixed, sets, threshold), roots, brief, threshold - sure), "meeting")
+        met = meeting(rare_groups(mixed, sets, threshold), roots, brief, threshold - sure).select("tid").distinct()
+        few = staged(texts.select("tid", "brief", "bands").join(met, "tid", "left_semi"), "few")
+        near = staged(meeting(large.join(few.select("tid"), "tid", "left_semi"), roots, few, threshold - sure), "meeting")
     if near is not None and not near.isEmpty():
         merged = classes(staged(joining(near, brief, sets, threshold, sure), "joining"))
         one = one.join(merged.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root"))
