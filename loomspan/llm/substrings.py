@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import PLAIN, chunk_words, chunks, mix, run_hashes, slices, small_batches, staged, table
@@ -163,15 +163,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int =
             k = np.where(gone, mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)), k)
             yield pa.RecordBatch.from_pydict({"key": pa.array(k.astype(np.int64)), "whole": pa.array(w.astype(np.int64)), "doc": pa.array(d), "tag": pa.array(t), "place": pa.array(place[order]), "gone": pa.array(gone)})
 
-    found = texts.mapInArrow(sample, "key long, whole long, doc long, tag long, place long, gone boolean")
-    by = Window.partitionBy("key")
-    here = F.when(~F.col("gone"), F.struct("doc", "tag", F.shiftright("place", _START).alias("start")))
-    live = F.when(~F.col("gone"), F.col("whole"))
-    inner = F.max(F.when(~F.col("gone"), F.shiftright("place", _SELF).bitwiseAND(1))).over(by)
-    judged = found.withColumns({"n": F.count(live).over(by), "first": F.min(here).over(by), "mixed": (F.min(live).over(by) != F.max(live).over(by)) | (inner == 1)})
-    open_ = ~F.col("gone") & F.coalesce("mixed", F.lit(False))
-    later = F.col("gone") | (here > F.col("first"))
-    judged = staged(judged.select("key", "doc", "tag", "place", "n", open_.alias("open"), later.alias("later")).where("open or later"), "pieces")
+    found = staged(texts.mapInArrow(sample, "key long, whole long, doc long, tag long, place long, gone boolean"), "found")
+    # what is known of a key is summed up before it is dealt, then joined: a passage of every document is one row a task, and
+    # the pieces of its key may be split among tasks. Most keys have one piece, of which nothing goes.
+    here, pieces = F.struct("doc", "tag", F.shiftright("place", _START).alias("start")), found.where("not gone")
+    known = pieces.groupBy("key").agg(F.count("*").alias("n"), F.min(here).alias("first"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.max(F.shiftright("place", _SELF).bitwiseAND(1)).alias("inner"))
+    known = known.where("n > 1 or inner = 1").select("key", "n", "first", ((F.col("low") != F.col("high")) | (F.col("inner") == 1)).alias("open"))
+    judged = pieces.join(known, "key").select("key", "doc", "tag", "place", "n", "open", (here > F.col("first")).alias("later")).where("open or later")
+    again = found.where("gone").select("key", "doc", "tag", "place", F.lit(0).cast("long").alias("n"), F.lit(False).alias("open"), F.lit(True).alias("later"))
+    judged = staged(judged.unionByName(again), "pieces")
     removed = judged.where("not open").select("doc", "tag", "place")
 
     # --- keys whose pieces differ: the automata
@@ -213,8 +213,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, most: int =
                     held.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*gone, strict=True) if gone else [[]] * 3)], ["doc", "tag", "place"])
 
-    pieces = texts.join(asked, ["doc", "tag"]).mapInArrow(fetch, "shard long, key long, doc long, tag long, place long, words binary")
-    dealt = pieces.repartition("shard", "key").sortWithinPartitions("shard", "key", "doc", "tag", "place")
+    words_of = texts.join(asked, ["doc", "tag"]).mapInArrow(fetch, "shard long, key long, doc long, tag long, place long, words binary")
+    dealt = words_of.repartition("shard", "key").sortWithinPartitions("shard", "key", "doc", "tag", "place")
     removed = staged(removed.unionByName(dealt.mapInArrow(stream, "doc long, tag long, place long")), "removed")
 
     # --- the texts without what is to go
