@@ -1,6 +1,6 @@
 """Operator 6: approximate nearest neighbours with a hierarchical k-means tree and best-bin-first search.
 
-The tree is fitted on at most ``sample_rows`` vectors (those of smallest hash of vec_id); every vector is then filed in a
+The tree is fitted on at most ``sample_rows`` vectors (those of smallest hash of the row); every vector is then filed in a
 leaf. A query visits leaves best bin first: a priority queue holds the branches met so far by their centre's inner
 product with the query, and the best is opened next. How many leaves to visit is calibrated: for ``probes`` queries the
 true neighbours are found by one pass over all rows, and visits are widened until ``recall`` of them lie in visited leaves.
@@ -134,9 +134,19 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.93,
     return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, visits int") if found is None else found
 
 
+def _smallest(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``most`` of the n ``rows`` with the smallest hash. All but about twice as many are left out before they are sorted, so
+    that what meets in one task is bounded whatever the number of partitions."""
+    h = F.xxhash64("vec_id", "row")
+    if n > 2 * most:
+        # hashes are spread evenly over 64 bits; a third more and 200 leave no chance of too few
+        rows = rows.where(h < F.lit(int((min(0.999999, (most * 4 / 3 + 200) / n) - 0.5) * 2**64)).cast("long"))
+    return rows.orderBy(h, "vec_id", "row").limit(most)
+
+
 def _search(fine: DataFrame, d: int, n: int, every: int, k: int, recall: float, sample_rows: int, leaves: int | None, probes: int, block: int) -> DataFrame:
     spark = fine.sparkSession
-    sample = fine.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(sample_rows).select("v").toArrow()
+    sample = _smallest(fine, n, sample_rows).select("v").toArrow()
     # leaves grow with the cube root of the rows: where neighbours are spread over most leaves, as in noise of many
     # dimensions, each query meets most leaves, and the pairs of query and leaf must not grow with the square of the rows
     wanted = max(1, min(sample.num_rows // 8, leaves or min(4096, round(4 * n ** (1 / 3)))))
@@ -151,7 +161,7 @@ def _search(fine: DataFrame, d: int, n: int, every: int, k: int, recall: float,
     queries = filed.where(F.col("vec_id") % every == 0)
 
     # --- calibration: true neighbours of a bounded set of queries
-    probe = queries.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(probes).select("row", "v").toArrow()
+    probe = _smallest(queries, queries.count(), probes).select("row", "v").toArrow()
     probe_rows, probe_v = probe.column("row").to_numpy(), _matrix(probe.column("v"), d) if probe.num_rows else np.zeros((0, d))
 
     def nearest(batches):
