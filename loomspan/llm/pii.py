@@ -63,6 +63,8 @@ PATTERN = (
 DAYS = (256, 285)
 #: Days over 12 of a month, from 1900-01-13 on.
 LATE_DAYS = (158, 280)
+#: Steps of a walk from one run of digits to the next with the same cards. A step fails only where it makes or breaks
+#: a card in the groups about; a card for which all fail is left and counted in n_left.
 STEPS = 64
 
 
@@ -168,14 +170,14 @@ def _part(digits: Column, c: Column) -> Column:
 
 
 def _run(m: Column, key: str, back: bool) -> Column:
-    """struct<text, n>: a run of digit groups with its cards mapped, and their number."""
+    """struct<text, n, left>: a run of digit groups with its cards mapped, their number, and that of cards left as they are."""
 
     def walked(tried, cards, digits, c):
         def step(s, _):
             mapped = F.concat(F.substr(s.d, F.lit(1), c.at), _card(_part(s.d, c), key, back), F.substr(s.d, c.at + c["size"] + 1))
             return F.when(s.ok, s).otherwise(_bind(mapped, lambda d: F.struct(d.alias("d"), (_chosen(tried, d) == cards).alias("ok"))))
 
-        return F.reduce(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(digits.alias("d"), F.lit(False).alias("ok")), step, lambda s: s.d)
+        return F.reduce(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(digits.alias("d"), F.lit(False).alias("ok")), step, lambda s: F.when(s.ok, s.d))
 
     def woven(groups, digits):
         new = F.transform(groups, lambda g, i: F.substr(digits, F.length(F.array_join(F.slice(groups, F.lit(1), i), "")) + 1, F.length(g)))
@@ -185,8 +187,10 @@ def _run(m: Column, key: str, back: bool) -> Column:
         digits = F.array_join(groups, "")
         # in turn, the last one first to undo: the others then are as they were when it was mapped
         order = F.reverse(cards) if back else cards
-        done = F.reduce(order, digits, lambda d, c: walked(tried, cards, d, c))
-        return _bind(done, lambda d: F.struct(woven(groups, d).alias("text"), F.size(F.filter(cards, lambda c: _part(digits, c) != _part(d, c))).alias("n")))
+        # a card for which no step gave a run with the same cards stays as it is, and is counted
+        start = F.struct(digits.alias("d"), F.lit(0).alias("left"))
+        done = F.reduce(order, start, lambda s, c: _bind(walked(tried, cards, s.d, c), lambda d: F.struct(F.coalesce(d, s.d).alias("d"), (s.left + F.when(d.isNull(), 1).otherwise(0)).alias("left"))))
+        return _bind(done, lambda s: F.struct(woven(groups, s.d).alias("text"), F.size(F.filter(cards, lambda c: _part(digits, c) != _part(s.d, c))).alias("n"), s.left.alias("left")))
 
     def many(groups):
         return _bind(_stretches(groups), lambda tried: _bind(_chosen(tried, F.array_join(groups, "")), lambda cards: F.when(F.size(cards) > 0, mapped(groups, tried, cards)).otherwise(_counted(m, m))))
@@ -195,7 +199,7 @@ def _run(m: Column, key: str, back: bool) -> Column:
 
 
 def _counted(m: Column, new: Column) -> Column:
-    return _bind(new, lambda x: F.struct(x.alias("text"), F.when(x != m, 1).otherwise(0).alias("n")))
+    return _bind(new, lambda x: F.struct(x.alias("text"), F.when(x != m, 1).otherwise(0).alias("n"), F.lit(0).alias("left")))
 
 
 def _abroad(m: Column, key: str, back: bool) -> Column:
@@ -301,7 +305,8 @@ def kind_of(m: Column) -> Column:
 
 
 def pseudonym(m: Column, key: str, back: bool = False) -> Column:
-    """struct<text, n>: the pseudonym of one found value, or the value itself if it is not valid, and how many values differ."""
+    """struct<text, n, left>: the pseudonym of one found value, or the value itself if it is not valid, how many values differ, and
+    how many valid cards stay as they are (see ``STEPS``)."""
 
     def of(kind):
         other = F.when(kind == "email", _email(m, key, back)).when(kind == "key", _key(m, key, back)).when(kind == "abroad", _abroad(m, key, back)).otherwise(_number_like(m, kind, key, back))
@@ -311,13 +316,13 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and n_values: how many values were replaced."""
+    """``docs`` with ``text`` rewritten, n_values: how many values were replaced, and n_left: how many valid ones could not be."""
     found = docs.withColumn("_found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     found = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key, back)))
     woven = F.array_join(F.zip_with(F.split("text", PATTERN, -1), "_new", lambda gap, new: F.concat(gap, F.coalesce(new.text, F.lit("")))), "")
-    n = F.reduce("_new", F.lit(0), lambda total, x: total + x.n)
-    return found.withColumn("text", F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))).withColumn("n_values", F.coalesce(n, F.lit(0)).cast("long")).drop("_found", "_new")
+    n, left = F.reduce("_new", F.lit(0), lambda total, x: total + x["n"]), F.reduce("_new", F.lit(0), lambda total, x: total + x["left"])
+    return found.withColumn("text", F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))).withColumns({"n_values": F.coalesce(n, F.lit(0)).cast("long"), "n_left": F.coalesce(left, F.lit(0)).cast("long")}).drop("_found", "_new")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str, key: str = "a key for tests only") -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key).drop("n_left")
