@@ -8,22 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EVENT = r"&\*([A-Za-z0-9]+):(\S+)"
-
-
-def events(rows: DataFrame, linker: bool = False) -> DataFrame:
-    """EXP-01: (file, idx, nth, speaker, text): each utterance (file, idx, speaker, text) without its inline events of other
-    speakers (&*WHO:some_words), as nth 0, and those events after it as utterances of their own: words split at _, a period at
-    the end, with +< before it if ``linker``. Events inside <...> come before the others."""
-    inside = F.array_join(F.regexp_extract_all("text", F.lit("<[^<>]*>"), F.lit(0)), " ")
-    outside = F.regexp_replace("text", "<[^<>]*>", " ")
-    found = lambda t: F.regexp_extract_all(t, F.lit(r"&\*[A-Za-z0-9]+:[^\s<>]+"), F.lit(0))
-    said = lambda e: F.concat(F.lit("+< " if linker else ""), F.replace(F.regexp_extract(e, r":(.*)$", 1), F.lit("_"), F.lit(" ")), F.lit(" ."))
-    host = F.trim(F.regexp_replace(F.regexp_replace("text", r"&\*[A-Za-z0-9]+:[^\s<>]+", ""), r"\s+", " "))
-    new = F.transform(F.concat(found(inside), found(outside)), lambda e, i: F.struct((i + 1).alias("nth"), F.regexp_extract(e, r"&\*([A-Za-z0-9]+)", 1).alias("speaker"), said(e).alias("text")))
-    all_ = F.concat(F.array(F.struct(F.lit(0).alias("nth"), F.col("speaker"), host.alias("text"))), new)
-    return rows.select("file", "idx", F.inline(all_))
-
+from loomspan.operators.groups import events  # noqa: F401
 
 MARK = "[⌈⌊](?![2-9])"
 

@@ -36,12 +36,6 @@ def _(spark, sf):
 # --- edits
 
 
-@query("exp01_events", f"""WITH {TIMED_SQL} SELECT file, CAST(idx AS INT) AS idx, CAST(unnest([0, 1, 2]) AS INT) AS nth, unnest([speaker, 'MOT', 'FAT']) AS speaker, unnest(['so <a b> [//] then ' || id || ' .', '+< oh yes .', '+< mhm ' || speaker || ' .']) AS text FROM e""")
-def _(spark, sf):
-    text = F.concat(F.lit("so &*FAT:mhm_"), F.col("speaker"), F.lit(" <a &*MOT:oh_yes b> [//] then "), F.col("id").cast("string"), F.lit(" ."))
-    return transforms.events(tables.timed(spark, sf).select("file", "idx", "speaker", text.alias("text")), linker=True)
-
-
 def _marked_lines(spark, sf):
     who = F.upper(F.left("speaker", F.lit(3)))
     raw = F.when(F.col("id") % 4 == 0, F.concat(F.lit("%com:\t⌈ x"))).otherwise(F.concat(F.lit("*"), who, F.lit(":\ta ⌈ b⌉ ⌈2 c⌉2 ⌊ "), F.col("id").cast("string"), F.lit("⌋")))
