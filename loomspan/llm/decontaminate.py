@@ -62,7 +62,7 @@ def item_blocks(items: DataFrame, window: int, block_words: int):
         yield Block([(str(r.item_id), words(r.text.encode(), ALNUM)[0]) for r in sizes.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toLocalIterator()], window)
 
 
-def build_index(docs: DataFrame, gap: int = 1, segment_bytes: int = 4 << 20) -> DataFrame:
+def build_index(docs: DataFrame, gap: int = 1, segment_bytes: int = 1 << 20) -> DataFrame:
     """Segments of the positional index over whole documents, with ``gap`` free positions after each document."""
 
     def run(batches):
