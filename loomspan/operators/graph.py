@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def checkpoints(df: DataFrame):
+    """What cuts the lineage of a DataFrame: a checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset, on one machine only)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master) and not spark.conf.get("spark.checkpoint.dir", None):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}")
+    return lambda part: part.checkpoint()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the ends of ``links`` (a, b): root is the smallest node that a node is linked with.
 
     Each round ties a node's larger neighbours, then its smaller ones, to its smallest neighbour, until no edge changes; the
-    edges end as stars.
-    Rounds are cut by a checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset, on one machine only).
+    edges end as stars. Rounds are cut by checkpoints.
     """
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master) and not spark.conf.get("spark.checkpoint.dir", None):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}")
+    cut = checkpoints(links)
     edges, state = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         joined = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
-        edges = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break

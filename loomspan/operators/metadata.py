@@ -6,7 +6,7 @@ The three sources are DataFrames joined by the upper-cased identifier. A source
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Metadata keys by how repeated values are read.
@@ -59,21 +59,23 @@ def html_identifiers(rows: DataFrame, prefix: str = "10.21415") -> DataFrame:
 def reconcile(local: DataFrame, registry: DataFrame | None = None, html: DataFrame | None = None) -> DataFrame:
     """JON-01 to JON-04, SET-06, AGG-23, SCF-16: the entries of all sources with their status.
 
-    ``local``: path, doi, target_url, description, language. ``registry``: doi, state, url. ``html``: key, path, doi.
+    ``local``: path, doi, target_url, description, language, and title and bank if it has them. ``registry``: doi, state, url, and title
+    if it has it. ``html``: key, path, doi.
     """
     key = F.upper("doi")
-    e = local.select("path", "doi", "target_url", "description", "language", key.alias("key"))
+    known = lambda df, c: (F.col(c) if c in df.columns else F.lit(None).cast("string"))
+    e = local.select("path", "doi", "target_url", "description", "language", known(local, "title").alias("title"), known(local, "bank").alias("bank"), key.alias("key"))
     # records without identifier are not gathered anywhere
     several = e.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("duplicate"))
-    e = e.join(several, "key", "left").select("path", "doi", "target_url", "description", "language", "key", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
+    e = e.join(several, "key", "left").select("path", "doi", "target_url", "description", "language", "title", "bank", "key", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
     if registry is not None:
-        r = registry.select(F.upper("doi").alias("r_key"), F.col("doi").alias("r_doi"), F.lower("state").alias("r_state"), F.col("url").alias("r_url"))
+        r = registry.select(F.upper("doi").alias("r_key"), F.col("doi").alias("r_doi"), F.lower("state").alias("r_state"), F.col("url").alias("r_url"), known(registry, "title").alias("r_title"))
         j = e.join(r, (F.col("key") == F.col("r_key")) & ~F.col("duplicate"), "left")
         asked = F.when(F.col("key").isNull() | F.col("duplicate"), "not asked").when(F.col("r_key").isNull(), "not found").otherwise("found")
         orphans = r.join(e, F.col("r_key") == F.col("key"), "left_anti").withColumns({"key": F.col("r_key"), "registry_state": F.lit("found"), "duplicate": F.lit(False)})
         e = j.withColumn("registry_state", asked).unionByName(orphans, allowMissingColumns=True)
     else:
-        e = e.withColumns({"r_doi": F.lit(None).cast("string"), "r_state": F.lit(None).cast("string"), "r_url": F.lit(None).cast("string"), "registry_state": F.lit("not asked")})
+        e = e.withColumns({"r_doi": F.lit(None).cast("string"), "r_state": F.lit(None).cast("string"), "r_url": F.lit(None).cast("string"), "r_title": F.lit(None).cast("string"), "registry_state": F.lit("not asked")})
     e = e.drop("r_key")
     if html is not None:
         h = html.select(F.col("key").alias("h_key"), F.col("path").alias("h_path"), F.col("doi").alias("h_doi"))
@@ -142,8 +144,22 @@ def with_doi(text: Column, identifier: Column) -> Column:
 
 
 def audit_table(entries: DataFrame) -> DataFrame:
-    """SNK-08: entries in the columns of the audit's table, nulls as empty texts."""
-    return entries.select(F.coalesce("path", F.lit("")).alias("path"), F.coalesce("key", F.lit("")).alias("doi"), "status")
+    """SNK-08: entries in the seven columns of the audit's table, nulls as empty texts. The identifier is as written, that of the
+    registry where the record has none; the title likewise. An entry of one outside source alone is named after it. decision: a
+    column of ``entries`` if they have been reviewed, else pending."""
+    text = lambda *cs: F.coalesce(*cs, F.lit(""))
+    named = F.coalesce("path", F.when(F.col("r_doi").isNotNull(), F.concat(F.lit("(DataCite only) "), text(F.col("r_title")))), F.concat(F.lit("(HTML only) "), F.col("key")))
+    decision = F.trim(F.col("decision")) if "decision" in entries.columns else F.lit("···")
+    return entries.select("status", decision.alias("decision"), text(F.col("doi"), F.col("r_doi")).alias("doi"), text(F.col("title"), F.col("r_title")).alias("title"), text(F.col("bank")).alias("bank"), text(named).alias("path"), text(F.col("target_url")).alias("target_url"))
+
+
+def audit_breakdown(entries: DataFrame) -> DataFrame:
+    """SNK-08: what is printed after the table, (place, label, n): the statuses in the order of their names, then TOTAL."""
+    each = entries.groupBy(F.col("status").alias("label")).agg(F.count("*").alias("n"))
+    # as many rows as there are statuses
+    placed = each.withColumn("place", F.row_number().over(Window.orderBy("label")))
+    total = each.agg(F.lit("TOTAL").alias("label"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.count("*") + 1).cast("int").alias("place"))
+    return placed.unionByName(total)
 
 
 def breakdown(entries: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from loomspan import sinks
 from loomspan.operators import align, annotations, chat, lexical, lines, metadata, sets, timing, transforms, validation
-from loomspan.plans.queries import AUDIT_SQL, PAIR_SQL, RECONCILE_SQL, T_SQL, U_SQL, _audited, _html, _local, _pairs, _registry
+from loomspan.plans.queries import AUDIT_CSV_SQL, AUDIT_SQL, PAIR_SQL, RECONCILE_SQL, T_SQL, U_SQL, _audited, _html, _local, _pairs, _registry
 from loomspan.plans.registry import query
+from loomspan.sources import annotations as annotation_files
 from loomspan.sources import rendered, tables, transcripts
 from loomspan.sources.rendered import RAW_SQL
 from loomspan.sources.tables import TIMED_SQL
@@ -140,11 +141,16 @@ def _(spark, sf):
     return timing.audit_table(_audited(spark, sf))
 
 
-@query("snk08_audit_csv", f"SELECT coalesce(path, '') AS path, coalesce(key, '') AS doi, status FROM ({RECONCILE_SQL})")
+@query("snk08_audit_csv", AUDIT_CSV_SQL)
 def _(spark, sf):
     return metadata.audit_table(metadata.reconcile(_local(spark, sf), _registry(spark, sf), _html(spark, sf)))
 
 
+@query("snk08_breakdown", f"""WITH s AS (SELECT status AS label, count(*) AS n FROM ({RECONCILE_SQL}) GROUP BY status) SELECT CAST(row_number() OVER (ORDER BY label) AS INT) AS place, label, n FROM s UNION ALL SELECT CAST(count(*) + 1 AS INT), 'TOTAL', CAST(sum(n) AS BIGINT) FROM s""")
+def _(spark, sf):
+    return metadata.audit_breakdown(metadata.reconcile(_local(spark, sf), _registry(spark, sf), _html(spark, sf)))
+
+
 @query("snk12_markdown", "SELECT CAST(row_number() OVER (ORDER BY lang) + 3 AS BIGINT) AS nth, '| ' || lang || ' | ' || count(*) || ' |' AS text FROM documents GROUP BY lang UNION ALL SELECT * FROM (VALUES (CAST(0 AS BIGINT), '# Files'), (1, ''), (2, '| lang | files |'), (3, '|-|-|'))")
 def _(spark, sf):
     n = tables.read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("files"))
@@ -286,3 +292,25 @@ def _(spark, sf):
     item = F.concat(F.lit('\n class = "IntervalTier"\n name = "'), F.col("speaker"), F.lit('"\n'), F.array_join(F.transform("all", lambda x: x.one), ""))
     files = tiers.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("speaker", item.alias("item")))).alias("items"))
     return transcripts.text_grid(files.select("file", F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("item ["), (i + 1).cast("string"), F.lit("]:"), x.item)), "").alias("text")))
+
+
+@query("src28_elan", f"""WITH {_CUES_SQL} SELECT file, unnest([speaker, speaker || '@words', speaker || '@pos']) AS tier, CASE WHEN speaker = 'click' THEN NULL ELSE upper(speaker) END AS speaker, unnest(['a' || idx, 'w' || idx, 'p' || idx]) AS id, CAST(unnest([0, 1, 2]) AS INT) AS depth, CAST(CASE WHEN id % 10 > 0 THEN start_ms END AS BIGINT) AS start_ms, CAST(end_ms AS BIGINT) AS end_ms, unnest(['say <' || id || '> & go', 'go', '']) AS text FROM q""")
+def _(spark, sf):
+    def shown(tag, **attributes):
+        return F.concat(F.lit(f"<{tag}"), *(x for k, v in attributes.items() for x in (F.lit(f' {k}="'), v, F.lit('"'))), F.lit(">"))
+
+    n, i = F.col("idx").cast("string"), F.col("id")
+    slot = lambda k, ms: F.concat(F.lit(f'<TIME_SLOT TIME_SLOT_ID="{k}'), n, F.lit('"'), F.coalesce(F.concat(F.lit(' TIME_VALUE="'), ms.cast("string"), F.lit('"')), F.lit("")), F.lit("/>"))
+    slots = F.concat(slot("s", F.when(i % 10 > 0, F.col("start_ms"))), slot("e", F.col("end_ms")))
+    put = lambda inner, value: F.concat(F.lit("<ANNOTATION>"), inner, F.lit("<ANNOTATION_VALUE>"), value, F.lit("</ANNOTATION_VALUE>"))
+    base = F.concat(put(shown("ALIGNABLE_ANNOTATION", ANNOTATION_ID=F.concat(F.lit("a"), n), TIME_SLOT_REF1=F.concat(F.lit("s"), n), TIME_SLOT_REF2=F.concat(F.lit("e"), n)), F.concat(F.lit("say &lt;"), i.cast("string"), F.lit("&gt; &amp; go"))), F.lit("</ALIGNABLE_ANNOTATION></ANNOTATION>"))
+    refers = lambda k, to, value: F.concat(put(shown("REF_ANNOTATION", ANNOTATION_ID=F.concat(F.lit(k), n), ANNOTATION_REF=F.concat(F.lit(to), n)), F.lit(value)), F.lit("</REF_ANNOTATION></ANNOTATION>"))
+    e = _cues(spark, sf).select("file", "idx", "speaker", slots.alias("slots"), base.alias("base"), refers("w", "a", "go").alias("word"), refers("p", "w", "").alias("pos"))
+    who = F.when(F.col("speaker") == "click", "").otherwise(F.concat(F.lit(' PARTICIPANT="'), F.upper("speaker"), F.lit('"')))
+    tier = lambda suffix, c: F.concat(F.lit('<TIER TIER_ID="'), F.col("speaker"), F.lit(suffix + '"'), who, F.lit(">"), F.array_join(F.transform("all", lambda x: x[c]), ""), F.lit("</TIER>"))
+    tiers = e.groupBy("file", "speaker").agg(F.sort_array(F.collect_list(F.struct("idx", "slots", "base", "word", "pos"))).alias("all"))
+    tiers = tiers.select("file", "speaker", F.array_join(F.transform("all", lambda x: x.slots), "").alias("slots"), F.concat(tier("@pos", "pos"), tier("", "base"), tier("@words", "word")).alias("tiers"))
+    files = tiers.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("speaker", "slots", "tiers"))).alias("all"))
+    joined = lambda c: F.array_join(F.transform("all", lambda x: x[c]), "")
+    text = F.concat(F.lit('<ANNOTATION_DOCUMENT AUTHOR=""><TIME_ORDER>'), joined("slots"), F.lit("</TIME_ORDER>"), joined("tiers"), F.lit("</ANNOTATION_DOCUMENT>"))
+    return annotation_files.elan(files.select("file", text.alias("text")))

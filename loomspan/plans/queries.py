@@ -440,17 +440,17 @@ def _(spark, sf):
 
 
 def _local(spark, sf):
-    p = tables.read(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    p = tables.read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     k = F.col("p_partkey")
     return p.select(
         k.cast("string").alias("path"), F.when(k % 5 != 0, F.concat(F.lit("10.99/a"), (k % 900).cast("string"))).alias("doi"), F.concat(F.lit("u"), (k % 7).cast("string")).alias("target_url"),
-        F.when(k % 3 != 0, F.col("p_brand")).alias("description"), F.when(k % 4 != 0, F.lit("en")).alias("language"),
+        F.when(k % 3 != 0, F.col("p_brand")).alias("description"), F.when(k % 4 != 0, F.lit("en")).alias("language"), F.when(k % 6 != 0, F.col("p_name")).alias("title"), F.col("p_brand").alias("bank"),
     )
 
 
 def _registry(spark, sf):
     k = F.col("s_suppkey")
-    return tables.read(spark, sf, "supplier").select(F.concat(F.lit("10.99/A"), (k * 11).cast("string")).alias("doi"), F.when(k % 6 == 0, "draft").otherwise("findable").alias("state"), F.concat(F.lit("u"), (k * 11 % 7 + (k % 4 == 0).cast("int")).cast("string")).alias("url"))
+    return tables.read(spark, sf, "supplier").select(F.concat(F.lit("10.99/A"), (k * 11).cast("string")).alias("doi"), F.col("s_name").alias("title"), F.when(k % 6 == 0, "draft").otherwise("findable").alias("state"), F.concat(F.lit("u"), (k * 11 % 7 + (k % 4 == 0).cast("int")).cast("string")).alias("url"))
 
 
 def _html(spark, sf):
@@ -458,14 +458,17 @@ def _html(spark, sf):
     return tables.read(spark, sf, "customer").select(F.concat(F.lit("10.99/A"), (k * 2).cast("string")).alias("key"), k.cast("string").alias("path"), F.concat(F.lit("10.99/a"), (k * 2).cast("string")).alias("doi"))
 
 
-RECONCILE_SQL = """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 <> 0 THEN '10.99/a' || (p_partkey % 900) END AS doi, 'u' || (p_partkey % 7) AS target_url, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS description, CASE WHEN p_partkey % 4 <> 0 THEN 'en' END AS language FROM part),
+_ENTRIES_SQL = """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 <> 0 THEN '10.99/a' || (p_partkey % 900) END AS doi, 'u' || (p_partkey % 7) AS target_url, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS description, CASE WHEN p_partkey % 4 <> 0 THEN 'en' END AS language, CASE WHEN p_partkey % 6 <> 0 THEN p_name END AS title, p_brand AS bank FROM part),
 e AS (SELECT *, upper(doi) AS key, doi IS NOT NULL AND count(doi) OVER (PARTITION BY upper(doi)) > 1 AS dup FROM p),
-r AS (SELECT '10.99/A' || (s_suppkey * 11) AS r_key, CASE WHEN s_suppkey % 6 = 0 THEN 'draft' ELSE 'findable' END AS st, 'u' || (s_suppkey * 11 % 7 + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END) AS url FROM supplier),
+r AS (SELECT '10.99/A' || (s_suppkey * 11) AS r_key, CASE WHEN s_suppkey % 6 = 0 THEN 'draft' ELSE 'findable' END AS st, 'u' || (s_suppkey * 11 % 7 + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END) AS url, s_name AS r_title FROM supplier),
 h AS (SELECT '10.99/A' || (c_custkey * 2) AS h_key FROM customer),
-x AS (SELECT e.*, r_key, st, url FROM e LEFT JOIN r ON e.key = r.r_key AND NOT dup UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, r_key, false, r_key, st, url FROM r WHERE r_key NOT IN (SELECT key FROM e WHERE key IS NOT NULL)),
-y AS (SELECT x.*, h_key FROM x LEFT JOIN h ON x.doi IS NOT NULL AND x.key = h.h_key UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, h_key, false, NULL, NULL, NULL, h_key FROM h WHERE h_key NOT IN (SELECT key FROM x WHERE key IS NOT NULL))
-SELECT path, key, CASE WHEN dup THEN 'DUPLICATE' WHEN r_key IS NOT NULL AND st = 'draft' THEN 'DRAFT' WHEN r_key IS NOT NULL AND target_url <> url THEN 'URL MISMATCH' WHEN r_key IS NOT NULL AND doi IS NULL THEN 'MANUAL MINT' WHEN h_key IS NOT NULL AND doi IS NULL AND r_key IS NULL THEN 'HTML ONLY'
- WHEN doi IS NOT NULL AND r_key IS NULL THEN 'UNREGISTERED' WHEN doi IS NOT NULL AND h_key IS NULL THEN 'HTML STALE' WHEN doi IS NULL THEN 'NEEDS DOI' WHEN description IS NULL OR language IS NULL THEN 'INCOMPLETE' ELSE 'OK' END AS status FROM y"""
+x AS (SELECT e.*, r_key, st, url, r_title FROM e LEFT JOIN r ON e.key = r.r_key AND NOT dup UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, r_key, false, r_key, st, url, r_title FROM r WHERE r_key NOT IN (SELECT key FROM e WHERE key IS NOT NULL)),
+y AS (SELECT x.*, h_key FROM x LEFT JOIN h ON x.doi IS NOT NULL AND x.key = h.h_key UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, h_key, false, NULL, NULL, NULL, NULL, h_key FROM h WHERE h_key NOT IN (SELECT key FROM x WHERE key IS NOT NULL))"""
+_STATUS_SQL = """CASE WHEN dup THEN 'DUPLICATE' WHEN r_key IS NOT NULL AND st = 'draft' THEN 'DRAFT' WHEN r_key IS NOT NULL AND target_url <> url THEN 'URL MISMATCH' WHEN r_key IS NOT NULL AND doi IS NULL THEN 'MANUAL MINT' WHEN h_key IS NOT NULL AND doi IS NULL AND r_key IS NULL THEN 'HTML ONLY'
+ WHEN doi IS NOT NULL AND r_key IS NULL THEN 'UNREGISTERED' WHEN doi IS NOT NULL AND h_key IS NULL THEN 'HTML STALE' WHEN doi IS NULL THEN 'NEEDS DOI' WHEN description IS NULL OR language IS NULL THEN 'INCOMPLETE' ELSE 'OK' END"""
+RECONCILE_SQL = f"{_ENTRIES_SQL} SELECT path, key, {_STATUS_SQL} AS status FROM y"
+AUDIT_CSV_SQL = f"""{_ENTRIES_SQL} SELECT {_STATUS_SQL} AS status, '···' AS decision, coalesce(doi, r_key, '') AS doi, coalesce(title, r_title, '') AS title, coalesce(bank, '') AS bank,
+  coalesce(path, CASE WHEN r_key IS NOT NULL THEN '(DataCite only) ' || r_title END, '(HTML only) ' || key) AS path, coalesce(target_url, '') AS target_url FROM y"""
 
 
 @query("jon01_jon04_scf16_reconcile", RECONCILE_SQL)
