@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,30 @@ def consistency(pairs: DataFrame, least: int = 20) -> DataFrame:
 
 
 def topological(rules: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
-    """ITR-03: order of the (at most a few dozen) classes by rules (before, after), ties by name; and the names on a cycle."""
-    names = sorted({x for r in rules for x in r})
-    before = {n: {a for a, b in rules if b == n} for n in names}
-    out: list[str] = []
-    while free := [n for n in names if n not in out and before[n] <= set(out)]:
-        out.append(free[0])
-    return out, [n for n in names if n not in out]
+    """ITR-03: order of the classes by rules (before, after), of those that are free the first by name; and the names on or behind a cycle.
+
+    Rules are about classes, of which there are few, whatever the number of annotations.
+    """
+    rules_ = set(rules)
+    names = sorted({x for r in rules_ for x in r})
+    waits, after = dict.fromkeys(names, 0), {n: [] for n in names}
+    for a, b in rules_:
+        waits[b] += 1
+        after[a].append(b)
+    free, out = [n for n in names if not waits[n]], []
+    while free:
+        out.append(heapq.heappop(free))
+        for b in after[out[-1]]:
+            waits[b] -= 1
+            if not waits[b]:
+                heapq.heappush(free, b)
+    done = set(out)
+    return out, [n for n in names if n not in done]
+
+
+def ordering(pairs: DataFrame, share: float = 0.75, least: int = 20) -> DataFrame:
+    """ITR-03: (place, class) of the classes by the order that AGG-12 finds for at least ``share`` of a pair's occurrences; place is null
+    for classes on or behind a cycle."""
+    found = consistency(pairs, least).where(F.col("share") >= share).select(F.when(F.col("x_first"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("x_first"), F.col("y")).otherwise(F.col("x")).alias("b"))
+    placed, rest = topological([(r.a, r.b) for r in found.collect()])
+    return pairs.sparkSession.createDataFrame([*enumerate(placed), *((None, n) for n in rest)], "place int, class string")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan import sinks
 from loomspan.operators import align, annotations, chat, lexical, lines, metadata, sets, timing, transforms, validation
-from loomspan.plans.queries import AUDIT_CSV_SQL, AUDIT_SQL, PAIR_SQL, RECONCILE_SQL, T_SQL, U_SQL, _audited, _html, _local, _pairs, _registry
+from loomspan.plans.queries import AUDIT_CSV_SQL, AUDIT_SQL, PAIR_SQL, RECONCILE_SQL, T_SQL, U_SQL, _annotations, _audited, _html, _local, _pairs, _registry
 from loomspan.plans.registry import query
 from loomspan.sources import annotations as annotation_files
 from loomspan.sources import rendered, tables, transcripts
@@ -243,10 +243,9 @@ def _(spark, sf):
     return lexical.frequency(tables.read(spark, sf, "documents").select("lang", "text"), "lang")
 
 
-@query("itr03_order", "SELECT * FROM (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'F')) AS t(place, class)")
+@query("itr03_order")
 def _(spark, sf):
-    out, _ = annotations.topological([("B", "C"), ("A", "C"), ("C", "F")])
-    return spark.createDataFrame(list(enumerate(out)), "place int, class string")
+    return annotations.ordering(annotations.bigrams(_annotations(spark, sf)))
 
 
 @query("win15_chained_totals", f"""WITH {TIMED_SQL}, w AS (SELECT file, idx, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY file ORDER BY idx), end_ms, start_ms + 500) AS word_end FROM e WHERE start_ms IS NOT NULL) SELECT file, count(*) AS words, CAST(sum(word_end - start_ms) AS BIGINT) AS ms FROM w GROUP BY file""")
