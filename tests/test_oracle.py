@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomspan.plans import aligned, coded, more, queries, spoken, tiers, transcripts  # noqa: F401  registers them
+from loomspan.plans import aligned, coded, more, queries, ruled, spoken, tiers, transcripts  # noqa: F401  registers them
 from loomspan.plans.registry import ORACLES, QUERIES
 
 
