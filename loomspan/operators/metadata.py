@@ -6,6 +6,8 @@ The three sources are DataFrames joined by the upper-cased identifier. A source
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,39 @@ def doi(value: Column) -> Column:
     return F.when(bare.rlike(r"^10\.[0-9.]+/.+$"), bare)
 
 
+def doi_forms(identifier: Column) -> Column:
+    """SCF-14: struct<resolve_url, scheme, key> of an identifier: where it resolves, as doi:..., and in capitals, to compare by; null of null."""
+    form = F.struct(F.concat(F.lit("https://doi.org/"), identifier).alias("resolve_url"), F.concat(F.lit("doi:"), identifier).alias("scheme"), F.upper(identifier).alias("key"))
+    return F.when(identifier.isNotNull(), form)
+
+
+def doi_state(state: Column) -> Column:
+    """SCF-14: struct<retire_event, can_delete, indexed> of a registry state: only what is findable is hidden to retire it, only a
+    draft can be deleted."""
+    s = F.lower(state)
+    return F.struct(F.when(s == "findable", "hide").alias("retire_event"), F.coalesce(s == "draft", F.lit(False)).alias("can_delete"), F.coalesce(s == "findable", F.lit(False)).alias("indexed"))
+
+
+#: Beginnings of keys with a vocabulary, the column they go to, and whether the first, the last or all of them count.
+OLAC = [
+    ("Subject.olac:linguistic-field", "linguistic_field", "last"), ("Subject.olac:discourse-type", "discourse_type", "first"), ("Type.olac:discourse-type", "discourse_type", "first"),
+    ("Type.olac:linguistic-type", "linguistic_type", "last"), ("Subject.olac:language", "languages", "all"),
+]
+
+
 def record(rows: DataFrame) -> DataFrame:
-    """SRC-13: (file, line, text) of ``Key:<tabs>value`` lines as one record a file."""
-    kv = rows.select("file", "line", F.trim(F.regexp_extract("text", r"^([^:\t]+):\s*(.*)$", 1)).alias("key"), F.trim(F.regexp_extract("text", r"^([^:\t]+):\s*(.*)$", 2)).alias("value")).where("key <> '' and value <> ''")
+    """SRC-13, with the olac fields: (file, line, text) of ``Key:<tabs>value`` lines as one record a file."""
+    # a key ends at the first colon, but for those of a vocabulary, which hold one
+    field = r"^((?:Subject|Type)\.olac:[^:\t]+|[^:\t]+):\s*(.*)$"
+    kv = rows.select("file", "line", F.trim(F.regexp_extract("text", field, 1)).alias("key"), F.trim(F.regexp_extract("text", field, 2)).alias("value")).where("key <> '' and value <> ''")
     first = lambda k: F.min_by("value", F.when(F.col("key") == k, F.col("line"))).alias(k.lower())
     last = lambda k: F.max_by("value", F.when(F.col("key") == k, F.col("line"))).alias(k.lower())
     several = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("key") == k, F.struct("line", "value")))), lambda x: x.value).alias(f"{k.lower()}s")
     imdi = F.transform(F.sort_array(F.collect_list(F.when(F.col("key").startswith("IMDI_"), F.struct("line", F.substr("key", F.lit(6)).alias("k"), "value")))), lambda x: F.struct(x.k.alias("key"), x.value.alias("value"))).alias("imdi")
-    out = kv.groupBy("file").agg(*map(first, FIRST_WINS), *map(several, APPENDED), *map(last, LAST_WINS), imdi)
+    begins = lambda name: reduce(lambda a, b: a | b, [F.col("key").startswith(k) for k, n, _ in OLAC if n == name])
+    how = {"first": lambda on: F.min_by("value", F.when(on, F.col("line"))), "last": lambda on: F.max_by("value", F.when(on, F.col("line"))), "all": lambda on: F.transform(F.sort_array(F.collect_list(F.when(on, F.struct("line", "value")))), lambda x: x.value)}
+    olac = [how[way](begins(name)).alias(f"olac_{name}") for name, way in {n: w for _, n, w in OLAC}.items()]
+    out = kv.groupBy("file").agg(*map(first, FIRST_WINS), *map(several, APPENDED), *map(last, LAST_WINS), imdi, *olac)
     return out.withColumn("doi", F.trim(F.regexp_replace("doi", "^doi:", "")))
 
 

@@ -244,6 +244,29 @@ def _(spark, sf):
     return tables.read(spark, sf, "part").select("p_partkey", metadata.doi(raw).alias("doi"))
 
 
+@query("scf14_forms", """SELECT s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN 'https://doi.org/10.' || s_nationkey || '/' || s_name END AS resolve_url, CASE WHEN s_suppkey % 4 > 0 THEN 'doi:10.' || s_nationkey || '/' || s_name END AS scheme, CASE WHEN s_suppkey % 4 > 0 THEN upper('10.' || s_nationkey || '/' || s_name) END AS key,
+  CASE s_suppkey % 3 WHEN 0 THEN 'hide' END AS retire_event, s_suppkey % 3 = 1 AS can_delete, s_suppkey % 3 = 0 AS indexed FROM supplier""")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    raw = F.when(k % 4 > 0, F.concat(F.when(k % 2 == 0, "doi:").otherwise(" DOI:"), F.lit("10."), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_name"))).otherwise(F.col("s_name"))
+    state = F.when(k % 3 == 0, "findable").when(k % 3 == 1, "Draft").otherwise("registered")
+    s = tables.read(spark, sf, "supplier").select("s_suppkey", metadata.doi_forms(metadata.doi(raw)).alias("f"), metadata.doi_state(state).alias("s"))
+    return s.select("s_suppkey", "f.*", "s.*")
+
+
+@query("src13_olac", """SELECT CAST(c_custkey AS VARCHAR) AS file, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'early' END AS olac_linguistic_field, 'dialogue' || c_nationkey AS olac_discourse_type, c_name AS olac_linguistic_type, 'eng,' || c_mktsegment AS olac_languages FROM customer""")
+def _(spark, sf):
+    c = tables.read(spark, sf, "customer")
+    said = lambda key, value: F.concat(F.lit(f"{key}:\t"), value)
+    lines = F.array(
+        said("Title", F.col("c_name")), said("Subject.olac:linguistic-field", F.lit("early")), said("Subject.olac:language", F.lit("eng")), said("Type.olac:discourse-type", F.concat(F.lit("dialogue"), F.col("c_nationkey").cast("string"))),
+        said("Subject.olac:discourse-type", F.lit("later")), F.when(F.col("c_custkey") % 3 > 0, said("Subject.olac:linguistic-field", F.col("c_mktsegment"))).otherwise(F.lit("Subject.olac:linguistic-field:\t")), said("Type.olac:linguistic-type", F.lit("x")),
+        said("Type.olac:linguistic-type", F.col("c_name")), said("Subject.olac:language", F.col("c_mktsegment")),
+    )
+    r = metadata.record(c.select(F.col("c_custkey").cast("string").alias("file"), F.posexplode(lines).alias("line", "text")))
+    return r.select("file", "olac_linguistic_field", "olac_discourse_type", "olac_linguistic_type", F.array_join("olac_languages", ",").alias("olac_languages"))
+
+
 @query("scf15_payload", f"""WITH {_REC_SQL} SELECT file, '10.2/b' || k AS doi, title, CAST(y AS BIGINT) AS year FROM m""")
 def _(spark, sf):
     r = metadata.payload(metadata.record(_records(spark, sf)))
