@@ -54,17 +54,17 @@ def _row(best: np.ndarray, scores: np.ndarray, gap: int, steps: np.ndarray, move
     return new, np.where((pair >= up) & (pair >= left), 0, np.where(up >= left, 1, 2)).astype(np.uint8)
 
 
-def _walk(move, scored, i, j, stop: int, out: list) -> tuple[int, int]:
-    """Back from cell (i, j) to row ``stop``; pairs of positive score go to ``out``."""
+def _walk(move, scored, i, j, stop: int, out: list, least: int) -> tuple[int, int]:
+    """Back from cell (i, j) to row ``stop``; pairs of at least that score go to ``out``."""
     while i > stop and j:
         k = move(i, j)
-        if k == 0 and scored(i - 1)[j - 1] > 0:
+        if k == 0 and scored(i - 1)[j - 1] >= least:
             out.append((i - 1, j - 1))
         i, j = i - (k != 2), j - (k != 1)
     return i, j
 
 
-def aligned_long(n_a: int, n_b: int, scored, gap: int = GAP) -> list[tuple[int, int]]:
+def aligned_long(n_a: int, n_b: int, scored, gap: int = GAP, least: int = 1) -> list[tuple[int, int]]:
     """Pairs of places of a best global alignment of two sequences; scored(i): scores of the i-th of a with all of b.
 
     Rows of scores are kept at regular distances only, as many as a stretch between two of them has; the moves of a
@@ -85,13 +85,13 @@ def aligned_long(n_a: int, n_b: int, scored, gap: int = GAP) -> list[tuple[int,
         for r in range(start, i):
             best, way = _row(best, scored(r)[None], gap, steps, True)
             ways.append(way[0])
-        i, j = _walk(lambda i, j, w=ways, s=start: w[i - 1 - s][j - 1], scored, i, j, start, out)
+        i, j = _walk(lambda i, j, w=ways, s=start: w[i - 1 - s][j - 1], scored, i, j, start, out, least)
         if not j:
             break
     return out[::-1]
 
 
-def aligned_batch(scores: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, gap: int = GAP) -> list[list[tuple[int, int]]]:
+def aligned_batch(scores: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, gap: int = GAP, least: int = 1) -> list[list[tuple[int, int]]]:
     """The same for P pairs at once: scores [P, m, n], of which the p-th fills [n_a[p], n_b[p]]."""
     p, m, n = scores.shape
     steps = np.arange(n + 1, dtype=np.int64) * gap
@@ -103,7 +103,7 @@ def aligned_batch(scores: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, gap: int
     while len(live):
         x, y = i[live] - 1, j[live] - 1
         way = ways[live, x, y]
-        for q in np.flatnonzero((way == 0) & (scores[live, x, y] > 0)).tolist():
+        for q in np.flatnonzero((way == 0) & (scores[live, x, y] >= least)).tolist():
             out[live[q]].append((int(x[q]), int(y[q])))
         i[live] -= way != 2
         j[live] -= way != 1
@@ -136,7 +136,7 @@ def exact(a: str, b: str) -> int:
     return 100 if a == b else 0
 
 
-def align_lists(a: list[list[str]], b: list[list[str]], score=similarity, gap: int = GAP) -> list[list[tuple[int, int]]]:
+def align_lists(a: list[list[str]], b: list[list[str]], score=similarity, gap: int = GAP, least: int = 1) -> list[list[tuple[int, int]]]:
     """Pairs of places for each two lists of texts. Short pairs of like size go together, as one array; long ones alone."""
     out: list = [[] for _ in a]
     order = sorted((i for i in range(len(a)) if a[i] and b[i]), key=lambda i: (len(a[i]), len(b[i])))
@@ -160,12 +160,12 @@ def align_lists(a: list[list[str]], b: list[list[str]], score=similarity, gap: i
                     known[x[r]] = table.grid(x[r : r + 1], each)[0]
                 return known[x[r]][back]
 
-            out[group[0]] = aligned_long(m, n, scored, gap)
+            out[group[0]] = aligned_long(m, n, scored, gap, least)
             continue
         scores = np.zeros((len(group), m, n), np.int64)
         for k, (x, y) in enumerate(codes):
             scores[k, : len(x), : len(y)] = table.grid(x, y)
-        for i, pairs in zip(group, aligned_batch(scores, np.array([len(x) for x, _ in codes]), np.array([len(y) for _, y in codes]), gap), strict=True):
+        for i, pairs in zip(group, aligned_batch(scores, np.array([len(x) for x, _ in codes]), np.array([len(y) for _, y in codes]), gap, least), strict=True):
             out[i] = pairs
     return out
 
@@ -176,13 +176,15 @@ def aligned(a: list[str], b: list[str], score=similarity, gap: int = GAP) -> lis
     return align_lists([a], [b], score, gap)[0]
 
 
-def align(rows: DataFrame, score=similarity, gap: int = GAP, columns: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """``rows`` (key columns, and two ``columns`` of array<string>) with pairs array<struct<i, j>>; null lists have none."""
+def align(rows: DataFrame, score=similarity, gap: int = GAP, columns: tuple[str, str] = ("a", "b"), least: int = 0) -> DataFrame:
+    """``rows`` (key columns, and two ``columns`` of array<string>) with pairs array<struct<i, j>>; null lists have none.
+
+    ``least``: pairs of a smaller score are not reported. 0 keeps those that are not alike and only cost less than two skips; SCF-12 is 1."""
 
     @F.pandas_udf("array<struct<i int, j int>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            found = align_lists([[] if x is None else list(x) for x in a], [[] if y is None else list(y) for y in b], score, gap)
+            found = align_lists([[] if x is None else list(x) for x in a], [[] if y is None else list(y) for y in b], score, gap, least)
             yield pd.Series([[{"i": i, "j": j} for i, j in pairs] for pairs in found])
 
     return rows.withColumn("pairs", run(*columns))
@@ -236,7 +238,7 @@ def error_rate(pairs: DataFrame) -> DataFrame:
 def agreement(pairs: DataFrame) -> DataFrame:
     """AGG-28, the other counts: ``pairs`` (reference, found) with matches, deletions and insertions of an alignment on equal words, and
     accuracy, matches / words of the reference (null without words). What is replaced counts as deleted and inserted."""
-    x = align(pairs.withColumns({"_a": F.col("reference"), "_b": F.col("found")}), exact, columns=("_a", "_b"))
+    x = align(pairs.withColumns({"_a": F.col("reference"), "_b": F.col("found")}), exact, columns=("_a", "_b"), least=1)
     n, m = F.size("reference").cast("long"), F.size("pairs").cast("long")
     counted = x.withColumns({"matches": m, "deletions": n - m, "insertions": F.size("found").cast("long") - m, "accuracy": F.when(n > 0, m / n)})
     return counted.drop("reference", "found", "_a", "_b", "pairs")
@@ -308,7 +310,7 @@ def anchored(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
         return free.groupBy("file", "gap").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
 
     gaps = between(a, "i").withColumnRenamed("words", "x").join(between(b, "j").withColumnRenamed("words", "y"), ["file", "gap"])
-    done = align(gaps.select("file", F.transform("x", lambda v: v.word).alias("a"), F.transform("y", lambda v: v.word).alias("b"), F.transform("x", lambda v: v.pos).alias("is"), F.transform("y", lambda v: v.pos).alias("js")), exact)
+    done = align(gaps.select("file", F.transform("x", lambda v: v.word).alias("a"), F.transform("y", lambda v: v.word).alias("b"), F.transform("x", lambda v: v.pos).alias("is"), F.transform("y", lambda v: v.pos).alias("js")), exact, least=1)
     rest = done.select(F.col("file").cast("long").alias("file"), F.explode(F.transform("pairs", lambda p: F.struct(F.get("is", p.i).cast("long").alias("i"), F.get("js", p.j).cast("long").alias("j")))).alias("p")).select("file", "p.*")
     return pairs.unionByName(rest)
 

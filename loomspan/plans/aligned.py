@@ -56,24 +56,24 @@ def _placed(x):
 
 @query("scf12_alignment")
 def _(spark, sf):
-    return _placed(align.align(_pairs(spark, sf)))
+    return _placed(align.align(_pairs(spark, sf), least=1))
 
 
 @query("scf12_names", f"WITH RECURSIVE {_LIKE_SQL} SELECT p.idx, CAST(count(m.i) AS INT) AS pairs, CAST(coalesce(sum(m.i * m.j), 0) AS BIGINT) AS places FROM p LEFT JOIN m ON p.idx = m.idx GROUP BY ALL")
 def _(spark, sf):
-    return _placed(align.align(_names(spark, sf)))
+    return _placed(align.align(_names(spark, sf), least=1))
 
 
 @query("nlp05_compared")
 def _(spark, sf):
-    return transforms.compared(align.align(_pairs(spark, sf))).select("file", "idx", F.inline("steps"))
+    return transforms.compared(align.align(_pairs(spark, sf), least=1)).select("file", "idx", F.inline("steps"))
 
 
 @query("nlp05_names", f"""WITH RECURSIVE {_LIKE_SQL} SELECT idx, CASE WHEN wa = wb THEN 'match' ELSE 'substitute' END AS kind, wb AS word FROM m
   UNION ALL SELECT q.idx, 'delete', a[k] FROM (SELECT *, unnest(range(1, len(a) + 1)) AS k FROM p) q ANTI JOIN m ON m.idx = q.idx AND m.i = q.k
   UNION ALL SELECT q.idx, 'insert', b[k] FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM p) q ANTI JOIN m ON m.idx = q.idx AND m.j = q.k""")
 def _(spark, sf):
-    return transforms.compared(align.align(_names(spark, sf))).select("idx", F.inline("steps"))
+    return transforms.compared(align.align(_names(spark, sf), least=1)).select("idx", F.inline("steps"))
 
 
 def _errors(pairs):
