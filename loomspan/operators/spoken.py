@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,32 +16,33 @@ def compounds(words: Column, table: dict[str, str]) -> Column:
     """``words`` with every run of two and more that is a key of ``table`` (words joined by blanks, in lower case) replaced by its value:
     from the left, the longest that fits, none inside another.
 
-    The table is part of the plan, so it has to be small: some hundred entries, checked here.
+    The table goes to the tasks with the code, so it has to be small: some hundred entries, checked here.
     """
     if len(table) > 2000 or any(k != " ".join(k.lower().split()) or " " not in k for k in table):
         raise ValueError("compounds are up to 2000 keys of several words in lower case, joined by single blanks")
     if not table:
         return words
-    new = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
     lengths = sorted({k.count(" ") + 1 for k in table}, reverse=True)
-    keys = {n: [k for k in table if k.count(" ") + 1 == n] for n in lengths}
-    low = F.transform(words, F.lower)
 
-    def longest(i):
-        run = lambda n: F.array_join(F.slice(low, i + 1, n), " ")
-        out = F.lit(1)
-        for n in reversed(lengths):
-            out = F.when((i + n <= F.size(words)) & run(n).isin(keys[n]), n).otherwise(out)
+    def replaced(w, low) -> list:
+        out, i = [], 0
+        while i < len(w):
+            for n in lengths:
+                run = low[i : i + n]
+                if len(run) == n and None not in run and (new := table.get(" ".join(run))) is not None:
+                    break
+            else:
+                n, new = 1, w[i]
+            out.append(new)
+            i += n
         return out
 
-    def step(s, i):
-        taken = F.get(F.transform(F.array(longest(i)), lambda n: F.struct(n.alias("n"), F.when(n > 1, F.element_at(new, F.array_join(F.slice(low, i + 1, n), " "))).otherwise(F.get(words, i)).alias("word"))), F.lit(0))
-        put = F.get(F.transform(F.array(taken), lambda t: F.struct(F.concat(s.out, F.array(t.word)).alias("out"), (i + t.n).alias("next"))), F.lit(0))
-        return F.when(i < s["next"], s).otherwise(put)
+    # each array is read once; a fold in the plan would look at the words anew at every place
+    @F.pandas_udf("array<string>")
+    def run(words: pd.Series, low: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None else replaced(w.tolist(), x.tolist()) for w, x in zip(words, low, strict=True)], dtype=object)
 
-    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
-    return F.when(words.isNotNull(), F.reduce(places, start, step, lambda s: s.out))
+    return run(words, F.transform(words, F.lower))
 
 
 def _below_thousand(n: Column) -> Column:

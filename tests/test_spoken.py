@@ -41,3 +41,10 @@ def test_numbers_in_letters(spark):
     }
     got = {r.x: r.y for r in spark.createDataFrame([(k,) for k in want] + [(None,)], "x string").select("x", spoken.in_letters(F.col("x")).alias("y")).collect()}
     assert got == want | {None: None}
+
+
+def test_words_are_worked_out_once_not_at_every_place(spark):
+    rows = spark.createDataFrame([(1, "c a b a d " * 4000)], "i int, text string")
+    got = rows.select(spoken.compounds(F.split(F.trim("text"), " "), TABLE).alias("w"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert got.first().w == ["CABA", "d"] * 4000
