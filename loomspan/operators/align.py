@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,44 +92,24 @@ def aligned_long(n_a: int, n_b: int, scored, gap: int = GAP, least: int = 1) ->
     return out[::-1]
 
 
-def aligned_batch(scores: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, gap: int = GAP, least: int = 1) -> list[list[tuple[int, int]]]:
-    """The same for P pairs at once: scores [P, m, n], of which the p-th fills [n_a[p], n_b[p]]."""
+def aligned_batch(scores: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, gap: int = GAP, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for P pairs at once: scores [P, m, n], of which the p-th fills [n_a[p], n_b[p]]. Pairs of places as (p, i, j), from the end."""
     p, m, n = scores.shape
     steps = np.arange(n + 1, dtype=np.int64) * gap
     best, ways = np.repeat(steps[None], p, 0), np.zeros((p, m, n), np.uint8)
     for r in range(m):
         best, ways[:, r] = _row(best, scores[:, r], gap, steps, True)
-    i, j, all_, out = n_a.copy(), n_b.copy(), np.arange(p), [[] for _ in range(p)]
+    i, j, all_, out = n_a.copy(), n_b.copy(), np.arange(p), []
     live = all_[(i > 0) & (j > 0)]
     while len(live):
         x, y = i[live] - 1, j[live] - 1
         way = ways[live, x, y]
-        for q in np.flatnonzero((way == 0) & (scores[live, x, y] >= least)).tolist():
-            out[live[q]].append((int(x[q]), int(y[q])))
+        q = (way == 0) & (scores[live, x, y] >= least)
+        out.append((live[q], x[q], y[q]))
         i[live] -= way != 2
         j[live] -= way != 1
         live = live[(i[live] > 0) & (j[live] > 0)]
-    return [x[::-1] for x in out]
-
-
-class Scores:
-    """Scores of texts by number: each different pair of texts is scored once."""
-
-    def __init__(self, score):
-        self.score, self.names, self.known = score, {}, {}
-
-    def numbers(self, texts) -> np.ndarray:
-        return np.array([self.names.setdefault(t, len(self.names)) for t in texts], np.int64)
-
-    def grid(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        names = list(self.names)
-        pairs, back = np.unique((a[:, None] << 32) | b[None, :], return_inverse=True)
-        values = []
-        for k in pairs.tolist():
-            if k not in self.known:
-                self.known[k] = self.score(names[k >> 32], names[k & 0xFFFFFFFF])
-            values.append(self.known[k])
-        return np.array(values, np.int64)[back].reshape(len(a), len(b))
+    return tuple(np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in range(3))
 
 
 def exact(a: str, b: str) -> int:
@@ -136,37 +117,135 @@ def exact(a: str, b: str) -> int:
     return 100 if a == b else 0
 
 
-def align_lists(a: list[list[str]], b: list[list[str]], score=similarity, gap: int = GAP, least: int = 1) -> list[list[tuple[int, int]]]:
-    """Pairs of places for each two lists of texts. Short pairs of like size go together, as one array; long ones alone."""
-    out: list = [[] for _ in a]
-    order = sorted((i for i in range(len(a)) if a[i] and b[i]), key=lambda i: (len(a[i]), len(b[i])))
+def _inside(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (c, d) of different texts of which d lies inside c: pieces of c are looked up, or the texts searched for in c if those are fewer."""
+    known, c, d = {t: k for k, t in enumerate(texts)}, [], []
+    lengths = sorted({len(t) for t in texts})
+    for k, t in enumerate(texts):
+        shorter = lengths[: bisect.bisect_left(lengths, len(t))]
+        if len(t) * len(shorter) > 4 * len(texts):
+            held = {v for u, v in known.items() if len(u) < len(t) and u in t}
+        else:
+            held = {known[t[s : s + n]] for n in shorter for s in range(len(t) - n + 1) if t[s : s + n] in known}
+        c += [k] * len(held)
+        d += held
+    return np.array(c, np.int64), np.array(d, np.int64)
+
+
+class Scores:
+    """Scores of ``texts`` by number. Single words by :func:`similarity` are looked up by their pieces, so that unlike ones cost
+    nothing; by other measures each different pair of texts is scored once."""
+
+    def __init__(self, texts: list[str], score):
+        self.texts, self.score, self.known, self.like = texts, score, {}, None
+        if score is similarity and all(t and t.split() == [t] for t in texts):
+            c, d = _inside(texts)
+            each = np.arange(len(texts))
+            one, other = np.concatenate([each, c, d]), np.concatenate([each, d, c])
+            order = np.argsort(one, kind="stable")
+            value = np.repeat(np.array([100, 80], np.int16), [len(each), 2 * len(c)])
+            self.like = np.searchsorted(one[order], np.arange(len(texts) + 1)), other[order], value[order]
+
+    def grid(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Scores [P, m, n] of the numbers x [P, m] and y [P, n]."""
+        if self.score is exact:
+            return (x[:, :, None] == y[:, None, :]) * np.int16(100)
+        a, at_a = np.unique(x, return_inverse=True)
+        b, at_b = np.unique(y, return_inverse=True)
+        at_a, at_b = at_a.reshape(x.shape)[:, :, None], at_b.reshape(y.shape)[:, None, :]
+        if self.like is None:
+            pairs, back = np.unique(at_a * len(b) + at_b, return_inverse=True)
+            values = []
+            for u, v in zip(a[pairs // len(b)].tolist(), b[pairs % len(b)].tolist(), strict=True):
+                if (u, v) not in self.known:
+                    self.known[u, v] = self.score(self.texts[u], self.texts[v])
+                values.append(self.known[u, v])
+            return np.array(values, np.int64)[back].reshape(len(x), x.shape[1], y.shape[1])
+        first, other, value = self.like
+        n = first[a + 1] - first[a]
+        row = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(row)) + np.repeat(first[a] - np.cumsum(n) + n, n)
+        to = np.minimum(np.searchsorted(b, other[at]), len(b) - 1)
+        there = b[to] == other[at]
+        table = np.zeros((len(a), len(b)), np.int16)
+        table[row[there], to[there]] = value[at[there]]
+        return table[at_a, at_b]
+
+
+#: Lists of texts as the numbers of their texts, one list behind another, and the lists' sizes.
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def _numbered(*columns: pa.Array) -> tuple[list[str], list[Lists]]:
+    """The different texts of columns of lists, and each column as numbers of texts; null lists are empty."""
+    flat = [c.flatten() for c in columns]
+    coded = pa.concat_arrays(flat).dictionary_encode(null_encoding="encode")
+    numbers = np.split(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([len(f) for f in flat])[:-1])
+    return coded.dictionary.to_pylist(), [(k, pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for k, c in zip(numbers, columns, strict=True)]
+
+
+def _listed(p: np.ndarray, n: int, **fields: np.ndarray) -> pa.Array:
+    """Structs of ``fields`` as n lists; the list of each is in ``p``, in order."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(p, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in fields.values()], list(fields)))
+
+
+def _batches(a: Lists, b: Lists, cells: int):
+    """Numbers of the pairs of lists that go together, as (group, x, y): pairs of like size, padded to one size."""
+    (x, n_x), (y, n_y) = a, b
+    at_x, at_y = np.cumsum(n_x) - n_x, np.cumsum(n_y) - n_y
+    order = np.lexsort((n_y, n_x))
+    sizes = list(zip(n_x[order].tolist(), n_y[order].tolist(), strict=True))
+    padded = lambda v, at, size, n: v[np.minimum(at[:, None] + np.minimum(np.arange(n), np.maximum(size, 1)[:, None] - 1), max(len(v) - 1, 0))] if len(v) else np.zeros((len(at), n), np.int64)
     at = 0
     while at < len(order):
-        group, m, n = [], 0, 0
-        while at < len(order):
-            x, y = max(m, len(a[order[at]])), max(n, len(b[order[at]]))
-            if group and (len(group) + 1) * x * y > CELLS // 8:
+        end, m, n = at, 0, 0
+        while end < len(order):
+            u, v, k = sizes[end][0], max(n, sizes[end][1]), end - at + 1
+            # the second: what a table of all words of the one side and of the other may hold
+            if end > at and (k * u * v > cells or k * k * u * v > 32 * cells or k * (u + v) > cells):
                 break
-            group, m, n, at = [*group, order[at]], x, y, at + 1
-        table = Scores(score)
-        codes = [(table.numbers(a[i]), table.numbers(b[i])) for i in group]
-        if m * n > CELLS // 8:  # one long pair
-            x, y = codes[0]
-            known: dict = {}
-            each, back = np.unique(y, return_inverse=True)
-
-            def scored(r, x=x, each=each, back=back, table=table, known=known):
-                if x[r] not in known:
-                    known[x[r]] = table.grid(x[r : r + 1], each)[0]
-                return known[x[r]][back]
-
-            out[group[0]] = aligned_long(m, n, scored, gap, least)
+            end, m, n = end + 1, u, v
+        group = order[at:end]
+        yield group, padded(x, at_x[group], n_x[group], m), padded(y, at_y[group], n_y[group], n)
+        at = end
+
+
+def align_numbers(texts: list[str], a: Lists, b: Lists, score=similarity, gap: int = GAP, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places of each two lists as (p, i, j), in order. Short pairs of like size go together, as one array; long ones alone."""
+    table, found = Scores(texts, score), []
+    some = (a[1] > 0) & (b[1] > 0)
+    number = np.flatnonzero(some)
+    kept = [(v[np.repeat(some, size)], size[some]) for v, size in (a, b)]
+    for group, x, y in _batches(*kept, CELLS // 32):
+        m, n = x.shape[1], y.shape[1]
+        if len(group) > 1 or m * n <= CELLS // 8:
+            p, i, j = aligned_batch(table.grid(x, y), kept[0][1][group], kept[1][1][group], gap, least)
+            found.append((number[group[p]], i, j))
             continue
-        scores = np.zeros((len(group), m, n), np.int64)
-        for k, (x, y) in enumerate(codes):
-            scores[k, : len(x), : len(y)] = table.grid(x, y)
-        for i, pairs in zip(group, aligned_batch(scores, np.array([len(x) for x, _ in codes]), np.array([len(y) for _, y in codes]), gap, least), strict=True):
-            out[i] = pairs
+        known: dict = {}  # one long pair
+        each, back = np.unique(y[0], return_inverse=True)
+
+        def scored(r, x=x[0], each=each[None], back=back, known=known):
+            if score is exact:
+                return table.grid(x[None, r : r + 1], each)[0, 0][back]
+            if x[r] not in known:
+                known[x[r]] = table.grid(x[None, r : r + 1], each)[0, 0]
+            return known[x[r]][back]
+
+        pairs = np.array(aligned_long(m, n, scored, gap, least), np.int64).reshape(-1, 2)
+        found.append((np.full(len(pairs), number[group[0]]), pairs[:, 0], pairs[:, 1]))
+    p, i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+    order = np.lexsort((i, p))
+    return p[order], i[order], j[order]
+
+
+def align_lists(a: list[list[str]], b: list[list[str]], score=similarity, gap: int = GAP, least: int = 1) -> list[list[tuple[int, int]]]:
+    """Pairs of places for each two lists of texts."""
+    texts, numbers = _numbered(pa.array(a, pa.list_(pa.string())), pa.array(b, pa.list_(pa.string())))
+    out: list = [[] for _ in a]
+    for p, i, j in zip(*(v.tolist() for v in align_numbers(texts, *numbers, score, gap, least)), strict=True):
+        out[p].append((i, j))
     return out
 
 
@@ -181,25 +260,39 @@ def align(rows: DataFrame, score=similarity, gap: int = GAP, columns: tuple[str,
 
     ``least``: pairs of a smaller score are not reported. 0 keeps those that are not alike and only cost less than two skips; SCF-12 is 1."""
 
-    @F.pandas_udf("array<struct<i int, j int>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<i int, j int>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for a, b in batches:
-            found = align_lists([[] if x is None else list(x) for x in a], [[] if y is None else list(y) for y in b], score, gap, least)
-            yield pd.Series([[{"i": i, "j": j} for i, j in pairs] for pairs in found])
-
-    return rows.withColumn("pairs", run(*columns))
+            texts, numbers = _numbered(a, b)
+            p, i, j = align_numbers(texts, *numbers, score, gap, least)
+            yield _listed(p, len(a), i=i, j=j)
+
+    # a filter on what is made of the pairs must not run the alignment once more below itself
+    return rows.withColumn("pairs", run.asNondeterministic()(*columns))
+
+
+def distances(a: Lists, b: Lists) -> np.ndarray:
+    """Edit distances of each two lists; a row of scores is kept at a time."""
+    out = b[1].copy()
+    for group, x, y in _batches(a, b, CELLS // 32):
+        steps = -np.arange(y.shape[1] + 1, dtype=np.int64)
+        best = np.repeat(steps[None], len(group), 0)
+        for r in range(x.shape[1]):
+            best, _ = _row(best, np.where(x[:, r, None] == y, 0, -1), -1, steps)
+            ended = np.flatnonzero(a[1][group] == r + 1)
+            out[group[ended]] = -best[ended, b[1][group[ended]]]
+    return out
 
 
 def word_errors(reference: Column, found: Column) -> Column:
-    """AGG-28: edit distance (S + D + I) of two arrays of words, whole: each distinct word of the pair is spelled as one
-    character of its own (surrogates left out), and Spark's levenshtein compares the spellings. Null words count as none."""
-    known = F.array_distinct(F.concat(reference, found))
+    """AGG-28: edit distance (S + D + I) of two arrays of words, whole. Null words count as none; null without either array."""
 
-    def spelled(words):
-        code = lambda w: F.array_position(known, w) + F.when(F.array_position(known, w) < 0xD700, 0x100).otherwise(0x900)
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w)), 8, "0")), "UTF-32")), "")
+    @F.arrow_udf("int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        _, numbers = _numbered(a, b)
+        return pa.array(distances(*numbers).astype(np.int32), mask=pc.or_(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False))
 
-    return F.levenshtein(spelled(reference), spelled(found))
+    return run(F.array_compact(reference), F.array_compact(found))
 
 
 def jaro_winkler(a: str, b: str, boost: float = 0.1) -> float:
