@@ -129,13 +129,22 @@ def pieces(rows: DataFrame, most: int = 300) -> DataFrame:
 def compared(rows: DataFrame) -> DataFrame:
     """NLP-05: pairs array<struct<i, j>> of two lists of words (a, b) as steps array<struct<kind, word>>: match, or substitute
     of two words that are paired; delete of one that only a has, insert of one that only b has. Steps go by place."""
-    x = rows.withColumns({"is": F.transform("pairs", lambda p: p.i), "js": F.transform("pairs", lambda p: p.j)})
-    paired = F.transform("pairs", lambda p: F.struct((p.i * 2).alias("at"), p.j.alias("to"), F.when(F.get("a", p.i) == F.get("b", p.j), "match").otherwise("substitute").alias("kind"), F.get("b", p.j).alias("word")))
-    places = lambda c: F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
-    gone = F.transform(F.array_except(places("a"), "is"), lambda i: F.struct((i * 2).alias("at"), F.lit(-1).alias("to"), F.lit("delete").alias("kind"), F.get("a", i).alias("word")))
-    # an inserted word stands after the last paired one before it
-    new = F.transform(F.array_except(places("b"), "js"), lambda j: F.struct((F.coalesce(F.array_max(F.transform(F.filter("pairs", lambda p: p.j < j), lambda p: p.i * 2)), F.lit(-2)) + 1).alias("at"), j.alias("to"), F.lit("insert").alias("kind"), F.get("b", j).alias("word")))
-    return x.withColumn("steps", F.transform(F.array_sort(F.concat(paired, gone, new)), lambda s: F.struct(s.kind.alias("kind"), s.word.alias("word")))).drop("is", "js")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    place = lambda i, j: F.array(F.struct(i.alias("i"), j.alias("j")))
+    x = rows.withColumn("_ends", F.concat(place(F.lit(-1), F.lit(-1)), F.coalesce("pairs", F.array().cast("array<struct<i:int,j:int>>")), place(n("a"), n("b"))))
+    step = lambda kind, word: F.struct(kind.alias("kind"), word.alias("word"))
+    none = F.array().cast("array<struct<kind:string,word:string>>")
+
+    def between(kind, side, first, last):
+        return F.when(last > first, F.transform(F.sequence(first, last - 1), lambda k: step(F.lit(kind), F.get(side, k)))).otherwise(none)
+
+    def stretch(k):
+        """What lies between one pair and the next, inserted words first, and that pair, unless it is the end."""
+        one, two = F.get("_ends", k - 1), F.get("_ends", k)
+        pair = step(F.when(F.get("a", two.i) == F.get("b", two.j), "match").otherwise("substitute"), F.get("b", two.j))
+        return F.concat(between("insert", "b", one.j + 1, two.j), between("delete", "a", one.i + 1, two.i), F.when(k < F.size("_ends") - 1, F.array(pair)).otherwise(none))
+
+    return x.withColumn("steps", F.flatten(F.transform(F.sequence(F.lit(1), F.size("_ends") - 1), stretch))).drop("_ends")
 
 
 # --- records in XML

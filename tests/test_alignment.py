@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from loomspan.operators import align
+from loomspan.operators import align, transforms
 
 
 def brute(a, b, score, gap=-5):
@@ -97,3 +98,41 @@ def test_matches_and_accuracy(spark):
     p = spark.createDataFrame([(1, "a b c".split(), "a x c d".split()), (2, [], ["a"]), (3, ["a"], [])], "k int, reference array<string>, found array<string>")
     got = {r.k: (r.matches, r.deletions, r.insertions, r.accuracy) for r in align.agreement(p).collect()}
     assert got == {1: (2, 1, 2, 2 / 3), 2: (0, 0, 1, None), 3: (0, 1, 0, 0.0)}
+
+
+def test_single_words_are_scored_by_their_pieces():
+    rng = random.Random(5)
+    texts = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(300)} | {"abc" * 400})
+    table = align.Scores(texts, align.similarity)
+    assert table.like is not None
+    every = np.arange(len(texts))[None]
+    assert table.grid(every, every)[0].tolist() == [[align.similarity(a, b) for b in texts] for a in texts]
+    xs, ys = ([[rng.choice(texts) for _ in range(rng.randint(0, 30))] for _ in range(60)] for _ in range(2))
+    assert align.align_lists(xs, ys) == [brute(x, y, align.similarity) for x, y in zip(xs, ys, strict=True)]
+
+
+def test_word_errors_don_t_grow_with_the_words_of_a_pair_to_the_third(spark):
+    """Edit distances of batches of any sizes are those of plain dynamic programming, and the plan spells no word by its place among all."""
+    rng, rows = random.Random(8), []
+    for k in range(120):
+        rows.append((k, *([rng.choice("abcdef") for _ in range(rng.randint(0, 40))] for _ in range(2))))
+    df = spark.createDataFrame([*rows, (-1, None, ["a"])], "k int, reference array<string>, found array<string>")
+    out = align.error_rate(df)
+    assert "array_position" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+    def distance(a, b):
+        best = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, best[0] = best[0], i + 1
+            for j, y in enumerate(b):
+                last, best[j + 1] = best[j + 1], min(best[j + 1] + 1, best[j] + 1, last + (x != y))
+        return best[-1]
+
+    assert {r.k: r.errors for r in out.collect()} == {k: distance(a, b) for k, a, b in rows} | {-1: None}
+
+
+def test_steps_align_once(spark):
+    p = spark.createDataFrame([(1, ["a", "b"], ["b", "c"])], "k int, a array<string>, b array<string>")
+    out = transforms.compared(align.align(p, least=1)).selectExpr("k", "inline(steps)")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.kind, r.word) for r in out.collect()] == [("delete", "a"), ("match", "b"), ("insert", "c")]
