@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = -5
@@ -184,6 +184,14 @@ def _numbered(*columns: pa.Array) -> tuple[list[str], list[Lists]]:
     return coded.dictionary.to_pylist(), [(k, pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for k, c in zip(numbers, columns, strict=True)]
 
 
+def _sliced(work, *columns: pa.Array) -> pa.Array:
+    """``work`` on some hundred thousand texts at a time, so that a task's arrays don't grow with the rows of a batch."""
+    size = sum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    part = np.cumsum(size) // (1 << 18)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    return pa.concat_arrays([work(*(c.slice(k, m - k) for c in columns)) for k, m in zip(cuts, cuts[1:], strict=False)])
+
+
 def _listed(p: np.ndarray, n: int, **fields: np.ndarray) -> pa.Array:
     """Structs of ``fields`` as n lists; the list of each is in ``p``, in order."""
     ends = np.concatenate([[0], np.cumsum(np.bincount(p, minlength=n))]).astype(np.int32)
@@ -340,12 +348,18 @@ def agreement(pairs: DataFrame) -> DataFrame:
 # --- anchors
 
 
-def grams(words: DataFrame, n: int) -> DataFrame:
-    """(file, gram, pos) of runs of ``n`` words of ``words`` (file, pos, word) that occur once in their file."""
-    w = Window.partitionBy("file").orderBy("pos")
-    run = F.array(*(F.lead("word", k).over(w) if k else F.col("word") for k in range(n)))
-    some = words.select("file", "pos", run.alias("gram")).where(F.get("gram", F.lit(n - 1)).isNotNull())
-    return some.groupBy("file", "gram").agg(F.count("*").alias("times"), F.min("pos").alias("pos")).where("times = 1").drop("times")
+def rising(js: list[int]) -> list[int]:
+    """Places of a longest rising chain of ``js``; of equally long ones that whose end is the smallest. Patience sorting."""
+    ends, ids, back = [], [], []
+    for at, j in enumerate(js):
+        k = bisect.bisect_left(ends, j)
+        back.append(ids[k - 1] if k else None)
+        ends[k : k + 1], ids[k : k + 1] = [j], [at]
+    at, out = (ids[-1] if ids else None), []
+    while at is not None:
+        out.append(at)
+        at = back[at]
+    return out[::-1]
 
 
 def chain(points: DataFrame) -> DataFrame:
@@ -353,14 +367,10 @@ def chain(points: DataFrame) -> DataFrame:
     points have the smallest j. Patience sorting: one pass over a file's points by i, with the least j that ends a chain of each length."""
 
     def run(batches):
-        file, ends, ids, points, back = None, [], [], [], []
+        file, points = None, []
 
         def chosen():
-            at, out = (ids[-1] if ids else None), []
-            while at is not None:
-                out.append(points[at])
-                at = back[at]
-            out.reverse()
+            out = [points[k] for k in rising([j for _, j in points])]
             return pa.RecordBatch.from_arrays([pa.array([file] * len(out), pa.int64()), pa.array([i for i, _ in out], pa.int64()), pa.array([j for _, j in out], pa.int64())], ["file", "i", "j"])
 
         for batch in batches:
@@ -368,11 +378,8 @@ def chain(points: DataFrame) -> DataFrame:
                 if f != file:
                     if points:
                         yield chosen()
-                    file, ends, ids, points, back = f, [], [], [], []
-                k = bisect.bisect_left(ends, j)
+                    file, points = f, []
                 points.append((i, j))
-                back.append(ids[k - 1] if k else None)
-                ends[k : k + 1], ids[k : k + 1] = [j], [len(points) - 1]
         if points:
             yield chosen()
 
@@ -380,41 +387,142 @@ def chain(points: DataFrame) -> DataFrame:
     return p.repartition("file").sortWithinPartitions("file", "i").mapInArrow(run, "file long, i long, j long")
 
 
+def _places(lists: Lists) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the number of its list and its place in it."""
+    size = lists[1]
+    return np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _met(a: Lists, b: Lists, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, i, j): where runs of ``n`` texts start that occur once in either list of pair p, in order of i."""
+    sides, width = [], max((int(x.max()) + 1 for x, _ in (a, b) if len(x)), default=1)
+    for x, size in (a, b):
+        p, at = _places((x, size))
+        start = np.flatnonzero(at + n <= size[p])
+        sides.append((x, p[start], at[start], start))
+    cut = len(sides[0][3])
+    ids = np.concatenate([s[1] for s in sides])
+    for k in range(n):
+        if len(ids) and (int(ids.max()) + 1) * width >= 1 << 62:
+            ids = np.unique(ids, return_inverse=True)[1]
+        ids = ids * width + np.concatenate([x[start + k] for x, _, _, start in sides])
+    once = []
+    for part in (ids[:cut], ids[cut:]):
+        run, first, times = np.unique(part, return_index=True, return_counts=True)
+        once.append((run[times == 1], first[times == 1]))
+    _, k, m = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    p, i, j = sides[0][1][once[0][1][k]], sides[0][2][once[0][1][k]], sides[1][2][once[1][1][m]]
+    order = np.lexsort((i, p))
+    return p[order], i[order], j[order]
+
+
+def anchored_numbers(texts: list[str], a: Lists, b: Lists, n: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """NLP-01 for pairs of lists of words: (p, i, j) of the words that are the same, in order."""
+    p, i, j = _met(a, b, n)
+    # only pairs whose runs don't rise as they are need the search for a chain
+    falls = np.unique(p[1:][(p[1:] == p[:-1]) & (j[1:] <= j[:-1])])
+    kept = ~np.isin(p, falls)
+    for f in falls.tolist():
+        first, last = np.searchsorted(p, [f, f + 1])
+        kept[first + np.array(rising(j[first:last].tolist()))] = True
+    # an anchor is n pairs; anchors that overlap share some
+    more = np.tile(np.arange(n), kept.sum())
+    first_a, first_b, of_a = np.cumsum(a[1]) - a[1], np.cumsum(b[1]) - b[1], _places(a)[0]
+    p, width = np.repeat(p[kept], n), len(b[0]) + 1
+    pairs = np.unique((first_a[p] + np.repeat(i[kept], n) + more) * width + first_b[p] + np.repeat(j[kept], n) + more)
+    p = of_a[pairs // width]
+    i, j = pairs // width - first_a[p], pairs % width - first_b[p]
+    # two anchors may claim a place for different partners where they overlap unevenly: the earlier one has it
+    first = lambda v: np.concatenate([[True], (p[v[1:]] != p[v[:-1]])])
+    ok = np.ones(len(p), bool)
+    for by, then in ((i, j), (j, i)) if len(p) else ():
+        v = np.lexsort((then, by, p))
+        ok[v] &= first(v) | np.concatenate([[True], by[v[1:]] != by[v[:-1]]])
+    p, i, j = p[ok], i[ok], j[ok]
+
+    sides, big = [], len(a[0]) + len(b[0]) + 1
+    for (x, size), place in ((a, i), (b, j)):
+        of, at = _places((x, size))
+        taken = np.zeros(len(x), np.int64)
+        taken[(np.cumsum(size) - size)[p] + place] = 1
+        before = np.cumsum(taken)
+        gap = before - np.concatenate([[0], before])[(np.cumsum(size) - size)[of]]
+        free = taken == 0
+        sides.append((x[free], at[free], of[free] * big + gap[free]))
+    both = np.intersect1d(sides[0][2], sides[1][2])
+    lists = []
+    for x, at, gap in sides:
+        here = np.isin(gap, both)
+        starts = np.searchsorted(gap[here], both)
+        lists.append((x[here], at[here], starts, np.diff(np.append(starts, here.sum()))))
+    q, u, v = align_numbers(texts, *((x, size) for x, _, _, size in lists), exact)
+    rest = both[q] // big, lists[0][1][lists[0][2][q] + u], lists[1][1][lists[1][2][q] + v]
+    p, i, j = (np.concatenate(both_) for both_ in zip((p, i, j), rest, strict=True))
+    order = np.lexsort((i, p))
+    return p[order], i[order], j[order]
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """(file, name): the rows of a file as one list of structs, by pos."""
+    return rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("pos", "word", *(c for c in rows.columns if c not in ("file", "pos", "word"))))).alias(name))
+
+
 def anchored(a: DataFrame, b: DataFrame, n: int = 3) -> DataFrame:
     """NLP-01: (file, i, j), the places of words of ``a`` and ``b`` (file, pos, word; pos counts from 0) that are the same word.
 
     Runs of n words that occur once on both sides are anchors; of these the longest rising chain is kept, and only
-    what lies between two anchors is aligned, so that no file is ever compared with a file.
+    what lies between two anchors is aligned, so that no file is ever compared with a file. A file is one row of words.
     """
-    met = grams(a, n).withColumnRenamed("pos", "i").join(grams(b, n).withColumnRenamed("pos", "j"), ["file", "gram"]).select("file", "i", "j")
-    kept = chain(met)
-    w = Window.partitionBy("file").orderBy("i")
-    # an anchor is n pairs; anchors that overlap share some
-    pairs = kept.select("file", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((F.col("i") + k).alias("i"), (F.col("j") + k).alias("j")))).alias("p")).select("file", "p.*").distinct()
-    # two anchors may claim a place for different partners where they overlap unevenly: the earlier one has it
-    first = lambda by: F.row_number().over(Window.partitionBy("file", by).orderBy("i", "j")) == 1
-    pairs = pairs.withColumn("ok", first("i") & first("j")).where("ok").select("file", "i", "j")
 
-    def between(side: DataFrame, place: str) -> DataFrame:
-        """Words without an anchor, with the number of anchored words before them."""
-        marked = side.join(pairs.select("file", F.col(place).alias("pos"), F.lit(1).alias("one")), ["file", "pos"], "left")
-        gap = F.coalesce(F.sum("one").over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-        free = marked.withColumn("gap", gap).where("one is null")
-        return free.groupBy("file", "gap").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("words"))
-
-    gaps = between(a, "i").withColumnRenamed("words", "x").join(between(b, "j").withColumnRenamed("words", "y"), ["file", "gap"])
-    done = align(gaps.select("file", F.transform("x", lambda v: v.word).alias("a"), F.transform("y", lambda v: v.word).alias("b"), F.transform("x", lambda v: v.pos).alias("is"), F.transform("y", lambda v: v.pos).alias("js")), exact, least=1)
-    rest = done.select(F.col("file").cast("long").alias("file"), F.explode(F.transform("pairs", lambda p: F.struct(F.get("is", p.i).cast("long").alias("i"), F.get("js", p.j).cast("long").alias("j")))).alias("p")).select("file", "p.*")
-    return pairs.unionByName(rest)
+    @F.arrow_udf("array<struct<i int, j int>>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        def work(x, y):
+            texts, numbers = _numbered(x, y)
+            p, i, j = anchored_numbers(texts, *numbers, n)
+            return _listed(p, len(x), i=i, j=j)
+
+        return _sliced(work, x, y)
+
+    both = _packed(a, "x").join(_packed(b, "y"), "file")
+    pairs = both.withColumn("p", run.asNondeterministic()(F.col("x.word"), F.col("y.word")))
+    return pairs.select(F.col("file").cast("long").alias("file"), F.explode("p").alias("p")).select("file", F.col("p.i").cast("long").alias("i"), F.col("p.j").cast("long").alias("j"))
+
+
+def times(words: Column, heard: Column, starts: Column, n: int = 3) -> Column:
+    """NLP-01 by rows: of each of ``words`` array<string> its start_ms, that of the word of ``heard`` it is aligned to (``starts``
+    array<long>; null if to none), and word_end: the next known start, 500 ms after its own for the last. Null without words."""
+
+    @F.arrow_udf("array<struct<start_ms long, word_end long>>")
+    def run(x: pa.Array, y: pa.Array, ms: pa.Array) -> pa.Array:
+        return _sliced(work, x, y, ms)
+
+    def work(x, y, ms):
+        texts, (a, b) = _numbered(x, y)
+        p, i, j = anchored_numbers(texts, a, b, n)
+        known, first_b = ms.flatten(), np.cumsum(b[1]) - b[1]
+        start = known.take(pa.array(first_b[p] + j))
+        has = start.is_valid().to_numpy(zero_copy_only=False)
+        at, value, p = ((np.cumsum(a[1]) - a[1])[p] + i)[has], start.drop_null().to_numpy().astype(np.int64), p[has]
+        follows = np.append(p[1:] == p[:-1], False) if len(p) else np.zeros(0, bool)
+        ends = np.where(follows, np.append(value[1:], 0)[: len(value)], value + 500)
+        columns = []
+        for v in (value, ends):
+            all_, none = np.zeros(len(a[0]), np.int64), np.ones(len(a[0]), bool)
+            all_[at], none[at] = v, False
+            columns.append(pa.array(all_, mask=none))
+        offsets = np.concatenate([[0], np.cumsum(a[1])]).astype(np.int32)
+        none = pa.array(x.is_null().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["start_ms", "word_end"]), mask=none)
+
+    # what is made of the times must not run the alignment once more below itself
+    return run.asNondeterministic()(words, heard, starts)
 
 
 def recovered(words: DataFrame, timed: DataFrame, n: int = 3) -> DataFrame:
-    """NLP-01: ``words`` (file, pos, word) with the start_ms of the word in ``timed`` (file, pos, word, start_ms) it is aligned to (null
-    if to none), and word_end: the next known start, 500 ms after its own for the last."""
-    pairs = anchored(words, timed.select("file", "pos", "word"), n)
-    starts = pairs.join(timed.select("file", F.col("pos").alias("j"), "start_ms"), ["file", "j"]).select("file", F.col("i").alias("pos"), "start_ms")
-    later = F.first("start_ms", ignorenulls=True).over(Window.partitionBy("file").orderBy("pos").rowsBetween(1, Window.unboundedFollowing))
-    return words.join(starts, ["file", "pos"], "left").withColumn("word_end", F.when(F.col("start_ms").isNotNull(), F.coalesce(later, F.col("start_ms") + 500)))
+    """NLP-01: ``words`` (file, pos, word) with the start_ms and word_end of :func:`times`, from ``timed`` (file, pos, word, start_ms)."""
+    both = _packed(words, "x").join(_packed(timed.select("file", "pos", "word", "start_ms"), "y"), "file", "left")
+    found = both.withColumn("t", times(F.col("x.word"), F.col("y.word"), F.col("y.start_ms"), n))
+    return found.select("file", F.explode(F.arrays_zip("x", "t")).alias("r")).select("file", "r.x.*", "r.t.*")
 
 
 def grouped(rows: DataFrame, limit_ms: int) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from loomspan.operators import align, transforms
+from loomspan.plans import aligned  # noqa: F401  registers the queries
+from loomspan.plans.registry import QUERIES
 
 
 def brute(a, b, score, gap=-5):
@@ -136,3 +138,10 @@ def test_steps_align_once(spark):
     out = transforms.compared(align.align(p, least=1)).selectExpr("k", "inline(steps)")
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [(r.kind, r.word) for r in out.collect()] == [("delete", "a"), ("match", "b"), ("insert", "c")]
+
+
+def test_documents_are_aligned_where_they_are_read(spark, sf):
+    """Words don't cross the network one by one: the only exchange is that of the counts."""
+    assert QUERIES["nlp01_align"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    out = QUERIES["nlp01_align"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert out.count("Exchange") == 1 and out.count("ArrowEvalPython") == 1
