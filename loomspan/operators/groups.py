@@ -1,7 +1,10 @@
-"""The groups of a main tier: nested <...> with the marks behind them, as a tree from one fold over the tier's tokens."""
+"""The groups of a main tier: nested <...> with the marks behind them, as a tree from one pass over the tier's tokens."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +12,34 @@ TOKEN = r"<|>|\[[^\[\]]*\]|&\*[A-Za-z0-9]+:[^\s<>\[\]]+|[^\s<>\[\]]+"
 #: Marks by which what stands before them is said again; words that stand for speech that was not understood.
 RETRACES = ("[/]", "[//]", "[///]", "[/-]", "[/?]")
 UNTRANSCRIBED = ("xxx", "yyy", "www")
-_GROUP = "struct<group:int,parent:int,depth:int,first:int,last:int>"
-
-
-def _bind(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+_TOKENS = pa.struct([("at", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("group", pa.int32())])
+_GROUPS = pa.struct([("group", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("marks", pa.list_(pa.string())), ("retraced", pa.bool_())])
+_PARSED = "struct<tokens:array<struct<at:int,text:string,kind:string,group:int>>,groups:array<struct<group:int,parent:int,depth:int,first:int,last:int,marks:array<string>,retraced:boolean>>>"
+
+
+def _kind(x: str) -> str:
+    return {"<": "open", ">": "close"}.get(x) or ("mark" if x.startswith("[") else "event" if x.startswith("&*") else "word")
+
+
+def _tree(tokens: list[str]) -> tuple[list[int], list[tuple]]:
+    """The group of each token, and the groups, from one pass with a stack."""
+    own, stack, found = [], [0], []
+    for at, x in enumerate(tokens):
+        if x == "<":
+            found.append([len(found) + 1, stack[-1], len(stack), at, len(tokens)])
+            stack.append(len(found))
+        own.append(stack[-1])
+        if x == ">" and stack[-1]:
+            found[stack.pop() - 1][4] = at
+    out: list[tuple] = []
+    for g in found:
+        end = g[4] + 1
+        while end < len(tokens) and tokens[end].startswith("["):
+            end += 1
+        marks = tokens[g[4] + 1 : end]
+        # a group's parent has the smaller number, so what holds of the parent is known by then
+        out.append((*g, marks, any(m in RETRACES for m in marks) or bool(g[1] and out[g[1] - 1][6])))
+    return own, out
 
 
 def parsed(text: Column) -> Column:
@@ -23,49 +49,32 @@ def parsed(text: Column) -> Column:
     open, and first and last are the places of their brackets. A bracket > that closes nothing belongs to no group; a group
     that isn't closed ends with the tier. marks: the annotations right behind a group. retraced: said again, or inside a group that is.
     """
-    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-    def folded(t):
-        none = F.array().cast(f"array<{_GROUP}>")
-        start = F.struct(F.array(F.lit(0)).alias("stack"), none.alias("open"), none.alias("done"), F.array().cast("array<int>").alias("own"))
-
-        def step(s, at):
-            x, top, n = F.get(t, at), F.element_at(s.stack, -1), F.size(s.open) + 1
-            group = F.struct(n.alias("group"), top.alias("parent"), F.size(s.stack).alias("depth"), at.alias("first"), F.size(t).alias("last"))
-            opened = F.struct(F.concat(s.stack, F.array(n)).alias("stack"), F.concat(s.open, F.array(group)).alias("open"), s.done.alias("done"), F.concat(s.own, F.array(n)).alias("own"))
-            ended = F.get(s.open, top - 1)
-            shut = F.struct(ended.group.alias("group"), ended.parent.alias("parent"), ended.depth.alias("depth"), ended.first.alias("first"), at.alias("last"))
-            closed = F.struct(F.slice(s.stack, F.lit(1), F.size(s.stack) - 1).alias("stack"), s.open.alias("open"), F.concat(s.done, F.array(shut)).alias("done"), F.concat(s.own, F.array(top)).alias("own"))
-            plain = F.struct(s.stack.alias("stack"), s.open.alias("open"), s.done.alias("done"), F.concat(s.own, F.array(top)).alias("own"))
-            return F.when(x == "<", opened).when((x == ">") & (top > 0), closed).otherwise(plain)
-
-        places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
-        return _bind(F.reduce(places, start, step), lambda s: told(t, s))
-
-    def told(t, s):
-        shut = lambda g: F.exists(s.done, lambda d: d.group == g.group)
-        all_ = F.sort_array(F.concat(s.done, F.filter(s.open, lambda g: ~shut(g))))
-
-        def marks(g):
-            behind = F.slice(t, g.last + 2, F.lit(2_000_000_000))
-            other = F.array_position(F.transform(behind, lambda m: ~m.startswith("[")), F.lit(True)).cast("int")
-            return F.slice(behind, F.lit(1), F.when(other == 0, F.size(behind)).otherwise(other - 1))
-
-        seen = F.transform(all_, lambda g: F.struct(g["group"].alias("group"), g.parent.alias("parent"), g.depth.alias("depth"), g.first.alias("first"), g.last.alias("last"), marks(g).alias("marks")))
-        again = lambda m: F.arrays_overlap(m, F.array(*(F.lit(r) for r in RETRACES)))
-        # a group's parent has the smaller number, so what holds of the parent is known by then
-        retraced = F.reduce(seen, F.array().cast("array<boolean>"), lambda acc, g: F.concat(acc, F.array(again(g.marks) | F.coalesce(F.get(acc, g.parent - 1), F.lit(False)))))
-        groups = F.zip_with(seen, retraced, lambda g, r: F.struct(g["group"].alias("group"), g.parent.alias("parent"), g.depth.alias("depth"), g.first.alias("first"), g.last.alias("last"), g.marks.alias("marks"), r.alias("retraced")))
-        kind = lambda x: F.when(x == "<", "open").when(x == ">", "close").when(x.startswith("["), "mark").when(x.startswith("&*"), "event").otherwise("word")
-        tokens = F.transform(t, lambda x, i: F.struct(i.alias("at"), x.alias("text"), kind(x).alias("kind"), F.get(s.own, i).alias("group")))
-        return F.struct(tokens.alias("tokens"), groups.alias("groups"))
 
-    return _bind(words, folded)
+    @F.arrow_udf(_PARSED)
+    def run(tokens: pa.Array) -> pa.Array:
+        texts, at, own, found, ends = tokens.flatten(), [], [], [], [0]
+        for t in tokens.to_pylist():
+            o, g = _tree(t or [])
+            at += range(len(o))
+            own += o
+            found += g
+            ends.append(len(found))
+        size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        kinds = pa.array([_kind(x) for x in texts.to_pylist()], pa.string())
+        one = pa.StructArray.from_arrays([pa.array(at, pa.int32()), texts.cast(pa.string()), kinds, pa.array(own, pa.int32())], fields=list(_TOKENS))
+        columns = list(zip(*found, strict=True)) or [()] * len(_GROUPS)
+        all_ = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _GROUPS, strict=True)], fields=list(_GROUPS))
+        starts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        listed = pa.ListArray.from_arrays(starts, one, mask=pa.array(tokens.is_null().to_numpy(zero_copy_only=False)))
+        return pa.StructArray.from_arrays([listed, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), all_)], ["tokens", "groups"])
+
+    # what is read off the tree must not have it built once more below itself
+    return run.asNondeterministic()(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
 def groups(rows: DataFrame, *keep: str) -> DataFrame:
     """SRC-26: the groups of main tiers (text), one row each: group, parent, depth, first, last, marks, retraced."""
-    return rows.select(*keep, F.inline(parsed(F.col("text")).groups))
+    return rows.select(*keep, parsed(F.col("text")).alias("_p")).select(*keep, F.inline("_p.groups"))
 
 
 def words(rows: DataFrame, *keep: str) -> DataFrame:

@@ -122,3 +122,10 @@ def test_balance_leaves_alone_what_the_scan_leaves_alone(spark):
     two = [(1, 1, 0, "top", "A", None), (1, 1, 1, "top", "A", None), (1, 2, 0, "bottom", "B", None), (1, 3, 0, "bottom", "C", None)]
     got = overlaps.balance(spark.createDataFrame(two, "file long, line long, nth int, side string, speaker string, index int")).collect()
     assert {(r.line, r.nth): r.partners for r in got} == {(1, 0): 2, (1, 1): 0, (2, 0): 1, (3, 0): 1}
+
+
+def test_a_tier_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, "<a <b> [/] c> [//] d .")], "idx int, text string")
+    for out in (groups.groups(df, "idx"), groups.words(df, "idx")):
+        assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.group, r.parent, r.marks, r.retraced) for r in groups.groups(df, "idx").collect()] == [(1, 0, ["[//]"], True), (2, 1, ["[/]"], True)]
