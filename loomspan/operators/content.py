@@ -21,6 +21,11 @@ _WORDS = r"@[A-Za-z][A-Za-z0-9'=%-]*|[~!#][A-Za-z][A-Za-z0-9'=_-]*|[A-Za-z0-9'=%
 _OTHER = "|".join(p for _, p in ELEMENTS)
 _REST = rf"(?:(?!{_OTHER}|{_WORDS})[\s\S])"
 ELEMENT = rf"{_OTHER}|(?:{_WORDS}|{_REST}){_REST}*"
+#: Of an element, what its first character can be; others are known by their last, >.
+STARTS = {
+    "Bracket": OPEN + CLOSE, "Space": " \t", "Comment": "(", "NonvocalSimple": "<", "NonvocalBegin": "<", "LongFeatureBegin": "<", "PauseTimed": ".", "PauseMedium": ".", "PauseShort": ".", "Truncation": "-", "InhalationLengthened": "(", "Inhalation": "(",
+    "Exhalation": "(", "Click": "(", "Vocalism": "(", "Laughs": "@", "Laugh": "@", "PhonologicalFragment": "/", "Linker": "&", "NonvocalBeat": "+", "Glottal": "%", "QuestionMark": "?", "Period": ".", "Comma": ",",
+}
 #: Labels that may end right after a word, longer ones first.
 LABELS = ["HUMMING", "VOX", "MRC", "SING", "FOOD", "READ", "PAR", "YWN", "SM", "HI", "WH", "FF", "PP", "BR", "L2", "F", "P", "Q", "X", "@"]
 TERMINATORS = ["Period", "QuestionMark", "Truncation"]
@@ -43,7 +48,8 @@ def elements(content: Column) -> Column:
     def kind(t):
         k = F.lit("Word")
         for name, pattern in reversed(ELEMENTS):
-            k = F.when(t.rlike(f"^(?:{pattern})$"), name).otherwise(k)
+            may = F.contains(F.lit(STARTS[name]), F.substr(t, F.lit(1), F.lit(1))) if name in STARTS else t.endswith(">")
+            k = F.when(may & t.rlike(f"^(?:{pattern})$"), name).otherwise(k)
         # most tokens are plain words, which need no trial
         return F.when((F.substr(t, F.lit(1), F.lit(1)) >= "A") & (F.substr(t, F.lit(1), F.lit(1)) <= "z") & ~t.endswith(">") & ~t.startswith("["), "Word").otherwise(k)
 

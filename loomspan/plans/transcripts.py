@@ -40,7 +40,7 @@ def _(spark, sf):
 
 @query("scf02_scf03_elements", f"WITH {RAW_SQL}, {SAMPLES_SQL} SELECT file, line, CAST(i AS INT) AS i, kind, value FROM r JOIN k USING (s) WHERE NOT note UNION ALL SELECT file, line, CAST(unnest([0, 1]) AS INT), 'Word', unnest(['$', 'note']) FROM r WHERE note")
 def _(spark, sf):
-    p = _parsed(spark, sf).select("file", "line", F.posexplode(content.elements(F.col("content"))).alias("i", "e"))
+    p = transcripts.once(_parsed(spark, sf), content.elements(F.col("content")).alias("elements")).select("file", "line", F.posexplode("elements").alias("i", "e"))
     return p.select("file", "line", "i", "e.kind", "e.value")
 
 

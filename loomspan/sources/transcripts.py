@@ -29,17 +29,27 @@ def numbered(rows: DataFrame, text: str = "text") -> DataFrame:
     return lines.select("file", (F.col("line") + 1).alias("line"), "raw").where(F.trim("raw") != "")
 
 
-def layouts(lines: DataFrame) -> DataFrame:
-    """SRC-06: the layout of each file by its first line. A: two times in the first of three fields; B: a time in each of the
-    first two of three fields, or two fields that are both times; C: two fields, the first beginning with two times; else A."""
-    first = lines.groupBy("file").agg(F.min_by("raw", "line").alias("raw"))
-    fields = F.split("raw", "\t")
+def layout_of(raw: Column) -> Column:
+    """SRC-06: a file's layout by its first line. A: two times in the first of three fields; B: a time in each of the first two of
+    three fields, or two fields that are both times; C: two fields, the first beginning with two times; else A."""
+    fields = F.split(raw, "\t")
     f0, f1, n = F.trim(F.get(fields, F.lit(0))), F.trim(F.get(fields, F.lit(1))), F.size(fields)
     one = rf"^{STAMP[:-2]}\s*:*$"
     both = f0.rlike(one) & f1.rlike(one)
     a, c = f0.rlike(rf"^{STAMP}\s*[ ]\s*{STAMP}$"), f0.rlike(rf"^{STAMP}\s*[ ]\s*{STAMP}(?:\s|$)")
-    layout = F.when(n >= 3, F.when(a, "A").when(both, "B")).when(n == 2, F.when(c, "C").when(both, "B"))
-    return first.select("file", F.coalesce(layout, F.lit("A")).alias("layout"))
+    return F.coalesce(F.when(n >= 3, F.when(a, "A").when(both, "B")).when(n == 2, F.when(c, "C").when(both, "B")), F.lit("A"))
+
+
+def layouts(lines: DataFrame) -> DataFrame:
+    """SRC-06: (file, layout) of each file, see :func:`layout_of`."""
+    first = lines.groupBy("file").agg(F.min_by("raw", "line").alias("raw"))
+    return first.select("file", layout_of(F.col("raw")).alias("layout"))
+
+
+def once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """The rows with ``columns`` added, each worked out once a row: a filter on a column of a projection is moved below it, with all
+    that the column takes, which then is done again above; it is not moved below an explode."""
+    return rows.select("*", F.explode(F.array(F.struct(*columns))).alias("once")).select(*rows.columns, "once.*")
 
 
 def stamp(text: Column) -> Column:
@@ -61,24 +71,32 @@ def parsed(lines: DataFrame) -> DataFrame:
     'bad stamp'), so do too few tabs ('broken tabs'); an end earlier than its start by over 0.01 stays with a problem. A line of
     layout A without any tab is split at blanks.
     """
-    l = lines.join(layouts(lines), "file")  # noqa: E741
-    f4, f3, f2 = F.split("raw", "\t", 4), F.split("raw", "\t", 3), F.split("raw", "\t", 2)
+    # the layout comes from the first line of a file, in the order in which the lines are read anyway
+    w = Window.partitionBy("file").orderBy(F.col("line").asc_nulls_last())
+    l = lines.where("file is not null").select("file", "line", "raw", F.row_number().over(w).alias("nth"))  # noqa: E741
+    layout = F.first("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    l = l.withColumn("first", F.when(F.col("nth") == 1, layout_of(F.col("raw")))).select("file", "line", "raw", layout.alias("layout"))  # noqa: E741
+    # two splits hold all fields: without a tab the head is the whole line
+    l = l.withColumn("fields", F.split("raw", "\t", 4)).withColumn("head", F.split(F.trim(F.get("fields", F.lit(0))), r"\s+"))  # noqa: E741
     g = lambda a, i: F.get(a, F.lit(i))
-    head = F.split(F.trim(g(f2, 0)), r"\s+")
-    blank = F.split(F.trim("raw"), r"\s+")
-    is_b, is_c, no_tab = F.col("layout") == "B", F.col("layout") == "C", F.size(f2) < 2
+    fields, head, n = F.col("fields"), F.col("head"), F.size("fields")
+    is_b, is_c, no_tab = F.col("layout") == "B", F.col("layout") == "C", n < 2
     broken = ~is_b & ~is_c & no_tab
-    fits = F.when(is_b, F.size(f4) >= 3).when(is_c, ~no_tab & (F.size(head) >= 2)).otherwise(F.when(broken, F.size(blank) >= 3).otherwise(F.size(head) >= 2))
-    named = broken & speaker_of(g(blank, 2)).isNotNull()
-    start, end = (F.when(broken, g(blank, i)).when(is_b, g(f4, i)).otherwise(g(head, i)) for i in (0, 1))
-    field = F.when(broken, F.when(named, g(blank, 2))).when(is_b, g(f4, 2)).when(is_c, g(head, 2)).otherwise(F.when(F.size(f3) == 3, g(f3, 1)))
-    rest = F.array_join(F.slice(blank, F.when(named, 4).otherwise(3), F.size(blank)), " ")
-    content = F.when(broken, rest).when(is_b, g(f4, 3)).when(is_c, g(f2, 1)).otherwise(F.when(F.size(f3) == 3, g(f3, 2)).otherwise(g(f3, 1)))
-    bare = F.trim(F.regexp_replace(F.trim(start), ":+$", ""))
-    zero = F.coalesce((F.length(bare) > 4) & bare.rlike("^0+$"), F.lit(False))
-    out = l.select("file", "line", "layout", fits.alias("fits"), zero.alias("zero"), F.when(zero, 0.0).otherwise(stamp(start)).alias("start"), F.when(zero, 0.0).otherwise(stamp(end)).alias("end"), speaker_of(field).alias("speaker"), F.coalesce(content, F.lit("")).alias("content"))
+    after = lambda i: F.array_join(F.slice(fields, F.lit(i + 1), F.greatest(n - i, F.lit(0))), "\t")
+    fits = F.when(is_b, n >= 3).when(is_c, ~no_tab & (F.size(head) >= 2)).otherwise(F.size(head) >= F.when(broken, 3).otherwise(2))
+    third = speaker_of(g(head, 2))
+    start, end = (F.when(is_b, g(fields, i)).otherwise(g(head, i)) for i in (0, 1))
+    speaker = F.when(broken | is_c, third).otherwise(speaker_of(F.when(is_b, g(fields, 2)).when(n >= 3, g(fields, 1))))
+    rest = F.array_join(F.slice(head, F.when(third.isNotNull(), 4).otherwise(3), F.size(head)), " ")
+    content = F.when(broken, rest).when(is_b, g(fields, 3)).when(is_c, F.when(~no_tab, after(1))).otherwise(F.when(n >= 3, after(2)).otherwise(g(fields, 1)))
+    bare = lambda x: F.trim(F.regexp_replace(F.trim(x), ":+$", ""))
+    l = once(l, fits.alias("fits"), bare(start).alias("from"), bare(end).alias("to"), speaker.alias("speaker"), F.coalesce(content, F.lit("")).alias("content"))  # noqa: E741
+    zero = F.coalesce((F.length("from") > 4) & F.col("from").rlike("^0+$"), F.lit(False))
+    time = lambda c: F.col(c).try_cast("double").alias({"from": "start", "to": "end"}[c])
+    out = once(l, zero.alias("zero"), time("from"), time("to"))
+    at = lambda c: F.when(F.col("zero"), 0.0).otherwise(F.col(c)).alias(c)
     problem = F.when(~F.col("fits"), "broken tabs").when(F.col("start").isNull() | F.col("end").isNull(), "bad stamp").when(F.col("zero"), "zero stamp").when(F.col("end") < F.col("start") - 0.01, "end before start")
-    return out.withColumn("problem", problem).drop("zero", "fits")
+    return out.select("file", "line", "layout", "fits", "zero", at("start"), at("end"), "speaker", "content").withColumn("problem", problem).drop("zero", "fits")
 
 
 def kept(rows: DataFrame) -> DataFrame:
