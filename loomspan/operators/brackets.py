@@ -14,22 +14,20 @@ def tokens(content: Column) -> Column:
     """SCF-01: brackets of a line: array<struct<char_offset, kind, index>>.
 
     ``((...))`` is skipped (to the line's end if open), ``<<...>>`` is not; a digit from 2 to 9 after ``[`` or before ``]`` or
-    ``$]`` is the index; ``$]`` closes by force. One regular expression finds comments and brackets in turn; the offset of a
-    match is the length of what was found before it and of the gaps.
+    ``$]`` is the index; ``$]`` closes by force. One regular expression finds comments and brackets in turn, another each with the
+    text before it; one pass over both adds up the lengths.
     """
     found = F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
-    gaps = F.split(content, TOKEN, -1)
-    n = F.size(found)
-    at = F.transform(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            (F.length(F.array_join(F.slice(gaps, 1, i), "")) + F.length(F.array_join(F.slice(found, 1, i - 1), ""))).alias("char_offset"),
-            F.element_at(found, i).alias("t"),
-        ),
-    )
+    pieces = F.regexp_extract_all(content, F.lit(rf"[\s\S]*?(?:{TOKEN})"), F.lit(0))
     kind = lambda t: F.when(t.startswith("["), "Open").when(F.contains(t, F.lit("$")), "CloseForced").otherwise("Close")
-    live = F.filter(at, lambda x: ~x.t.startswith("("))
-    return F.transform(live, lambda x: F.struct(x.char_offset.cast("int").alias("char_offset"), kind(x.t).alias("kind"), F.regexp_extract(x.t, "([2-9])", 1).try_cast("int").alias("index")))
+    none = F.array().cast("array<struct<char_offset:int,kind:string,index:int>>")
+
+    def step(s, x):
+        one = F.struct((s.at + x.n - F.length(x.t)).alias("char_offset"), kind(x.t).alias("kind"), F.regexp_extract(x.t, "([2-9])", 1).try_cast("int").alias("index"))
+        return F.struct((s.at + x.n).alias("at"), F.when(x.t.startswith("("), s.out).otherwise(F.concat(s.out, F.array(one))).alias("out"))
+
+    both = F.zip_with(pieces, found, lambda p, t: F.struct(F.length(p).alias("n"), t.alias("t")))
+    return F.coalesce(F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s.out), none)
 
 
 def edges(opens: DataFrame, columns: int = 2, distance: int = 5) -> DataFrame:

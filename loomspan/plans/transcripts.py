@@ -157,8 +157,8 @@ def _(spark, sf):
   SELECT file, line, CAST(unnest([0, n + 1, n + 13, n + 16, n + 22, n + 24]) AS INT) AS char_offset, unnest(['Open', 'Close', 'Open', 'CloseForced', 'Open', 'Close']) AS kind, CAST(unnest([NULL, NULL, 2, 2, NULL, NULL]) AS INT) AS "index" FROM t""")
 def _(spark, sf):
     text = F.concat(F.lit("["), F.col("speaker"), F.lit("] ((c [y])) [2z2$] <<[q]>> ((open [x]"))
-    t = tables.timed(spark, sf).select("file", F.col("idx").alias("line"), F.explode(brackets.tokens(text)).alias("b"))
-    return t.select("file", "line", "b.*")
+    t = transcripts.once(tables.timed(spark, sf).select("file", F.col("idx").alias("line"), "speaker"), brackets.tokens(text).alias("b"))
+    return t.select("file", "line", F.explode("b").alias("b")).select("file", "line", "b.*")
 
 
 @query("scf11_scf09_similarity", f"""WITH {TIMED_SQL}, t AS (SELECT file, idx, 'the ' || speaker || CASE WHEN id % 2 = 0 THEN ' page' ELSE '' END AS a, CASE WHEN id % 5 = 0 THEN '' WHEN id % 7 = 0 THEN speaker ELSE 'the ' || lead(speaker) OVER (PARTITION BY file ORDER BY idx) || ' page' END AS b FROM e),

@@ -25,3 +25,12 @@ def test_starts_of_elements_fit_their_expressions(spark):
     text = "x [2y] ((c)) <<KN>> <<MA <X @b X> MA>> .. ... ...(.5) -- (H)= (H) (Hx) (TSK) (COUGH) @@@ @ /f/ & + % ? . ,"
     got = spark.createDataFrame([(text,)], "t string").select(F.explode(content.elements(F.col("t"))).alias("e")).select("e.kind").collect()
     assert {r.kind for r in got} == {k for k, _ in content.ELEMENTS if k != "Space"} | {"Word"}
+
+
+def test_brackets_are_found_once_a_line(spark, sf):
+    assert plan(QUERIES["scf01_brackets"](spark, sf)).count("[\\s\\S]") == 1
+    n = 3000
+    text = "a[2b]((c ["
+    many = spark.createDataFrame([("[x] " * n,), (text,), (None,)], "t string").select(brackets.tokens(F.col("t")).alias("b")).collect()
+    assert [(x.char_offset, x.kind) for x in many[0].b] == [(4 * i + d, k) for i in range(n) for d, k in ((0, "Open"), (2, "Close"))]
+    assert [tuple(x) for x in many[1].b] == [(1, "Open", 2), (4, "Close", None)] and many[2].b == []
