@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.sources.transcripts import once
+
 #: Metadata keys by how repeated values are read.
 FIRST_WINS = ["Title", "Date", "Language", "Description", "Country", "Publisher", "Type"]
 APPENDED = ["Creator", "Subject", "Contributor"]
@@ -47,16 +49,22 @@ def record(rows: DataFrame) -> DataFrame:
     """SRC-13, with the olac fields: (file, line, text) of ``Key:<tabs>value`` lines as one record a file."""
     # a key ends at the first colon, but for those of a vocabulary, which hold one
     field = r"^((?:Subject|Type)\.olac:[^:\t]+|[^:\t]+):\s*(.*)$"
-    kv = rows.select("file", "line", F.trim(F.regexp_extract("text", field, 1)).alias("key"), F.trim(F.regexp_extract("text", field, 2)).alias("value")).where("key <> '' and value <> ''")
-    first = lambda k: F.min_by("value", F.when(F.col("key") == k, F.col("line"))).alias(k.lower())
-    last = lambda k: F.max_by("value", F.when(F.col("key") == k, F.col("line"))).alias(k.lower())
-    several = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("key") == k, F.struct("line", "value")))), lambda x: x.value).alias(f"{k.lower()}s")
-    imdi = F.transform(F.sort_array(F.collect_list(F.when(F.col("key").startswith("IMDI_"), F.struct("line", F.substr("key", F.lit(6)).alias("k"), "value")))), lambda x: F.struct(x.k.alias("key"), x.value.alias("value"))).alias("imdi")
-    begins = lambda name: reduce(lambda a, b: a | b, [F.col("key").startswith(k) for k, n, _ in OLAC if n == name])
-    how = {"first": lambda on: F.min_by("value", F.when(on, F.col("line"))), "last": lambda on: F.max_by("value", F.when(on, F.col("line"))), "all": lambda on: F.transform(F.sort_array(F.collect_list(F.when(on, F.struct("line", "value")))), lambda x: x.value)}
-    olac = [how[way](begins(name)).alias(f"olac_{name}") for name, way in {n: w for _, n, w in OLAC}.items()]
-    out = kv.groupBy("file").agg(*map(first, FIRST_WINS), *map(several, APPENDED), *map(last, LAST_WINS), imdi, *olac)
-    return out.withColumn("doi", F.trim(F.regexp_replace("doi", "^doi:", "")))
+    kv = once(rows.select("file", "line", "text"), *(F.trim(F.regexp_extract("text", field, k)).alias(c) for k, c in ((1, "key"), (2, "value")))).where("key <> '' and value <> ''")
+    # a file's lines are gathered once, those of no field left out, and each field is looked up in them
+    is_imdi = F.col("key").startswith("IMDI_")
+    known = F.col("key").isin(*FIRST_WINS, *APPENDED, *LAST_WINS) | reduce(lambda a, b: a | b, [F.col("key").startswith(k) for k, _, _ in OLAC])
+    kv = kv.select("file", F.when(known, F.struct("line", "key", "value")).alias("known"), F.when(is_imdi, F.struct("line", F.substr("key", F.lit(6)).alias("k"), "value")).alias("other"))
+    imdi = F.transform(F.sort_array(F.collect_list("other")), lambda x: F.struct(x.k.alias("key"), x.value.alias("value"))).alias("imdi")
+    r = kv.groupBy("file").agg(F.sort_array(F.collect_list("known")).alias("held"), imdi)
+    lines = lambda on: F.filter("held", lambda x: on(x.key))
+    how = {"first": lambda on: F.get(lines(on), F.lit(0)).value, "last": lambda on: F.try_element_at(lines(on), F.lit(-1)).value, "all": lambda on: F.transform(lines(on), lambda x: x.value)}
+    same = lambda k: lambda key: key == k
+    begins = lambda name: lambda key: reduce(lambda a, b: a | b, [key.startswith(k) for k, n, _ in OLAC if n == name])
+    named = [(k.lower(), "first", same(k)) for k in FIRST_WINS] + [(f"{k.lower()}s", "all", same(k)) for k in APPENDED] + [(k.lower(), "last", same(k)) for k in LAST_WINS]
+    olac = [(f"olac_{name}", way, begins(name)) for name, way in {n: w for _, n, w in OLAC}.items()]
+    column = lambda c, way, on: (F.trim(F.regexp_replace(how[way](on), "^doi:", "")) if c == "doi" else how[way](on)).alias(c)
+    out = [column(*x) for x in named + olac]
+    return r.select("file", *out[: len(named)], "imdi", *out[len(named) :])
 
 
 def year(date: Column) -> Column:

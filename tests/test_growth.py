@@ -34,3 +34,12 @@ def test_brackets_are_found_once_a_line(spark, sf):
     many = spark.createDataFrame([("[x] " * n,), (text,), (None,)], "t string").select(brackets.tokens(F.col("t")).alias("b")).collect()
     assert [(x.char_offset, x.kind) for x in many[0].b] == [(4 * i + d, k) for i in range(n) for d, k in ((0, "Open"), (2, "Close"))]
     assert [tuple(x) for x in many[1].b] == [(1, "Open", 2), (4, "Close", None)] and many[2].b == []
+
+
+def test_a_record_gathers_its_lines_once(spark):
+    rows = spark.createDataFrame([("f", 3, "Title:\tb"), ("f", 2, "Title:\ta"), ("f", 4, "DOI:\tdoi:10.1/x"), ("f", 5, "DOI:\t10.2/y"), ("f", 6, "Creator:\tC"), ("f", 1, "Creator:\tD"), ("f", 7, "IMDI_k:\tv"), ("g", 1, "Other:\tx")], "file string, line int, text string")
+    r = metadata.record(rows)
+    assert plan(r).count("collect_list") == 2
+    f, g = r.orderBy("file").collect()
+    assert (f.title, f.doi, f.creators, [tuple(x) for x in f.imdi], f.date) == ("a", "10.2/y", ["D", "C"], [("k", "v")], None)
+    assert (g.file, g.title, g.creators, g.doi) == ("g", None, [], None)
