@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.graph import components
+from loomspan.operators.graph import components_by_file
 
 TOKEN = r"\(\(.*?(?:\)\)|$)|\[[2-9]?|[2-9]?\$?\]"
 
@@ -76,14 +76,15 @@ def sets_of(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """ITR-01, WIN-11, ITR-02: overlap sets with roles: linked pairs are a set; the kth pair of a speaker in it goes to its
     kth sub-set; the lowest pair of a sub-set, alone or not, is top, the others bottom. The real index is a pair's own less
     one, else that of the top, else 0."""
-    key = lambda f, p: F.concat_ws(":", f.cast("string"), F.lpad(p.cast("string"), 12, "0"))
-    comp = components(links.select(key(F.col("file"), F.col("a")).alias("a"), key(F.col("file"), F.col("b")).alias("b")))
-    p = pairs.withColumn("node", key(F.col("file"), F.col("pair"))).join(comp, "node", "left").withColumn("set", F.coalesce("root", "node"))
-    p = p.withColumn("nth", F.row_number().over(Window.partitionBy("set", "speaker").orderBy("pair")))
-    first = F.first(F.struct("pair", "index")).over(Window.partitionBy("set", "nth").orderBy("pair"))
+    comp = components_by_file(links).withColumnsRenamed({"node": "pair", "root": "set"})
+    # the windows are within a file, so its rows are brought together once
+    p = pairs.join(comp, ["file", "pair"], "left").withColumn("set", F.coalesce("set", F.col("pair").cast("long"))).repartition("file")
+    p = p.withColumn("nth", F.row_number().over(Window.partitionBy("file", "set", "speaker").orderBy("pair")))
+    first = F.first(F.struct("pair", "index")).over(Window.partitionBy("file", "set", "nth").orderBy("pair"))
     p = p.withColumn("top", first)
     role = F.when(F.col("pair") == F.col("top.pair"), "top").otherwise("bottom")
-    return p.select("file", "pair", "speaker", "set", "nth", role.alias("role"), F.coalesce(F.col("index") - 1, F.col("top.index") - 1, F.lit(0)).cast("int").alias("real_index"))
+    name = F.concat_ws(":", F.col("file").cast("string"), F.lpad(F.col("set").cast("string"), 12, "0"))
+    return p.select("file", "pair", "speaker", "index", name.alias("set"), "nth", role.alias("role"), F.coalesce(F.col("index") - 1, F.col("top.index") - 1, F.lit(0)).cast("int").alias("real_index"))
 
 
 def shown_index(real_index: Column) -> Column:

@@ -550,8 +550,7 @@ def _(spark, sf):
   y AS (SELECT z.file, CASE WHEN ix IS NOT NULL THEN 'Original' WHEN ends.id IS NOT NULL THEN 'High' WHEN m >= 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM z LEFT JOIN ends ON z.file = ends.file AND z.pair = ends.id), q AS (SELECT file, confidence, count(*) AS n FROM y GROUP BY ALL)
   SELECT file, confidence, n, n / sum(n) OVER (PARTITION BY file) AS share FROM q""")
 def _(spark, sf):
-    p = _bracket_pairs(spark, sf).select("file", "pair", "index")
-    opens = _roles(spark, sf).join(p, ["file", "pair"]).withColumns({"id": F.col("pair").cast("long"), "closed": F.col("pair") % 2 == 0})
+    opens = _roles(spark, sf).withColumns({"id": F.col("pair").cast("long"), "closed": F.col("pair") % 2 == 0})
     return brackets.review(brackets.confidence(opens, brackets.edges(_opens(spark, sf))))
 
 

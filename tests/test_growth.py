@@ -43,3 +43,28 @@ def test_a_record_gathers_its_lines_once(spark):
     f, g = r.orderBy("file").collect()
     assert (f.title, f.doi, f.creators, [tuple(x) for x in f.imdi], f.date) == ("a", "10.2/y", ["D", "C"], [("k", "v")], None)
     assert (g.file, g.title, g.creators, g.doi) == ("g", None, [], None)
+
+
+def test_components_within_files_need_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links = [(int(f), int(a), int(a + rng.integers(0, 4))) for f, a in zip(rng.integers(0, 9, 600), rng.integers(0, 200, 600), strict=True)] + [(99, i, i + 1) for i in range(400)]
+
+    def want():
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for f, a, b in (x for x in links if x[1] != x[2]):
+            x, y = sorted((find((f, a)), find((f, b))))
+            root[y] = x
+        return {x: find(x)[1] for x in list(root)}
+
+    df = spark.createDataFrame(links, "file long, a int, b int")
+    read = lambda out: sorted((r.file, r.node, r.root) for r in out.collect())
+    expected = sorted((f, n, r) for (f, n), r in want().items())
+    # files of more links than a task holds go on to the rounds
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        assert read(graph.components_by_file(df, held=50)) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(graph, "components", None)
+    assert read(graph.components_by_file(df)) == expected
