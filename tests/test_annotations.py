@@ -17,3 +17,13 @@ def test_references_are_followed_to_the_end(spark):
     assert {k: v for k, v in got.items() if k[0] == 1} == {(1, "a"): (0, 10, None, None)} | {(1, f"c{k}"): (k + 1, 10, None, "P") for k in range(20)}
     assert {i: v[:3] for (f, i), v in got.items() if f == 2} == {"a": (0, 10, None)} | {i: (None, None, None) for i, _ in odd}
     assert {k for k in got if k[0] > 2} == {(5, "a")}
+
+
+def test_references_need_no_join(spark):
+    """A file is read once, and what refers to what is settled in it; a name that occurs twice means the first."""
+    files = spark.createDataFrame([(1, document([("b", "a"), ("b", "nowhere"), ("c", "b")])), (2, document([("c", "b")])), (3, "<ANNOTATION_DOCUMENT/>")], "file int, text string")
+    out = annotations.elan(files)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("from_xml") == 1
+    assert sorted((r.file, r.id, r.depth, r.start_ms, r.text) for r in out.collect() if r.depth is not None) == [(1, "a", 0, 10, "x"), (1, "b", 1, 10, ""), (1, "c", 2, 10, ""), (2, "a", 0, 10, "x")]
+    assert sorted((r.file, r.id) for r in out.collect() if r.depth is None) == [(1, "b"), (2, "c")]
