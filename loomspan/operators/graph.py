@@ -114,7 +114,9 @@ def components_by_file(links: DataFrame, held: int = HELD) -> DataFrame:
 
     types = f"file {links.schema['file'].dataType.simpleString()}, node long, root long, whole boolean"
     l = links.where("file is not null and a <> b").select("file", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))  # noqa: E741
-    stars = cut(l.repartition("file").sortWithinPartitions("file").mapInArrow(run, types))
+    # by a hash of the file: Spark leaves repartition("file") out where the links are a union of parts that lie by file, and then
+    # coalesces the partitions of each part on its own, so a file's links would be in several tasks
+    stars = cut(l.repartition(F.xxhash64("file")).sortWithinPartitions("file").mapInArrow(run, types))
     done = stars.where("whole").select("file", "node", "root")
     rest = stars.where("not whole")
     if rest.isEmpty():
