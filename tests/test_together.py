@@ -37,7 +37,7 @@ def test_links_of_a_union_meet(coalesced):
     assert sorted((r.file, r.node, r.root) for r in got) == want
 
 
-@pytest.mark.parametrize("name", ["exp04_agg21_confidence", "itr01_itr02_win11_roles"])
+@pytest.mark.parametrize("name", ["exp04_agg21_confidence", "itr01_itr02_win11_roles", "scf24_exp02_marks"])
 def test_query_of_sets(coalesced, sf, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
